@@ -10,14 +10,10 @@ from .common import table
 #: Query, module, function of the documents (or the table named).
 SPECS = {
     "op1_suffix_repetition": ("repetition", "repetition_rule", "documents"),
-    "op2_imatch_fingerprint": ("imatch", "imatch_digest", "documents"),
     "op3_secret_scan": ("secret_scan", "secret_digest", "documents"),
     "op4_source_mixing": ("mixing", "mix_digest", "documents"),
-    "op5_mil_quality": ("mil", "quality_digest", ("documents", "labels")),
     "op6_bpe_automaton": ("bpe_automaton", "bpe_digest", "documents"),
-    "op7_jaccard_join": ("jaccard_join", "jaccard_classes", "documents"),
     "op8_language_id": ("lang_id", "lang_digest", "documents"),
-    "op9_lbl_lm": ("lbl_lm", "lm_digest", "documents"),
     "op10_quote_linking": ("quotes", "link_quotes", "conversations"),
 }
 
