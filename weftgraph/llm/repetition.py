@@ -60,6 +60,17 @@ def prefix_hashes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, _powers(pow(_BASE, -1, 1 << 64), n + 1)
 
 
+def word_spans(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and their texts."""
+    n = len(cp)
+    inside = ~_WS[cp]
+    first = np.zeros(n + 1, bool)
+    first[starts] = True
+    begin = np.flatnonzero(inside & (first[:n] | ~np.concatenate(([False], inside[:-1]))))
+    end = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    return begin, end, np.searchsorted(starts, begin, "right") - 1
+
+
 def word_figures(cp: np.ndarray, starts: np.ndarray, hashes: tuple | None = None) -> dict[str, np.ndarray]:
     """Words, their code points, symbols, and words in windows of five found again in the text."""
     n_docs, n = len(starts) - 1, len(cp)
@@ -67,13 +78,8 @@ def word_figures(cp: np.ndarray, starts: np.ndarray, hashes: tuple | None = None
     if not n:
         return {"n_words": zero, "word_chars": zero, "n_symbols": zero, "n_repeat_words": zero}
     total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[starts])
-    inside = ~_WS[cp]
-    first = np.zeros(n + 1, bool)
-    first[starts] = True
-    begin = np.flatnonzero(inside & (first[:n] | ~np.concatenate(([False], inside[:-1]))))
-    end = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    doc = np.searchsorted(starts, begin, "right") - 1
-    out = {"n_words": np.bincount(doc, minlength=n_docs), "word_chars": total(inside), "n_symbols": total(_SYM[cp])}
+    begin, end, doc = word_spans(cp, starts)
+    out = {"n_words": np.bincount(doc, minlength=n_docs), "word_chars": total(~_WS[cp]), "n_symbols": total(_SYM[cp])}
     sums, inverse = hashes or prefix_hashes(cp)
     word = _mix((sums[end] - sums[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64))
     covered = np.zeros(len(word) + 1, np.int64)
