@@ -291,6 +291,15 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _mapped(docs, ["doc_id", "text"], path, each, "doc_id long, ids array<int>, decoded string")
 
 
+def bpe_append(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, source and ids of every row of docs(doc_id, source, text)."""
+
+    def each(encoder, ids, sources, texts):
+        return [ids, sources, [struct.unpack(f"<{len(b) // 4}I", b) for b in (encoder(t or "") for t in texts)]]
+
+    return _mapped(docs, ["doc_id", "source", "text"], path, each, "doc_id long, source string, ids array<int>")
+
+
 def bpe_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: bpe_encode's output without moving the ids."""
     sha = lambda x: hashlib.sha256(x).hexdigest()

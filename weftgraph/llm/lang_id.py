@@ -190,6 +190,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, SCHEMA)
 
 
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score; all its columns and rows stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+
+    def make():
+        m, at = shared.value, names.index("text")
+        return lambda *cols: [*cols, *m.predict(cols[at])]
+
+    return arrow_map(docs, make, f"{kinds}, lang_pred string, score double")
+
+
 def lang_digest(docs: DataFrame) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     got = identify(docs, train(docs.filter(~held_out)))
