@@ -1,0 +1,258 @@
+"""The training-data operators against brute force on small, awkward tables."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftgraph.llm import bpe_automaton, imatch, jaccard_join, lang_id, lbl_lm, mil, mixing, quotes, repetition, secret_scan
+
+random.seed(5)
+VOCAB = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 7))) for _ in range(300)]
+
+
+def prose(n):
+    return " ".join(random.choice(VOCAB) for _ in range(n))
+
+
+TEXTS = [prose(80) for _ in range(30)]
+NEAR = TEXTS[0].rsplit(" ", 2)[0] + " changed words"
+ROWS = [(i, t, ["en", "de", None][i % 3], ["s0", "s1", None][i % 3]) for i, t in enumerate([*TEXTS, TEXTS[0], NEAR, "", None, "a b", "###", "é" * 300, "x " * 400, 'api_key = "f00dfeed99" end'])]
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).withColumn("h", F.lit(1)).withColumn("k", F.lit("clash")).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def longest_repeat(t):
+    low, seen = 0, True
+    for m in range(1, len(t)):
+        windows = collections.Counter(t[i : i + m] for i in range(len(t) - m + 1))
+        if max(windows.values()) < 2:
+            break
+        low = m
+    return low
+
+
+def test_repetition(docs, empty):
+    got = by_id(repetition.repetition_rule(docs))
+    assert len(got) == len(ROWS)
+    for i, t, *_ in ROWS:
+        w = (t or "").split()
+        c = collections.Counter(zip(w, w[1:], w[2:], w[3:], w[4:]))
+        covered = {j + d for j in range(len(w) - 4) if c[tuple(w[j : j + 5])] > 1 for d in range(5)}
+        assert (got[i].n_words, got[i].n_repeat_words, got[i].word_chars) == (len(w), len(covered), sum(map(len, w)))
+        assert got[i].base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
+    assert got[0].kept and not got[32].kept and not got[33].kept
+    assert got[36].longest_repeat == 299 and got[36].covered_chars == 300
+    assert repetition.repetition_rule(empty).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 3, 8])
+def test_suffix_array_against_brute_force(least):
+    texts = ["".join(random.choice("ab") for _ in range(random.randint(0, 50))) for _ in range(40)] + ["a" * 30, "abc" * 9, "", "x"]
+    cp, starts = repetition.code_points(texts)
+    _, longest, _ = repetition.repeat_figures(cp, starts, repetition.prefix_hashes(cp), least)
+    for t, n in zip(texts, longest.tolist()):
+        want = longest_repeat(t)
+        assert n == (want if want >= least else 0)
+
+
+def test_imatch(docs, empty):
+    got = by_id(imatch.imatch_digest(docs))
+    order = sorted(ROWS, key=lambda r: -r[0])
+    for (i, t, *_), (_, nxt, *_) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        assert got[i].n_chars == len(t)
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[0].fingerprint == got[30].fingerprint != got[1].fingerprint
+    assert got[30].near_next == 0 or got[30].fingerprint != got[29].fingerprint
+    assert imatch.imatch_digest(empty).count() == 0
+
+
+def test_secrets(docs, empty):
+    got = by_id(secret_scan.secret_digest(docs))
+    assert got[38].n_assign == 1 and got[38].spans == "assign:0:21"
+    assert got[38].base_sha256 == hashlib.sha256(b"assign:0:21").hexdigest()
+    assert got[33].spans == "" and got[33].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.secret_digest(empty).count() == 0
+    redacted = by_id(secret_scan.redact(docs))
+    assert redacted[38].text.startswith("[secret]") and redacted[33].text is None and redacted[0].text == TEXTS[0]
+
+
+def test_guess_costs():
+    assert secret_scan.guess_cost("password123") < 5 < secret_scan.guess_cost("f9!kZ2#pQx")
+    assert secret_scan.guess_cost("aaaaaaaaaaaa") < 4 and secret_scan.guess_cost("19991231") < 6
+    spans = secret_scan.spans_of("client_secret: f9!kZ2#pQxv7 and pwd = password123", 8.0, secret_scan.DICTIONARY)
+    assert [(k, a, b) for a, k, b in spans] == [(3, 15, 27)]
+
+
+def test_password_shorter_than_eight_consumes():
+    assert secret_scan.spans_of("password: token: abcdefgh12", 8.0, secret_scan.DICTIONARY) in ([], [(17, 3, 27)])
+
+
+def test_mixing(docs, empty, spark):
+    got = [r for r in mixing.mix(docs).collect()]
+    assert len(got) == len(ROWS)
+    size = collections.Counter()
+    for r in got:
+        size[r.source] += r.size
+    want = mixing.targets(dict(size))
+    assert abs(sum(want.values()) - 1.5 * sum(size.values())) < 1e-6
+    for s in size:
+        taken = sum(r.size * len(r.draws) for r in got if r.source == s)
+        assert abs(taken - want[s]) <= max(r.size for r in got if r.source == s)
+        assert all(len(r.draws) <= 2 and r.source_size == size[s] for r in got if r.source == s)
+    again = {r.doc_id: r.draws for r in mixing.mix(docs.repartition(2)).collect()}
+    assert all(again[r.doc_id] == r.draws for r in got)
+    assert mixing.mix_digest(empty).count() == 0
+
+
+def test_split_tree_is_exact():
+    quotas = np.array([5, 0, 17, 40])
+    tree = mixing.split_tree(quotas, 7, np.random.default_rng(1))
+    assert (tree.sum(0) == quotas).all() and tree.sum(1).max() - tree.sum(1).min() <= 3
+
+
+def test_quality(docs, empty, spark):
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(len(ROWS)) if i != 31] + [(3, None, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(mil.quality_digest(docs, labels))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    learnt = [i for i, r in got.items() if not r.held_out and i != 31]
+    assert np.mean([got[i].score for i in learnt if i < 30]) > 0.3 + np.mean([got[i].score for i in learnt if i >= 30])
+    assert all(r.score == 0.5 for r in mil.quality_digest(docs, labels.limit(0)).collect())
+    assert mil.quality_digest(empty, labels).count() == 0
+
+
+def test_bpe(docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe_automaton.env_path("word_bpe_49k.json"))
+    got = by_id(bpe_automaton.bpe_encode(docs))
+    for i, text, *_ in ROWS:
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert got[i].ids == want and got[i].decoded == t.decode(want, skip_special_tokens=False)
+    encoder = bpe_automaton.Encoder(*bpe_automaton.load(bpe_automaton.env_path("word_bpe_49k.json")))
+    for _ in range(500):
+        s = "".join(random.choice("aehlnst'9 ß中😀.<|ͅÉ") for _ in range(random.randint(0, 40))) + random.choice(["", "<|endoftext|>z"])
+        assert list(np.frombuffer(encoder(s), "<u4")) == t.encode(s, add_special_tokens=False).ids
+    assert bpe_automaton.bpe_digest(empty).count() == 0
+
+
+def test_jaccard_join(docs, empty, spark):
+    base = prose(60).split()
+    crowd = [(1000 + i, " ".join(base[:i] + ["edit"] + base[i + 1 :]), None, None) for i in range(60)]
+    all_ = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(crowd, SCHEMA))
+    got = by_id(jaccard_join.jaccard_classes(all_))
+    rows = ROWS + crowd
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    near = {i: {j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert (got[i].n_links, got[i].class_id) == (len(near[i]), min(seen)), i
+    assert jaccard_join.jaccard_classes(empty).count() == 0
+
+
+def test_pruning_bound():
+    for n, m in jaccard_join.least_matches():
+        x = np.linspace(0, 1, 20001)
+        density = x**m * (1 - x) ** (n - m)
+        assert density[x >= 0.8].sum() / density.sum() >= 0.5 * jaccard_join.TOLERANCE
+
+
+def test_languages(docs, empty):
+    got = by_id(lang_id.lang_digest(docs))
+    assert got[33].lang_pred == got[32].lang_pred == got[35].lang_pred == "und" and got[0].lang_pred in ("en", "de")
+    assert lang_id.lang_digest(empty).count() == 0
+
+
+def test_cross_parsing_against_brute_force():
+    texts = {"a": ["abcabcd hello there", "cab"], "b": ["xyzzy hell"]}
+    m = lang_id.Model(texts)
+    for t in ("abcd hello xyz", "qqq", "hell there cab", "z"):
+        counts, _ = m.phrases([t])
+        codes = m.letters.codes(t).tolist()
+        for k, lang in enumerate(m.langs):
+            samples = [m.letters.codes(s).tolist() for s in texts[lang]]
+            has = lambda p: any(s[i : i + len(p)] == p for s in samples for i in range(len(s)))  # noqa: E731, B023
+            n, i = 0, 0
+            while i < len(codes):
+                j = i + 1
+                while j <= len(codes) and has(codes[i:j]) and 0 not in codes[i:j]:
+                    j += 1
+                n, i = n + 1, max(i + 1, j - 1)
+            assert int(counts[0, k]) == n, (t, lang)
+
+
+def test_language_model(docs, empty):
+    got = by_id(lbl_lm.lm_digest(docs))
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t, *_ in ROWS}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in tokens.items():
+        want = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert abs(got[i].base_score - want) < 1e-6 and got[i].n_known == sum(c[w] > 0 for w in ws)
+        assert (got[i].n_tokens, got[i].train_tokens, got[i].held_out) == (len(ws), n, held[i]) and got[i].score < 0
+    assert lbl_lm.lm_digest(empty).count() == 0
+
+
+def test_model_is_normalised():
+    model = lbl_lm.LogBilinear(np.full(lbl_lm.UNITS, 1 / lbl_lm.UNITS))
+    z = model.log_z(np.array([3]), np.array([4]))
+    total = np.exp((model.a1[3] + model.a2[4]) @ model.q.T + model.b - z[0]).sum()
+    assert abs(total - 1) < 1e-4
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "First point here.\n\nSecond point here."),
+        (1, 1, "user", "Something else."),
+        (1, 2, "user", "On Monday A wrote:\n> second  POINT here\n\nI agree."),
+        (1, 3, "user", "> I agree.\n>> Second point here.\nMe too."),
+        (2, 0, "user", "> Something else.\nFrom elsewhere."),
+        (2, 1, None, None), (None, 2, "user", "lost"), (3, 0, "user", ""),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2].parent_turn == 0 and got[1, 2].text == "I agree."
+    assert got[1, 3].parent_turn == 2 and got[1, 3].depth == 2 and got[1, 3].text == "Me too." and got[1, 3].n_linked == 2
+    assert (got[2, 0].other_conv, got[2, 0].other_turn, got[2, 0].parent_turn) == (1, 1, None)
+    assert [t for c, t in sorted((k for k in got if k[0] == 1), key=lambda k: got[k].path)] == [0, 2, 3, 1]
+    assert got[2, 1].text is None and len(got) == len(rows)
+    assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline(docs, spark, tmp_path):
+    import corpus_pipeline as P
+
+    own = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    first = P.languages(spark, own, "")
+    assert sorted(r.doc_id for r in first.collect()) == [i for i, t, *_ in ROWS if t and any(c.isalpha() for c in t)]
+    second = P.near_duplicates(spark, first, "")
+    assert {r.doc_id for r in first.collect()} - {r.doc_id for r in second.collect()} == {30, 31}
+    got = P.run(spark, str(tmp_path)).collect()
+    assert got and all(set(r.asDict()) == {"doc_id", "source", "ids"} for r in got)

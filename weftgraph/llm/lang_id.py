@@ -106,8 +106,8 @@ def _clone(follow: list, link: list, length: list, p: int, c: int, q: int) -> in
 class Model:
     """All languages' automata in one table.
 
-    An entry holds the next state's row (times the row's width), shifted by one, and in its last bit
-    whether a phrase ended.  The last column stands for padding and leads nowhere.
+    An entry holds the next state's row (times the row's width), shifted by two, and in its last bits
+    how many phrases ended.  The last column stands for padding and leads nowhere.
     """
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
@@ -121,11 +121,14 @@ class Model:
             to = np.full((len(follow), width), -1, np.int64)
             for s, arcs in enumerate(follow):
                 to[s, list(arcs)] = list(arcs.values())
-            again = np.maximum(to[0], 0)  # a phrase that ends before a letter begins anew with it
-            ended = to < 0
-            to = np.where(ended, again[None, :], to)
-            to[:, -1], ended[:, -1] = np.arange(len(follow)), False
-            parts.append(((to + offset) * width * 2 + ended).astype(np.int32))
+            # A phrase that ends before a letter begins anew with it; a letter that no sample has is
+            # a phrase of its own, after which the walk stands at the start.
+            alone = to[0] < 0
+            ended = np.where(to < 0, 1 + alone, 0)
+            ended[0] = alone
+            to = np.where(to < 0, np.maximum(to[0], 0)[None, :], to)
+            to[:, -1], ended[:, -1] = np.arange(len(follow)), 0
+            parts.append(((to + offset) * width * 4 + ended).astype(np.int32))
             self.roots.append(offset * width)
             offset += len(follow)
         self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
@@ -146,11 +149,12 @@ class Model:
             own = cells[a : a + 4096]
             own = np.ascontiguousarray(own.T).astype(np.int32)
             state = np.repeat(np.array(self.roots, np.int32)[:, None], own.shape[1], axis=1)
-            count = np.ones_like(state)
+            count = np.zeros_like(state)
             for c in own:
                 got = self.table[state + c]
-                count += got & 1
-                state = got >> 1
+                count += got & 3
+                state = got >> 2
+            count += state != np.array(self.roots, np.int32)[:, None]
             for i in range(len(self.langs)):
                 out[:, i] += np.bincount(owner[a : a + 4096], weights=count[i], minlength=len(texts)).astype(np.int64)
         return out, letters
