@@ -23,6 +23,7 @@ import struct
 import unicodedata
 from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, env_path
@@ -31,7 +32,7 @@ END = ""  # stands for the end-of-word suffix, as one character
 SUFFIX = "</w>"
 # The vocabulary's white space.
 SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 500_000  # words a worker remembers
+CACHE = 300_000  # words a worker remembers
 AHEAD = 6  # letters by which it remembers the tokens that match
 
 
@@ -103,7 +104,7 @@ class Automaton:
         key = word[at : at + AHEAD]
         got = self.near.get(key)
         if got is None:
-            if len(self.near) > 400_000:
+            if len(self.near) > 150_000:
                 self.near.clear()
             got = self.near[key] = self._walk(key, 0)
         if got[1] and len(key) == AHEAD:
@@ -146,7 +147,7 @@ class Automaton:
                 key = state << 20 | t
                 ok = table.get(key)
                 if ok is None:
-                    if len(table) > 1_000_000:
+                    if len(table) > 400_000:
                         table.clear()
                     ok = table[key] = self.arc(last, t)
                 if ok and not (dead and (at + size, state_of[t]) in dead):
@@ -286,7 +287,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def each(encoder, ids, texts):
         got = [encoder(t or "") for t in texts]
-        return [ids, [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in got], [encoder.decode(b) for b in got]]
+        return [ids, [np.frombuffer(b, "<i4") for b in got], [encoder.decode(b) for b in got]]
 
     return _mapped(docs, ["doc_id", "text"], path, each, "doc_id long, ids array<int>, decoded string")
 
@@ -295,7 +296,7 @@ def bpe_append(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source and ids of every row of docs(doc_id, source, text)."""
 
     def each(encoder, ids, sources, texts):
-        return [ids, sources, [struct.unpack(f"<{len(b) // 4}I", b) for b in (encoder(t or "") for t in texts)]]
+        return [ids, sources, [np.frombuffer(encoder(t or ""), "<i4") for t in texts]]
 
     return _mapped(docs, ["doc_id", "source", "text"], path, each, "doc_id long, source string, ids array<int>")
 
