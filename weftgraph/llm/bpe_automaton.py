@@ -26,13 +26,13 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, env_path
+from .common import arrow_map, env_path, resident
 
 END = ""  # stands for the end-of-word suffix, as one character
 SUFFIX = "</w>"
 # The vocabulary's white space.
 SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 300_000  # words a worker remembers
+CACHE = 250_000  # words a worker remembers
 AHEAD = 6  # letters by which it remembers the tokens that match
 
 
@@ -104,7 +104,7 @@ class Automaton:
         key = word[at : at + AHEAD]
         got = self.near.get(key)
         if got is None:
-            if len(self.near) > 150_000:
+            if len(self.near) > 60_000:
                 self.near.clear()
             got = self.near[key] = self._walk(key, 0)
         if got[1] and len(key) == AHEAD:
@@ -258,16 +258,6 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of a worker, kept from task to task
-
-
-def _encoder(key: str, shared) -> Encoder:
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(*shared.value)
-    return _ENCODERS[key]
-
-
 def _mapped(docs: DataFrame, cols: list[str], path: str | None, each, schema: str) -> DataFrame:
     path = path or env_path("word_bpe_49k.json")
     sc = docs.sparkSession.sparkContext
@@ -276,10 +266,10 @@ def _mapped(docs: DataFrame, cols: list[str], path: str | None, each, schema: st
     shared = sc._weftgraph_bpe[1]
 
     def make():
-        encoder = _encoder(path, shared)
+        encoder = resident(path, lambda: Encoder(*shared.value))
         return lambda *lists: each(encoder, *lists)
 
-    return arrow_map(docs.select(*cols), make, schema)
+    return arrow_map(docs.select(*cols), make, schema, path)
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -39,9 +41,35 @@ def ship(spark: SparkSession) -> None:
     sc._weftgraph_shipped = True
 
 
-def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
+#: What a Python worker keeps from task to task: the tables of one operator at most.
+_RESIDENT: dict = {}
+
+
+def resident(key: str, build: Callable):
+    """build()'s object, kept for the next task with the same key; a new key drops the old object."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def give_back(key: str | None) -> None:
+    """Return a worker's unused memory to the system, and the tables of other operators with it."""
+    for k in [k for k in _RESIDENT if k != key]:
+        del _RESIDENT[k]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None) -> DataFrame:
     """Batches of df through make()(list, list, ...) -> lists, one for each output column.
 
+    key names the tables that make keeps in the worker (see resident).
+
     make runs once in each task, so what it returns may keep state between batches.  If what it
     returns has a method flush, its lists follow the last batch.  Never shuffles.
     """
@@ -49,6 +77,7 @@ def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(key)
         f = make()
         build = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, arrow.types)], schema=arrow)
         for b in batches:
@@ -56,6 +85,8 @@ def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
                 yield build(f(*[b.column(i).to_pylist() for i in range(b.num_columns)]))
         if hasattr(f, "flush"):
             yield build(f.flush())
+        del f
+        give_back(key)
 
     return df.mapInArrow(run, schema)
 

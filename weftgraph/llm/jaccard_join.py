@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, saved, ship
+from .common import arrow_map, give_back, partitions, saved, ship
 from .repetition import _mix, batches, code_points, prefix_hashes, word_spans
 
 THRESHOLD, WORDS = 0.8, 5
@@ -156,6 +156,7 @@ def _by_unit(df: DataFrame, each, schema: str, keys: int) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(it):
+        give_back(None)
         unit, rows = None, []
 
         def done():

@@ -175,7 +175,7 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, n_docs: int = 64, n_chars: int = 400) -> Model:
+def train(docs: DataFrame, n_docs: int = 64, n_chars: int = 250) -> Model:
     """A model of docs(doc_id, text, lang), which should be the rows that may be learnt from."""
     return Model(sample(docs, n_docs, n_chars))
 
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     score: the share of phrases that the best language saves against the second.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 8 MB a language, by train's bounds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 7 MB a language, by train's bounds
 
     def make():
         m = shared.value

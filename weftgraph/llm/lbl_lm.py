@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, saved
+from .common import arrow_map, crc_mod, resident, saved
 
 TOP, TAIL, DIM, NOISE, BATCH = 384, 128, 24, 32, 2048
 UNITS = TOP + TAIL
@@ -95,9 +95,6 @@ class Vocabulary:
         self.id = hashlib.blake2b(self.h.tobytes() + self.c.tobytes() + self.noise.tobytes(), digest_size=8).hexdigest()
 
 
-_CODES: dict[str, dict] = {}  # of a worker: words' codes, kept from task to task
-
-
 class Coder:
     """Words to codes: a place in the head, or len(head) + unit for all others."""
 
@@ -105,10 +102,7 @@ class Coder:
 
     def __init__(self, voc: Vocabulary) -> None:
         self.voc = voc
-        if voc.id not in _CODES:
-            _CODES.clear()
-            _CODES[voc.id] = {}
-        self.known = _CODES[voc.id]
+        self.known = resident(voc.id, dict)
         self.n_head = len(voc.h)
         self.units = np.concatenate((voc.unit.astype(np.int64), np.arange(UNITS)))
 
@@ -283,7 +277,7 @@ def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray | None, DataFrame]:
     col = lambda k: head.column(k).to_numpy().astype(np.int64)
     voc = Vocabulary(col("h"), col("c"), col("unit"), n, v, sums, n_docs)
     shared = docs.sparkSession.sparkContext.broadcast(voc)
-    trained = arrow_map(texts, lambda: Training(shared.value), "seen long, params array<float>")
+    trained = arrow_map(texts, lambda: Training(shared.value), "seen long, params array<float>", voc.id)
     flat = (
         trained.select("seen", F.posexplode("params").alias("at", "x")).groupBy("at")
         .agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x")).toArrow().to_pandas().sort_values("at")
@@ -294,7 +288,7 @@ def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray | None, DataFrame]:
 def score(docs: DataFrame, voc: Vocabulary, flat: np.ndarray | None, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) of every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast((voc, flat))
-    part = arrow_map(docs.select("doc_id", "text"), lambda: Scoring(*shared.value), "doc_id long, n_tokens long, known long, base double, model double, tail array<struct<h:long,tf:long>>")
+    part = arrow_map(docs.select("doc_id", "text"), lambda: Scoring(*shared.value), "doc_id long, n_tokens long, known long, base double, model double, tail array<struct<h:long,tf:long>>", voc.id)
     part = saved(part.withColumn("rid", F.monotonically_increasing_id()))
     log_c = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))
     tail = (
