@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Subsets: of each rate (one term in so many) so many subsets.
-RATES = ((4, 2), (16, 4), (48, 8), (96, 8))
+RATES = ((4, 2), (16, 4), (48, 8), (96, 8), (256, 8))
 SUBSETS = sum(n for _, n in RATES)
 NO_TERM = 0  # stands in every text, in no subset
 MAX_LEXICON = 2_000_000
