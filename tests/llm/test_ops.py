@@ -207,6 +207,25 @@ def test_cross_parsing_against_brute_force():
             assert int(counts[0, k]) == n, (t, lang)
 
 
+def test_every_letter_of_large_scripts_counts():
+    def write(first, n, seed):
+        words = [chr(first + 2 * i) + chr(first + 2 * i + 1) for i in range(n // 2)]
+        return ["".join(random.Random(seed + i).choices(words, k=125)) for i in range(65)]
+
+    korean, chinese = write(0xAC00, 3000, 1), write(0x4E00, 4000, 100)
+    m = lang_id.Model({"ko": korean[1:], "zh": chinese[1:], "en": ["plain words here"]})
+    assert len(m.letters.alphabet) > 6000 and not m.full
+    langs, scores = m.predict([korean[0], chinese[0], korean[0][:40], chinese[0][-40:], "words here", "..."])
+    assert langs == ["ko", "zh", "ko", "zh", "en", "und"] and min(scores[:5]) > 0
+
+
+def test_arcs_count_as_the_table():
+    texts = {"a": TEXTS[:4], "b": TEXTS[4:8], "c": ["é" * 9 + " x"]}
+    full, arcs = lang_id.Model(texts), lang_id.Model(texts, dense=0)
+    own = [*TEXTS[8:], *TEXTS[:2], "", "zzz qq é", "é" * 300 + "ü" * 300, "a" * 256, "q" * 257]
+    assert full.full and not arcs.full and (full.phrases(own)[0] == arcs.phrases(own)[0]).all()
+
+
 def test_language_model(docs, empty):
     got = by_id(lbl_lm.lm_digest(docs))
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t, *_ in ROWS}

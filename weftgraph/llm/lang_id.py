@@ -3,7 +3,8 @@
 Of every language a suffix automaton is built over a bounded sample of labelled text.  A text is parsed
 greedily into the longest phrases that the sample holds (Ziv-Merhav cross-parsing); the language that
 needs the fewest phrases for each letter wins, ties going to the first language by code points.
-Automata are laid out as one transition table and walked by numpy, many stretches of text at once; a
+Every letter of the samples has a code.  Automata are laid out as one transition table (where letters
+times states pass DENSE entries, as sorted arcs instead) and walked by numpy, many stretches of text at once; a
 text is cut into stretches of STRETCH letters, each parsed from its start, for all languages alike.
 
 Edge cases: texts that are null or have no letter give `und` with score 0, as do all texts if nothing
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, crc_mod
 
 STRETCH = 256
+DENSE = 1 << 25  # entries of a full transition table, four bytes each
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -39,7 +41,7 @@ class Letters:
     """Codes of letters: 0 any letter that no sample has, 1 all that is no letter, then the samples' letters."""
 
     def __init__(self, texts: list[str]) -> None:
-        self.alphabet = sorted({c for t in texts for c in t.lower() if c.isalpha()})[:250]
+        self.alphabet = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         self._table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -48,7 +50,8 @@ class Letters:
     @property
     def table(self) -> np.ndarray:
         if self._table is None:
-            self._table = np.array([0 if chr(c).isalpha() else 1 for c in range(0x110000)], np.uint8)
+            # The least type that also holds the code of padding, which follows the letters'.
+            self._table = np.array([0 if chr(c).isalpha() else 1 for c in range(0x110000)], np.min_scalar_type(len(self.alphabet) + 2))
             for i, c in enumerate(self.alphabet):
                 self._table[ord(c)] = i + 2
         return self._table
@@ -104,34 +107,58 @@ def _clone(follow: list, link: list, length: list, p: int, c: int, q: int) -> in
 
 
 class Model:
-    """All languages' automata in one table.
+    """All languages' automata in one table, or as sorted arcs if the table would pass `dense` entries.
 
-    An entry holds the next state's row (times the row's width), shifted by two, and in its last bits
-    how many phrases ended.  The last column stands for padding and leads nowhere.
+    An entry of the table holds the next state's row (times the row's width), shifted by two, and in its
+    last bits how many phrases ended.  The last column stands for padding and leads nowhere.  An arc's
+    key is state times width plus letter; what no arc holds begins anew from the language's start.
     """
 
-    def __init__(self, texts: dict[str, list[str]]) -> None:
+    def __init__(self, texts: dict[str, list[str]], dense: int = DENSE) -> None:
         self.langs = sorted(texts)
         self.letters = Letters([t for lang in self.langs for t in texts[lang]])
         width = self.width = len(self.letters.alphabet) + 3
-        parts, self.roots, offset = [], [], 0
-        for lang in self.langs:
-            joined = [c for t in texts[lang] for c in (*self.letters.codes(t).tolist(), 0)]
-            follow = suffix_automaton(joined)
-            to = np.full((len(follow), width), -1, np.int64)
-            for s, arcs in enumerate(follow):
-                to[s, list(arcs)] = list(arcs.values())
-            # A phrase that ends before a letter begins anew with it; a letter that no sample has is
-            # a phrase of its own, after which the walk stands at the start.
-            alone = to[0] < 0
-            ended = np.where(to < 0, 1 + alone, 0)
-            ended[0] = alone
-            to = np.where(to < 0, np.maximum(to[0], 0)[None, :], to)
-            to[:, -1], ended[:, -1] = np.arange(len(follow)), 0
-            parts.append(((to + offset) * width * 4 + ended).astype(np.int32))
-            self.roots.append(offset * width)
-            offset += len(follow)
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+        automata = [suffix_automaton([c for t in texts[lang] for c in (*self.letters.codes(t).tolist(), 0)]) for lang in self.langs]
+        first = np.cumsum([0, *map(len, automata)])
+        self.full = int(first[-1]) * width <= dense
+        self.roots = (first[:-1] * (width if self.full else 1)).tolist()
+        if self.full:
+            self.table = np.concatenate([self._rows(f, o) for f, o in zip(automata, first.tolist())]).ravel() if automata else np.zeros(0, np.int32)
+            return
+        self.keys = np.array([(s + o) * width + c for f, o in zip(automata, first.tolist()) for s, arcs in enumerate(f) for c in sorted(arcs)], np.int64)
+        self.ends = np.array([arcs[c] + o for f, o in zip(automata, first.tolist()) for arcs in f for c in sorted(arcs)], np.int32)
+        self.anew = np.repeat(np.array(self.roots, np.int32)[:, None], width, axis=1)  # where a phrase that begins with the letter stands
+        self.alone = np.ones((len(self.langs), width), np.int8)
+        for i, f in enumerate(automata):
+            self.anew[i, list(f[0])] = first[i] + np.array(list(f[0].values()))
+            self.alone[i, list(f[0])] = 0
+
+    def _rows(self, follow: list[dict[int, int]], offset: int) -> np.ndarray:
+        """One automaton's rows of the table."""
+        width = self.width
+        to = np.full((len(follow), width), -1, np.int64)
+        for s, arcs in enumerate(follow):
+            to[s, list(arcs)] = list(arcs.values())
+        # A phrase that ends before a letter begins anew with it; a letter that no sample has is
+        # a phrase of its own, after which the walk stands at the start.
+        alone = to[0] < 0
+        ended = np.where(to < 0, 1 + alone, 0)
+        ended[0] = alone
+        to = np.where(to < 0, np.maximum(to[0], 0)[None, :], to)
+        to[:, -1], ended[:, -1] = np.arange(len(follow)), 0
+        return ((to + offset) * width * 4 + ended).astype(np.int32)
+
+    def _step(self, state: np.ndarray, c: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(languages, stretches) next states and ended phrases, for the stretches' next letters."""
+        if self.full:
+            got = self.table[state + c]
+            return got >> 2, got & 3
+        key = state * np.int64(self.width) + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        miss = self.keys[at] != key
+        pad = c == self.width - 1
+        to = np.where(pad, state, np.where(miss, self.anew[:, c], self.ends[at]))
+        return to, np.where(miss & ~pad, (state != roots) + self.alone[:, c], 0)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) phrases, and each text's letters."""
@@ -140,7 +167,7 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         pieces = -(-letters // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        cells = np.full(int(pieces.sum()) * STRETCH, self.width - 1, np.uint8)
+        cells = np.full(int(pieces.sum()) * STRETCH, self.width - 1, self.letters.table.dtype)
         begin = np.concatenate(([0], np.cumsum(pieces)))[:-1] * STRETCH
         for a, c in zip(begin.tolist(), codes):
             cells[a : a + len(c)] = c
@@ -148,13 +175,13 @@ class Model:
         for a in range(0, len(cells), 4096):
             own = cells[a : a + 4096]
             own = np.ascontiguousarray(own.T).astype(np.int32)
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], own.shape[1], axis=1)
+            roots = np.array(self.roots, np.int32)[:, None]
+            state = np.repeat(roots, own.shape[1], axis=1)
             count = np.zeros_like(state)
             for c in own:
-                got = self.table[state + c]
-                count += got & 3
-                state = got >> 2
-            count += state != np.array(self.roots, np.int32)[:, None]
+                state, ended = self._step(state, c, roots)
+                count += ended
+            count += state != roots
             for i in range(len(self.langs)):
                 out[:, i] += np.bincount(owner[a : a + 4096], weights=count[i], minlength=len(texts)).astype(np.int64)
         return out, letters
@@ -185,7 +212,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     score: the share of phrases that the best language saves against the second.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 7 MB a language, by train's bounds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * DENSE bytes, or 16 bytes an arc
 
     def make():
         m = shared.value
