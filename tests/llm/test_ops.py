@@ -108,6 +108,17 @@ def test_password_shorter_than_eight_consumes():
     assert secret_scan.spans_of("password: token: abcdefgh12", 8.0, secret_scan.DICTIONARY) in ([], [(17, 3, 27)])
 
 
+def test_value_partly_in_a_base_span_is_costed_whole():
+    text = 'password = "Tr0ub4dor&3xQ!z9" end'
+    spans = secret_scan.spans_of(text, 8.0, secret_scan.DICTIONARY)
+    assert [(secret_scan.KINDS[k], text[a:b]) for a, k, b in spans] == [("assign", 'password = "Tr0ub4dor'), ("guess", "Tr0ub4dor&3xQ!z9")]
+    assert secret_scan._redacted(text) == '[secret]" end'
+    hexed = "pwd: Zk!9" + "0123456789abcdef" * 2  # the base span begins inside the value
+    assert [k for _, k, _ in secret_scan.spans_of(hexed, 8.0, secret_scan.DICTIONARY)] == [3, 2]
+    whole = 'api_key = "f9kZ2pQxv7Lm"'
+    assert [k for _, k, _ in secret_scan.spans_of(whole, 8.0, secret_scan.DICTIONARY)] == [0]
+
+
 def test_mixing(docs, empty, spark):
     got = [r for r in mixing.mix(docs).collect()]
     assert len(got) == len(ROWS)

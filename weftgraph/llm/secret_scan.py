@@ -4,7 +4,8 @@ The base patterns (assign, access, hex) are matched on whole texts.  The method
 stand in a wider credential context (`client_secret = v`, `Authorization: Bearer v`, `pwd: v` ...) and
 finds the cheapest way for an attacker to guess them: a dynamic programme over all segmentations into
 dictionary words, dates, repeats, keyboard walks or sequences, and brute-force spans.  Values that
-cost at least 10**min_log10 guesses and lie in no base span give spans of kind `guess`.
+cost at least 10**min_log10 guesses and lie in no base span give spans of kind `guess`; a value that a base
+span covers only in part is costed whole, and its span overlaps the base span.
 
 Edge cases: null texts count as empty and have no spans; very long texts and values are taken whole,
 the programme being linear in the value's length; repeated rows give repeated results; other columns
@@ -124,10 +125,10 @@ def spans_of(text: str, min_log10: float, words: dict[str, int]) -> list[tuple[i
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:)]}\"")
             a, b = m.start(1), m.start(1) + len(value)
-            while at < len(base) and base[at][0] < b:
+            while at < len(base) and base[at][0] <= a:
                 reach = max(reach, base[at][1])
                 at += 1
-            if reach <= a and len(value) >= 6 and guess_cost(value, words) >= min_log10:
+            if reach < b and len(value) >= 6 and guess_cost(value, words) >= min_log10:
                 out.append((a, 3, b))
     return sorted(out)
 
