@@ -275,6 +275,21 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_found_past_own_and_null_holders(spark):
+    rows = [
+        (1, 0, "user", "> Shared passage.\nMine."),
+        (1, 1, "user", "Shared passage."),  # the least holder is the quoting conversation, at a later turn
+        (5, 3, "user", "Shared passage."), (5, 2, "user", "Shared passage."), (7, 0, "user", "Shared passage."),
+        (9, 0, "user", "> Shared passage.\nTheirs."),
+        (None, 0, "user", "Shared passage."), (None, 1, "user", "> Shared passage.\nNobody's."), (0, None, "user", "Shared passage."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert (got[1, 0].other_conv, got[1, 0].other_turn, got[1, 0].n_linked) == (5, 2, 1)
+    assert (got[9, 0].other_conv, got[9, 0].other_turn, got[9, 0].n_linked) == (1, 1, 1)
+    assert (got[None, 1].other_conv, got[None, 1].n_linked) == (None, 0)
+
+
 def test_pipeline(docs, spark, tmp_path):
     import corpus_pipeline as P
 

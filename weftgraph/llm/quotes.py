@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, saved
@@ -101,12 +101,15 @@ def link_quotes(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     base = told.select("conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes"))
     quotes = told.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode(F.array_distinct("quotes")).alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
     # Only hashes that something quotes are worth looking up; one row for each conversation and hash.
-    own = told.select("conv_id", "turn", F.explode("own").alias("hash")).join(quotes.select("hash").distinct(), "hash", "left_semi")
+    own = told.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("hash")).join(quotes.select("hash").distinct(), "hash", "left_semi")
     first = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("at"))
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("other"))
+    # The two least conversations of each hash: one of them at least is not the quoting message's own.
+    least = first.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).filter("n <= 2").withColumn("holder", F.struct("conv_id", F.col("at").alias("turn")))
+    anywhere = least.groupBy("hash").agg(F.max(F.when(F.col("n") == 1, F.col("holder"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("holder"))).alias("two"))
+    elsewhere = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).when(F.col("conv_id").isNotNull(), F.col("two"))
     matched = (
         quotes.join(first, ["conv_id", "hash"], "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
-        .join(anywhere, "hash", "left").withColumn("other", F.when(F.col("at").isNull() & (F.col("other.conv_id") != F.col("conv_id")), F.col("other")))
+        .join(anywhere, "hash", "left").withColumn("other", F.when(F.col("at").isNull(), elsewhere))
         .groupBy("conv_id", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("at"))).alias("parent_turn"), F.min("other").alias("other"), F.count(F.coalesce(F.col("at"), F.col("other.turn"))).alias("n_linked"))
     )
     matched = saved(matched)
