@@ -36,11 +36,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents, a row for each time one is taken."""
-    docs = docs.select(*COLUMNS)
-    drawn = mixing.mix(docs).select("doc_id", F.explode("draws").alias("draw")).select("doc_id", F.col("draw.epoch").alias("epoch"))
-    times = drawn.groupBy("doc_id").agg((F.max("epoch") + 1).cast("int").alias("times"))
-    return docs.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """The mix's documents, a row for each time one is taken; rows with a null doc_id are drawn like the others
+    (all such rows of a source together) and keep their columns."""
+    drawn = mixing.mix(docs.select(*COLUMNS), carry=COLUMNS)
+    return drawn.select("row", F.explode("draws")).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,6 +290,20 @@ def test_quotes_found_past_own_and_null_holders(spark):
     assert (got[None, 1].other_conv, got[None, 1].n_linked) == (None, 0)
 
 
+def test_mixing_stage_keeps_null_ids(spark):
+    import corpus_pipeline as P
+
+    rows = [(None if i % 3 == 0 else i // 2, f"{prose(5 + i % 7)} {i}", None, f"s{i % 2}", i) for i in range(120)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = collections.Counter()
+    for r in mixing.mix(own, carry=["n_chars"]).collect():
+        want[r.row.n_chars] += len(r.draws)
+    got = P.mixing_weights(spark, own, "").collect()
+    assert collections.Counter(r.n_chars for r in got) == +want and all(tuple(r) == rows[r.n_chars] for r in got)
+    taken = {(r.doc_id is None, r.source) for r in got}
+    assert (True, "s0") in taken or (True, "s1") in taken
+
+
 def test_pipeline(docs, spark, tmp_path):
     import corpus_pipeline as P
 

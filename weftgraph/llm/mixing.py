@@ -11,8 +11,8 @@ multivariate hypergeometric distribution.  A shard takes its numbers of blocks f
 permuted blocks, disjoint from the other shards', and shuffles them locally by a second hash.
 
 Edge cases: null texts have no words; the null source is a source and comes last; sources without words
-have target 0; rows with equal doc_id stand together in the order and are taken together; other columns
-are not read; an empty table gives no rows.  More than max_sources sources raise an error, for
+have target 0; rows with equal doc_id stand together in the order and are taken together, and so do the
+rows whose doc_id is null: each such row is taken as often as the others; other columns are not read; an empty table gives no rows.  More than max_sources sources raise an error, for
 the driver keeps 256 sums for each.
 """
 
@@ -101,11 +101,14 @@ def _sums(rows: list) -> dict:
     return out
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2, 1), share: float = 1.5, max_sources: int = 2000) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2, 1), share: float = 1.5, max_sources: int = 2000, carry: list[str] | None = None) -> DataFrame:
     """A row for each of docs(doc_id, text, source): doc_id, source, size, source_size, target and
-    draws, an array of (epoch, shard, place): the shards that take it and its place in their shuffles."""
+    draws, an array of (epoch, shard, place): the shards that take it and its place in their shuffles.
+
+    carry: columns of docs that come with each row, as the struct `row`."""
     spark = docs.sparkSession
-    sized = saved(docs.select("doc_id", "source", _key(F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(ORDER_SEED), "doc_id").alias("h")))
+    keys = docs.select("doc_id", "source", *([F.struct(*carry).alias("row")] if carry else []), _key(F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(ORDER_SEED), "doc_id").alias("h"))
+    sized = saved(keys.drop("row"))
     got = sized.groupBy("key", _byte(0).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).limit(max_sources * BLOCKS + 1).collect()
     if len(got) > max_sources * BLOCKS:
         raise ValueError(f"more than {max_sources} sources")
@@ -131,8 +134,8 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2
     table = spark.createDataFrame(rows, "key string, block int, source_size long, target double, epochs int, cut long, whole boolean, units array<struct<epoch:int,shard:int>>")
     taken = F.filter("units", lambda u: (u["epoch"] < F.col("epochs")) | F.col("whole") | (F.col("h").bitwiseXOR(F.lit(_signed(flip))) < F.col("cut")))
     return (
-        sized.withColumn("block", _byte(0).cast("int")).join(F.broadcast(table), ["key", "block"])
-        .select("doc_id", "source", "size", "source_size", "target", F.transform(taken, lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"), F.xxhash64(F.lit(SHUFFLE_SEED + seed), "doc_id", u["epoch"]).alias("place"))).alias("draws"))
+        (keys if carry else sized).withColumn("block", _byte(0).cast("int")).join(F.broadcast(table), ["key", "block"])
+        .select("doc_id", "source", *(["row"] if carry else []), "size", "source_size", "target", F.transform(taken, lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"), F.xxhash64(F.lit(SHUFFLE_SEED + seed), "doc_id", u["epoch"]).alias("place"))).alias("draws"))
     )
 
 
