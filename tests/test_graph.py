@@ -44,3 +44,24 @@ def test_co_change_counts_distinct_files(spark):
     got = {(r.file_a, r.file_b): r.n for r in M.co_change(c).collect()}
     assert got == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1}
     assert M.co_change(c.filter(F.lit(False))).count() == 0
+
+
+def test_related_files_of_every_part(spark, tmp_path):
+    import collections
+
+    from weftgraph.plans import registry
+
+    parts = [(i, f"b{i % 3}", i % 2) for i in range(1, 121)]  # groups of 20
+    orders = {o: sorted({1 + (o * 7 + j * j * 11) % 120 for j in range(4)} | ({1, 7, 13} if o < 6 else set())) for o in range(40)}
+    orders |= {100 + o: [19, *range(1, 110, 6)] for o in range(2)}  # parts whose own group changes with them
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, 1, None) for o in orders], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(o, p) for o, ps in orders.items() for p in ps], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    n = collections.Counter((a, b) for ps in orders.values() for a in set(ps) for b in set(ps) if a != b)
+    want = set()
+    for i, brand, size in parts:
+        co = sorted((-c, b) for (a, b), c in n.items() if a == i and c >= 2)
+        near = [(2, b) for _, b in co] + [(4, p) for p, x, y in parts if (x, y) == (brand, size) and p != i and p not in {b for _, b in co}]
+        want |= {(i, f, t, place) for place, (t, f) in enumerate(near[:10], 1)}
+    got = {tuple(r) for r in registry.queries()["G17_related_files"](spark, str(tmp_path)).select("focal", "file", "tier", "place").collect()}
+    assert got == want and len({f for f, *_ in got}) == 120

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -190,14 +191,20 @@ def _(s, d):
 
 @spec("G17_related_files", ("commits",), ", foc AS (SELECT p_partkey AS focal FROM part WHERE p_partkey % 40 = 0), ln AS (SELECT file_a AS focal, file_b AS file, n FROM co_change UNION ALL SELECT file_b, file_a, n FROM co_change), co AS (SELECT l.focal, l.file, -n AS rnk, 2 AS tier FROM ln l JOIN foc ON foc.focal = l.focal WHERE n >= 2), sib AS (SELECT f.focal, p2.p_partkey AS file, p2.p_partkey AS rnk, 4 AS tier FROM foc f JOIN part p1 ON p1.p_partkey = f.focal JOIN part p2 ON p2.p_brand = p1.p_brand AND p2.p_size = p1.p_size AND p2.p_partkey <> p1.p_partkey), al AS (SELECT * FROM co UNION ALL SELECT * FROM sib), best AS (SELECT focal, file, tier, rnk FROM (SELECT *, row_number() OVER (PARTITION BY focal, file ORDER BY tier, rnk) AS q FROM al) WHERE q = 1) SELECT focal, file, tier, place FROM (SELECT focal, file, tier, row_number() OVER (PARTITION BY focal ORDER BY tier, rnk, file) AS place FROM best) WHERE place <= 10")
 def _(s, d):
+    # The SQL holds one part in 40 as focal; the query takes all of them and equals it on those.
     p = A.table(s, d, "part")
-    focal = p.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("focal"), "p_brand", "p_size")
+    focal = p.select(F.col("p_partkey").alias("focal"), "p_brand", "p_size")
     pairs = M.co_change(A.commit_files(s, d)).filter("n >= 2")
     both = pairs.select(F.col("file_a").alias("focal"), F.col("file_b").alias("file"), "n").unionAll(pairs.select("file_b", "file_a", "n"))
     co = both.join(focal.select("focal"), "focal", "left_semi").select("focal", "file", (-F.col("n")).alias("rank"))
-    sib = focal.join(p.select(F.col("p_partkey").alias("file"), "p_brand", "p_size"), ["p_brand", "p_size"]).select("focal", "file", F.col("file").alias("rank"))
+    # Of the k places none goes past the first k + 1 siblings: the focal part itself is passed over, and each
+    # sibling that is a co-change already takes a place there.  So no group is expanded into pairs.
+    k = 10
+    w = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
+    first = p.withColumn("n", F.dense_rank().over(w)).filter(F.col("n") <= k + 1).select(F.col("p_partkey").alias("file"), "p_brand", "p_size")
+    sib = focal.join(first, ["p_brand", "p_size"]).select("focal", "file", F.col("file").alias("rank"))
     none = co.limit(0)
-    return G.related_files(none, co, none, sib)
+    return G.related_files(none, co, none, sib, k)
 
 
 # Mining
