@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each calling one of the training-data operators.
 
-Documents in a known language stay; of each group of near duplicates one document stays; secrets are
+Documents with a letter stay, and null languages are predicted; of each group of near duplicates one document stays; secrets are
 blanked out of the texts; sources are mixed to their target weights; the mix is encoded.
 """
 
@@ -18,9 +18,12 @@ ORACLE_SQL = None
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; `und` (no letter at all) goes."""
-    told = lang_id.annotate(docs.select(*COLUMNS), lang_id.train(docs))
-    return told.filter(F.col("lang_pred") != "und").select(*COLUMNS)
+    """Documents with a letter; a null lang becomes the predicted one.  Only texts without a letter (or null) go: no
+    text is rejected by its phrases.  If nothing is labelled there is no prediction, and lang stays null."""
+    model = lang_id.train(docs)
+    told = lang_id.annotate(docs.select(*COLUMNS), model)
+    kept = told.filter(F.col("lang_pred") != "und" if model.langs else F.col("text").rlike(r"\p{L}"))
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

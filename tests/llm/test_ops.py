@@ -290,6 +290,17 @@ def test_quotes_found_past_own_and_null_holders(spark):
     assert (got[None, 1].other_conv, got[None, 1].n_linked) == (None, 0)
 
 
+def test_language_stage_fills_null_languages(docs, spark):
+    import corpus_pipeline as P
+
+    own = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    told = by_id(lang_id.identify(own, lang_id.train(own)))
+    got = by_id(P.languages(spark, own, ""))
+    assert all(r.lang == (ROWS[i][2] or told[i].lang_pred) for i, r in got.items()) and {r.lang for r in got.values()} == {"en", "de"}
+    bare = by_id(P.languages(spark, own.withColumn("lang", F.lit(None).cast("string")), ""))
+    assert set(bare) == set(got) and all(r.lang is None for r in bare.values())
+
+
 def test_mixing_stage_keeps_null_ids(spark):
     import corpus_pipeline as P
 
