@@ -136,6 +136,24 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix_digest(empty).count() == 0
 
 
+def test_dealt_shards_end_to_end(spark, tmp_path):
+    own = spark.createDataFrame([(i, prose(20), f"s{i % 2}") for i in range(900)], "doc_id long, text string, source string")
+    got = by_id(mixing.mix_digest(own))
+    source = {i: f"s{i % 2}" for i in range(900)}
+    shards_of = collections.defaultdict(set)  # of each block of each epoch of a source
+    h = {r.doc_id: r.b for r in own.select("doc_id", F.expr(f"shiftrightunsigned(xxhash64({mixing.ORDER_SEED}, doc_id), 56)").alias("b")).collect()}
+    for i, r in got.items():
+        assert len(r.draws) == r.n_draws and [d.epoch for d in r.draws] == list(range(r.n_draws))
+        for d in r.draws:
+            shards_of[source[i], d.epoch, h[i]].add(d.shard)
+    assert all(len(x) == 1 for x in shards_of.values())  # no two shards share a unit
+    blocks = collections.Counter(s for x in shards_of.values() for s in x)
+    assert set(blocks) == set(range(16)) and max(blocks.values()) - min(blocks.values()) <= 0.25 * max(blocks.values())
+    mixing.write_shards(own, mixing.mix(own), str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert collections.Counter((r.doc_id, r.epoch, r.shard) for r in written) == collections.Counter((i, d.epoch, d.shard) for i, r in got.items() for d in r.draws)
+
+
 def test_split_tree_is_exact():
     quotas = np.array([5, 0, 17, 40])
     tree = mixing.split_tree(quotas, 7, np.random.default_rng(1))

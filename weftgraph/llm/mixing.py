@@ -140,7 +140,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").cast("long").alias("n_draws"))
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").cast("long").alias("n_draws"), "draws")
 
 
 def write_shards(docs: DataFrame, mixed: DataFrame, path: str) -> None:
