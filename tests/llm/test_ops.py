@@ -236,6 +236,59 @@ def test_cross_parsing_against_brute_force():
             assert int(counts[0, k]) == n, (t, lang)
 
 
+def plain_phrases(m, texts, lang, text):
+    """Phrases of a greedy parse of one text by substrings of a language's samples."""
+    samples = ["".join(map(chr, m.letters.codes(s).tolist())) for s in texts[lang]]
+    codes = "".join(map(chr, m.letters.codes(text).tolist()))
+    n, i = 0, 0
+    while i < len(codes):
+        j = i + 1
+        while j <= len(codes) and chr(0) not in codes[i:j] and any(codes[i:j] in s for s in samples):
+            j += 1
+        n, i = n + 1, max(i + 1, j - 1)
+    return n
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 25])
+def test_whole_long_texts_are_parsed_as_one(dense):
+    rng = random.Random(8)
+    write = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = {"a": [write(900, "abc"), "ab" * 300 + " cab", "q"], "b": [write(1500, "abcd "), "zz" * 20], "c": ["d" * 700]}
+    m = lang_id.Model(texts, dense=dense)
+    own = [write(n, "abcd é") for n in (255, 256, 257, 512, 513, 2000, 5000)] + [texts["a"][0] * 3, "ab" * 900, "d" * 1000, "dx" * 300, "", "ab"]
+    counts, letters = m.phrases(own)
+    for t, row, n in zip(own, counts.tolist(), letters.tolist()):
+        assert n == len(m.letters.codes(t)) and row == [plain_phrases(m, texts, lang, t) for lang in m.langs]
+    together, lang_id.TOGETHER = lang_id.TOGETHER, 3  # texts that straddle what is walked at once
+    try:
+        assert (m.phrases(own)[0] == counts).all()
+    finally:
+        lang_id.TOGETHER = together
+
+
+def test_a_megabyte_text():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdef ") for _ in range(1_000_000))
+    m = lang_id.Model({"a": [text[:4000]], "b": ["xyz " * 100 + text[500_000:501_000]]})
+    assert m.predict([text])[0] == ["a"] and m.phrases([text])[1][0] > 800_000
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    from weftgraph.llm.common import one_process, shared_dir
+
+    assert one_process("local[8]") and one_process("local") and not one_process("local-cluster[3,2,1024]") and not one_process("yarn")
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_every_letter_of_large_scripts_counts():
     def write(first, n, seed):
         words = [chr(first + 2 * i) + chr(first + 2 * i + 1) for i in range(n // 2)]

@@ -65,10 +65,11 @@ def give_back(key: str | None) -> None:
         pass
 
 
-def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None, raw: bool = False) -> DataFrame:
     """Batches of df through make()(list, list, ...) -> lists, one for each output column.
 
-    key names the tables that make keeps in the worker (see resident).
+    key names the tables that make keeps in the worker (see resident).  raw: Arrow arrays instead of lists
+    go in; lists or Arrow arrays come out.
 
     make runs once in each task, so what it returns may keep state between batches.  If what it
     returns has a method flush, its lists follow the last batch.  Never shuffles.
@@ -79,10 +80,11 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back(key)
         f = make()
-        build = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, arrow.types)], schema=arrow)
+        to = lambda c, t: c if isinstance(c, pa.Array) and c.type == t else pa.array(c, type=t)
+        build = lambda cols: pa.RecordBatch.from_arrays([to(c, t) for c, t in zip(cols, arrow.types)], schema=arrow)
         for b in batches:
             if b.num_rows:
-                yield build(f(*[b.column(i).to_pylist() for i in range(b.num_columns)]))
+                yield build(f(*(b.columns if raw else [c.to_pylist() for c in b.columns])))
         if hasattr(f, "flush"):
             yield build(f.flush())
         del f
@@ -92,12 +94,22 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one of our own."""
+    """The folder that spark.checkpoint.dir names.  Where it is unset and everything runs in one process
+    (tests), one of our own; on a cluster an error, for executors would not share a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark.sparkContext, "_weftgraph_dir", None) or tempfile.mkdtemp(prefix="weftgraph-")
-        spark.sparkContext._weftgraph_dir = at
-    return at
+    if at:
+        return at
+    sc = spark.sparkContext
+    if not one_process(sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not getattr(sc, "_weftgraph_dir", None):
+        sc._weftgraph_dir = tempfile.mkdtemp(prefix="weftgraph-")
+    return sc._weftgraph_dir
+
+
+def one_process(master: str) -> bool:
+    """Whether driver and executors are one process: `local`, `local[n]`, `local[n,m]`, not `local-cluster`."""
+    return master == "local" or master.startswith("local[")
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -107,7 +119,15 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftgraph_path = path
+    return out
+
+
+def freed(df: DataFrame) -> None:
+    """Remove the files of a saved table that nothing will read again."""
+    if path := getattr(df, "_weftgraph_path", None):
+        _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -129,6 +149,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def env_path(name: str) -> str:
-    """Place of a vocabulary file; the folder is a parameter with the public package as default."""
-    top = os.environ.get("WEFTGRAPH_TOKENIZERS", "/opt/tokenizers")
-    return f"{top}/{name}"
+    """Place of a public vocabulary file: in the folder that WEFTGRAPH_TOKENIZERS names, else the installed package's."""
+    if top := os.environ.get("WEFTGRAPH_TOKENIZERS"):
+        return f"{top}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

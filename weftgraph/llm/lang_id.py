@@ -1,11 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-Of every language a suffix automaton is built over a bounded sample of labelled text.  A text is parsed
-greedily into the longest phrases that the sample holds (Ziv-Merhav cross-parsing); the language that
-needs the fewest phrases for each letter wins, ties going to the first language by code points.
+Of every language a suffix automaton is built over a bounded sample of its labelled documents, taken
+whole.  A text is parsed greedily into the longest phrases that the sample holds (Ziv-Merhav
+cross-parsing).  Phrases are normalised by what a pointer into the sample costs, the logarithm of its
+letters (a letter that the sample lacks costs the logarithm of all samples' letters); so they estimate the
+text's cross entropy, and the language that needs the fewest wins, ties going to the first by code points.
 Every letter of the samples has a code.  Automata are laid out as one transition table (where letters
-times states pass DENSE entries, as sorted arcs instead) and walked by numpy, many stretches of text at once; a
-text is cut into stretches of STRETCH letters, each parsed from its start, for all languages alike.
+times states pass DENSE entries, as sorted arcs instead) and walked by numpy, many stretches of text at
+once.  Stretches are only a way to walk: each is parsed from the start at first; then, where the stretch
+before it ends inside a phrase, again from that state until both walks stand in the same state at
+the same letter, from where on they are one.  So the phrases are those of the whole text.
+
+Bounds: n_docs documents a language are learnt from; the model is as large as these texts, at most
+4 * DENSE bytes as a table or some 60 bytes a letter as arcs.
 
 Edge cases: texts that are null or have no letter give `und` with score 0, as do all texts if nothing
 is labelled; texts are taken whole; repeated rows give repeated results; other columns are not read; an
@@ -20,17 +27,19 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod
 
-STRETCH = 256
+STRETCH, TOGETHER = 256, 4096  # letters of a stretch, stretches walked at once
 DENSE = 1 << 25  # entries of a full transition table, four bytes each
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
-def sample(docs: DataFrame, n_docs: int, n_chars: int) -> dict[str, list[str]]:
+def sample(docs: DataFrame, n_docs: int) -> dict[str, list[str]]:
     """Texts to learn from: of every lang at most n_docs documents, the least by hash in as many
-    classes of another hash, and n_chars code points of each."""
-    own = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64(F.lit(3), "doc_id"))
-    least = own.groupBy("lang", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(n_docs)).alias("b")).agg(F.min("h").alias("h")).select("lang", "h")
-    rows = own.join(F.broadcast(least), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, n_chars).alias("text")).distinct().collect()
+    classes of another hash."""
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("h"))
+    own = own.withColumn("b", F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(n_docs)))
+    # n_docs numbers a language reach the join, and as many texts the driver.
+    least = own.groupBy("lang", "b").agg(F.min("h").alias("h")).select("lang", "h")
+    rows = own.join(F.broadcast(least), ["lang", "h"], "left_semi").select("lang", "h", "text").distinct().collect()
     out: dict[str, list[str]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         out.setdefault(lang, []).append(text)
@@ -118,16 +127,26 @@ class Model:
         self.langs = sorted(texts)
         self.letters = Letters([t for lang in self.langs for t in texts[lang]])
         width = self.width = len(self.letters.alphabet) + 3
-        automata = [suffix_automaton([c for t in texts[lang] for c in (*self.letters.codes(t).tolist(), 0)]) for lang in self.langs]
+        codes = [[self.letters.codes(t).tolist() for t in texts[lang]] for lang in self.langs]
+        size = np.array([sum(map(len, own)) for own in codes])
+        #: What a phrase costs: the logarithm of the places in the sample that it may point at; `strange` for
+        #: a letter that the sample lacks (`lacks`: which ones).
+        self.price, self.strange = np.log2(2 + size), float(np.log2(2 + size.sum()))
+        self.lacks = np.ones((len(codes), width), bool)
+        self.lacks[:, -1] = False
+        for i, own in enumerate(codes):
+            self.lacks[i, list({c for t in own for c in t} - {0})] = False
+        automata = [suffix_automaton([c for t in own for c in (*t, 0)]) for own in codes]
         first = np.cumsum([0, *map(len, automata)])
-        self.full = int(first[-1]) * width <= dense
+        self.full = int(first[-1]) * width <= min(dense, 1 << 29)  # entries are shifted by two bits in 32
+        self.kind = np.int32 if self.full or first[-1] < 1 << 31 else np.int64
         self.roots = (first[:-1] * (width if self.full else 1)).tolist()
         if self.full:
             self.table = np.concatenate([self._rows(f, o) for f, o in zip(automata, first.tolist())]).ravel() if automata else np.zeros(0, np.int32)
             return
         self.keys = np.array([(s + o) * width + c for f, o in zip(automata, first.tolist()) for s, arcs in enumerate(f) for c in sorted(arcs)], np.int64)
-        self.ends = np.array([arcs[c] + o for f, o in zip(automata, first.tolist()) for arcs in f for c in sorted(arcs)], np.int32)
-        self.anew = np.repeat(np.array(self.roots, np.int32)[:, None], width, axis=1)  # where a phrase that begins with the letter stands
+        self.ends = np.array([arcs[c] + o for f, o in zip(automata, first.tolist()) for arcs in f for c in sorted(arcs)], self.kind)
+        self.anew = np.repeat(np.array(self.roots, self.kind)[:, None], width, axis=1)  # where a phrase that begins with the letter stands
         self.alone = np.ones((len(self.langs), width), np.int8)
         for i, f in enumerate(automata):
             self.anew[i, list(f[0])] = first[i] + np.array(list(f[0].values()))
@@ -148,8 +167,8 @@ class Model:
         to[:, -1], ended[:, -1] = np.arange(len(follow)), 0
         return ((to + offset) * width * 4 + ended).astype(np.int32)
 
-    def _step(self, state: np.ndarray, c: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(languages, stretches) next states and ended phrases, for the stretches' next letters."""
+    def _step(self, state: np.ndarray, c: np.ndarray, lang: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and ended phrases, for walks' next letters, languages and starts."""
         if self.full:
             got = self.table[state + c]
             return got >> 2, got & 3
@@ -157,40 +176,81 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         miss = self.keys[at] != key
         pad = c == self.width - 1
-        to = np.where(pad, state, np.where(miss, self.anew[:, c], self.ends[at]))
-        return to, np.where(miss & ~pad, (state != roots) + self.alone[:, c], 0)
+        to = np.where(pad, state, np.where(miss, self.anew[lang, c], self.ends[at]))
+        return to, np.where(miss & ~pad, (state != roots) + self.alone[lang, c], 0)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) phrases, and each text's letters."""
         codes = [self.letters.codes(t) for t in texts]
         letters = np.array([len(c) for c in codes], np.int64)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
+        if not self.langs or not letters.any():
+            return out, letters
         pieces = -(-letters // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        cells = np.full(int(pieces.sum()) * STRETCH, self.width - 1, self.letters.table.dtype)
+        opens = np.concatenate(([True], owner[1:] != owner[:-1]))  # the stretches that begin a text
+        cells = np.full(len(owner) * STRETCH, self.width - 1, self.letters.table.dtype)
         begin = np.concatenate(([0], np.cumsum(pieces)))[:-1] * STRETCH
         for a, c in zip(begin.tolist(), codes):
             cells[a : a + len(c)] = c
         cells = cells.reshape(-1, STRETCH)
-        for a in range(0, len(cells), 4096):
-            own = cells[a : a + 4096]
-            own = np.ascontiguousarray(own.T).astype(np.int32)
-            roots = np.array(self.roots, np.int32)[:, None]
-            state = np.repeat(roots, own.shape[1], axis=1)
-            count = np.zeros_like(state)
-            for c in own:
-                state, ended = self._step(state, c, roots)
-                count += ended
-            count += state != roots
+        roots = np.array(self.roots, self.kind)
+        carry = roots.copy()  # where each language's walk stands before the next stretch
+        for a in range(0, len(cells), TOGETHER):
+            b = min(a + TOGETHER, len(cells))
+            count, end = self._walk(np.ascontiguousarray(cells[a:b].T), opens[a:b], carry)
+            closes = np.concatenate((opens[a + 1 : b], opens[b : b + 1] if b < len(opens) else [True]))
+            count += closes & (end != roots[:, None])  # the phrase that a text ends in
             for i in range(len(self.langs)):
-                out[:, i] += np.bincount(owner[a : a + 4096], weights=count[i], minlength=len(texts)).astype(np.int64)
+                out[:, i] += np.bincount(owner[a:b], weights=count[i], minlength=len(texts)).astype(np.int64)
+            carry = end[:, -1]
         return out, letters
 
+    def _walk(self, cells: np.ndarray, opens: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(languages, stretches) phrases ended in, and states after, consecutive stretches (cells: a column each)."""
+        n, m = len(self.langs), cells.shape[1]
+        lang = np.repeat(np.arange(n), m)
+        roots = np.array(self.roots, self.kind)[lang]
+        state = roots.copy()
+        if not opens[0]:
+            state[::m] = carry
+        told = state.copy()  # the state that each stretch was walked from
+        count = np.zeros(n * m, np.int16)
+        states, counts = np.empty((STRETCH, n * m), self.kind), np.empty((STRETCH, n * m), np.int16)
+        for t in range(STRETCH):
+            state, ended = self._step(state, np.tile(cells[t].astype(self.kind), n), lang, roots)
+            count = count + ended.astype(np.int16)
+            states[t], counts[t] = state, count
+        total, end = count.astype(np.int64), state.copy()
+        follows = np.flatnonzero(~np.tile(opens, n) & (np.arange(n * m) % m > 0))
+        while True:
+            own = follows[told[follows] != end[follows - 1]]
+            if not len(own):
+                return total.reshape(n, m), end.reshape(n, m)
+            state = told[own] = end[own - 1]
+            count = np.zeros(len(own), np.int64)
+            for t in range(STRETCH):
+                state, ended = self._step(state, cells[t][own % m].astype(self.kind), lang[own], roots[own])
+                count += ended
+                met = state == states[t, own]  # from here on the first walk's phrases are this one's
+                if met.any():
+                    done = own[met]
+                    total[done] = count[met] + counts[-1, done] - counts[t, done]
+                    end[done] = states[-1, done]
+                    own, state, count = own[~met], state[~met], count[~met]
+                    if not len(own):
+                        break
+            total[own], end[own] = count, state
+
+    def _normalised(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
+        alone = np.array([[int(lacks[c].sum()) for lacks in self.lacks] for c in map(self.letters.codes, texts)]).reshape(counts.shape)
+        return (counts - alone) * self.price + alone * self.strange
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         texts = [t or "" for t in texts]
         counts, letters = self.phrases(texts)
         langs, scores = [], []
-        for row, n in zip(counts, letters.tolist()):
+        for row, n in zip(self._normalised(texts, counts), letters.tolist()):
             if not n or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
@@ -202,17 +262,17 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, n_docs: int = 64, n_chars: int = 250) -> Model:
+def train(docs: DataFrame, n_docs: int = 16) -> Model:
     """A model of docs(doc_id, text, lang), which should be the rows that may be learnt from."""
-    return Model(sample(docs, n_docs, n_chars))
+    return Model(sample(docs, n_docs))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs(doc_id, text).
 
-    score: the share of phrases that the best language saves against the second.
+    score: the share of normalised phrases that the best language saves against the second.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * DENSE bytes, or 16 bytes an arc
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # see Bounds above
 
     def make():
         m = shared.value
