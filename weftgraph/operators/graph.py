@@ -39,11 +39,14 @@ def subgraph_degree(edges: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a folder of our own where none is set (tests)."""
+    """Cut the lineage in the shared checkpoint folder.  Where none is set and everything runs in one process
+    (tests), a folder of our own; on a cluster that is an error, for executors share no local folder."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not getattr(sc, "_weftgraph_ckpt", False):
         import tempfile
 
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-ckpt-"))
         sc._weftgraph_ckpt = True
     return df.checkpoint()
