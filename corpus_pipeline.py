@@ -27,10 +27,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group; equal rows are one document."""
-    docs = docs.select(*COLUMNS)
-    gone = jaccard_join.near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each group, with the group's least doc_id; equal rows are one document, other texts with
+    the same doc_id stay, and so do documents without a doc_id unless they repeat another's text."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,27 +184,79 @@ def test_bpe(docs, empty):
     assert bpe_automaton.bpe_digest(empty).count() == 0
 
 
-def test_jaccard_join(docs, empty, spark):
-    base = prose(60).split()
-    crowd = [(1000 + i, " ".join(base[:i] + ["edit"] + base[i + 1 :]), None, None) for i in range(60)]
-    all_ = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(crowd, SCHEMA))
-    got = by_id(jaccard_join.jaccard_classes(all_))
-    rows = ROWS + crowd
-    sets = {}
-    for i, t, *_ in rows:
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    near = {i: {j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
-    for i in sets:
+def classes_of(rows):
+    """Links and classes (as sets of places) of (doc_id, text) rows by brute force."""
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in words]
+    near = [{j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b)} for i, a in enumerate(sets)]
+    classes = []
+    for i in range(len(rows)):
         seen, todo = {i}, [i]
         while todo:
             new = near[todo.pop()] - seen
             seen |= new
             todo += new
-        assert (got[i].n_links, got[i].class_id) == (len(near[i]), min(seen)), i
+        classes.append(frozenset(seen))
+    return near, classes
+
+
+def test_jaccard_join(docs, empty, spark):
+    base = prose(60).split()
+    crowd = [(1000 + i, " ".join(base[:i] + ["edit"] + base[i + 1 :]), None, None) for i in range(60)]
+    all_ = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(crowd, SCHEMA))
+    got = by_id(jaccard_join.jaccard_classes(all_))
+    rows = [(i, t) for i, t, *_ in ROWS + crowd]
+    near, classes = classes_of(rows)
+    for (i, _), links, own in zip(rows, near, classes):
+        assert (got[i].n_links, got[i].class_id) == (len(links), min(rows[j][0] for j in own)), i
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_join_in_small_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [rng.choice(VOCAB) for _ in range(50)]
+    rows = []
+    for i in range(120):  # chains: each text is an earlier one with one more word changed
+        base = list(base)
+        base[rng.randrange(50)] = f"w{i}"
+        rows.append((i, " ".join(base)))
+        base = [rng.choice(VOCAB) for _ in range(50)] if i % 40 == 39 else base
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "SALT", 4)
+    got = by_id(jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    near, classes = classes_of(rows)
+    assert all((got[i].n_links, got[i].class_id) == (len(near[i]), min(classes[i])) for i, _ in rows)
+
+
+def test_jaccard_join_null_and_repeated_ids(spark):
+    a, b, c, d, e = (prose(40) for _ in range(5))
+    close = a.rsplit(" ", 1)[0] + " other"
+    rows = [(5, a), (5, b), (5, c), (5, d), (2, d), (None, e), (None, close), (None, e + " more"), (7, None), (7, ""), (None, None), (2, d), (9, a.upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("clash")).withColumn("k", F.lit(1))
+    got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(frame).collect())
+    want = collections.Counter()
+    near, classes = classes_of(rows)
+    for i, (x, _) in enumerate(rows):
+        ids = [rows[j][0] for j in classes[i] if rows[j][0] is not None]
+        want[x, min(ids, default=None), len(near[i])] += 1
+    assert got == want
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(frame).collect())
+    assert sum(kept.values()) == len(set(classes)) and max(kept.values()) == 1
+    assert {(5, a), (5, b), (5, c), (2, d), (7, None), (7, ""), (None, None)} <= set(kept) and ((None, e) in kept) != ((None, e + " more") in kept)
+    assert jaccard_join.one_of_each(frame).columns == ["doc_id", "text", "t", "k"]
+
+
+def test_jaccard_recall_on_the_driver_table(spark):
+    at = "/root/testdata/sf0.001/documents.parquet"
+    rows = [tuple(r) for r in spark.read.parquet(at).select("doc_id", "text").collect()]
+    got = by_id(jaccard_join.jaccard_classes(spark.read.parquet(at)))
+    near, classes = classes_of(rows)
+    assert sum(map(len, near)) > 0
+    for (i, _), links, own in zip(rows, near, classes):  # recall and precision are 1 on this table
+        assert (got[i].n_links, got[i].class_id) == (len(links), min(rows[j][0] for j in own))
+
+
 def test_pruning_bound():
     for n, m in jaccard_join.least_matches():
         x = np.linspace(0, 1, 20001)

@@ -9,16 +9,18 @@
 3. Pruning: MinHash values are compared STEP at a time, and a pair is dropped once the probability that
    its similarity reaches the threshold, given the matches so far and a uniform prior, falls below
    TOLERANCE.  What survives is joined to groups (large-star and small-star steps).
-4. In each group all pairs are verified exactly by their shingle sets, block by block; blocks give
-   counts of links and the edges of spanning forests, not pairs.  Groups of the verified edges are the
-   classes.  (Shingles and texts are identified by 64-bit hashes.)
+4. In each group the pairs go through the same pruning, and those that survive are verified exactly by
+   their shingle sets, block by block; blocks give counts of links and the edges of spanning forests, not
+   pairs.  Groups of the verified edges are the classes.  (Shingles and texts are identified by 64-bit
+   hashes.)  A block holds at most BLOCK texts and about MASS shingles.
 
 Result: doc_id, class_id (least doc_id of the class), n_links (other documents that are similar, copies
 counted), n_copies (documents with the same words).
 
 Edge cases: texts that are null or have no words are a class of their own, without links; repeated
-rows are copies of each other; very long texts are taken whole; other columns are not read; an empty
-table gives no rows.
+rows are copies of each other; documents without a doc_id take part like the others, and a class of them
+alone has a null class_id; a doc_id may stand for several texts, each of which has its own class; very
+long texts are taken whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, give_back, partitions, saved, ship
+from .common import arrow_map, freed, give_back, partitions, saved, ship
 from .repetition import _mix, batches, code_points, prefix_hashes, word_spans
 
 THRESHOLD, WORDS = 0.8, 5
 ROWS, BANDS, KEPT, STEP, TOLERANCE = 6, 40, 128, 32, 1e-6
-BLOCK = 256  # texts of a group verified against as many others at a time
+BLOCK, MASS = 1024, 250_000  # texts, and shingles, of a group verified against as many others at a time
 BUCKET_BLOCK = 1024
+SALT = 4096  # members of a bucket that stay together in a join by bucket
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,14 +180,15 @@ def _by_unit(df: DataFrame, each, schema: str, keys: int) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *names).sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, c): the least node of each node's component, for edges (u, v) of two longs.
 
     Large-star and small-star steps in turn until the edges are stars; each round is written to the
     shared folder, and only two numbers of it reach the driver.
     """
     now, mark = edges.select("u", "v").filter("u <> v").distinct(), None
-    for _ in range(max_rounds):
+    while True:
+        before = now
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -193,6 +197,7 @@ def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         small = down.join(least, "u")
         now = saved(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        freed(before)
         if tuple(got) == mark:
             break
         mark = tuple(got)
@@ -201,12 +206,12 @@ def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
 
 
 def _signed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, k (hash of the words; null without words), bands and sig."""
+    """doc_id, t (hash of the text), k (hash of the words; null without words), n_sh (shingles), bands and sig."""
 
     def make():
-        def run(ids, texts):
+        def run(ids, hashes, texts):
             texts = [t or "" for t in texts]
-            ks, bands, sigs = [], [], []
+            ks, sizes, bands, sigs = [], [], [], []
             for a, b in batches(texts, 300_000):
                 sh, at, key = shingles(texts[a:b])
                 full = np.diff(at) > 0
@@ -217,11 +222,12 @@ def _signed_texts(docs: DataFrame) -> DataFrame:
                     ks.append(k)
                     bands.append(band)
                     sigs.append(s.tobytes() if has else None)
-            return [ids, ks, bands, sigs]
+                sizes += np.diff(at).tolist()
+            return [ids, hashes, ks, sizes, bands, sigs]
 
         return run
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, k long, bands array<long>, sig binary")
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), make, "doc_id long, t long, k long, n_sh long, bands array<long>, sig binary")
 
 
 def _pruned_pairs(texts: DataFrame) -> DataFrame:
@@ -229,7 +235,7 @@ def _pruned_pairs(texts: DataFrame) -> DataFrame:
     sigs = texts.select("k", "sig")
     rows = texts.select("k", F.explode("bands").alias("bk"))
     choice = F.min(F.struct(F.xxhash64("bk", "k").alias("h"), "k")).alias("lead")
-    leads = rows.groupBy("bk").agg(choice, F.count(F.lit(1)).alias("n")).filter("n > 1").select("bk", F.col("lead.k").alias("l"))
+    leads = rows.groupBy("bk").agg(choice, F.count(F.lit(1)).alias("n")).filter("n > 1").select("bk", F.col("lead.k").alias("l"), "n")
     members = saved(rows.join(leads, "bk").filter("k <> l"))
     pairs = members.select("k", "l").distinct()
     both = pairs.join(sigs, "k").join(sigs.select(F.col("k").alias("l"), F.col("sig").alias("sig2")), "l").select("k", "l", "sig", "sig2")
@@ -241,13 +247,14 @@ def _pruned_pairs(texts: DataFrame) -> DataFrame:
         return run
 
     judged = saved(arrow_map(both, make, "k long, l long, ok boolean"))
-    # Members parted from their bucket's lead meet the whole bucket.
-    odd = members.join(judged.filter("not ok"), ["k", "l"], "left_semi")
-    crowd = odd.groupBy("bk").agg(F.count(F.lit(1)).alias("n_odd"), F.first("l").alias("l")).filter("n_odd > 0")
-    own = members.join(crowd.select("bk"), "bk", "left_semi").join(judged.select("k", "l", "ok"), ["k", "l"]).select("bk", "k", (~F.col("ok")).alias("odd"))
-    size = own.groupBy("bk").agg((F.floor(F.count(F.lit(1)) / BUCKET_BLOCK) + 1).cast("int").alias("n"), F.count_if("odd").alias("n_odd"), F.count(F.lit(1)).alias("all"))
-    size = size.filter("all > 1").select("bk", "n")
-    units = _units(own.join(size, "bk").join(sigs, "k"), "bk", ["k", "odd", "sig"])
+    # Members parted from their bucket's lead meet the whole bucket.  A bucket's size is known to all its
+    # members, so a large one is cut into parts of SALT members wherever rows meet by bucket.
+    parts = (F.floor(F.col("n") / SALT) + 1).cast("int")
+    told = members.join(judged, ["k", "l"]).select("bk", "k", "n", (~F.col("ok")).alias("odd")).withColumn("part", F.pmod(F.xxhash64(F.lit(17), "k"), parts).cast("int"))
+    crowd = told.filter("odd").select("bk", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    own = told.filter("n > 2").join(crowd, ["bk", "part"], "left_semi")
+    blocks = own.withColumn("n", (F.floor(F.col("n") / BUCKET_BLOCK) + 1).cast("int"))
+    units = _units(blocks.join(sigs, "k"), "bk", ["k", "odd", "sig"])
 
     def each(unit, cols):
         side, ks, odd_, sig = cols
@@ -263,7 +270,10 @@ def _pruned_pairs(texts: DataFrame) -> DataFrame:
         return [(ks[a], ks[b]) for a, b in spanning(len(ks), np.array(found, np.int64).reshape(-1, 2))]
 
     more = _by_unit(units, each, "u long, v long", 3)
-    return saved(judged.filter("ok").select(F.col("k").alias("u"), F.col("l").alias("v")).union(more))
+    out = saved(judged.filter("ok").select(F.col("k").alias("u"), F.col("l").alias("v")).union(more))
+    freed(members)
+    freed(judged)
+    return out
 
 
 def _units(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
@@ -297,61 +307,104 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def candidates(sig: np.ndarray, side: np.ndarray, same: bool) -> np.ndarray:
+    """(n, n) whether two texts of a unit may be similar, by the pruning; pairs of one side only if `same`."""
+    n = len(sig)
+    out = np.zeros((n, n), bool)
+    for i in range(n):
+        j = np.arange(i + 1, n) if same else i + 1 + np.flatnonzero(side[i + 1 :] != side[i])
+        if len(j):
+            out[i, j[survive(np.broadcast_to(sig[i], (len(j), KEPT)), sig[j])]] = True
+    return out | out.T
+
+
 def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
     """k, links (documents of other texts that are similar) and the far end of a spanning edge, or null."""
-    n = groups.groupBy("c").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("n"))
-    wanted = groups.withColumnRenamed("u", "k").join(n, "c").join(texts.select("k", "rep", "copies"), "k")
-    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, docs["doc_id"] == wanted["rep"]).select("c", "k", "n", "copies", "text")
+    own = groups.withColumnRenamed("u", "k").join(texts.select("k", "t", "rep", "copies", "n_sh", "sig"), "k")
+    blocks = F.greatest(F.floor(F.count(F.lit(1)) / BLOCK), F.floor(F.sum("n_sh") / MASS))
+    n = own.groupBy("c").agg((blocks + 1).cast("int").alias("n"))
+    wanted = own.drop("n_sh").join(n, "c")
+    # A text is read from a row with its least doc_id (null only if none of its rows has one).
+    body = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    found = body.join(wanted, (body["t"] == wanted["t"]) & body["doc_id"].eqNullSafe(wanted["rep"])).select("c", "k", "n", "copies", "sig", "text")
 
     def make():
-        def run(cs, ks, ns, copies, bodies):
+        def run(cs, ks, ns, copies, sigs, bodies):
             sh, at, key = shingles(bodies)
-            same = (key.view(np.int64) == np.array(ks)).tolist()  # else another text with the same doc_id
+            same = (key.view(np.int64) == np.array(ks)).tolist()  # else another text with the same hash
             sets = [np.unique(sh[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            return [[x for x, ok in zip(c, same) if ok] for c in (cs, ks, ns, copies, sets)]
+            return [[x for x, ok in zip(c, same) if ok] for c in (cs, ks, ns, copies, sigs, sets)]
 
         return run
 
-    own = arrow_map(found, make, "c long, k long, n int, copies long, sets binary").dropDuplicates(["c", "k"])
-    units = _units(own, "c", ["k", "copies", "sets"])
+    whole = arrow_map(found, make, "c long, k long, n int, copies long, sig binary, sets binary").dropDuplicates(["c", "k"])
+    units = _units(whole, "c", ["k", "copies", "sig", "sets"])
 
     def each(unit, cols):
-        side, ks, copies, sets = cols
+        side, ks, copies, sig, sets = cols
         sets = _bytes(sets, np.uint64)
-        side, copies = np.array(side), np.array(copies)
+        near = candidates(np.array(_bytes(sig, np.uint32)).reshape(-1, KEPT), np.array(side), unit[1] == unit[2])
         size = np.array([len(s) for s in sets], np.float64)
-        shared = shared_counts(sets)
-        near = shared >= THRESHOLD * (size[:, None] + size[None, :] - shared) - 1e-9
-        np.fill_diagonal(near, False)
-        if unit[1] != unit[2]:
-            near &= side[:, None] != side[None, :]
-        links = near @ copies
         pairs = np.argwhere(np.triu(near))
-        out = [(k, int(n), None) for k, n in zip(ks, links.tolist())]
+        if len(pairs) <= 4 * len(ks):
+            shared = np.array([len(np.intersect1d(sets[a], sets[b], True)) for a, b in pairs.tolist()], np.float64)
+        else:
+            shared = shared_counts(sets)[pairs[:, 0], pairs[:, 1]]
+        pairs = pairs[shared >= THRESHOLD * (size[pairs[:, 0]] + size[pairs[:, 1]] - shared) - 1e-9]
+        copies, links = np.array(copies), np.zeros(len(ks), np.int64)
+        np.add.at(links, pairs[:, 0], copies[pairs[:, 1]])
+        np.add.at(links, pairs[:, 1], copies[pairs[:, 0]])
+        out = [(k, int(x), None) for k, x in zip(ks, links.tolist())]
         return out + [(ks[a], 0, ks[b]) for a, b in spanning(len(ks), pairs)]
 
     return saved(_by_unit(units, each, "k long, links long, v long", 3))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for every row of docs(doc_id, text): doc_id, class_id, n_links, n_copies."""
+def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """signed: doc_id, t, k of every row; known: k, copies, n_links, c (the class: its least k), rep (the
+    text's least doc_id) and class_id."""
     signed = saved(_signed_texts(docs))
-    least = signed.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # One row for each text: the signature of a row with its least doc_id (all its rows have the same).
-    one = signed.filter("k is not null").join(least, "k").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "rep", "copies", "bands", "sig")
-    texts = saved(one.dropDuplicates(["k"]))
-    groups = saved(components(_pruned_pairs(texts)))
+    has = signed.filter("k is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")  # an id before none
+    # One row for each text: all its rows have the same signature, so any of them is taken, before the shuffle too.
+    texts = has.groupBy("k").agg(first, F.count(F.lit(1)).alias("copies"), F.any_value(F.struct("n_sh", "bands", "sig")).alias("own"))
+    texts = saved(texts.select("k", "first.t", F.col("first.doc_id").alias("rep"), "copies", "own.*"))
+    pairs = _pruned_pairs(texts)
+    groups = components(pairs)
     checked = _verified(docs, texts, groups)
+    freed(pairs)
     links = checked.groupBy("k").agg(F.sum("links").alias("links"))
     classes = components(checked.filter("v is not null").select(F.col("k").alias("u"), "v"))
-    named = classes.join(texts.select(F.col("k").alias("u"), "rep"), "u")
-    named = named.join(named.groupBy("c").agg(F.min("rep").alias("class_id")), "c").select(F.col("u").alias("k"), "class_id")
-    known = texts.select("k", "rep", "copies").join(links, "k", "left").join(named, "k", "left").select(
-        "k", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    return signed.select("doc_id", "k").join(known, "k", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies")
-    )
+    named = texts.select("k", "t", "rep", "copies").join(links, "k", "left").join(classes.withColumnRenamed("u", "k"), "k", "left")
+    named = named.withColumn("c", F.coalesce("c", "k"))
+    head = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("class_id"), F.col("t").alias("head_t"))).alias("head")
+    tops = named.groupBy("c").agg(head).select("c", "head.class_id", "head.head_t")
+    known = named.join(tops, "c").select("k", "copies", "class_id", "head_t", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "t", "k"), known
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row for every row of docs(doc_id, text): doc_id, class_id, n_links, n_copies."""
+    signed, known = _told(docs)
+    return signed.join(known, "k", "left").select(
+        "doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+    )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id and text) with one row of each class: one with its least doc_id (null if it has none).
+
+    Rows are told apart by doc_id and text, so another text with the same doc_id stays; rows with the same
+    doc_id and text are one.  Texts without words are a class each, rows with a null doc_id included.
+    """
+    signed, known = _told(docs)
+    # xxhash64 of a null text is its seed; coalesce keeps null and empty texts of one doc_id apart.
+    gone = signed.join(known, "k").filter(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("head_t"))))
+    keys = lambda df, t: df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_t": t})
+    on = ["_id", "_none", "_t"]
+    gone = keys(gone.select("doc_id", "t"), F.col("t")).select(*on).distinct()
+    return keys(docs, F.xxhash64("text")).join(gone, on, "left_anti").dropDuplicates([*on]).drop(*on)
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
