@@ -11,18 +11,21 @@ multivariate hypergeometric distribution.  A shard takes its numbers of blocks f
 permuted blocks, disjoint from the other shards', and shuffles them locally by a second hash.
 
 Edge cases: null texts have no words; the null source is a source and comes last; sources without words
-have target 0; rows with equal doc_id stand together in the order and are taken together, and so do the
-rows whose doc_id is null: each such row is taken as often as the others; other columns are not read; an empty table gives no rows.  More than max_sources sources raise an error, for
-the driver keeps 256 sums for each.
+have target 0; the order is by a hash of doc_id (null too) and text, so only rows equal in both stand
+together and are taken equally often; other columns are not read; an empty table gives no rows.  The
+driver keeps two numbers for each source, and 256 sums for each of at most max_sources of them at a time;
+the plan (256 rows a source) is broadcast for max_sources sources, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, partitions, saved
 
 BLOCKS = 256
 ORDER_SEED, SHUFFLE_SEED = 7, 11
@@ -107,35 +110,41 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2
 
     carry: columns of docs that come with each row, as the struct `row`."""
     spark = docs.sparkSession
-    keys = docs.select("doc_id", "source", *([F.struct(*carry).alias("row")] if carry else []), _key(F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(ORDER_SEED), "doc_id").alias("h"))
+    keys = docs.select("doc_id", "source", *([F.struct(*carry).alias("row")] if carry else []), _key(F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(ORDER_SEED), "doc_id", "text").alias("h"))
     sized = saved(keys.drop("row"))
-    got = sized.groupBy("key", _byte(0).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).limit(max_sources * BLOCKS + 1).collect()
-    if len(got) > max_sources * BLOCKS:
-        raise ValueError(f"more than {max_sources} sources")
-    sums = _sums(got)
-    total = {s: int(row[:, 0].sum()) for s, row in sums.items()}
+    total = {s: int(w) for s, w in sized.groupBy("key").agg(F.sum("size")).collect()}
     aim = targets({(s[1:] if s else None): n for s, n in total.items()}, weights, share)
     aim = {s: aim[s[1:] if s else None] for s in total}
     epochs = {s: int(aim[s] // n) if n else 0 for s, n in total.items()}
-    cut, below = _cuts(sized, sums, {s: aim[s] - epochs[s] * n for s, n in total.items()})
     order = sorted(total)
-    units = {s: [(e, b) for e in range(epochs[s]) for b in range(BLOCKS)] + [(epochs[s], b) for b in range(BLOCKS) if b << 56 < cut[s]] for s in order}
+    groups = [order[i : i + max_sources] for i in range(0, len(order), max_sources)]
+    cut: dict = {}
+    for own in groups:
+        part = sized if len(groups) == 1 else sized.join(F.broadcast(spark.createDataFrame([(s,) for s in own], "key string")), "key", "left_semi")
+        sums = _sums(part.groupBy("key", _byte(0).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect())
+        cut |= _cuts(part, sums, {s: aim[s] - epochs[s] * total[s] for s in own})[0]
+    last = {s: [b for b in range(BLOCKS) if b << 56 < cut[s]] for s in order}  # blocks that the last epoch reaches
     rng = np.random.default_rng(seed)
-    tree = split_tree(np.array([len(units[s]) for s in order], np.int64), shards, rng) if order else None
-    plan: dict = {(s, b): [] for s in order for b in range(BLOCKS)}
-    for i, s in enumerate(order):
-        shard_of = np.repeat(np.arange(shards), tree[:, i])
-        for shard, u in zip(shard_of.tolist(), rng.permutation(len(units[s])).tolist()):
-            e, b = units[s][u]
-            plan[s, b].append((e, shard))
+    tree = split_tree(np.array([epochs[s] * BLOCKS + len(last[s]) for s in order], np.int64), shards, rng) if order else None
     flip = 1 << 63  # turns unsigned order into signed
-    rows = [(s, b, total[s], float(aim[s]), epochs[s], _signed(min(cut[s], (1 << 64) - 1) ^ flip), cut[s] >= 1 << 64, sorted(x)) for (s, b), x in plan.items()]
-    # At most max_sources * 256 rows, so it is broadcast.
-    table = spark.createDataFrame(rows, "key string, block int, source_size long, target double, epochs int, cut long, whole boolean, units array<struct<epoch:int,shard:int>>")
+    kind = "key string, block int, source_size long, target double, epochs int, cut long, whole boolean, units array<struct<epoch:int,shard:int>>"
+    tables, at = [], 0
+    for own in groups:
+        plan: dict = {(s, b): [] for s in own for b in range(BLOCKS)}
+        for i, s in enumerate(own, at):
+            units = [(e, b) for e in range(epochs[s]) for b in range(BLOCKS)] + [(epochs[s], b) for b in last[s]]
+            shard_of = np.repeat(np.arange(shards), tree[:, i])
+            for shard, u in zip(shard_of.tolist(), rng.permutation(len(units)).tolist()):
+                e, b = units[u]
+                plan[s, b].append((e, shard))
+        at += len(own)
+        rows = [(s, b, total[s], float(aim[s]), epochs[s], _signed(min(cut[s], (1 << 64) - 1) ^ flip), cut[s] >= 1 << 64, sorted(x)) for (s, b), x in plan.items()]
+        tables.append(spark.createDataFrame(rows, kind) if len(groups) == 1 else saved(spark.createDataFrame(rows, kind)))
+    table = reduce(DataFrame.union, tables) if tables else spark.createDataFrame([], kind)
     taken = F.filter("units", lambda u: (u["epoch"] < F.col("epochs")) | F.col("whole") | (F.col("h").bitwiseXOR(F.lit(_signed(flip))) < F.col("cut")))
     return (
-        (keys if carry else sized).withColumn("block", _byte(0).cast("int")).join(F.broadcast(table), ["key", "block"])
-        .select("doc_id", "source", *(["row"] if carry else []), "size", "source_size", "target", F.transform(taken, lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"), F.xxhash64(F.lit(SHUFFLE_SEED + seed), "doc_id", u["epoch"]).alias("place"))).alias("draws"))
+        (keys if carry else sized).withColumn("block", _byte(0).cast("int")).join(F.broadcast(table) if len(groups) < 2 else table, ["key", "block"])
+        .select("doc_id", "source", *(["row"] if carry else []), "size", "source_size", "target", F.transform(taken, lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"), F.xxhash64(F.lit(SHUFFLE_SEED + seed), "doc_id", "h", u["epoch"]).alias("place"))).alias("draws"))
     )
 
 
@@ -144,9 +153,12 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, mixed: DataFrame, path: str) -> None:
-    """The mix's rows with the columns of docs, one folder a shard, shuffled inside.  doc_id must be unique."""
+    """The mix's rows with the columns of docs, one folder a shard, shuffled inside: a shard's files hold
+    consecutive stretches of its order, so no task holds a shard.  doc_id must be unique; where it is not, carry
+    the columns through mix."""
     drawn = mixed.select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*")
+    n = partitions(docs.sparkSession)
     (
-        drawn.join(docs, "doc_id").repartition("shard").sortWithinPartitions("shard", "place")
+        drawn.join(docs, "doc_id").repartitionByRange(n, "shard", "place").sortWithinPartitions("shard", "place")
         .drop("place").write.partitionBy("shard").parquet(path)
     )
