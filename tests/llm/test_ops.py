@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -73,20 +74,69 @@ def test_suffix_array_against_brute_force(least):
         assert n == (want if want >= least else 0)
 
 
-def test_imatch(docs, empty):
-    got = by_id(imatch.imatch_digest(docs))
-    order = sorted(ROWS, key=lambda r: -r[0])
-    for (i, t, *_), (_, nxt, *_) in zip(order, order[1:] + order[:1]):
+def plain_imatch(rows, min_idf=0.7, max_idf=5.0):
+    """Term sets in the band, of each text, by plain Python; texts without one stand for themselves."""
+    terms = [{w for w in re.split(r"[\W_]+", (t or "").lower()) if w} for t in rows]
+    df = collections.Counter(w for ws in terms for w in ws)
+    band = {w for w, n in df.items() if min_idf <= np.log(len(rows) / n) <= max_idf}
+    return band, lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w} & band
+
+
+def check_imatch(spark, rows, ordered):
+    """ordered: the rows as the query walks them, descending."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in imatch.imatch_digest(frame).collect():
+        got[r.doc_id, r.n_chars, r.edited_sha256].append(r)
+    band, kept = plain_imatch([t for _, t in rows])
+    print_of = {}
+    for (i, t), (_, nxt) in zip(ordered, ordered[1:] + ordered[:1]):
         t, nxt = t or "", nxt or ""
         half = len(t) // 2
-        assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i, len(t), hashlib.sha256(edited.encode()).hexdigest()].pop()
+        assert print_of.setdefault(t, r.fingerprint) == r.fingerprint
+        assert print_of.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+        if kept(t) and kept(t) == kept(edited):
+            assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
+        if t == nxt:
+            assert r.near_next == 1
+        a, b = r.fingerprint.split("."), r.edited_fingerprint.split(".")
+        told = [x == y for x, y in zip(a, b) if x or y]
+        assert len(a) == imatch.SUBSETS and abs(r.near_edited - (np.mean(told) if told else 1.0)) < 1e-12
+        r_next = print_of.get(nxt)
+        if r_next:
+            told = [x == y for x, y in zip(a, r_next.split(".")) if x or y]
+            assert abs(r.near_next - (np.mean(told) if told else 1.0)) < 1e-12
+    assert not any(got.values())
+    sets = {t: frozenset(kept(t)) for t in print_of}
+    for x in sets:
+        for y in sets:
+            if sets[x] and sets[x] == sets[y]:
+                assert print_of[x] == print_of[y]
+
+
+def test_imatch(docs, empty, spark):
+    got = by_id(imatch.imatch_digest(docs))
+    order = sorted(ROWS, key=lambda r: -r[0])
+    check_imatch(spark, [(i, t) for i, t, *_ in ROWS], [(i, t) for i, t, *_ in order])
     assert got[0].fingerprint == got[30].fingerprint != got[1].fingerprint
     assert got[30].near_next == 0 or got[30].fingerprint != got[29].fingerprint
     assert imatch.imatch_digest(empty).count() == 0
 
 
+def test_imatch_in_many_ranges_with_ties(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, -3, 0, 7, 7, 7, i]), prose(rng.randint(0, 30)) if i % 9 else None) for i in range(150)] + [(7, "same words here")] * 4
+    spread = imatch.paired
+    monkeypatch.setattr(imatch, "paired", lambda docs: spread(docs, rows_per_range=6))
+    h = {(r.doc_id, r.text): r.h for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r] % (1 << 64)), reverse=True)
+    check_imatch(spark, rows, ordered)
+    monkeypatch.setattr(imatch, "MAX_LEXICON", 3)  # the lexicon is joined, not broadcast
+    check_imatch(spark, rows, ordered)
+
+
 def test_secrets(docs, empty):
     got = by_id(secret_scan.secret_digest(docs))
     assert got[38].n_assign == 1 and got[38].spans == "assign:0:21"
@@ -141,7 +191,7 @@ def test_dealt_shards_end_to_end(spark, tmp_path):
     got = by_id(mixing.mix_digest(own))
     source = {i: f"s{i % 2}" for i in range(900)}
     shards_of = collections.defaultdict(set)  # of each block of each epoch of a source
-    h = {r.doc_id: r.b for r in own.select("doc_id", F.expr(f"shiftrightunsigned(xxhash64({mixing.ORDER_SEED}, doc_id), 56)").alias("b")).collect()}
+    h = {r.doc_id: r.b for r in own.select("doc_id", F.expr(f"shiftrightunsigned(xxhash64({mixing.ORDER_SEED}, doc_id, text), 56)").alias("b")).collect()}
     for i, r in got.items():
         assert len(r.draws) == r.n_draws and [d.epoch for d in r.draws] == list(range(r.n_draws))
         for d in r.draws:
@@ -154,6 +204,21 @@ def test_dealt_shards_end_to_end(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.epoch, r.shard) for r in written) == collections.Counter((i, d.epoch, d.shard) for i, r in got.items() for d in r.draws)
 
 
+def test_mixing_equal_ids_still_reaches_targets(spark):
+    rows = [(None if i % 2 else 7, f"{prose(5 + i % 9)} {i}", f"s{i % 3}") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in got if r.source == s]
+        taken, most = sum(r.size * len(r.draws) for r in own), max(r.size for r in own)
+        assert len(own) == 200 and abs(taken - own[0].target) <= most and max(len(r.draws) for r in own) <= 2
+
+
+def test_mixing_many_sources_in_groups(spark):
+    own = spark.createDataFrame([(i, prose(3 + i % 11), f"s{i % 23}" if i % 24 else None) for i in range(700)], "doc_id long, text string, source string")
+    small = {r.doc_id: (r.size, r.source_size, r.target, [d.epoch for d in r.draws]) for r in mixing.mix(own, max_sources=5).collect()}
+    assert small == {r.doc_id: (r.size, r.source_size, r.target, [d.epoch for d in r.draws]) for r in mixing.mix(own).collect()} and len(small) == 700
+
+
 def test_split_tree_is_exact():
     quotas = np.array([5, 0, 17, 40])
     tree = mixing.split_tree(quotas, 7, np.random.default_rng(1))
