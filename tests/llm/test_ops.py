@@ -147,26 +147,86 @@ def test_secrets(docs, empty):
     assert redacted[38].text.startswith("[secret]") and redacted[33].text is None and redacted[0].text == TEXTS[0]
 
 
+def cheapest(value, words):
+    """The least cost of all segmentations, by trying every one of them."""
+    low, plain = value.lower(), value.lower().translate(secret_scan.LEET)
+    n, switch, inf = len(value), np.log10(2), float("inf")
+    size = lambda c: 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33
+
+    def kinds(i, j):
+        seg = value[i:j]
+        yield sum(np.log10(size(c)) for c in seg)  # brute force
+        if j - i >= 3:
+            r = words.get(low[i:j]) or words.get(plain[i:j])
+            if r and j - i <= 32:
+                yield np.log10(r * (1 + (seg != low[i:j])) * (1 + (low[i:j] not in words)))
+            if len(set(seg)) == 1 and (i == 0 or value[i - 1] != seg[0]):
+                yield np.log10(size(seg[-1]) * (j - i))
+            steps = [low[k : k + 2] in secret_scan.NEXT for k in range(i, j - 1)]
+            if all(steps) and (i == 0 or low[i - 1 : i + 1] not in secret_scan.NEXT):
+                yield np.log10(2 * sum(map(len, secret_scan.WALKS)) * (j - i))
+        for p in (2, 3, 4):
+            same = lambda k: k >= p and value[k] == value[k - p]  # noqa: E731, B023
+            if i >= p and j - i >= p and all(map(same, range(i, j))) and not same(i - 1):
+                yield np.log10(2 + (j - i) // p)
+        if value[i].isdigit() and (m := secret_scan.DATE.match(value, i)) and m.end() == j:
+            yield 4.6 if j - i > 4 else 2.1
+
+    best = [0.0] + [inf] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + switch + c for i in range(j) for c in kinds(i, j))
+    return best[n]
+
+
+def test_guess_costs_against_every_segmentation():
+    words = secret_scan.dictionary()
+    rng = random.Random(2)
+    parts = ["password", "P4ssw0rd", "qwerty", "asdf", "aaaa", "1999", "19991231", "31.12.1999", "abab", "xyzxyz", "!", "#9", "Zq", "house", "HOUSE", "123", "987", "11", "é"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(300)] + ["".join(rng.choice("ab1") for _ in range(9)) for _ in range(200)]
+    for v in values:
+        assert abs(secret_scan.guess_cost(v, words) - cheapest(v, words)) < 1e-9, v
+
+
 def test_guess_costs():
     assert secret_scan.guess_cost("password123") < 5 < secret_scan.guess_cost("f9!kZ2#pQx")
     assert secret_scan.guess_cost("aaaaaaaaaaaa") < 4 and secret_scan.guess_cost("19991231") < 6
-    spans = secret_scan.spans_of("client_secret: f9!kZ2#pQxv7 and pwd = password123", 8.0, secret_scan.DICTIONARY)
+    words = secret_scan.dictionary()
+    spans = secret_scan.spans_of("client_secret: f9!kZ2#pQxv7 and pwd = password123", 8.0, words)
     assert [(k, a, b) for a, k, b in spans] == [(3, 15, 27)]
 
 
-def test_password_shorter_than_eight_consumes():
-    assert secret_scan.spans_of("password: token: abcdefgh12", 8.0, secret_scan.DICTIONARY) in ([], [(17, 3, 27)])
+def test_ordinary_words_are_no_secrets():
+    words = secret_scan.dictionary()
+    for text in ("the auth: documentation follows", "password: configuration", "token = international", "Secret: something else", "credentials: available", "auth = authentication", "pwd: underwater2019"):
+        assert [s for s in secret_scan.spans_of(text, 8.0, words) if s[1] == 3] == [], text
+
+
+def test_a_short_value_may_be_the_next_context():
+    words = secret_scan.dictionary()
+    assert secret_scan.spans_of("password: token: abcdefgh12", 8.0, words) == []
+    assert secret_scan.spans_of("password: token: f9!kZ2#pQx", 8.0, words) == [(17, 3, 27)]
 
 
 def test_value_partly_in_a_base_span_is_costed_whole():
+    words = secret_scan.dictionary()
     text = 'password = "Tr0ub4dor&3xQ!z9" end'
-    spans = secret_scan.spans_of(text, 8.0, secret_scan.DICTIONARY)
+    spans = secret_scan.spans_of(text, 8.0, words)
     assert [(secret_scan.KINDS[k], text[a:b]) for a, k, b in spans] == [("assign", 'password = "Tr0ub4dor'), ("guess", "Tr0ub4dor&3xQ!z9")]
-    assert secret_scan._redacted(text) == '[secret]" end'
+    assert secret_scan.redacted(text) == '[secret]" end'
     hexed = "pwd: Zk!9" + "0123456789abcdef" * 2  # the base span begins inside the value
-    assert [k for _, k, _ in secret_scan.spans_of(hexed, 8.0, secret_scan.DICTIONARY)] == [3, 2]
+    assert [k for _, k, _ in secret_scan.spans_of(hexed, 8.0, words)] == [3, 2]
+    assert secret_scan.redacted(f"a {hexed} b") == "a pwd: [secret] b"
     whole = 'api_key = "f9kZ2pQxv7Lm"'
-    assert [k for _, k, _ in secret_scan.spans_of(whole, 8.0, secret_scan.DICTIONARY)] == [0]
+    assert [k for _, k, _ in secret_scan.spans_of(whole, 8.0, words)] == [0]
+
+
+def test_secrets_of_long_texts_and_repeated_rows(spark):
+    long = "plain words " * 90_000 + "token = 'Zk!9f#2Lq@x7' " + "x" * 100_000  # no hex digits
+    rows = [(1, long), (1, long), (None, "AKIA" + "Z" * 16), (2, None), (2, "")]
+    got = secret_scan.secret_digest(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))).collect()
+    told = collections.Counter((r.doc_id, r.n_access, r.spans) for r in got)
+    at = long.index("Zk!9")
+    assert told == {(1, 0, f"guess:{at}:{at + 12}"): 2, (None, 1, "access:0:20"): 1, (2, 0, ""): 2}
 
 
 def test_mixing(docs, empty, spark):

@@ -7,6 +7,10 @@ dictionary words, dates, repeats, keyboard walks or sequences, and brute-force s
 cost at least 10**min_log10 guesses and lie in no base span give spans of kind `guess`; a value that a base
 span covers only in part is costed whole, and its span overlaps the base span.
 
+The dictionary holds frequent password parts and then the whole words of a public vocabulary (a file, see
+common.env_path), commonest first: a word's place is what it costs to guess.  A stretch of one character, a
+walk, or a repetition of the two to four characters before it counts from where it begins.
+
 Edge cases: null texts count as empty and have no spans; very long texts and values are taken whole,
 the programme being linear in the value's length; repeated rows give repeated results; other columns
 are not read; an empty table gives no rows.
@@ -14,15 +18,16 @@ are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship
+from .common import arrow_map, env_path, ship
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -49,6 +54,7 @@ WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqr
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 LONGEST_WORD = 32
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _neighbours() -> set[str]:
@@ -59,12 +65,22 @@ def _neighbours() -> set[str]:
 NEXT = _neighbours()
 
 
+@cache
+def dictionary(path: str | None = None) -> dict[str, int]:
+    """Words in lower case with their places: frequent password parts, then a vocabulary's whole words in the order of its ids."""
+    with open(path or env_path(VOCABULARY), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    whole = (t[:-4] for t, _ in sorted(vocab.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+    ranked = dict.fromkeys([*WORDS, *(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())])
+    return {w: i for i, w in enumerate(ranked, 1)}
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs.
 
     Each segment costs the logarithm of its own guesses, plus log10(2) for the choice of its kind.
     """
-    words = DICTIONARY if words is None else words
+    words = dictionary() if words is None else words
     low = value.lower()
     plain = low.translate(LEET)
     n, best = len(value), [0.0] + [math.inf] * len(value)
@@ -79,8 +95,6 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     for j in range(1, n + 1):
         c = value[j - 1]
         size = 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33
-        if "a" <= c <= "f" or c.isdigit():
-            size = 16 if size == 26 else size
         grown = force[j - 1][0] if j > 1 else math.inf
         force[j] = (min(best[j - 1] + switch, grown) + math.log10(size), "")
         cost = force[j][0]
@@ -108,9 +122,6 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     return best[n]
 
 
-DICTIONARY = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-
-
 def spans_of(text: str, min_log10: float, words: dict[str, int]) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans, sorted."""
     out, low = [], text.lower()
@@ -121,10 +132,11 @@ def spans_of(text: str, min_log10: float, words: dict[str, int]) -> list[tuple[i
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
         base = sorted((a, b) for a, _, b in out)
-        at, reach = 0, -1
-        for m in CONTEXT.finditer(text):
+        at, reach, begin = 0, -1, 0
+        while m := CONTEXT.search(text, begin):
             value = m[1].rstrip(".,;:)]}\"")
             a, b = m.start(1), m.start(1) + len(value)
+            begin = m.end() if len(value) >= 6 else a  # a short value may be the next one's context
             while at < len(base) and base[at][0] <= a:
                 reach = max(reach, base[at][1])
                 at += 1
@@ -137,13 +149,21 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secret_spans(docs: DataFrame, min_log10: float = 8.0, extra_words: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs(doc_id, text) with its spans: arrays of kind, start and end (code points)."""
-    words = dict(DICTIONARY)
+def _shared(docs: DataFrame, path: str | None, extra_words: tuple[str, ...] = ()):
+    """The dictionary as a broadcast: its size is the vocabulary file's."""
+    words = dict(dictionary(path))
     for w in extra_words:
         words.setdefault(w.lower(), len(words) + 1)
+    return docs.sparkSession.sparkContext.broadcast(words)
+
+
+def secret_spans(docs: DataFrame, min_log10: float = 8.0, extra_words: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """Every row of docs(doc_id, text) with its spans: arrays of kind, start and end (code points)."""
+    shared = _shared(docs, path, extra_words)
 
     def make():
+        words = shared.value
+
         def run(ids, texts):
             found = [spans_of(t or "", min_log10, words) for t in texts]
             return [ids, [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found]]
@@ -164,22 +184,24 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with every span of its text replaced by `[secret]`; all other columns stay."""
+    shared = _shared(docs, path)
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series) -> pd.Series:
-        return pd.Series([_redacted(t) for t in texts], dtype=object)
+        return pd.Series([redacted(t, shared.value) for t in texts], dtype=object)
 
     ship(docs.sparkSession)
     return docs.withColumn("text", hide("text"))
 
 
-def _redacted(text: str | None, min_log10: float = 8.0) -> str | None:
+def redacted(text: str | None, words: dict[str, int] | None = None, min_log10: float = 8.0) -> str | None:
+    """A text with `[secret]` in the place of each run of overlapping spans."""
     if text is None:
         return None
     out, done = [], 0
-    for a, _, b in spans_of(text, min_log10, DICTIONARY):
+    for a, _, b in spans_of(text, min_log10, dictionary() if words is None else words):
         if b > done:
             out += [text[done:a], "[secret]"] if a >= done else []
             done = b
