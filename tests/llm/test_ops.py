@@ -505,6 +505,84 @@ def test_model_is_normalised():
     assert abs(total - 1) < 1e-4
 
 
+def small_vocabulary(n=900):
+    rng = np.random.default_rng(3)
+    h, c = np.arange(5, 5 + n), np.sort(rng.integers(1, 400, n))[::-1].astype(np.int64)
+    unit = lbl_lm.TOP + rng.integers(0, lbl_lm.TAIL, n)
+    beyond = {lbl_lm.TOP + 3: (7, 4)}  # counts and kinds of words that are not in the head
+    sums = {int(u): (int(c[unit == u].sum()), int((unit == u).sum())) for u in np.unique(unit)}
+    for u, (count, kinds) in beyond.items():
+        sums[u] = tuple(np.add(sums.get(u, (0, 0)), (count, kinds)).tolist())
+    return lbl_lm.Vocabulary(h, c, unit, int(c.sum()) + 7 + 50, n + 5, sums, 50)
+
+
+def test_all_words_probabilities_add_up(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lbl_lm, "WORDS", 200)
+    monkeypatch.setattr(lbl_lm, "ENTRIES", 200 + lbl_lm.TAIL)
+    voc = small_vocabulary()
+    model = lbl_lm.LogBilinear(voc.noise, voc.noise2)
+    rng = np.random.default_rng(1)
+    scoring = lbl_lm.Scoring(voc, model.params() + rng.normal(0, 0.3, len(model.params())))
+    n = len(voc.h)
+    for before in (0, n // 2, n - 1):  # head words, then the end, then what no count holds: 0.1 in each tail unit
+        codes = [[before, x] for x in [*range(n), n + lbl_lm.UNITS, *range(n + lbl_lm.TOP, n + lbl_lm.UNITS)]]
+        got = scoring(pa.array([[before]] + codes, pa.list_(pa.int32())))[2]
+        p = 10 ** (got[1:] - got[0])
+        unseen = p[n + 1 :] * 0.1
+        unseen[3] += p[n + 1 + 3] * (7 + 4 * 0.1)
+        assert abs(p[: n + 1].sum() + unseen.sum() - 1) < 1e-4
+
+
+def test_noise_contrastive_gradient():
+    rng = np.random.default_rng(2)
+    noise = rng.random(40) + 0.1
+    layer = lbl_lm.Layer(noise / noise.sum(), 1, 5, rng)
+    start = [x.astype(np.float64) for x in layer.arrays()]
+    at, to = rng.integers(0, 30, 60).astype(np.int16), rng.integers(0, 40, 60).astype(np.int16)
+    drawn = np.minimum(np.searchsorted(layer.cum, np.random.default_rng(9).random(lbl_lm.NOISE) * layer.cum[-1]), 39)
+
+    def gain(context, qb):
+        r = np.concatenate((context[at], np.ones((60, 1))), 1)
+        shift = layer.log_noise + np.log(lbl_lm.NOISE)
+        own = (r * qb[to]).sum(1) - shift[to]
+        other = r @ qb[drawn].T - shift[drawn]
+        return (-np.log1p(np.exp(-own)).sum() - np.log1p(np.exp(other)).sum()) / 60
+
+    layer.step((at,), to, np.random.default_rng(9), 0.1)
+    for k, (x, new) in enumerate(zip(start, layer.arrays())):
+        for i, j in [(int(a), b) for a in {*at.tolist()[:4], 0} for b in range(3)]:
+            i = min(i, len(x) - 1)
+            moved = [y.copy() for y in start]
+            moved[k][i, j] += 1e-5
+            up = gain(*moved)
+            moved[k][i, j] -= 2e-5
+            slope = (up - gain(*moved)) / 2e-5
+            assert abs((new[i, j] - x[i, j]) - 0.1 * slope / np.sqrt(1e-3 + slope**2)) < 2e-4
+
+
+def test_language_model_of_repeated_null_and_long_rows(spark):
+    rows = [(1, "a b a"), (1, "a b a"), (None, "c a"), (None, None), (2, ""), (3, "long " * 300_000 + "Z\u00e9"), (10, "a unseen")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash")).withColumn("learn", F.lit(0)).repartition(3)
+    got = collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.held_out) for r in lbl_lm.lm_digest(frame).collect())
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    known = {w for i, t in rows if not held(i) for w in [*(t or "").encode().lower().split(), None]}
+    assert got == collections.Counter((i, len((t or "").split()) + 1, sum(w in known for w in [*(t or "").encode().lower().split(), None]), held(i)) for i, t in rows)
+
+
+def test_coder_renews_its_lists():
+    voc = small_vocabulary(10)
+    coder = lbl_lm.Coder(voc)
+    coder.hash, coder.unit = np.zeros(3, np.int64), np.zeros(3, np.int64)
+    texts = ["x y", "z w x", "x", "a b c d e f", "", "x y z"]
+    codes, starts, h = coder(texts)
+    want = [w for t in texts for w in [*lbl_lm.words(t), None]]
+    assert np.diff(starts).tolist() == [len(t.split()) + 1 for t in texts]
+    assert [x for x in h.tolist()] == [0 if w is None else lbl_lm.word_hash(w) for w in want]
+    assert codes.tolist() == [10 + lbl_lm.UNITS if w is None else 10 + lbl_lm.tail_unit(w) for w in want]
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "First point here.\n\nSecond point here."),

@@ -1,15 +1,20 @@
 """Log-bilinear language model trained by noise-contrastive estimation, beside a unigram base.
 
 Words (bytes with A-Z lowered; 64-bit hashes beyond a task) are counted over all training documents.
-The model predicts units: the TOP most frequent tokens are a unit each, all other words fall into TAIL
-units by their last letters, in which a word has its smoothed share of the counts.  The two units
+The model predicts a word in two steps, both normalised by matrix products.  First its unit: the TOP most
+frequent tokens are a unit each, all other words fall into TAIL units by their last letters.  The two units
 before give a predicted vector, A1[u1] + A2[u2]; its products with the units' vectors, plus biases, are
-normalised over all units by matrix products, once for each context that occurs.  Training is by
-noise-contrastive estimation with the unigram distribution as noise: every task trains on all its
-tokens from the same start, and the tasks' parameters are averaged by their tokens.
-
-Words with at least N / HEAD tokens (at most HEAD of them) are broadcast; the rest of a document's words
-are joined to their counts by a shuffle.
+normalised over all units, once for each context that occurs.  Then, inside a unit of many words, the
+word: the WORDS next most frequent words have vectors of their own, the others share one of their unit;
+products with a vector of the unit before are normalised over the unit's words, and the others have their
+smoothed share of the counts.  Training is by noise-contrastive estimation with unigram distributions as
+noise.  Documents fall into ROUNDS classes by a hash; in each round every task trains on all tokens of its
+documents of one class from the parameters of the round before, and the tasks' parameters are averaged by
+their tokens.  (So the parameters depend on how the input is split into tasks, the results' form does not.)
+
+Texts are read twice, to count and to code; training and scoring read the codes.  Words with at least
+N / HEAD tokens (at most HEAD of them) are broadcast; the rest of a document's words are joined to their
+counts by a shuffle.
 
 Edge cases: null texts count as empty and have one token, the end; without training documents all
 counts are 0, base_score divides by 0.1 and the model is uniform over units; rows with equal doc_id are
@@ -24,17 +29,19 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, resident, saved
+from .common import arrow_map, crc_mod, freed, partitions, resident, saved
 
-TOP, TAIL, DIM, NOISE, BATCH = 384, 128, 24, 32, 2048
-UNITS = TOP + TAIL
+TOP, TAIL, WORDS = 384, 128, 16_384
+UNITS, ENTRIES = TOP + TAIL, WORDS + TAIL
+DIM, DIM2, NOISE, BATCH, ROUNDS = 24, 16, 32, 8192, 2
 HEAD = 2_000_000
-END = -1  # the end token's place in a sequence of words; its hash is END_HASH
-END_HASH = 0
+END_HASH = 0  # the end token's hash
+CHUNK = 16_384  # parameters in a row
 
 
 def words(text: str | None) -> list[bytes]:
@@ -71,13 +78,19 @@ class Counting:
 
 
 class Vocabulary:
-    """Counts and units of the head, the units' sums, and N and V."""
+    """The head's words by hash (h), their counts (c), units (unit) and entries; and N and V.
+
+    A code is a word's place in the head, len(h) + unit for any other word, and len(h) + UNITS for the end.
+    By code: units, entries (-1 for what is a unit by itself; WORDS + i for the others of tail unit i), log_c
+    (log10 of the smoothed count; 0 beyond the head) and share (log10 of what log_c must be divided by).
+    """
 
     def __init__(self, h: np.ndarray, c: np.ndarray, unit: np.ndarray, n: int, v: int, sums: dict[int, tuple[int, int]], n_end: int) -> None:
+        by_hash = np.argsort(h)
+        h, c, unit = h[by_hash], c[by_hash], unit[by_hash].copy()
         order = np.lexsort((h, -c))
-        top = order[: TOP - 1]
-        # Unit 0 is the end, 1 .. TOP - 1 the top words.
-        unit = unit.copy()
+        top, mid = order[: TOP - 1], order[TOP - 1 : TOP - 1 + WORDS]
+        # Counts and kinds of the units; unit 0 is the end, 1 .. TOP - 1 the top words.
         mass = np.zeros((UNITS, 2))
         for u, (count, kinds) in sums.items():
             mass[u] = count, kinds
@@ -85,189 +98,310 @@ class Vocabulary:
         unit[top] = np.arange(1, len(top) + 1)
         mass[0] = n_end, 1
         mass[unit[top]] = np.stack([c[top], np.ones(len(top))], 1)
-        self.n, self.v, self.n_end = n, v, n_end
+        # Of each entry its unit and mass: words of their own, then the others of each tail unit.
+        entry = WORDS + unit - TOP
+        entry[top], entry[mid] = -1, np.arange(len(mid))
+        self.unit_of = np.concatenate((np.full(WORDS, TOP), np.arange(TOP, UNITS)))
+        self.unit_of[: len(mid)] = unit[mid]
+        rest = mass[TOP:].copy()
+        np.add.at(rest, unit[mid] - TOP, np.stack([-c[mid], np.full(len(mid), -1)], 1))
+        share = np.log10(rest[:, 0] + 0.1 * (rest[:, 1] + 1))
+        own = np.zeros(ENTRIES)
+        own[: len(mid)] = c[mid]
+        own[WORDS:] = rest[:, 0]
+        self.n_entries = len(mid)
+        self.n, self.v, self.n_end, self.h = n, v, n_end, h
         self.log_total = math.log10(n + 0.1 * (v + 1))
-        by_hash = np.argsort(h)
-        self.h, self.c, self.unit = h[by_hash], c[by_hash], unit[by_hash].astype(np.int16)
-        self.log_mass = np.log10(mass[:, 0] + 0.1 * (mass[:, 1] + 1))
+        self.units = np.concatenate((unit, np.arange(UNITS), [0])).astype(np.int16)
+        self.entries = np.concatenate((entry, np.full(TOP, -1), np.arange(WORDS, ENTRIES), [-1])).astype(np.int16)
+        self.log_c = np.concatenate((np.log10(c + 0.1), np.zeros(UNITS), [math.log10(n_end + 0.1)]))
+        self.share = np.concatenate((np.where(entry >= WORDS, np.log10(c + 0.1) - share[np.maximum(entry - WORDS, 0)], 0.0), np.zeros(TOP), -share, [0.0]))
         p = mass[:, 0] + 0.1
-        self.noise = (p / p.sum()).astype(np.float64)
-        self.id = hashlib.blake2b(self.h.tobytes() + self.c.tobytes() + self.noise.tobytes(), digest_size=8).hexdigest()
+        self.noise = p / p.sum()
+        p = np.where((np.arange(ENTRIES) < len(mid)) | (np.arange(ENTRIES) >= WORDS), own + 0.1, 0.0)
+        self.noise2 = p / p.sum()
+        self.id = hashlib.blake2b(h.tobytes() + c.tobytes() + self.noise.tobytes() + self.noise2.tobytes(), digest_size=8).hexdigest()
 
 
 class Coder:
-    """Words to codes: a place in the head, or len(head) + unit for all others."""
+    """Words to codes, and the hashes of those beyond the head."""
 
     MOST = 400_000
 
     def __init__(self, voc: Vocabulary) -> None:
-        self.voc = voc
-        self.known = resident(voc.id, dict)
-        self.n_head = len(voc.h)
-        self.units = np.concatenate((voc.unit.astype(np.int64), np.arange(UNITS)))
+        self.voc, self.n_head = voc, len(voc.h)
+        self.known: dict[bytes, int] = {}
+        self.hash, self.unit, self.n = np.zeros(self.MOST, np.int64), np.zeros(self.MOST, np.int64), 0
 
     def code(self, w: bytes) -> int:
+        """A place in the head, or len(head) + UNITS + 1 + a place in this coder's own list."""
         h = word_hash(w)
         at = int(np.searchsorted(self.voc.h, h))
-        if len(self.known) >= self.MOST:
-            self.known.clear()
-        got = self.known[w] = at if at < self.n_head and self.voc.h[at] == h else self.n_head + tail_unit(w)
+        if at < self.n_head and self.voc.h[at] == h:
+            self.known[w] = at
+            return at
+        self.hash[self.n], self.unit[self.n] = h, tail_unit(w)
+        got = self.known[w] = self.n_head + UNITS + 1 + self.n
+        self.n += 1
         return got
 
-    def __call__(self, ws: list[bytes]) -> np.ndarray:
-        get = self.known.get
-        return np.array([c if (c := get(w)) is not None else self.code(w) for w in ws], np.int64)
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all texts' words with the end's behind each text, where the texts begin (with the end), and
+        the hashes of the words beyond the head (0 for the others)."""
+        out, starts, end = [], [0], self.n_head + UNITS
+        for t in texts:
+            ws = words(t)
+            if self.n + len(ws) > len(self.hash):  # the lists would overflow: what stands in them is settled, and they begin anew
+                done = self._settled(out)
+                self.known.clear()
+                self.n = 0
+                if len(ws) > len(self.hash):
+                    self.hash, self.unit = np.zeros(len(ws), np.int64), np.zeros(len(ws), np.int64)
+                out = done
+            get, code = self.known.get, self.code
+            out.append(np.array([c if (c := get(w)) is not None else code(w) for w in ws] + [end], np.int64))
+            starts.append(starts[-1] + len(ws) + 1)
+        done = self._settled(out)
+        join = lambda k: np.concatenate([x[k] for x in done]) if done else np.zeros(0, np.int64)
+        return join(0), np.array(starts), join(1)
+
+    def _settled(self, parts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        first = self.n_head + UNITS + 1
+        out = [x for x in parts if isinstance(x, tuple)]
+        fresh = [x for x in parts if not isinstance(x, tuple)]
+        if fresh:
+            x = np.concatenate(fresh)
+            own = x >= first
+            at = x[own] - first
+            h = np.zeros(len(x), np.int64)
+            h[own] = self.hash[at]
+            x[own] = self.n_head + self.unit[at]
+            out.append((x, h))
+        return out
 
 
 def contexts(units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The unit before each token and the one before that; ends stand before a text."""
-    one = np.concatenate(([0], units[:-1]))
-    two = np.concatenate(([0, 0], units[:-2]))[: len(units)]
+    one = np.concatenate((np.zeros(1, units.dtype), units[:-1]))
+    two = np.concatenate((np.zeros(2, units.dtype), units[:-2]))[: len(units)]
     one[starts] = 0
     two[starts] = 0
     two[starts[starts + 1 < len(units)] + 1] = 0
     return one, two
 
 
-class LogBilinear:
-    """A1, A2 (contexts), Q (predicted units): UNITS x DIM; b: biases."""
+def _summed(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, and the sums of their values."""
+    order = np.argsort(at, kind="stable")  # a radix sort, for 16-bit numbers
+    own = at[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[first], np.add.reduceat(value[order], first, axis=0)
 
-    def __init__(self, noise: np.ndarray, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
-        self.log_noise = np.log(noise).astype(np.float32)
-        self.a1, self.a2, self.q = (rng.normal(0, 0.1, (UNITS, DIM)).astype(np.float32) for _ in range(3))
-        self.b = self.log_noise.copy()
-        self.sums = [np.full_like(x, 1e-3) for x in (self.a1, self.a2, self.q, self.b)]
-        self.cum = np.cumsum(noise)
-        self.rng = rng
 
-    def params(self) -> np.ndarray:
-        return np.concatenate([self.a1.ravel(), self.a2.ravel(), self.q.ravel(), self.b])
+class Layer:
+    """Vectors and biases of what is predicted (qb), and of contexts; Adagrad on the rows that a batch touches."""
 
-    def load(self, flat: np.ndarray) -> None:
-        n = UNITS * DIM
-        self.a1, self.a2, self.q = (flat[i * n : (i + 1) * n].reshape(UNITS, DIM).astype(np.float32) for i in range(3))
-        self.b = flat[3 * n :].astype(np.float32)
+    def __init__(self, noise: np.ndarray, kinds: int, dim: int, rng: np.random.Generator) -> None:
+        self.noise, self.log_noise, self.cum = noise, np.log(np.maximum(noise, 1e-30)).astype(np.float32), np.cumsum(noise)
+        self.context = [rng.normal(0, 0.1, (UNITS, dim)).astype(np.float32) for _ in range(kinds)]
+        self.qb = np.concatenate((rng.normal(0, 0.1, (len(noise), dim)), self.log_noise[:, None]), 1).astype(np.float32)
+        self.sums = [np.full_like(x, 1e-3) for x in (*self.context, self.qb)]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.context, self.qb]
 
-    def step(self, one: np.ndarray, two: np.ndarray, to: np.ndarray, rate: float = 0.1) -> None:
+    def vector(self, places: tuple) -> np.ndarray:
+        """The predicted vectors, with a 1 for the biases."""
+        out = np.empty((len(places[0]), self.qb.shape[1]), np.float32)
+        out[:, :-1] = self.context[0][places[0]]
+        for x, at in zip(self.context[1:], places[1:]):
+            out[:, :-1] += x[at]
+        out[:, -1] = 1
+        return out
+
+    def step(self, places: tuple, to: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One step of noise-contrastive estimation; the batch shares NOISE draws."""
-        n = len(to)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), UNITS - 1)
-        r = self.a1[one] + self.a2[two]
-        base = math.log(NOISE)
-        own = np.einsum("ij,ij->i", r, self.q[to]) + self.b[to] - self.log_noise[to] - base
-        other = r @ self.q[noise].T + (self.b[noise] - self.log_noise[noise] - base)
+        n, base = len(to), math.log(NOISE)
+        drawn = np.minimum(np.searchsorted(self.cum, rng.random(NOISE) * self.cum[-1]), len(self.noise) - 1).astype(to.dtype)
+        r = self.vector(places)
+        q_to, q_drawn = self.qb[to], self.qb[drawn]
+        own = np.einsum("ij,ij->i", r, q_to) - self.log_noise[to] - base
+        other = r @ q_drawn.T - (self.log_noise[drawn] + base)
         g_own = 1 / (1 + np.exp(own))  # ascent: 1 - sigmoid
-        g_other = -1 / (1 + np.exp(-other))
-        g_r = g_own[:, None] * self.q[to] + g_other @ self.q[noise]
-        grads = [np.zeros((UNITS, DIM), np.float32) for _ in range(3)] + [np.zeros(UNITS, np.float32)]
-        for g, at, value in ((grads[0], one, g_r), (grads[1], two, g_r), (grads[2], to, g_own[:, None] * r)):
-            order = np.argsort(at, kind="stable")
-            sorted_ = at[order]
-            first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-            g[sorted_[first]] = np.add.reduceat(value[order], first)
-        np.add.at(grads[2], noise, g_other.T @ r)
-        grads[3] += np.bincount(to, g_own, UNITS).astype(np.float32)
-        np.add.at(grads[3], noise, g_other.sum(0))
-        for x, g, s in zip((self.a1, self.a2, self.q, self.b), grads, self.sums):
+        g_other = np.exp(np.negative(other, out=other), out=other)
+        g_other += 1
+        np.divide(-1, g_other, out=g_other)
+        g_r = g_own[:, None] * q_to[:, :-1] + g_other @ q_drawn[:, :-1]
+        pulls = np.concatenate((g_own[:, None] * r, g_other.T @ r))
+        changes = [(x, s, at, g_r) for x, s, at in zip(self.context, self.sums, places)]
+        for x, s, at, g in [*changes, (self.qb, self.sums[-1], np.concatenate((to, drawn)), pulls)]:
+            rows, g = _summed(at, g)
             g /= n
-            s += g * g
-            x += rate * g / np.sqrt(s)
+            s[rows] += g * g
+            x[rows] += rate * g / np.sqrt(s[rows])
+
+
+class LogBilinear:
+    """The units' layer (contexts: the two units before) and the entries' (context: the unit before)."""
+
+    def __init__(self, noise: np.ndarray, noise2: np.ndarray | None = None, seed: int = 5) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.units = Layer(noise, 2, DIM, self.rng)
+        self.entries = Layer(np.full(ENTRIES, 1 / ENTRIES) if noise2 is None else noise2, 1, DIM2, self.rng)
+
+    a1 = property(lambda self: self.units.context[0])
+    a2 = property(lambda self: self.units.context[1])
+    q = property(lambda self: self.units.qb[:, :-1])
+    b = property(lambda self: self.units.qb[:, -1])
+
+    def params(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.units.arrays(), *self.entries.arrays())])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in (*self.units.arrays(), *self.entries.arrays()):
+            x[:] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+    def step(self, one: np.ndarray, two: np.ndarray, to: np.ndarray, entry: np.ndarray, rate: float = 0.1) -> None:
+        """A batch's step: units of the tokens and of the two before, and entries (-1: none)."""
+        self.units.step((one, two), to, self.rng, rate)
+        own = np.flatnonzero(entry >= 0)
+        if len(own):
+            self.entries.step((one[own],), entry[own], self.rng, rate)
 
     def log_z(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Logarithms of the normalisers, by matrix products over all units."""
+        """Logarithms of the units' normalisers, by matrix products over all units."""
         out = np.empty(len(one), np.float32)
         for a in range(0, len(one), 4096):
-            s = (self.a1[one[a : a + 4096]] + self.a2[two[a : a + 4096]]) @ self.q.T + self.b
+            s = self.units.vector((one[a : a + 4096], two[a : a + 4096])) @ self.units.qb.T
             most = s.max(1)
             out[a : a + 4096] = most + np.log(np.exp(s - most[:, None]).sum(1))
         return out
 
+    def log_z2(self, unit_of: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """(UNITS, TAIL): of each unit before and tail unit, the normaliser over the tail unit's entries."""
+        own = real[np.argsort(unit_of[real], kind="stable")]
+        first = np.searchsorted(unit_of[own], np.arange(TOP, UNITS))
+        s = self.entries.vector((np.arange(UNITS),)) @ self.entries.qb[own].T
+        most = s.max(1, keepdims=True)
+        # Every tail unit has the entry of its other words, so no stretch is empty.
+        return most + np.log(np.add.reduceat(np.exp(s - most), first, axis=1))
 
-def sequences(coder: Coder, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts' words with END behind each text, and where the texts begin (with the end)."""
-    parts, n = [], [0]
-    for t in texts:
-        parts += [coder(words(t)), np.array([END])]
-        n.append(n[-1] + len(parts[-2]) + 1)
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(n)
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values one after another, and where each list begins (with the end)."""
+    starts = column.offsets.to_numpy()
+    return column.flatten().to_numpy(), starts - starts[0]
 
-class Training:
-    """Trains on a task's texts; flush gives its parameters and tokens."""
+
+class Coding:
+    """doc_id, learn, part and texts to the columns of `coded`."""
+
+    SCHEMA = "doc_id long, learn boolean, part int, n_tokens long, codes array<int>, tail array<struct<h:long,tf:long>>"
 
     def __init__(self, voc: Vocabulary) -> None:
-        self.coder, self.model, self.seen = Coder(voc), LogBilinear(voc.noise), 0
-        self.rest: list[np.ndarray] = []
+        self.coder = resident(voc.id, lambda: Coder(voc))
+
+    def __call__(self, ids: pa.Array, learn: pa.Array, part: pa.Array, texts: pa.Array) -> list:
+        codes, starts, h = self.coder(texts.to_pylist())
+        n = len(starts) - 1
+        at = np.flatnonzero(h)
+        doc = np.searchsorted(starts, at, "right") - 1
+        order = np.lexsort((h[at], doc))
+        doc, h = doc[order], h[at][order]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))) if len(doc) else np.zeros(0, np.int64)
+        tf = np.diff(np.concatenate((new, [len(doc)])))
+        tails = np.searchsorted(doc[new], np.arange(n + 1)).astype(np.int32)
+        struct = pa.StructArray.from_arrays([pa.array(h[new], pa.int64()), pa.array(tf, pa.int64())], names=["h", "tf"])
+        return [
+            ids, learn, part, np.diff(starts),
+            _list(starts, pa.array(codes, pa.int32())), _list(tails, struct),
+        ]
+
+
+def _list(starts: np.ndarray, values: pa.Array) -> pa.Array:
+    field = pa.field("element", values.type)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values, type=pa.list_(field))
 
-    def __call__(self, texts: list) -> list[list]:
-        for a in range(0, len(texts), 500):
-            codes, starts = sequences(self.coder, texts[a : a + 500])
-            units = np.where(codes == END, 0, self.coder.units[codes])
-            one, two = contexts(units, starts[:-1])
-            order = self.model.rng.permutation(len(units))
-            for i in range(0, len(order), BATCH):
-                at = order[i : i + BATCH]
-                self.model.step(one[at], two[at], units[at])
-            self.seen += len(units)
+
+class Training:
+    """Trains on a task's codes; flush gives its parameters and tokens, CHUNK parameters a row."""
+
+    def __init__(self, voc: Vocabulary, flat: np.ndarray | None) -> None:
+        self.voc, self.model, self.seen = voc, LogBilinear(voc.noise, voc.noise2), 0
+        if flat is not None:
+            self.model.load(flat)
+
+    def __call__(self, codes: pa.Array) -> list[list]:
+        codes, starts = _flat(codes)
+        units, entries = self.voc.units[codes], self.voc.entries[codes]
+        one, two = contexts(units, starts[:-1])
+        order = self.model.rng.permutation(len(units))
+        for i in range(0, len(order), BATCH):
+            at = order[i : i + BATCH]
+            self.model.step(one[at], two[at], units[at], entries[at])
+        self.seen += len(units)
+        return [[], [], []]
+
+    def flush(self) -> list[list]:
+        if not self.seen:
+            return [[], [], []]
+        x = self.model.params()
+        parts = [x[a : a + CHUNK].astype(np.float32).tobytes() for a in range(0, len(x), CHUNK)]
+        return [list(range(len(parts))), [self.seen] * len(parts), parts]
+
+
+class Averaging:
+    """The weighted mean of each chunk's rows; all rows of a chunk are in one task, one at a time."""
+
+    def __init__(self) -> None:
+        self.sums: dict[int, list] = {}
+
+    def __call__(self, chunks: list, seen: list, parts: list) -> list[list]:
+        for k, n, x in zip(chunks, seen, parts):
+            got = self.sums.setdefault(k, [0, 0.0])
+            got[0] += n
+            got[1] = got[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
         return [[], []]
 
     def flush(self) -> list[list]:
-        return [[self.seen], [self.model.params().tolist()]] if self.seen else [[], []]
+        return [list(self.sums), [(x / n).astype(np.float32).tobytes() for n, x in self.sums.values()]]
 
 
 class Scoring:
     def __init__(self, voc: Vocabulary, flat: np.ndarray | None) -> None:
-        self.voc, self.coder, self.model = voc, Coder(voc), LogBilinear(voc.noise)
+        self.voc, self.model = voc, LogBilinear(voc.noise, voc.noise2)
         if flat is not None:
             self.model.load(flat)
         self.z = np.full(UNITS * UNITS, np.nan, np.float32)
-        log_c = np.log10(voc.c + 0.1)
-        # By code: log10 of the count for the head; the share in a unit for all that are no units themselves.
-        self.log_c = np.concatenate((log_c, np.zeros(UNITS)))
-        own = voc.unit < TOP
-        self.share = np.concatenate((np.where(own, 0, log_c - voc.log_mass[voc.unit]), -voc.log_mass))
-
-    def __call__(self, ids: list, texts: list) -> list[list]:
-        out: list[list] = [[] for _ in range(6)]
-        for a in range(0, len(ids), 500):
-            self._part(ids[a : a + 500], texts[a : a + 500], out)
-        return out
-
-    def _part(self, ids: list, texts: list, out: list) -> None:
-        voc, head = self.voc, self.coder.n_head
-        codes, starts = sequences(self.coder, texts)
-        end = codes == END
-        units = np.where(end, 0, self.coder.units[codes])
+        real = np.concatenate((np.arange(voc.n_entries), np.arange(WORDS, ENTRIES)))
+        self.z2 = self.model.log_z2(voc.unit_of, real)
+
+    def __call__(self, codes: pa.Array) -> list[np.ndarray]:
+        """Known tokens, base score and score of each list of codes."""
+        voc, m, n_head = self.voc, self.model, len(self.voc.h)
+        codes, starts = _flat(codes)
+        units, entries = voc.units[codes], voc.entries[codes]
         one, two = contexts(units, starts[:-1])
-        pair = one * UNITS + two
+        pair = one.astype(np.int32) * UNITS + two
         new = np.unique(pair[np.isnan(self.z[pair])])
-        self.z[new] = self.model.log_z(new // UNITS, new % UNITS)
-        m = self.model
-        model = (np.einsum("ij,ij->i", m.a1[one] + m.a2[two], m.q[units]) + m.b[units] - self.z[pair]) / math.log(10)
-        model = model + np.where(end, 0, self.share[codes])
-        base = np.where(end, math.log10(voc.n_end + 0.1), self.log_c[codes]) - voc.log_total
-        known = (end & (voc.n_end > 0)) | (~end & (codes < head))
-        sums = lambda x: np.add.reduceat(x, starts[:-1]).tolist()
-        out[0] += ids
-        out[1] += np.diff(starts).tolist()
-        out[2] += sums(known.astype(np.int64))
-        out[3] += sums(base)
-        out[4] += sums(model)
-        tail = codes >= head
-        for i, t in enumerate(texts):
-            at = np.flatnonzero(tail[starts[i] : starts[i + 1] - 1])
-            if len(at):
-                ws = words(t)
-                out[5].append([{"h": word_hash(w), "tf": n} for w, n in Counter(ws[j] for j in at.tolist()).items()])
-            else:
-                out[5].append([])
-
-
-def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray | None, DataFrame]:
-    """Vocabulary, averaged parameters, and the table of all counts (h, c), from docs(text)."""
-    texts = docs.select("text")
-    partial = arrow_map(texts, Counting, "h long, unit int, c long")
+        self.z[new] = m.log_z(new // UNITS, new % UNITS)
+        out = np.empty(len(codes), np.float64)
+        for a in range(0, len(codes), 65_536):
+            s = slice(a, a + 65_536)
+            out[s] = np.einsum("ij,ij->i", m.units.vector((one[s], two[s])), m.units.qb[units[s]]) - self.z[pair[s]]
+            at = a + np.flatnonzero(entries[s] >= 0)
+            out[at] += np.einsum("ij,ij->i", m.entries.vector((one[at],)), m.entries.qb[entries[at]]) - self.z2[one[at], units[at] - TOP]
+        model = out / math.log(10) + voc.share[codes]
+        base = voc.log_c[codes] - voc.log_total
+        known = (codes < n_head) | ((codes == n_head + UNITS) & (voc.n_end > 0))
+        return [np.add.reduceat(x, starts[:-1]) if len(codes) else x for x in (known.astype(np.int64), base, model)]
+
+
+def count(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Vocabulary, and the table of all counts (h, c), from docs(text)."""
+    partial = arrow_map(docs.select("text"), Counting, "h long, unit int, c long")
     counts = saved(partial.groupBy("h").agg(F.min("unit").alias("unit"), F.sum("c").alias("c")))
     n_docs = docs.count()
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
@@ -275,34 +409,52 @@ def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray | None, DataFrame]:
     sums = {r[0]: (int(r[1]), int(r[2])) for r in counts.groupBy("unit").agg(F.sum("c"), F.count(F.lit(1))).collect()}
     head = counts.filter(F.col("c") >= math.ceil(max(n, 1) / HEAD)).toArrow()  # at most HEAD rows
     col = lambda k: head.column(k).to_numpy().astype(np.int64)
-    voc = Vocabulary(col("h"), col("c"), col("unit"), n, v, sums, n_docs)
+    return Vocabulary(col("h"), col("c"), col("unit"), n, v, sums, n_docs), counts
+
+
+def coded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """docs(doc_id, text, learn) in codes, written to the shared folder, with a row number."""
     shared = docs.sparkSession.sparkContext.broadcast(voc)
-    trained = arrow_map(texts, lambda: Training(shared.value), "seen long, params array<float>", voc.id)
-    flat = (
-        trained.select("seen", F.posexplode("params").alias("at", "x")).groupBy("at")
-        .agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x")).toArrow().to_pandas().sort_values("at")
-    )
-    return voc, (flat["x"].to_numpy() if len(flat) else None), counts
+    rows = docs.select("doc_id", "learn", F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(ROUNDS)).cast("int").alias("part"), "text")
+    return saved(arrow_map(rows, lambda: Coding(shared.value), Coding.SCHEMA, voc.id, raw=True).withColumn("rid", F.monotonically_increasing_id()))
+
+
+def train(codes: DataFrame, voc: Vocabulary) -> np.ndarray | None:
+    """The parameters after ROUNDS rounds over the coded documents that may be learnt from."""
+    spark, flat = codes.sparkSession, None
+    for i in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((voc, flat))
+        own = codes.filter(F.col("learn") & (F.col("part") == i)).select("codes")
+        trained = arrow_map(own, lambda: Training(*shared.value), "chunk int, seen long, params binary", raw=True)  # noqa: B023
+        mean = arrow_map(trained.repartition(partitions(spark), "chunk"), Averaging, "chunk int, params binary").toArrow()
+        got = sorted(zip(mean.column("chunk").to_pylist(), mean.column("params").to_pylist()))
+        flat = np.frombuffer(b"".join(x for _, x in got), np.float32) if got else flat
+    return flat
+
+
+def score(codes: DataFrame, voc: Vocabulary, flat: np.ndarray | None, counts: DataFrame) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, base_score and score (log10) of every coded document."""
+    shared = codes.sparkSession.sparkContext.broadcast((voc, flat))
 
+    def make():
+        s = Scoring(*shared.value)
+        return lambda ids, learn, n, rid, own: [ids, learn, n, rid, *s(own)]
 
-def score(docs: DataFrame, voc: Vocabulary, flat: np.ndarray | None, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score (log10) of every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((voc, flat))
-    part = arrow_map(docs.select("doc_id", "text"), lambda: Scoring(*shared.value), "doc_id long, n_tokens long, known long, base double, model double, tail array<struct<h:long,tf:long>>", voc.id)
-    part = saved(part.withColumn("rid", F.monotonically_increasing_id()))
+    part = arrow_map(codes.select("doc_id", "learn", "n_tokens", "rid", "codes"), make, "doc_id long, learn boolean, n_tokens long, rid long, known long, base double, model double", raw=True)
     log_c = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))
     tail = (
-        part.select("rid", F.explode("tail").alias("t")).select("rid", "t.*").join(counts.select("h", "c"), "h", "left")
+        codes.select("rid", F.explode("tail").alias("t")).select("rid", "t.*").join(counts.select("h", "c"), "h", "left")
         .groupBy("rid").agg(F.sum(log_c).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("also"))
     )
     more = F.coalesce("more", F.lit(0.0))
-    return part.drop("tail").join(tail, "rid", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
+    return part.join(tail, "rid", "left").select(
+        "doc_id", "learn", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
     )
 
 
 def lm_digest(docs: DataFrame) -> DataFrame:
-    held_out = crc_mod(F.col("doc_id"), 10) == 0
-    voc, flat, counts = train(docs.filter(~held_out))
-    got = score(docs, voc, flat, counts)
-    return got.select("doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(voc.n).cast("long").alias("train_tokens"), "base_score", "score")
+    told = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) != 0).alias("learn"))
+    voc, counts = count(told.filter("learn"))
+    codes = coded(told, voc)
+    got = score(codes, voc, train(codes, voc), counts)
+    return got.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(voc.n).cast("long").alias("train_tokens"), "base_score", "score")
