@@ -295,6 +295,64 @@ def test_quality(docs, empty, spark):
     assert mil.quality_digest(empty, labels).count() == 0
 
 
+def plain_passage_figures(text):
+    """Words, their bags and run shares of each passage, one at a time."""
+    out, spans = [], [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    for a in range(0, max(1, len(spans)), mil.PASSAGE):
+        own = spans[a : a + mil.PASSAGE]
+        ws = [text[x:y] for x, y in own]
+        runs = collections.Counter(tuple(ws[j : j + 5]) for j in range(len(ws) - 4))
+        hit = {j + d for j in range(len(ws) - 4) if runs[tuple(ws[j : j + 5])] > 1 for d in range(5)}
+        out.append((len(ws), sum(map(len, ws)), len(set(ws)), len(hit)))
+    return out
+
+
+def test_passages_against_plain_figures():
+    rng = random.Random(3)
+    texts = [prose(200), "", "x " * 400, "a b", " \n ", "é" * 300, " ".join(rng.choice(["a", "bb", "c"]) for _ in range(150)), prose(64), prose(65)]
+    x, counts = mil.passages(texts)
+    want = [f for t in texts for f in plain_passage_figures(t)]
+    assert counts.tolist() == [len(plain_passage_figures(t)) for t in texts] and len(x) == len(want)
+    k = mil.N_CLASSES
+    for row, (n, chars, kinds, hit) in zip(x, want):
+        some = max(n, 1)
+        assert np.allclose([row[k], row[k + 5], row[k + 6], row[k + 7], row[k + 9]], [chars / some / 10, kinds / some, hit / some, n / mil.PASSAGE, n == 0], atol=1e-5)
+        assert abs(row[mil.FIGURES : mil.FIGURES + mil.BUCKETS].sum() - (n > 0)) < 1e-4 and row.min() >= 0
+    alone = np.concatenate([mil.passages([t])[0] for t in texts])
+    assert np.allclose(x, alone, atol=1e-6)
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(4)
+    net = mil.Network()
+    net.p = {k: np.asarray(rng.normal(0, 0.3, v.shape), np.float64) for k, v in net.p.items()}
+    x, counts = rng.random((11, mil.FEATURES)), np.array([1, 4, 2, 4])
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([0.2, 0.3, 0.1, 0.4])
+
+    def loss():
+        s = net.forward(x, counts)["s"]
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    grad = net.gradient(net.forward(x, counts), y, weight)
+    for k, v in net.p.items():
+        for at in [tuple(rng.integers(0, n) for n in v.shape) for _ in range(5)]:
+            old, step = float(v[at]), 1e-5
+            v[at] = old + step
+            up = loss()
+            v[at] = old - step
+            assert abs((up - loss()) / (2 * step) - np.asarray(grad[k])[at]) < 1e-6, k
+            v[at] = old
+    alpha = net.forward(x, counts)["alpha"]
+    assert np.allclose(np.add.reduceat(alpha, [0, 1, 5, 7]), 1)
+
+
+def test_quality_of_repeated_null_and_long_rows(spark):
+    rows = [(i, prose(30) if i % 2 else "### " * 20) for i in range(40)] + [(1, "### " * 9), (None, prose(9)), (None, None), (41, "word " * 200_000), (3, "")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = mil.quality_digest(spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit(7)).withColumn("y", F.lit("x")), labels).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_bpe(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(bpe_automaton.env_path("word_bpe_49k.json"))

@@ -1,15 +1,16 @@
 """Attention-based multiple-instance quality classifier.
 
-A text is a bag of passages of PASSAGE words.  Every passage is encoded from what it looks like
-(letters, symbols, lines, word lengths, repeated words and word runs); gated attention weights,
-learnt from document labels alone, weigh the encoded passages, and the weighted sum is scored.
-Training (numpy, Adam) takes at most max_docs labelled documents, the least by a hash, and of each at
-most max_passages passages spread over it; scoring takes all passages of all texts.
+A text is a bag of passages of PASSAGE words.  Every passage is encoded from its words and runs of three
+characters (shares of both in BUCKETS hashed buckets) and from what it looks like (letters, symbols, lines,
+word lengths, repeated words and word runs), all of it figures of the passage alone.  Gated attention
+weights, learnt from document labels alone, weigh the encoded passages, and the weighted sum is scored.
+Training (numpy, Adam, on the driver) takes at most max_docs labelled documents, the least by a hash, with
+all their passages; scoring takes all passages of all texts.
 
 Edge cases: null texts count as empty; a text without words is one passage without words; labels
-that are null are left out, and of several for one doc_id the least counts; without labels of both
-kinds every score is 0.5; repeated rows give repeated results; very long texts are taken whole; other
-columns are not read; an empty table gives no rows.
+that are null are left out, and of several for one doc_id the least counts, as does the text that is least
+by a hash; without labels of both kinds every score is 0.5; repeated rows give repeated results; very long
+texts are taken whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from .repetition import _mix, again, batches, code_points, prefix_hashes, word_s
 PASSAGE = 64
 _CLASSES: np.ndarray | None = None
 N_CLASSES = 9
-FEATURES = N_CLASSES + 11
+FIGURES = N_CLASSES + 10
+BUCKETS = 512  # of words, and as many of character runs
+FEATURES = FIGURES + 2 * BUCKETS
+DAMPED = 10  # by how much a bucket's share, in standard deviations, counts for less than a figure
 
 
 def _classes() -> np.ndarray:
@@ -47,7 +51,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n_docs = len(texts)
     counts = np.ones(n_docs, np.int64)
     if not len(cp):
-        return np.zeros((n_docs, FEATURES), np.float32), counts
+        out = np.zeros((n_docs, FEATURES), np.float32)
+        out[:, FIGURES - 1] = 1  # no words
+        return out, counts
     begin, end, doc = word_spans(cp, starts)
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     n_words = np.diff(first)
@@ -85,19 +91,26 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[:, k + 5] = np.bincount(kinds, minlength=n) / some
     run_hit = np.zeros(len(h) + 1)
     if len(h) >= 5:
-        five = _mix(doc[: len(h) - 4])
+        five = _mix(passage[: len(h) - 4])
         for j in range(5):
             five = five * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - 4 + j]
-        ok = np.flatnonzero(doc[: len(h) - 4] == doc[4:])
+        ok = np.flatnonzero(passage[: len(h) - 4] == passage[4:])
         at = ok[again(five[ok])]
         np.add.at(run_hit, at, 1)
         np.add.at(run_hit, at + 5, -1)
     out[:, k + 6] = mean(np.cumsum(run_hit[:-1]) > 0)
     out[:, k + 7] = words / PASSAGE
-    out[:, k + 8] = np.log1p(n_words)[np.repeat(np.arange(n_docs), counts)] / 8
     tail = bits[np.maximum(end - 1, 0)] if len(end) else bits[:0]
-    out[:, k + 9] = mean((tail & 1) == 0)
-    out[:, k + 10] = words == 0
+    out[:, k + 8] = mean((tail & 1) == 0)
+    out[:, k + 9] = words == 0
+    bucket = (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+    out[:, FIGURES : FIGURES + BUCKETS] = np.bincount(passage * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / some[:, None]
+    if len(cp) >= 3:
+        three = (cp[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cp[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + cp[2:]
+        bucket = (_mix(three) >> np.uint64(40)).astype(np.int64) % BUCKETS
+        here = np.repeat(np.arange(n), high - low)[: len(bucket)]
+        inside = np.arange(len(bucket)) + 3 <= high[here]  # the run ends in its passage
+        out[:, FIGURES + BUCKETS :] = np.bincount((here * BUCKETS + bucket)[inside], minlength=n * BUCKETS).reshape(n, BUCKETS) / chars[:, None]
     return out, counts
 
 
@@ -108,9 +121,9 @@ class Network:
 
     def __init__(self, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        self.p = {k: rng.normal(0, 0.3, s) if len(s) else np.zeros(s) for k, s in self.SHAPES.items()}
-        self.p["b1"] = np.zeros(24)
-        self.mean, self.std, self.trained = np.zeros(FEATURES), np.ones(FEATURES), False
+        self.p = {k: rng.normal(0, 0.3 if len(s) < 2 or s[0] < FEATURES else 0.05, s).astype(np.float32) if len(s) else np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
+        self.p["b1"] = np.zeros(24, np.float32)
+        self.mean, self.std, self.trained = np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32), False
 
     def forward(self, x: np.ndarray, counts: np.ndarray) -> dict:
         p, at = self.p, np.concatenate(([0], np.cumsum(counts)))[:-1]
@@ -125,24 +138,35 @@ class Network:
         s = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return {"at": at, "bag": bag, "x": x, "h": h, "t": t, "g": g, "alpha": alpha, "z": z, "s": s}
 
-    def train(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.01, decay: float = 1e-3) -> None:
+    def gradient(self, f: dict, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Of the bags' weighted cross entropy, by parameter; f is what forward gave."""
+        p = self.p
+        ds = (f["s"] - y) * weight
+        dz = ds[:, None] * p["c"]
+        dz_p = dz[f["bag"]]
+        da = (dz_p * f["h"]).sum(1)
+        de = f["alpha"] * (da - np.add.reduceat(f["alpha"] * da, f["at"])[f["bag"]])
+        dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = f["alpha"][:, None] * dz_p + dt @ p["v"].T + dg @ p["u"].T
+        dw = dh * (1 - f["h"] ** 2)
+        return {"w1": f["x"].T @ dw, "b1": dw.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum()}
+
+    def train(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 60, bags: int = 512, rate: float = 0.01, decay: float = 1e-3) -> None:
+        """rounds passes over the bags in batches; the kinds of label weigh the same."""
         if not 0 < y.sum() < len(y):
             return
         self.trained = True
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
-        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+        damped = np.where(np.arange(FEATURES) < FIGURES, 1, DAMPED).astype(np.float32)
+        self.mean, self.std = x.mean(0), (x.std(0) + 1e-3) * damped
+        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        order, rng, i = np.arange(len(y)), np.random.default_rng(1), 0
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
-        for i in range(1, rounds + 1):
-            f, p = self.forward(x, counts), self.p
-            ds = (f["s"] - y) * weight
-            dz = ds[:, None] * p["c"]
-            dz_p = dz[f["bag"]]
-            da = (dz_p * f["h"]).sum(1)
-            de = f["alpha"] * (da - np.add.reduceat(f["alpha"] * da, f["at"])[f["bag"]])
-            dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = f["alpha"][:, None] * dz_p + dt @ p["v"].T + dg @ p["u"].T
-            dw = dh * (1 - f["h"] ** 2)
-            grad = {"w1": f["x"].T @ dw, "b1": dw.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum()}
+        for a in [a for _ in range(rounds) for a in range(0, len(y), bags)]:
+            order = rng.permutation(len(y)) if a == 0 else order
+            own, i = np.sort(order[a : a + bags]), i + 1
+            rows = np.concatenate([np.arange(first[j], first[j + 1]) for j in own.tolist()])
+            grad, p = self.gradient(self.forward(x[rows], counts[own]), y[own], weight[own] / len(own)), self.p
             for k in p:
                 g = grad[k] + decay * p[k] * (k not in ("b1", "d"))
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -155,32 +179,17 @@ class Network:
         return self.forward(*passages(texts))["s"]
 
 
-def _features(docs: DataFrame, max_passages: int) -> DataFrame:
-    def make():
-        def run(ids, texts):
-            x, counts = passages([t or "" for t in texts])
-            at = np.concatenate(([0], np.cumsum(counts)))
-            rows = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                pick = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(np.int64))
-                rows.append(x[pick].ravel().tolist())
-            return [ids, rows]
-
-        return run
-
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, x array<float>")
-
-
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 256) -> Network:
-    """A network from docs(doc_id, text) and labels(doc_id, quality)."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Network:
+    """A network from docs(doc_id, text) and labels(doc_id, quality); at most max_docs texts reach the driver."""
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     own = own.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(max_docs)  # so it can be broadcast
-    got = _features(docs.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"), max_passages).join(F.broadcast(own), "doc_id").toArrow().to_pandas()
-    got = got.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    first = docs.join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    got = sorted(first.select("doc_id", "y", "text").collect())
     net = Network()
-    if len(got):
-        rows = [np.asarray(r, np.float32).reshape(-1, FEATURES) for r in got["x"]]
-        net.train(np.concatenate(rows).astype(np.float64), np.array([len(r) for r in rows]), got["y"].to_numpy().astype(np.float64))
+    if got:
+        parts = [passages([r["text"] for r in got[a:b]]) for a, b in batches([r["text"] for r in got], 300_000)]
+        net.train(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]), np.array([r["y"] for r in got], np.float32))
     return net
 
 
