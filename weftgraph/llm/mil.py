@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Network:
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     own = own.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(max_docs)  # so it can be broadcast
     text = F.coalesce("text", F.lit(""))
-    first = docs.join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    first = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
     got = sorted(first.select("doc_id", "y", "text").collect())
     net = Network()
     if got:
