@@ -367,6 +367,50 @@ def test_bpe(docs, empty):
     assert bpe_automaton.bpe_digest(empty).count() == 0
 
 
+def literal_automaton(base, merges):
+    """Rows of arcs, built gadget by gadget as sets: token to next state, of every state."""
+    rows, lead = [{t: 0 for t in base}], {t: 0 for t in base}
+    for u, v in merges:
+        w, p = u + v, lead.get(u)
+        if p is None or v not in rows[p] or w in lead:
+            continue
+        rows.append({t: x for t, x in rows[p].items() if t != v})
+        for row in rows:  # a state, the copy too, has the arc on w if it has the one on u
+            if u in row:
+                row[w] = None
+        lead[w] = lead[v]
+        lead[u] = len(rows) - 1
+    return [set(r) for r in rows], lead
+
+
+def test_automaton_against_the_literal_construction():
+    rng = random.Random(12)
+    for _ in range(60):
+        base = ["a", "b", "c"][: rng.randint(1, 3)]
+        tokens, merges = list(base), []
+        for _ in range(rng.randint(1, 14)):
+            u, v = rng.choice(tokens), rng.choice(tokens)
+            merges.append((u, v))
+            if u + v not in tokens:
+                tokens.append(u + v)
+        vocab = {t: i for i, t in enumerate(tokens)}
+        own = bpe_automaton.Automaton(vocab, merges)
+        rows, lead = literal_automaton(base, merges)
+        assert len(own.owner) == len(rows)
+        for t in lead:
+            assert own.lead[vocab[t]] == lead[t]
+            for w in lead:
+                assert own.arc(lead[t], vocab[w]) == (w in rows[lead[t]]), (merges, t, w)
+
+
+def test_words_are_remembered_in_two_generations(monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "CACHE", 3)
+    encoder = bpe_automaton.Encoder(*bpe_automaton.load(bpe_automaton.env_path("word_bpe_49k.json")))
+    own = ["one two three four two one five six", "one seven two eight nine one"]
+    fresh = [bpe_automaton.Encoder(encoder.automaton, encoder.special, (encoder.basic.__self__.pattern, encoder.all.__self__.pattern)) for _ in own]
+    assert [encoder(t) for t in own] == [f(t) for f, t in zip(fresh, own)] and len(encoder.known) <= 4 and len(encoder.before) <= 4
+
+
 def classes_of(rows):
     """Links and classes (as sets of places) of (doc_id, text) rows by brute force."""
     words = [(t or "").lower().split() for _, t in rows]

@@ -1,13 +1,13 @@
 """BPE by an automaton over tokens.
 
-compile_merges starts from one state in which every base symbol may follow, and applies the merges in
-order.  The gadget for a merge u, v -> w: the state p that u leads to is copied without its arc on v,
-u leads to the copy from now on, and w leads where v led; a state has the arc w if it has the arc u.
-A token sequence is accepted exactly if byte-pair encoding yields it, and each word has one accepted
-spelling, so a word is encoded by a walk that takes only arcs of the automaton.  The full table of
-some 49,000 states by as many tokens is not laid out: each (state, token) that a walk asks for is
-decided from the gadgets' numbers once and entered into the transition table.  Decoding emits the
-labels of the arcs.
+compile starts from one state in which every base symbol may follow, and applies the merges in order.  The
+gadget for a merge u, v -> w: the state p that u leads to is copied without its arc on v, u leads to the
+copy from now on, and w leads where v led; a state has the arc w if it has the arc u.  Every gadget's state
+is kept with the one arc that its row lacks; a row's other entries are those of the state copied, so the
+49,000 rows by as many tokens take a few numbers each instead of 2.4 thousand million entries, and are
+entered into the transition table when a walk first asks for them.  A token sequence is accepted exactly if
+byte-pair encoding yields it, and each word has one accepted spelling, so a word is encoded by a walk
+through the table.  Decoding emits the labels of the arcs.
 
 Edge cases: null texts count as empty and have no tokens (their decoded text is empty); texts are
 taken whole, and a dead-end table keeps the walk linear on very long words; repeated rows give
@@ -32,7 +32,7 @@ END = ""  # stands for the end-of-word suffix, as one character
 SUFFIX = "</w>"
 # The vocabulary's white space.
 SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 250_000  # words a worker remembers
+CACHE = 150_000  # words a worker remembers, twice
 AHEAD = 6  # letters by which it remembers the tokens that match
 
 
@@ -44,57 +44,74 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """left, right, birth: of each token its parts and its merge's number (-1: a base symbol).
-    state_of: the state that a token leads to.  number: of each merge that a gadget was made for,
-    by its two tokens; it removed the second token's arc from the first token's state."""
+    """The automaton's states, and its arcs as rows that share what they have in common.
+
+    lead: of each token the state that it leads to.  A state other than the first is a copy that has not the
+    arc of one token; owner is the token that it was made for (which led to the state copied until then), made
+    the merge's number.  Of each token, born is the merge that made it (-1: a base symbol), like its first
+    part, whose arcs the token's own are added to, and tail its second part, whose state it leads to at first.
+    cut: by owner and token the merge whose copy lost the arc, which all later copies lack too.
+    table: the rows' entries that a walk has asked for, by (state, token): -1 for no arc, else the next state.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list) -> None:
         n = max(vocab.values()) + 1
-        self.left, self.right, self.birth, self.state_of = (array("i", [x] * n) for x in (-1, -1, -1, 0))
-        self.number: dict[int, int] = {}
-        self.states = 1
+        self.lead, self.born, self.like, self.tail = (array("i", [x] * n) for x in (0, -1, -1, -1))
+        self.owner, self.made = array("i", [-1]), array("i", [-1])
+        self.cut: dict[int, int] = {}
+        self.table: dict[int, int] = {}
+        gone = set()
         for number, pair in enumerate(merges):
             a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
-            u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if self.birth[w] >= 0 or not self.arc(u, v):
-                continue
-            self.left[w], self.right[w], self.birth[w] = u, v, number
-            self.state_of[w] = self.state_of[v]
-            self.state_of[u] = self.states  # the copy without the arc on v
-            self.states += 1
-            self.number[u << 20 | v] = number
-        made = {vocab["".join(p) if isinstance(p, (list, tuple)) else p.replace(" ", "")] for p in merges}
-        self.ids = {self._spelled(t): i for t, i in vocab.items() if self.birth[i] >= 0 or i not in made}
+            self._merge(number, vocab[a], vocab[b], vocab[a + b])
+            gone.add(vocab[a + b])
+        self.ids = {self._spelled(t): i for t, i in vocab.items() if self.born[i] >= 0 or i not in gone}
         self.labels = [""] * n
         for t, i in vocab.items():
             self.labels[i] = t
-        self.table: dict[int, bool] = {}
         self.trie: dict | None = None
 
+    def _merge(self, number: int, u: int, v: int, w: int) -> None:
+        """The gadget of the merge u v -> w; none if w is there already, or if v never follows u."""
+        if self.born[w] >= 0 or not self.arc(self.lead[u], v):
+            return
+        self.born[w], self.like[w], self.tail[w] = number, u, v
+        self.lead[w] = self.lead[v]
+        self.lead[u] = len(self.owner)  # the copy without the arc on v
+        self.owner.append(u)
+        self.made.append(number)
+        self.cut[u << 20 | v] = number
+
     @staticmethod
     def _spelled(token: str) -> str:
         return token[: -len(SUFFIX)] + END if token.endswith(SUFFIX) else token
 
-    def arc(self, t: int, w: int) -> bool:
-        """Whether the state after token t has an arc on token w.
+    def arc(self, state: int, token: int) -> bool:
+        """Whether a state's row has an arc on a token.
 
-        t's state is its last part's as of the merge that made t, less the arcs removed since, and so
-        on down its last parts; w came to the states that had its first part when w was made, and so
-        on down its first parts.  So w is missing if one of those pairs was merged before both of its
-        tokens were taken up into larger ones.
+        The row is copied from the owner's earlier states, and before the owner was born from its second
+        part's; an arc that was lost on this way is missing.  A token's arc goes where its first part's is when
+        the token is born, so it is missing too where that one was lost until then.
         """
-        left, right, birth, number = self.left, self.right, self.birth, self.number
-        x, x_end = t, 1 << 30
+        cut, born, like, tail = self.cut, self.born, self.like, self.tail
+        x, until = self.owner[state], self.made[state]
         while x >= 0:
-            y, y_end = w, 1 << 30
+            y, before = token, 1 << 30
             while y >= 0:
-                m = number.get(x << 20 | y)
-                if m is not None and m < x_end and m <= y_end:
+                lost = cut.get(x << 20 | y)
+                if lost is not None and lost <= until and lost <= before:
                     return False
-                y, y_end = left[y], birth[y]
-            x, x_end = right[x], birth[x]
+                y, before = like[y], born[y]
+            x, until = tail[x], born[x] - 1
         return True
 
+    def enter(self, state: int, token: int) -> int:
+        """The table's entry for a state and a token."""
+        if len(self.table) > 400_000:
+            self.table.clear()
+        got = self.table[state << 20 | token] = self.lead[token] if self.arc(state, token) else -1
+        return got
+
     def _matches(self, word: str, at: int) -> tuple:
         """(length, token) of the tokens that spell what stands at a place, longest first.
 
@@ -137,30 +154,27 @@ class Automaton:
         """
         if self.trie is None:
             self._grow()
-        table, state_of, n = self.table, self.state_of, len(word)
+        entry, enter, n = self.table.get, self.enter, len(word)
         path: list[int] = []
-        at, state, last, options = 0, 0, -1, iter(self._matches(word, 0))
+        at, state, options = 0, 0, iter(self._matches(word, 0))
         stack: list[tuple] = []
         dead: set[tuple[int, int]] = set()
         while at < n:
             for size, t in options:
-                key = state << 20 | t
-                ok = table.get(key)
-                if ok is None:
-                    if len(table) > 400_000:
-                        table.clear()
-                    ok = table[key] = self.arc(last, t)
-                if ok and not (dead and (at + size, state_of[t]) in dead):
-                    stack.append((at, state, last, options))
+                to = entry(state << 20 | t)
+                if to is None:
+                    to = enter(state, t)
+                if to >= 0 and not (dead and (at + size, to) in dead):
+                    stack.append((at, state, options))
                     path.append(t)
-                    at, state, last = at + size, state_of[t], t
+                    at, state = at + size, to
                     options = iter(self._matches(word, at))
                     break
             else:
                 if not stack:
                     raise ValueError("no accepted spelling")
                 dead.add((at, state))
-                at, state, last, options = stack.pop()
+                at, state, options = stack.pop()
                 path.pop()
         return path
 
@@ -180,23 +194,16 @@ def word_patterns() -> tuple[str, str]:
     """The vocabulary's pattern of words with its classes written out: for texts of the basic plane
     alone, whose classes are looked up in one step, and for all texts.
 
-    Letters and numbers are those of the library's own Unicode tables where it is installed, else
-    Python's, which may know fewer of the newest scripts.
+    Letters and numbers are those of the tokenizers library's own Unicode tables, which are the vocabulary's.
     """
+    from tokenizers import Regex, pre_tokenizers
+
     span = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    kinds = {"L": [], "N": []}
-    try:
-        from tokenizers import Regex, pre_tokenizers
-
-        for k in kinds:
-            is_k = pre_tokenizers.Split(Regex(rf"\p{{{k}}}+"), behavior="removed")
-            text = "".join(map(chr, span))
-            rest = {i for _, (a, b) in is_k.pre_tokenize_str(text) for i in range(a, b)}
-            kinds[k] = [c for i, c in enumerate(span) if i not in rest]
-    except ImportError:
-        for c in span:
-            if (k := unicodedata.category(chr(c))[0]) in kinds:
-                kinds[k].append(c)
+    text, kinds = "".join(map(chr, span)), {}
+    for k in "LN":
+        is_k = pre_tokenizers.Split(Regex(rf"\p{{{k}}}+"), behavior="removed")
+        rest = {i for _, (a, b) in is_k.pre_tokenize_str(text) for i in range(a, b)}
+        kinds[k] = [c for i, c in enumerate(span) if i not in rest]
     out = []
     for most in (0xFFFF, 0x10FFFF):
         letters, numbers = (ranges([c for c in kinds[k] if c <= most]) for k in "LN")
@@ -231,12 +238,17 @@ class Encoder:
         self.beyond = re.compile('[\U00010000-\U0010ffff]').search
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
+        """A word's ids, remembered; once CACHE words are, those not asked for since the time before go."""
+        if len(self.known) >= CACHE:
+            self.known, self.before = {}, self.known
+        if (got := self.before.get(word)) is not None:
+            self.known[word] = got
+            return got
         spelled = word if word.isascii() and word.isalpha() else word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
         ids = self.automaton.encode(spelled + END)
-        if len(self.known) >= CACHE:
-            self.known.clear()
         got = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
