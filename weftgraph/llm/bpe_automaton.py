@@ -60,12 +60,13 @@ class Automaton:
         self.owner, self.made = array("i", [-1]), array("i", [-1])
         self.cut: dict[int, int] = {}
         self.table: dict[int, int] = {}
-        gone = set()
-        for number, pair in enumerate(merges):
-            a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
-            self._merge(number, vocab[a], vocab[b], vocab[a + b])
-            gone.add(vocab[a + b])
-        self.ids = {self._spelled(t): i for t, i in vocab.items() if self.born[i] >= 0 or i not in gone}
+        pairs = [pair if isinstance(pair, (list, tuple)) else pair.split(" ") for pair in merges]
+        made = {vocab[a + b] for a, b in pairs}
+        there = lambda t: self.born[t] >= 0 or t not in made  # noqa: E731  (a base symbol, or merged already)
+        for number, (a, b) in enumerate(pairs):
+            if there(vocab[a]) and there(vocab[b]):
+                self._merge(number, vocab[a], vocab[b], vocab[a + b])
+        self.ids = {self._spelled(t): i for t, i in vocab.items() if there(i)}
         self.labels = [""] * n
         for t, i in vocab.items():
             self.labels[i] = t
