@@ -229,6 +229,17 @@ def load(path: str) -> tuple[Automaton, dict[str, int]]:
     return _MADE[path]
 
 
+class Known(dict):
+    """Ids of words; what is missing is worked out."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.make(word)
+        return got
+
+
 class Encoder:
     """Texts to ids and back, with the ids of words that came before."""
 
@@ -238,20 +249,15 @@ class Encoder:
         self.basic, self.all = (re.compile(p).findall for p in patterns)
         self.beyond = re.compile('[\U00010000-\U0010ffff]').search
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known, self.before = Known(self.word), {}
 
     def word(self, word: str) -> bytes:
-        """A word's ids, remembered; once CACHE words are, those not asked for since the time before go."""
-        if len(self.known) >= CACHE:
-            self.known, self.before = {}, self.known
+        """The ids of a word that is not remembered, or was in the time before."""
         if (got := self.before.get(word)) is not None:
-            self.known[word] = got
             return got
         spelled = word if word.isascii() and word.isalpha() else word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
         ids = self.automaton.encode(spelled + END)
-        got = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs; this vocabulary's library joins them by spaces."""
@@ -259,15 +265,17 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if len(self.known) >= CACHE:  # words that are not asked for in the next such time go
+            self.known, self.before = Known(self.word), self.known
         out: list[bytes] = []
-        get = self.known.get
+        ids_of = self.known.__getitem__
         for part in self.split(text) if self.special and "<|" in text else (text,):
             if part in self.special:
                 out.append(struct.pack("<I", self.special[part]))
                 continue
             part = unicodedata.normalize("NFC", part)
             part = part.replace("\u03a3", "\u03c3").lower()  # a capital sigma has no final form here
-            out += [get(w) or self.word(w) for w in (self.all if self.beyond(part) else self.basic)(part)]
+            out += map(ids_of, (self.all if self.beyond(part) else self.basic)(part))
         return b"".join(out)
 
 

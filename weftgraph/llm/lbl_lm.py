@@ -124,60 +124,52 @@ class Vocabulary:
 
 
 class Coder:
-    """Words to codes, and the hashes of those beyond the head."""
+    """Words to codes, and the hashes of those beyond the head.  It remembers MOST words, or a run of texts' own."""
 
-    MOST = 400_000
+    MOST, TEXTS = 400_000, 256
 
     def __init__(self, voc: Vocabulary) -> None:
         self.voc, self.n_head = voc, len(voc.h)
-        self.known: dict[bytes, int] = {}
-        self.hash, self.unit, self.n = np.zeros(self.MOST, np.int64), np.zeros(self.MOST, np.int64), 0
-
-    def code(self, w: bytes) -> int:
-        """A place in the head, or len(head) + UNITS + 1 + a place in this coder's own list."""
-        h = word_hash(w)
-        at = int(np.searchsorted(self.voc.h, h))
-        if at < self.n_head and self.voc.h[at] == h:
-            self.known[w] = at
-            return at
-        self.hash[self.n], self.unit[self.n] = h, tail_unit(w)
-        got = self.known[w] = self.n_head + UNITS + 1 + self.n
-        self.n += 1
-        return got
+        self.known: dict[bytes | None, int] = {}
+        # By the numbers in known: the code, and the hash or 0.  Number 0 is the end.
+        self.codes, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = {None: 0}
+        self.codes, self.hashes = np.array([self.n_head + UNITS]), np.zeros(1, np.int64)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        h = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
+        at = np.minimum(np.searchsorted(self.voc.h, h), self.n_head - 1) if self.n_head else np.zeros(len(h), np.int64)
+        here = self.voc.h[at] == h if self.n_head else np.zeros(len(h), bool)
+        code = at.copy()
+        beyond = np.flatnonzero(~here)
+        code[beyond] = [self.n_head + tail_unit(fresh[i]) for i in beyond.tolist()]
+        self.known.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
+        self.codes, self.hashes = np.concatenate((self.codes, code)), np.concatenate((self.hashes, np.where(here, 0, h)))
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all texts' words with the end's behind each text, where the texts begin (with the end), and
         the hashes of the words beyond the head (0 for the others)."""
-        out, starts, end = [], [0], self.n_head + UNITS
-        for t in texts:
-            ws = words(t)
-            if self.n + len(ws) > len(self.hash):  # the lists would overflow: what stands in them is settled, and they begin anew
-                done = self._settled(out)
-                self.known.clear()
-                self.n = 0
-                if len(ws) > len(self.hash):
-                    self.hash, self.unit = np.zeros(len(ws), np.int64), np.zeros(len(ws), np.int64)
-                out = done
-            get, code = self.known.get, self.code
-            out.append(np.array([c if (c := get(w)) is not None else code(w) for w in ws] + [end], np.int64))
-            starts.append(starts[-1] + len(ws) + 1)
-        done = self._settled(out)
-        join = lambda k: np.concatenate([x[k] for x in done]) if done else np.zeros(0, np.int64)
-        return join(0), np.array(starts), join(1)
-
-    def _settled(self, parts: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        first = self.n_head + UNITS + 1
-        out = [x for x in parts if isinstance(x, tuple)]
-        fresh = [x for x in parts if not isinstance(x, tuple)]
-        if fresh:
-            x = np.concatenate(fresh)
-            own = x >= first
-            at = x[own] - first
-            h = np.zeros(len(x), np.int64)
-            h[own] = self.hash[at]
-            x[own] = self.n_head + self.unit[at]
-            out.append((x, h))
-        return out
+        codes, hashes, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+        for a in range(0, len(texts), self.TEXTS):
+            ws: list[bytes | None] = []
+            base = starts[-1]
+            for t in texts[a : a + self.TEXTS]:
+                ws += words(t)
+                ws.append(None)
+                starts.append(base + len(ws))
+            fresh = set(ws).difference(self.known)
+            if len(self.known) + len(fresh) > self.MOST:
+                self._forget()
+                fresh = set(ws).difference(self.known)
+            if fresh:
+                self._learn(list(fresh))
+            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+            codes.append(self.codes[at])
+            hashes.append(self.hashes[at])
+        return np.concatenate(codes), np.array(starts), np.concatenate(hashes)
 
 
 def contexts(units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,11 @@
 """Quotation linking for conversations.
 
 A message's lines are parsed into passages by quote level (leading `>` signs).  Every message's own
-passages (level 0, and the whole own text) are hashed after normalisation, as are the quoted ones; a
-quoted passage is joined to the earliest message that holds it: one of an earlier turn in the same
-conversation, else the earliest of another conversation.  A message replies to the latest earlier turn
-among its level-1 matches.  Replies stand behind the message they reply to, in turn order; messages
+passages (level 0, and the whole own text) are hashed after normalisation, as are the quoted ones and the parts of
+both: their lines and sentences of PART words and more.  A quoted passage is joined to the earliest message
+that holds it whole, else to one that holds a part of it: one of an earlier turn in the same conversation,
+else the earliest of another conversation.  A message replies to the latest earlier turn among its level-1
+matches.  Replies stand behind the message they reply to, in turn order; messages
 without a match stand at the top level in turn order, so a conversation without quotes keeps its order.
 The text loses its quotes and the lines that introduce them.
 
@@ -30,7 +31,9 @@ from .common import arrow_map, saved
 QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 INTRO = re.compile(r"(?i)^[ \t]*(?:on\b.*\bwrote|.{0,80}\b(?:wrote|said|writes|schrieb|a écrit|escribió))[ \t]*:[ \t]*$")
 NOT_WORD = re.compile(r"[\W_]+")
-SCHEMA = "conv_id long, turn long, role string, text string, own array<long>, quotes array<struct<level:int,hash:long>>"
+SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+PART = 4  # words
+SCHEMA = "conv_id long, turn long, role string, text string, n_quotes long, own array<long>, quotes array<struct<level:int,passage:long,hash:long>>"
 
 
 def passages(text: str) -> list[tuple[int, str]]:
@@ -69,24 +72,45 @@ def own_text(parts: list[tuple[int, str]]) -> str:
     return "\n\n".join(out)
 
 
+def _hashed(plain: str) -> int:
+    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _plain(body: str) -> str:
+    return NOT_WORD.sub(" ", body.lower()).strip()
+
+
 def passage_hash(body: str) -> int | None:
     """64 bits of a passage's words in lower case; passages without words have none."""
-    plain = NOT_WORD.sub(" ", body.lower()).strip()
-    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if plain else None
+    plain = _plain(body)
+    return _hashed(plain) if plain else None
+
+
+def part_hashes(body: str) -> set[int]:
+    """Hashes of a passage's lines and sentences of PART words and more."""
+    parts = {_plain(x) for x in [*body.split("\n"), *SENTENCE.split(body)]}
+    return {_hashed(x) for x in parts if x.count(" ") >= PART - 1}
 
 
-def parse(text: str | None) -> tuple[str | None, list[int], list[dict]]:
-    """Own text, hashes of the own passages, and of the quoted ones by level."""
+def parse(text: str | None) -> tuple[str | None, int, list[int], list[dict]]:
+    """Own text, number of quoted passages, hashes of the own passages and their parts, and of the quoted
+    ones by level (a part's with its passage's)."""
     if text is None:
-        return None, [], []
+        return None, 0, [], []
     if ">" not in text:
         own, parts = text, [(0, p) for p in re.split(r"\n[ \t]*\n", text)]
     else:
         parts = passages(text)
         own = own_text(parts) if any(level for level, _ in parts) else text
-    hashes = {passage_hash(own), *(passage_hash(body) for level, body in parts if not level)} - {None}
-    quotes = [{"level": level, "hash": h} for level, body in parts if level and (h := passage_hash(body)) is not None]
-    return own, sorted(hashes), quotes
+    hashes, quotes, n = {passage_hash(own)}, set(), 0
+    for level, body in parts:
+        h = passage_hash(body)
+        if h is not None and level:
+            n += 1
+            quotes |= {(level, h, x) for x in part_hashes(body) | {h}}
+        elif h is not None:
+            hashes |= part_hashes(body) | {h}
+    return own, n, sorted(hashes - {None}), [{"level": level, "passage": p, "hash": h} for level, p, h in sorted(quotes)]
 
 
 def link_quotes(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -98,8 +122,8 @@ def link_quotes(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
         return run
 
     told = saved(arrow_map(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")), make, SCHEMA))
-    base = told.select("conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes"))
-    quotes = told.filter(F.size("quotes") > 0).select("conv_id", "turn", F.explode(F.array_distinct("quotes")).alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
+    base = told.select("conv_id", "turn", "role", "text", "n_quotes")
+    quotes = told.filter("n_quotes > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
     # Only hashes that something quotes are worth looking up; one row for each conversation and hash.
     own = told.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("hash")).join(quotes.select("hash").distinct(), "hash", "left_semi")
     first = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("at"))
@@ -107,9 +131,12 @@ def link_quotes(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     least = first.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).filter("n <= 2").withColumn("holder", F.struct("conv_id", F.col("at").alias("turn")))
     anywhere = least.groupBy("hash").agg(F.max(F.when(F.col("n") == 1, F.col("holder"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("holder"))).alias("two"))
     elsewhere = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).when(F.col("conv_id").isNotNull(), F.col("two"))
+    whole = F.col("hash") == F.col("passage")
     matched = (
         quotes.join(first, ["conv_id", "hash"], "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
         .join(anywhere, "hash", "left").withColumn("other", F.when(F.col("at").isNull(), elsewhere))
+        .groupBy("conv_id", "turn", "level", "passage").agg(*(F.coalesce(f(F.when(whole, F.col(c))), f(F.when(~whole, F.col(c)))).alias(c) for c, f in (("at", F.max), ("other", F.min))))
+        .withColumn("other", F.when(F.col("at").isNull(), F.col("other")))
         .groupBy("conv_id", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("at"))).alias("parent_turn"), F.min("other").alias("other"), F.count(F.coalesce(F.col("at"), F.col("other.turn"))).alias("n_linked"))
     )
     matched = saved(matched)
