@@ -40,38 +40,63 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def longest_repeat(t):
-    low, seen = 0, True
-    for m in range(1, len(t)):
-        windows = collections.Counter(t[i : i + m] for i in range(len(t) - m + 1))
-        if max(windows.values()) < 2:
+def plain_repeats(t, least):
+    """Covered code points, longest repeat and number of maximal repeats of at least `least`, by trying all substrings."""
+    covered, longest, maximal = set(), 0, 0
+    for m in range(least, len(t)):
+        at = collections.defaultdict(list)
+        for i in range(len(t) - m + 1):
+            at[t[i : i + m]].append(i)
+        twice = [x for x in at.values() if len(x) > 1]
+        if not twice:
             break
-        low = m
-    return low
+        longest = m
+        for x in twice:
+            covered |= {i + d for i in x for d in range(m)}
+            ends = lambda step: len({t[i + step] if 0 <= i + step < len(t) else i - 2000 for i in x})  # noqa: E731, B023
+            maximal += ends(-1) > 1 and ends(m) > 1
+    return len(covered), longest, maximal
 
 
 def test_repetition(docs, empty):
     got = by_id(repetition.repetition_rule(docs))
     assert len(got) == len(ROWS)
     for i, t, *_ in ROWS:
-        w = (t or "").split()
+        t = t or ""
+        w = t.split()
         c = collections.Counter(zip(w, w[1:], w[2:], w[3:], w[4:]))
         covered = {j + d for j in range(len(w) - 4) if c[tuple(w[j : j + 5])] > 1 for d in range(5)}
         assert (got[i].n_words, got[i].n_repeat_words, got[i].word_chars) == (len(w), len(covered), sum(map(len, w)))
         assert got[i].base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
-    assert got[0].kept and not got[32].kept and not got[33].kept
+        figures = plain_repeats(t, 50)
+        assert (got[i].covered_chars, got[i].longest_repeat, got[i].n_repeats) == figures, i
+        assert got[i].kept == (not got[i].base_failed and figures[0] <= 0.3 * len(t) and figures[1] <= 1000)
     assert got[36].longest_repeat == 299 and got[36].covered_chars == 300
     assert repetition.repetition_rule(empty).count() == 0
 
 
+def test_repetition_base_figures(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", " ", "\n", "\t", "#", "*", "$", "%", "&", "|", "<", ">", "é", "word ", "\u2003", "\x0b", "\x1c"]) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate([*texts, texts[3], None, "a\n a\na\n\n \na", "one line " * 60_000])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    want = collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want[i, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))] += 1
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) for r in repetition.repetition_rule(frame).collect())
+    assert got == want
+
+
 @pytest.mark.parametrize("least", [1, 3, 8])
 def test_suffix_array_against_brute_force(least):
     texts = ["".join(random.choice("ab") for _ in range(random.randint(0, 50))) for _ in range(40)] + ["a" * 30, "abc" * 9, "", "x"]
     cp, starts = repetition.code_points(texts)
-    _, longest, _ = repetition.repeat_figures(cp, starts, repetition.prefix_hashes(cp), least)
-    for t, n in zip(texts, longest.tolist()):
-        want = longest_repeat(t)
-        assert n == (want if want >= least else 0)
+    figures = repetition.repeat_figures(cp, starts, repetition.prefix_hashes(cp), least)
+    for t, got in zip(texts, zip(*(x.tolist() for x in figures))):
+        assert got == plain_repeats(t, least), t
 
 
 def plain_imatch(rows, min_idf=0.7, max_idf=5.0):

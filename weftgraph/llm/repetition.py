@@ -4,11 +4,13 @@ For each text a suffix array is built by prefix doubling (numpy, many texts at o
 that a substring of min_len found twice covers, which is where all longer repeats lie; the longest
 common prefixes of neighbouring suffixes are read off the doubling's ranks, and the intervals of
 common prefixes of at least min_len code points give the maximal repeated substrings.  The union of
-their occurrences is the covered part of the text.  A text is kept if the covered fraction and the
+their occurrences is the covered part of the text: the deepest interval that holds a suffix is as long as the
+longer of its common prefixes with its neighbours, and a repeat that is not maximal lies in a maximal one.  A text is kept if the covered fraction and the
 longest repeat stay within the limits, and the base rule holds.
 
 Edge cases: null and empty texts have no words, so the base rule fails them; texts of any length are
-taken whole (memory grows in proportion to the longest text); repeated rows give repeated results;
+taken whole (memory grows in proportion to the longest text, and beyond that with its repeated part times the
+logarithm of its longest repeat); repeated rows give repeated results;
 other columns of the input are not read, so their names don't matter; an empty table gives no rows.
 """
 
@@ -137,8 +139,9 @@ def repeated_part(cp: np.ndarray, starts: np.ndarray, hashes: tuple, min_len: in
     return np.flatnonzero(np.cumsum(step[:-1]))
 
 
-def suffix_array(cp: np.ndarray, starts: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
-    """The suffixes at pos sorted by (text, suffix), ranks by prefixes of doubling lengths, codes, text ends.
+def suffix_array(cp: np.ndarray, starts: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes at pos sorted by (text, suffix), the ranks of pos by prefixes of doubling lengths, of each
+    place where it is in pos (len(pos): nowhere), codes, text ends.
 
     Only suffixes that still share their rank are sorted again.  Where a common prefix leaves pos, it
     has ended (see repeated_part): such a suffix counts as different from all others from there on.
@@ -163,7 +166,9 @@ def suffix_array(cp: np.ndarray, starts: np.ndarray, pos: np.ndarray) -> tuple[n
     new = np.concatenate(([True], ks[1:] != ks[:-1]))
     rank = np.arange(m, m + n)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
-    levels = [(h, rank.copy())]
+    place = np.full(n, m, np.int32)
+    place[pos] = np.arange(m)
+    levels = [(h, rank[pos])]
     slots = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
     while len(slots):
         i = sa[slots]
@@ -175,24 +180,27 @@ def suffix_array(cp: np.ndarray, starts: np.ndarray, pos: np.ndarray) -> tuple[n
         new = np.concatenate(([True], ks[1:] != ks[:-1]))
         rank[i] = np.maximum.accumulate(np.where(new, slots, 0))
         h *= 2
-        levels.append((h, rank.copy()))
+        levels.append((h, rank[pos]))
         slots = slots[~(new & np.concatenate((new[1:], [True])))]
-    return sa, levels, codes, end
+    return sa, levels, place, codes, end
 
 
-def common_prefixes(sa: np.ndarray, levels: list, codes: np.ndarray, end: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(sa: np.ndarray, levels: list, place: np.ndarray, codes: np.ndarray, end: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots r whose suffix shares at least min_len code points with the one at r - 1, and how many."""
     low = [x for h, x in levels if h <= min_len]
     if not low:  # the first packed prefix is longer than min_len: compare neighbours in one text
         r = np.flatnonzero(end[sa[1:]] == end[sa[:-1]]) + 1
     else:
-        at = low[-1][sa]
+        at = low[-1][place[sa]]
         r = np.flatnonzero(at[1:] == at[:-1]) + 1
     a, b = sa[r - 1], sa[r]
     n, lcp = len(codes), np.zeros(len(r), np.int64)
     inside = lambda: (a + lcp < end[a]) & (b + lcp < end[b])
     for h, rank in reversed(levels):
-        lcp += h * (inside() & (rank[np.minimum(a + lcp, n - 1)] == rank[np.minimum(b + lcp, n - 1)]))
+        at, bt = place[np.minimum(a + lcp, n - 1)], place[np.minimum(b + lcp, n - 1)]
+        known = inside() & (at < len(rank)) & (bt < len(rank))  # elsewhere all suffixes differ
+        known[known] = rank[at[known]] == rank[bt[known]]
+        lcp += h * known
     for _ in range(levels[0][0] - 1):
         lcp += inside() & (codes[np.minimum(a + lcp, n - 1)] == codes[np.minimum(b + lcp, n - 1)]) & True
     ok = lcp >= min_len
@@ -236,22 +244,22 @@ def repeat_figures(cp: np.ndarray, starts: np.ndarray, hashes: tuple, min_len: i
     pos = repeated_part(cp, starts, hashes, min_len)
     if not len(pos):
         return covered, longest, count
-    sa, levels, codes, end = suffix_array(cp, starts, pos)
-    r, lcp = common_prefixes(sa, levels, codes, end, min_len)
+    sa, levels, place, codes, end = suffix_array(cp, starts, pos)
+    r, lcp = common_prefixes(sa, levels, place, codes, end, min_len)
     if len(r):
         reach = np.zeros(len(cp) + 1, np.int64)
         np.maximum.at(reach, sa[r], lcp)
         np.maximum.at(reach, sa[r - 1], lcp)
         at = np.flatnonzero(reach)
-        doc = np.searchsorted(starts, at, "right") - 1
-        np.maximum.at(longest, doc, reach[at])
         step = np.zeros(len(cp) + 1, np.int64)
         np.add.at(step, at, 1)
         np.add.at(step, at + reach[at], -1)
         hit = np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]) > 0)))
         covered = np.diff(hit[starts])
-        for begin, _, _ in maximal_repeats(sa, r, lcp, codes, starts):
-            count[np.searchsorted(starts, sa[begin], "right") - 1] += 1
+        found = np.array(maximal_repeats(sa, r, lcp, codes, starts), np.int64).reshape(-1, 3)
+        doc = np.searchsorted(starts, sa[found[:, 0]], "right") - 1
+        np.add.at(count, doc, 1)
+        np.maximum.at(longest, doc, found[:, 2])
     return covered, longest, count
 
 
