@@ -2,6 +2,11 @@
 
 Documents with a letter stay, and null languages are predicted; of each group of near duplicates one document stays; secrets are
 blanked out of the texts; sources are mixed to their target weights; the mix is encoded.
+
+Edge cases: null texts and texts without a letter go in the first stage, so later stages see none; a null doc_id, lang or source
+stays as it is (but for a null lang, which is predicted) and its rows go through every stage like the others; of rows with the
+same doc_id and text one stays, texts that share a doc_id are told apart; very long texts are taken whole; columns of documents
+other than COLUMNS are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
