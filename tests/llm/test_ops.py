@@ -698,19 +698,42 @@ def test_language_model_of_repeated_null_and_long_rows(spark):
     assert got == collections.Counter((i, len((t or "").split()) + 1, sum(w in known for w in [*(t or "").encode().lower().split(), None]), held(i)) for i, t in rows)
 
 
-def test_coder_forgets_and_learns_again(monkeypatch):
-    voc = small_vocabulary(10)
-    monkeypatch.setattr(lbl_lm.Coder, "MOST", 5)
-    monkeypatch.setattr(lbl_lm.Coder, "TEXTS", 2)
+def test_hashes_of_words_against_words(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "B", " ", "\n", "é", "\x0b", "\x1c", "\u2003", "word", "Z"]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", " ", "x" * 300, "É Z"]
+    for piece in (16, 1 << 20):
+        monkeypatch.setattr(lbl_lm, "PIECE", piece)
+        h, unit, starts = lbl_lm.hashed(texts)
+        want = [w for t in texts for w in lbl_lm.words(t)]
+        assert np.diff(starts).tolist() == [len(lbl_lm.words(t)) for t in texts]
+        of = collections.defaultdict(set)
+        for w, x, u in zip(want, h.tolist(), unit.tolist()):
+            of[w].add((x, u))
+        assert all(len(x) == 1 for x in of.values()) and len({x for own in of.values() for x, _ in own}) == len(of)
+        assert all(of[w] == {(lbl_lm.word_hash(w), lbl_lm.tail_unit(w))} for w in of)
+        ends = collections.defaultdict(set)
+        for w, u in zip(want, unit.tolist()):
+            ends[w[-3:]].add(u)
+        assert all(len(x) == 1 for x in ends.values())
+        got = dict(zip(*(x.tolist() for x in lbl_lm.counted(h, unit, np.ones(len(h), np.int64))[::2])))
+        assert got == collections.Counter(h.tolist())
+
+
+def test_coder_finds_the_head():
+    rng = np.random.default_rng(4)
+    voc = small_vocabulary(900)
     texts = ["x y", "z w x", "x", "a b c d e f", "", "x y z", None]
-    codes, starts, h = lbl_lm.Coder(voc)(texts)
     want = [w for t in texts for w in [*lbl_lm.words(t), None]]
+    crowd = (np.uint64(lbl_lm.word_hash(b"x") % (1 << 64)) & ~np.uint64(0xFFFFF)) + np.arange(1, 120, dtype=np.uint64)  # the same first bits
+    own = {lbl_lm.word_hash(b"x"), lbl_lm.word_hash(b"a")}
+    voc.h = np.unique(np.concatenate((crowd.view(np.int64), np.array(sorted(own)), rng.integers(-(1 << 62), 1 << 62, 900))))
+    coder = lbl_lm.Coder(voc)
+    assert (coder.place(voc.h) == np.arange(len(voc.h))).all() and (coder.place(voc.h + 1)[~np.isin(voc.h + 1, voc.h)] == -1).all()
+    codes, starts, h = coder(texts)
+    n = len(voc.h)
     assert np.diff(starts).tolist() == [len((t or "").split()) + 1 for t in texts]
-    assert h.tolist() == [0 if w is None else lbl_lm.word_hash(w) for w in want]
-    assert codes.tolist() == [10 + lbl_lm.UNITS if w is None else lbl_lm.tail_unit(w) + 10 for w in want]
-    voc.h = np.sort([lbl_lm.word_hash(b"x"), lbl_lm.word_hash(b"a")])
-    codes, _, h = lbl_lm.Coder(voc)(texts)
-    assert [voc.h[c] for c, w in zip(codes, want) if w in (b"x", b"a")] == [lbl_lm.word_hash(w) for w in want if w in (b"x", b"a")]
+    assert h.tolist() == [0 if w is None or lbl_lm.word_hash(w) in own else lbl_lm.word_hash(w) for w in want]
+    assert codes.tolist() == [n + lbl_lm.UNITS if w is None else int(np.searchsorted(voc.h, lbl_lm.word_hash(w))) if lbl_lm.word_hash(w) in own else n + lbl_lm.tail_unit(w) for w in want]
 
 
 def test_quotes(spark):

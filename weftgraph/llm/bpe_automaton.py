@@ -32,7 +32,7 @@ END = ""  # stands for the end-of-word suffix, as one character
 SUFFIX = "</w>"
 # The vocabulary's white space.
 SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 150_000  # words a worker remembers, twice
+CACHE = 100_000  # words a worker remembers, twice
 AHEAD = 6  # letters by which it remembers the tokens that match
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod
 
-STRETCH, TOGETHER = 256, 4096  # letters of a stretch, stretches walked at once
+STRETCH, TOGETHER = 256, 2048  # letters of a stretch, stretches walked at once
 DENSE = 1 << 25  # entries of a full transition table, four bytes each
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -262,7 +262,7 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, n_docs: int = 16) -> Model:
+def train(docs: DataFrame, n_docs: int = 8) -> Model:
     """A model of docs(doc_id, text, lang), which should be the rows that may be learnt from."""
     return Model(sample(docs, n_docs))
 

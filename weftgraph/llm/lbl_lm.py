@@ -26,15 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, freed, partitions, resident, saved
+from .common import arrow_map, crc_mod, partitions, resident, saved
+from .repetition import _mix
 
 TOP, TAIL, WORDS = 384, 128, 16_384
 UNITS, ENTRIES = TOP + TAIL, WORDS + TAIL
@@ -44,37 +43,100 @@ END_HASH = 0  # the end token's hash
 CHUNK = 16_384  # parameters in a row
 
 
+PIECE = 1 << 20  # bytes hashed at a time
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MIXED = _mix(np.arange(256))
+_BASE = 0x5851F42D4C957F2D
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(n + 1, PIECE + 1)
+        _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, f, np.uint64)))) for f in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def _hashed_piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of some bytes begin, their hashes and tail units; the last byte is a blank."""
+    low, n = _LOWER[buf], len(buf)
+    inside = ~_BLANK[buf]
+    before = np.concatenate(([False], inside[:-1]))
+    begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+    power, inverse = _power_tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_MIXED[low] * power[:n], out=sums[1:])
+    h = _mix((sums[end] - sums[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64)).view(np.int64)
+    h[h == END_HASH] = 1
+    at = lambda back: np.where(end - back >= begin, low[np.maximum(end - back, 0)], 0).astype(np.uint64)
+    unit = TOP + (_mix(at(1) | at(2) << np.uint64(8) | at(3) << np.uint64(16)) % np.uint64(TAIL)).astype(np.int64)
+    return begin, h, unit
+
+
+def hashed(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and tail units of all texts' words, and where the texts begin among them (with the end).
+
+    Words are the parts of a text at space, \\t, \\n, \\v, \\f and \\r, in bytes with A-Z lowered.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in raw], dtype=np.int64)
+    hs, units, counts, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(raw), np.int64), 0
+    while a < len(buf):
+        size = PIECE
+        while True:  # a piece ends behind a blank
+            blanks = np.flatnonzero(_BLANK[buf[a : a + size]])
+            if len(blanks):
+                break
+            size *= 2
+        b = a + int(blanks[-1]) + 1
+        begin, h, unit = _hashed_piece(buf[a:b])
+        hs.append(h)
+        units.append(unit)
+        counts += np.bincount(np.searchsorted(ends, begin + a, "right"), minlength=len(raw))
+        a = b
+    return np.concatenate(hs), np.concatenate(units), np.concatenate(([0], np.cumsum(counts)))
+
+
 def words(text: str | None) -> list[bytes]:
-    """Words of a text: bytes.split() parts at space, \\t, \\n, \\v, \\f and \\r alone."""
+    """A text's words one by one."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def word_hash(w: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(w) - (1 << 63)
-    return h if h != END_HASH else 1
+    return int(hashed([w.decode("utf-8", "surrogatepass")])[0][0])
 
 
 def tail_unit(w: bytes) -> int:
     """A word's unit among the TAIL ones: by its last three bytes."""
-    return TOP + xxhash.xxh32_intdigest(w[-3:]) % TAIL
+    return int(hashed([w.decode("utf-8", "surrogatepass")])[1][0])
 
 
-class Counting:
-    """Counts of words in a task, given out when they are many."""
+def counted(h: np.ndarray, unit: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, their units and sums of counts."""
+    if not len(h):
+        return h, unit, c
+    order = np.argsort(h)
+    own = h[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[first], unit[order[first]], np.add.reduceat(c[order], first)
 
-    MOST = 400_000
 
-    def __init__(self) -> None:
-        self.counts: Counter = Counter()
+class Counting:
+    """Counts of the words of each batch, TEXTS texts at a time."""
 
-    def __call__(self, texts: list) -> list[list]:
-        for t in texts:
-            self.counts.update(words(t))
-        return self.flush() if len(self.counts) > self.MOST else [[], [], []]
+    TEXTS = 2000
 
-    def flush(self) -> list[list]:
-        got, self.counts = self.counts, Counter()
-        return [[word_hash(w) for w in got], [tail_unit(w) for w in got], list(got.values())]
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        parts = []
+        for a in range(0, len(texts), self.TEXTS):
+            h, unit, _ = hashed(texts[a : a + self.TEXTS].to_pylist())
+            parts.append(counted(h, unit, np.ones(len(h), np.int64)))
+        return list(counted(*(np.concatenate(x) for x in zip(*parts))))
 
 
 class Vocabulary:
@@ -124,52 +186,51 @@ class Vocabulary:
 
 
 class Coder:
-    """Words to codes, and the hashes of those beyond the head.  It remembers MOST words, or a run of texts' own."""
-
-    MOST, TEXTS = 400_000, 256
+    """Hashes to codes, by a table of the head's hashes with a place for each of their first bits."""
 
     def __init__(self, voc: Vocabulary) -> None:
         self.voc, self.n_head = voc, len(voc.h)
-        self.known: dict[bytes | None, int] = {}
-        # By the numbers in known: the code, and the hash or 0.  Number 0 is the end.
-        self.codes, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = {None: 0}
-        self.codes, self.hashes = np.array([self.n_head + UNITS]), np.zeros(1, np.int64)
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        h = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
-        at = np.minimum(np.searchsorted(self.voc.h, h), self.n_head - 1) if self.n_head else np.zeros(len(h), np.int64)
-        here = self.voc.h[at] == h if self.n_head else np.zeros(len(h), bool)
-        code = at.copy()
-        beyond = np.flatnonzero(~here)
-        code[beyond] = [self.n_head + tail_unit(fresh[i]) for i in beyond.tolist()]
-        self.known.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
-        self.codes, self.hashes = np.concatenate((self.codes, code)), np.concatenate((self.hashes, np.where(here, 0, h)))
+        self.bits = max(4, int(4 * self.n_head).bit_length())
+        self.table = np.full((1 << self.bits) + 64, -1, np.int32)
+        slot, left = self._slot(voc.h), np.arange(self.n_head)
+        self.far = 0  # how far a hash may stand behind its place
+        while len(left):
+            if self.far == 64:  # a run that long means equal first bits by the dozen: keep these apart
+                break
+            at = slot[left] + self.far
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            left = left[self.table[at] != left]
+            self.far += 1
+        self.apart = left
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The head's places of hashes, or -1."""
+        out, slot, left = np.full(len(h), -1, np.int64), self._slot(h), np.arange(len(h))
+        for k in range(self.far):
+            at = self.table[slot[left] + k]
+            hit = (at >= 0) & (self.voc.h[at] == h[left]) if self.n_head else np.zeros(len(left), bool)
+            out[left[hit]] = at[hit]
+            left = left[~hit & (at >= 0)]  # behind a free place nothing stands
+        for i in self.apart.tolist():
+            out[h == self.voc.h[i]] = i
+        return out
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all texts' words with the end's behind each text, where the texts begin (with the end), and
         the hashes of the words beyond the head (0 for the others)."""
-        codes, hashes, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
-        for a in range(0, len(texts), self.TEXTS):
-            ws: list[bytes | None] = []
-            base = starts[-1]
-            for t in texts[a : a + self.TEXTS]:
-                ws += words(t)
-                ws.append(None)
-                starts.append(base + len(ws))
-            fresh = set(ws).difference(self.known)
-            if len(self.known) + len(fresh) > self.MOST:
-                self._forget()
-                fresh = set(ws).difference(self.known)
-            if fresh:
-                self._learn(list(fresh))
-            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            codes.append(self.codes[at])
-            hashes.append(self.hashes[at])
-        return np.concatenate(codes), np.array(starts), np.concatenate(hashes)
+        h, unit, first = hashed(texts)
+        n = len(texts)
+        starts = first + np.arange(n + 1)
+        codes, hashes = np.full(int(starts[-1]), self.n_head + UNITS, np.int64), np.zeros(int(starts[-1]), np.int64)
+        at = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))
+        place = self.place(h)
+        codes[at] = np.where(place >= 0, place, self.n_head + unit)
+        hashes[at] = np.where(place >= 0, 0, h)
+        return codes, starts, hashes
 
 
 def contexts(units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,15 +349,20 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Coding:
-    """doc_id, learn, part and texts to the columns of `coded`."""
+    """doc_id, learn, part and texts to the columns of `coded`, TEXTS texts at a time."""
 
     SCHEMA = "doc_id long, learn boolean, part int, n_tokens long, codes array<int>, tail array<struct<h:long,tf:long>>"
+    TEXTS = 2000
 
     def __init__(self, voc: Vocabulary) -> None:
         self.coder = resident(voc.id, lambda: Coder(voc))
 
     def __call__(self, ids: pa.Array, learn: pa.Array, part: pa.Array, texts: pa.Array) -> list:
-        codes, starts, h = self.coder(texts.to_pylist())
+        parts = [self._some(texts[a : a + self.TEXTS].to_pylist()) for a in range(0, len(texts), self.TEXTS)]
+        return [ids, learn, part, np.concatenate([x[0] for x in parts]), *(pa.concat_arrays([x[k] for x in parts]) for k in (1, 2))]
+
+    def _some(self, texts: list) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        codes, starts, h = self.coder(texts)
         n = len(starts) - 1
         at = np.flatnonzero(h)
         doc = np.searchsorted(starts, at, "right") - 1
@@ -304,12 +370,8 @@ class Coding:
         doc, h = doc[order], h[at][order]
         new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))) if len(doc) else np.zeros(0, np.int64)
         tf = np.diff(np.concatenate((new, [len(doc)])))
-        tails = np.searchsorted(doc[new], np.arange(n + 1)).astype(np.int32)
         struct = pa.StructArray.from_arrays([pa.array(h[new], pa.int64()), pa.array(tf, pa.int64())], names=["h", "tf"])
-        return [
-            ids, learn, part, np.diff(starts),
-            _list(starts, pa.array(codes, pa.int32())), _list(tails, struct),
-        ]
+        return np.diff(starts), _list(starts, pa.array(codes, pa.int32())), _list(np.searchsorted(doc[new], np.arange(n + 1)), struct)
 
 
 def _list(starts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -393,7 +455,7 @@ class Scoring:
 
 def count(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """Vocabulary, and the table of all counts (h, c), from docs(text)."""
-    partial = arrow_map(docs.select("text"), Counting, "h long, unit int, c long")
+    partial = arrow_map(docs.select("text"), Counting, "h long, unit int, c long", raw=True)
     counts = saved(partial.groupBy("h").agg(F.min("unit").alias("unit"), F.sum("c").alias("c")))
     n_docs = docs.count()
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
