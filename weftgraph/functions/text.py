@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a prompt.
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "you", "what", "how", "why", "can", "all", "has", "have", "into", "its")
+STOPWORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "can", "shall", "to", "of", "for",
+    "in", "on", "at", "by", "with", "from", "and", "or", "but", "not",
+    "no", "this", "that", "these", "those", "i", "you", "he", "she", "it",
+    "we", "they", "my", "your", "his", "her", "its", "our", "their", "me",
+    "him", "us", "them", "as", "if", "when", "where", "why", "how",
+    "what", "which", "who", "whom", "so", "than", "then", "just",
+)
 
 
 def make_id(*parts: Column, most: int = 120) -> Column:
@@ -51,35 +63,62 @@ def keywords(c: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """FNV-1a, 32 bits, over the code units of basic-plane text."""
-    step = lambda h, ch: ((h.bitwiseXOR(F.ascii(ch).cast("long"))) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(2166136261).cast("long"), step)
+    """FNV-1a, 32 bits, over UTF-16 code units (two for a letter beyond the basic plane)."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(....)"))
+    step = lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), step)
+
 
+#: A word boundary of ASCII letters, digits and underscore (Java's own also knows other letters).
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 #: Categories of personal data, in the order in which they are taken out.
 PII = (
-    ("aws_key", r"\b(AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("home_path", r"(/home/|/Users/)[A-Za-z0-9._-]+"),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("aws-access-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b"),
+    ("bearer", r"\b(?:Bearer|Token)\s+[A-Za-z0-9._\-+/=]{16,}\b"),
+    ("eth-address", r"\b0x[a-fA-F0-9]{40}\b"),
+    ("btc-address", r"\b(?:bc1[ac-hj-np-z02-9]{11,71}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"),
+    ("ssn-like", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("phone", r"\+?\b(?:\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
+    ("phone", r"\+\d{1,3}[-.\s]?\d{1,4}(?:[-.\s]?\d{1,4}){2,5}\b"),
+    ("ipv4", r"\b(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)){3}(?:\/\d{1,2})?\b"),
+    ("fs-path", r"(?:\/Users\/|\/home\/|[A-Z]:\\Users\\)[^\s\"'<>]+"),
+    ("hostname", r"\b[a-zA-Z0-9-]{1,63}(?:\.[a-zA-Z0-9-]{1,63})*\.[a-zA-Z]{2,24}\b"),
 )
+TOKEN = r"[A-Za-z0-9_+/=-]{24,}"
+CARD = r"\b(?:\d[ -]?){13,19}\b"
+REDACTED = "[REDACTED]"
+
+
+def java(pattern: str) -> str:
+    """A pattern with ASCII word boundaries for Java's engine."""
+    return pattern.replace(r"\b", EDGE)
+
 
+def random_tokens(c: Column) -> Column:
+    return F.filter(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: entropy(t) >= 4.0)
 
-def pii_found(c: Column) -> Column:
-    """Categories that fire, in order, each on what the earlier ones left."""
-    out, rest = [], c
-    for name, pattern in PII:
-        out.append(F.when(rest.rlike(pattern), F.lit(name)))
-        rest = F.regexp_replace(rest, pattern, f"[{name}]")
-    return F.array_compact(F.array(*out))
 
+def cards(c: Column) -> Column:
+    """Runs of digits, spaced or not, with a valid check digit."""
+    return F.filter(F.regexp_extract_all(c, F.lit(java(CARD)), F.lit(0)), lambda t: F.call_function("luhn_check", F.regexp_replace(t, r"[^0-9]", "")))
 
-def pii_strip(c: Column) -> Column:
-    for name, pattern in PII:
-        c = F.regexp_replace(c, pattern, f"[{name}]")
-    return c
+
+def pii_strip(text: DataFrame, column: str = "text") -> DataFrame:
+    """text with `redacted` and `categories` (those that fired, in order).  Each pass is a projection of its own, so
+    no expression holds the others' twice over."""
+    names = list(dict.fromkeys(name for name, _ in PII)) + ["high-entropy-token", "credit-card"]
+    out = text.withColumns({"redacted": F.col(column), "_fired": F.array().cast("array<string>")})
+    c = F.col("redacted")
+    passes = [(n, c.rlike(java(p)), F.regexp_replace(c, java(p), REDACTED)) for n, p in PII]
+    for name, found in (("high-entropy-token", random_tokens), ("credit-card", cards)):
+        passes.append((name, F.size(found(c)) > 0, F.aggregate(found(c), c, lambda left, hit: F.replace(left, hit, F.lit(REDACTED)))))
+    for name, fires, left in passes:
+        fired = F.when(fires, F.array_union("_fired", F.array(F.lit(name)))).otherwise(F.col("_fired"))
+        out = out.withColumns({"_fired": fired, "redacted": F.when(fires, left).otherwise(c)})
+    return out.withColumn("categories", F.array_intersect(F.array(*map(F.lit, names)), "_fired")).drop("_fired")
 
 
 def entropy(c: Column) -> Column:
@@ -90,11 +129,50 @@ def entropy(c: Column) -> Column:
     return F.aggregate(part, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
-def is_fix(subject: Column) -> Column:
-    """Commit subjects of bug fixes: a fix prefix or an issue-closing word; no reverts, fixups, squashes."""
-    low = F.lower(subject)
-    return (low.rlike(r"^(fix|bugfix|hotfix)(\([^)]*\))?!?:") | low.rlike(r"\b(fix(es|ed)?|close[sd]?|resolve[sd]?) #[0-9]+")) & ~low.rlike(r"^(revert|fixup!|squash!)")
+def is_fix(subject: Column, body: Column) -> Column:
+    """Commits that fix a bug: a fix prefix, or an issue-closing word in subject or body; no reverts, fixups, squashes."""
+    s = F.trim(subject)
+    closes = F.concat_ws("\n", s, F.coalesce(body, F.lit(""))).rlike(r"(?i)\b(fix(es|ed)?|close[sd]?|resolve[sd]?)\s+#[0-9]+")
+    return (s.rlike(r"(?i)^(fix|bugfix|hotfix)(\([^)]+\))?!?:\s") | closes) & ~s.rlike(r"(?i)^(revert\b|(fixup|squash)!)")
+
+
+def reverted_sha(body: Column) -> Column:
+    """The commit that a body says it reverts, or an empty string."""
+    return F.regexp_extract(body, r"(?i)This reverts commit\s+([0-9a-f]{7,40})", 1)
 
 
 def is_revert(subject: Column, body: Column) -> Column:
-    return (F.lower(subject).rlike(r"^revert\b") | body.rlike("This reverts commit")) & body.rlike(r"\b[0-9a-f]{7,40}\b")
+    """A revert's subject or body; only those whose body names a commit can be paired."""
+    return (F.trim(subject).rlike(r"(?i)^revert\b") | (reverted_sha(body) != "")) & (reverted_sha(body) != "")
+
+
+def normalised(text: str) -> str:
+    """For comparison alone: compatibility forms folded, lower case, no headers, no [labels], single spaces."""
+    x = unicodedata.normalize("NFKC", text).lower()
+    x = re.sub(r"(?m)^#+\s*", "", x)
+    return re.sub(r"\s+", " ", re.sub(r"\[[^\]\n]*\]", " ", x)).strip()
+
+
+def word_runs(text: str, n: int = 5) -> frozenset[str]:
+    """Runs of n words of a normalised text; fewer words are one run."""
+    w = text.split()
+    return frozenset(" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def likeness(a: frozenset, b: frozenset) -> float:
+    """Jaccard similarity: 1 if both are empty, 0 if one is."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def cut_units(text: str, most: int) -> str:
+    """At most `most` UTF-16 units of a text, never half a letter."""
+    if most <= 0:
+        return ""
+    return text.encode("utf-16-le", "surrogatepass")[: 2 * most].decode("utf-16-le", "ignore")
+
+
+def shortened(text: str, most: int) -> str:
+    """The text in at most `most` UTF-16 units, with an ellipsis where it was cut."""
+    if len(text.encode("utf-16-le", "surrogatepass")) // 2 <= most:
+        return text if most > 0 else ""
+    return cut_units(text, most - 1) + "…" if most > 1 else ""

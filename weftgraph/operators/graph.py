@@ -77,30 +77,27 @@ def closure(links: DataFrame, start: DataFrame, max_rounds: int = 50) -> DataFra
     return seen.filter("origin <> id")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(id, rank) for edges(a, b, weight): personalised on seeds(id) if given.
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 20, damping: float = 0.85, ids: DataFrame | None = None) -> DataFrame:
+    """(id, rank) for edges(a, b, weight): personalised on seeds(id) if given; ids(id) are further nodes.
 
     Self-loops and weights of 0 or less are dropped, parallel edges add up, ranks start as the teleport
-    vector, and the rank of nodes without out-edges goes to the teleport vector.
+    vector, and the rank of nodes without out-edges goes to the teleport vector.  A round reads the ranks once:
+    its flow is written to the checkpoint folder, and what the flow lacks of 1 is the hanging nodes' rank.
     """
     kept = edges.filter("a <> b AND weight > 0").groupBy("a", "b").agg(F.sum("weight").alias("w"))
     total = kept.groupBy("a").agg(F.sum("w").alias("t"))
     share = checkpointed(kept.join(total, "a").select("a", "b", (F.col("w") / F.col("t")).alias("p")))
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    own = seeds.select("id", F.lit(1).alias("s")).distinct() if seeds is not None else ids.select("id", F.lit(1).alias("s"))
-    base = ids.join(own, "id", "left").select("id", F.coalesce("s", F.lit(0)).alias("s"))
+    known = edges.select(F.col("a").alias("id")).union(edges.select("b"))
+    known = (known.union(ids.select("id")) if ids is not None else known).distinct()
+    own = seeds.select("id", F.lit(1).alias("s")).distinct() if seeds is not None else known.select("id", F.lit(1).alias("s"))
+    base = known.join(own, "id", "left").select("id", F.coalesce("s", F.lit(0)).alias("s"))
     n = base.agg(F.sum("s")).first()[0] or 1
-    out = share.select(F.col("a").alias("id")).distinct().withColumn("has_out", F.lit(True))
-    base = checkpointed(base.join(out, "id", "left").select("id", (F.col("s") / n).alias("tele"), F.coalesce("has_out", F.lit(False)).alias("has_out")))
+    base = checkpointed(base.select("id", (F.col("s") / n).alias("tele")))
     rank = base.withColumn("rank", F.col("tele"))
-    for i in range(1, rounds + 1):
-        flow = rank.join(share, rank["id"] == share["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        hanging = rank.filter(~F.col("has_out")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        rank = base.join(flow, "id", "left").crossJoin(F.broadcast(hanging)).select(
-            "id", "tele", "has_out", (F.lit(1 - damping) * F.col("tele") + F.lit(damping) * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("tele"))).alias("rank")
-        )
-        if i % every == 0:
-            rank = checkpointed(rank)
+    for _ in range(rounds):
+        flow = checkpointed(rank.join(share, rank["id"] == share["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow")))
+        lost = 1 - (flow.agg(F.sum("flow")).first()[0] or 0.0)
+        rank = base.join(flow, "id", "left").select("id", "tele", (F.lit(1 - damping) * F.col("tele") + F.lit(damping) * (F.coalesce("flow", F.lit(0.0)) + F.lit(lost) * F.col("tele"))).alias("rank"))
     return rank.select("id", "rank")
 
 

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def co_change(commits: DataFrame, most_files: int | None = None) -> DataFrame:
+def co_change(commits: DataFrame, most_files: int = 50) -> DataFrame:
     """(file_a, file_b, n): commits(commit, file) that hold both, file_a < file_b.
 
-    Pairs arise inside a commit only; most_files bounds them where commits can be huge.
+    Of a commit its first most_files files count (in the order of the column `pos`, else of their names), so a
+    huge commit adds a bounded number of pairs.
     """
-    own = commits.select("commit", "file").distinct()
-    if most_files:
-        size = own.groupBy("commit").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= most_files)
-        own = own.join(size.select("commit"), "commit", "left_semi")
+    order = "pos" if "pos" in commits.columns else "file"
+    nth = F.row_number().over(Window.partitionBy("commit").orderBy(order, "file"))
+    own = commits.select("commit", "file", *(["pos"] if order == "pos" else [])).dropDuplicates(["commit", "file"]).withColumn("nth", nth)
+    own = own.filter(F.col("nth") <= most_files).select("commit", "file")
     other = own.select("commit", F.col("file").alias("file_b"))
     return own.withColumnRenamed("file", "file_a").join(other, "commit").filter("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
 
@@ -29,10 +30,13 @@ def hot_files(commits: DataFrame, least: int = 5, k: int = 20) -> DataFrame:
     return counts.filter(F.col("changes") >= least).orderBy(F.desc("changes"), "file").limit(k)
 
 
-def depends_on(pairs: DataFrame) -> DataFrame:
-    """Inferred edges of pairs seen three times or more, more certain the more often."""
+def depends_on(pairs: DataFrame, stem=None) -> DataFrame:
+    """Inferred edges of pairs seen three times or more, more certain the more often; stem (of a column) gives the
+    ends' ids, and pairs whose files have the same one are left out."""
     score = F.round(F.least(F.lit(0.95), F.lit(0.5) + F.lit(0.05) * F.col("n")), 4)
-    return pairs.filter("n >= 3").select(F.col("file_a").alias("source"), F.col("file_b").alias("target"), score.alias("confidence_score"))
+    ends = [(stem or (lambda c: c))(F.col(c)) for c in ("file_a", "file_b")]
+    got = pairs.filter("n >= 3").select(ends[0].alias("source"), ends[1].alias("target"), score.alias("confidence_score"))
+    return got.filter("source <> target")
 
 
 def file_churn(commits: DataFrame, as_of) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,81 @@ def by_file(nodes: DataFrame, file: str, most: int = 500) -> DataFrame:
 
 
 def search(nodes: DataFrame, text: str, k: int = 20) -> DataFrame:
-    """Labels or ids that hold text, in either case."""
+    """Labels or ids that hold text, in either case; the most asked for first."""
     t = text.lower()
-    return nodes.filter(F.lower("label").contains(t) | F.lower("id").contains(t)).orderBy("id").limit(k)
+    order = [F.desc("query_count")] if "query_count" in nodes.columns else []
+    return nodes.filter(F.lower("label").contains(t) | F.lower("id").contains(t)).orderBy(*order, "id").limit(k)
+
+
+def mistakes(notes: DataFrame, file: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, k: int = 20) -> DataFrame:
+    """Mistakes, newest first: of one file, not older than since_ms, not invalid at as_of_ms."""
+    own = notes.filter("kind = 'mistake'")
+    if file is not None:
+        own = own.filter(F.col("source_file") == file)
+    if since_ms is not None:
+        own = own.filter(F.col("last_verified") >= since_ms)
+    if as_of_ms is not None:
+        own = own.filter(F.col("valid_until").isNull() | (F.col("valid_until") > as_of_ms))
+    return own.orderBy(F.desc("last_verified"), "id").limit(k)
+
+
+def bulk_upsert(path: str, new: DataFrame, *key: str) -> DataFrame:
+    """The table at path with new rows in place of those with their key: written beside it, then swapped in.
+
+    A reader sees the old table or the new one.  The folder's name in the file `current` is what counts.
+    """
+    spark = new.sparkSession
+    old = current(spark, path)
+    both = new.withColumn("seq", F.lit(1)) if old is None else old.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))
+    version = f"v{uuid.uuid4().hex}"
+    fs, at = _fs(spark, path)
+    upsert(both, both.limit(0), *key).drop("seq").write.parquet(f"{path}/{version}")
+    out = fs.create(at(f"{path}/next"), True)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    fs.delete(at(f"{path}/current"), False)
+    fs.rename(at(f"{path}/next"), at(f"{path}/current"))
+    return current(spark, path)
+
+
+def current(spark, path: str) -> DataFrame | None:
+    """The table that was swapped in last, or None."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at(f"{path}/current")):
+        return None
+    version = spark.read.text(f"{path}/current").first()[0]
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def _fs(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+#: Steps of the nodes' schema: what each version adds, with its default.
+STEPS = (
+    (1, "query_count", "bigint", "0"), (2, "metadata", "string", "'{}'"), (3, "valid_until", "bigint", "null"), (4, "invalidated_by", "string", "null"),
+    (5, "then_believed", "string", "null"), (6, "found_false_at", "bigint", "null"), (7, "truth_now", "string", "null"),
+)
+
+
+def migrate(nodes: DataFrame, version: int, to: int) -> DataFrame:
+    """nodes of a schema version brought to another one, up or down; a column that is there stays as it is."""
+    for number, name, kind, default in STEPS:
+        if version < number <= to and name not in nodes.columns:
+            nodes = nodes.withColumn(name, F.expr(f"cast({default} as {kind})"))
+        if to < number <= version:
+            nodes = nodes.drop(name)
+    return nodes
+
+
+def opened(spark, path: str) -> DataFrame:
+    """The nodes table at a path, checked and brought to the newest schema."""
+    nodes = spark.read.parquet(path)
+    missing = {"id", "label", "kind", "source_file"} - set(nodes.columns)
+    if missing:
+        raise ValueError(f"{path} is no nodes table: it lacks {', '.join(sorted(missing))}")
+    return migrate(nodes, 0, STEPS[-1][0])
 
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:

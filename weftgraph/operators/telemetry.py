@@ -74,18 +74,29 @@ def p_curve(session_buckets: DataFrame, grid: tuple = (0.0, 0.25, 0.5, 0.75, 1.0
     return got.select("p", F.round(cost, 6).alias("tokens"), F.round(1 - cost / F.col("base"), 8).alias("reduction"))
 
 
-def hit_rates(log: DataFrame, least: int = 20) -> DataFrame:
-    """Tuning proposals from each tool's share of allowed among denied and allowed rows."""
-    got = log.groupBy("tool").agg(F.count_if(F.col("decision") == "allow").alias("hits"), F.count_if(F.col("decision") == "deny").alias("denies"))
-    rate = F.col("hits") / F.col("denies")
-    return got.filter(F.col("denies") >= least).select("tool", "hits", "denies", F.round(rate, 8).alias("rate"), F.when(F.col("hits") == 0, "disable").when(rate >= 0.9, "raise").otherwise("keep").alias("proposal"))
+def hit_rates(log: DataFrame, least: int = 20, budget: int = 200) -> DataFrame:
+    """Tuning proposals for each provider of log(event, decision, provider), once there are enough denied reads: off
+    if it never contributed, a fifth more budget if it did so in nine of ten denied reads."""
+    denied = log.filter("event = 'PreToolUse' AND decision = 'deny'")
+    n = denied.agg(F.count(F.lit(1)).alias("denied"))
+    got = log.filter("provider IS NOT NULL").groupBy("provider").agg(F.count_if(F.expr("event = 'PreToolUse' AND decision = 'deny'")).alias("hits"))
+    rate = F.col("hits") / F.col("denied")
+    return got.crossJoin(F.broadcast(n)).filter(F.col("denied") >= least).select(  # one row
+        "provider", "hits", "denied", F.round(rate, 8).alias("rate"), F.when(F.col("hits") == 0, "disable").when(rate >= 0.9, "raise").otherwise("keep").alias("proposal"),
+        F.when(rate >= 0.9, F.round(F.lit(budget * 1.2)).cast("long")).otherwise(F.lit(budget).cast("long")).alias("budget"),
+    )
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """The value at place floor(n / 2) of the sorted values."""
-    w = Window.partitionBy(by)
-    rows = df.withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
-    return rows.filter(F.col("rn") == F.floor(F.col("n") / 2) + 1).select(by, F.col(value).alias("median"))
+    """The value at place floor(n / 2) of the sorted values.
+
+    Equal values are counted before anything is sorted, so a group costs its distinct values, not its rows.
+    """
+    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(by).orderBy(value)
+    run = counts.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(by))})
+    place = F.floor(F.col("all") / 2) + 1
+    return run.filter((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select(by, F.col(value).alias("median"))
 
 
 def interception_rate(log: DataFrame) -> DataFrame:
@@ -102,3 +113,43 @@ def weekly(log: DataFrame) -> DataFrame:
     """Totals by ISO week, with the grand total recomputed from sums (week null)."""
     week = F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), "ts").cast("int"), F.weekofyear("ts"))
     return log.withColumn("week", week).rollup("week").agg(F.count(F.lit(1)).alias("n"), F.sum("saved").alias("saved"), F.sum("would_have").alias("would_have")).withColumn("ratio", F.round(F.col("saved") / F.col("would_have"), 8))
+
+
+def warnings(log: DataFrame) -> DataFrame:
+    """Denied rows whose reason speaks of a past mistake."""
+    told = F.lower("reason").rlike("mistake|landmine")
+    return log.agg(F.count_if((F.col("decision") == "deny") & told).alias("warnings"))
+
+
+def symbol_wins(rows: DataFrame) -> DataFrame:
+    """Of rows(raw, packet, intercepted, recall): the searches whose packet is smaller, their reduction, their share of all
+    searches and their mean recall, in percent."""
+    win = F.col("intercepted") & (F.col("packet") < F.col("raw"))
+    whole = lambda c: F.floor(c * 100 + 0.5).cast("long")
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(win).alias("wins"), *(F.sum(F.when(win, F.col(c))).alias(c) for c in ("raw", "packet")), F.avg(F.when(win, F.col("recall"))).alias("recall"))
+    return got.select("wins", whole(1 - F.col("packet") / F.col("raw")).alias("reduction"), whole(F.col("wins") / F.col("n")).alias("rate"), whole(F.col("recall")).alias("recall"))
+
+
+def runs(log: DataFrame, gap_seconds: int) -> DataFrame:
+    """(seq, run) of log(path, ts, seq, sid): rows with a session id belong to it, the others to runs by gap; a path
+    whose rows are mixed has both kinds."""
+    w = Window.partitionBy("path", F.col("sid").isNull()).orderBy("ts", "seq")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+    told = log.withColumn("new", F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)).withColumn("g", F.sum("new").over(w))
+    name = F.when(F.col("sid").isNull(), F.concat(F.lit(" gap "), F.col("g").cast("string"))).otherwise(F.concat(F.lit(" id "), F.col("sid").cast("string")))
+    return told.select("seq", F.concat("path", name).alias("run"))
+
+
+def session_lines(log: DataFrame) -> DataFrame:
+    """(session, line): reads, warnings, tokens and displaced tokens of each session; none where all of them are 0."""
+    warned = (F.col("decision") == "deny") & F.lower("reason").rlike("mistake|landmine")
+    t = log.groupBy("session").agg(F.count_if(F.col("tool") == "Read").alias("reads"), F.count_if(warned).alias("warnings"), F.sum("saved").alias("saved"), F.sum("displaced").alias("displaced"))
+    text = F.format_string("%d reads, %d warnings, %d tokens, %d displaced", "reads", "warnings", "saved", "displaced")
+    return t.filter("reads + warnings + saved + displaced > 0").select("session", text.alias("line"))
+
+
+def health(findings: DataFrame, by: str) -> DataFrame:
+    """Of each group the worst severity (ok, warn, fail) of findings(severity), and how many findings are not ok."""
+    levels = F.array(F.lit("ok"), F.lit("warn"), F.lit("fail"))
+    worst = F.max(F.array_position(levels, F.col("severity")))
+    return findings.groupBy(by).agg(F.element_at(levels, worst.cast("int")).alias("health"), F.count_if(F.col("severity") != "ok").alias("findings"))

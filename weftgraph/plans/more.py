@@ -55,11 +55,6 @@ def _(s, d):
     return A.commit_files(s, d).join(newest, "commit", "left_semi").withColumn("nth", nth).filter("nth <= 50").select(F.col("commit").alias("commit_id"), "file")
 
 
-@spec("S12_newest_commits", (), "SELECT o_orderkey AS commit_id, o_custkey AS author, o_orderdate AS ts FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 300")
-def _(s, d):
-    return A.table(s, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(300).select(F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"))
-
-
 # Store
 @spec("K7_hit_counts", ("nodes",), ", hits AS (SELECT 'part:' || l_partkey AS id, count(*) AS n FROM lineitem GROUP BY l_partkey) SELECT n.id, coalesce(h.n, 0) AS query_count FROM nodes n LEFT JOIN hits h ON h.id = n.id")
 def _(s, d):
@@ -237,12 +232,6 @@ def _(s, d):
     return _files(s, d).select(p, X.dirname(p).alias("dir"), X.basename(p).alias("base"), P.base_key(p).alias("key"))
 
 
-@spec("X12_ratio_phrase", (), "WITH r AS (SELECT p_partkey, round((p_size - 5) / 10.0::DOUBLE, 1) AS r FROM part) SELECT p_partkey, CASE WHEN r <= 0 THEN 'n/a' WHEN r >= 1 THEN 'smaller' ELSE 'larger' END AS side FROM r")
-def _(s, d):
-    r = F.round((F.col("p_size") - 5) / 10, 1)
-    return A.table(s, d, "part").select("p_partkey", F.when(r <= 0, "n/a").when(r >= 1, "smaller").otherwise("larger").alias("side"))
-
-
 @spec("X28_cost_fields", ("log",), "SELECT seq, nullif(would_have, 0) AS would_have, nullif(injected, 0) AS injected, nullif(greatest(0, would_have - injected), 0) AS saved FROM log")
 def _(s, d):
     zero = F.lit(0).cast("long")
@@ -308,8 +297,7 @@ def _brief_sql(gods: int, mistakes: int) -> str:
     return sql
 
 
-for _name, _gods, _mistakes in (("P6_memory_section", 10, 5), ("P7_session_brief", 10, 3), ("P8_compaction_brief", 5, 3), ("P10_switch_brief", 5, 0)):
-    spec(_name, ("nodes", "edges"), _brief_sql(_gods, _mistakes))(lambda s, d, g=_gods, m=_mistakes: _brief(s, d, g, m))
+spec("P6_memory_section", ("nodes", "edges"), _brief_sql(10, 5))(lambda s, d: _brief(s, d, 10, 5))
 
 
 @spec("P14_weekly_digest", ("log",), ", w AS (SELECT CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week, tool, saved FROM log) SELECT week, coalesce(tool, '*') AS project, CAST(sum(saved) AS BIGINT) AS saved, round(sum(saved)::DOUBLE / 1000000 * 3, 8) AS usd FROM w GROUP BY GROUPING SETS ((week, tool), (week))")

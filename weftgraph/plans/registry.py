@@ -100,21 +100,11 @@ def _(s, d):
 
 
 # Filters
-@spec("F1_search", ("nodes",), "SELECT * FROM nodes WHERE contains(lower(label), '12') OR contains(lower(id), '12') ORDER BY id LIMIT 20")
-def _(s, d):
-    return S.search(A.nodes(s, d), "12")
-
-
 @spec("F4_active_mistakes", (), "WITH x AS (SELECT event_id, user_id, event_type, ts, min(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS valid_until FROM events) SELECT event_id, user_id FROM x WHERE event_type = 'error' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-05 00:00:00')")
 def _(s, d):
     return S.active_mistakes(A.table(s, d, "events"), dt.datetime(2024, 1, 5)).select("event_id", "user_id")
 
 
-@spec("F5_mistakes", (), "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value >= 10 ORDER BY ts DESC, event_id DESC LIMIT 20")
-def _(s, d):
-    return A.table(s, d, "events").filter("event_type = 'error' AND value >= 10").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "value")
-
-
 # Joins and graph
 @spec("J1_neighbours", ("nodes", "edges"), f", {BOTH} SELECT b.id, b.other, b.relation, n.label, n.kind FROM both_ b JOIN nodes n ON n.id = b.other WHERE b.id IN (SELECT id FROM nodes WHERE kind = 'class')")
 def _(s, d):
@@ -139,13 +129,6 @@ def _links(s, d, least=2):
 PAIRS = "pg AS (SELECT file_a AS a, file_b AS b, n FROM co_change WHERE n >= 2), ln AS (SELECT a, b, n FROM pg UNION ALL SELECT b, a, n FROM pg)"
 
 
-@spec("G2_bfs", ("commits",), f", {PAIRS}, seed AS (SELECT id FROM (SELECT a AS id, count(*) AS c FROM ln GROUP BY a) ORDER BY c DESC, id LIMIT 3), l1 AS (SELECT DISTINCT b AS id FROM ln WHERE a IN (SELECT id FROM seed) AND b NOT IN (SELECT id FROM seed)), l2 AS (SELECT DISTINCT b AS id FROM ln WHERE a IN (SELECT id FROM l1) AND b NOT IN (SELECT id FROM l1) AND b NOT IN (SELECT id FROM seed)) SELECT id, 0 AS level FROM seed UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2")
-def _(s, d):
-    ln = G.checkpointed(_links(s, d))
-    deg = ln.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    return G.bfs_levels(ln, deg.orderBy(F.desc("c"), "id").limit(3).select("id"), 2)
-
-
 def _rounds(n: int) -> str:
     out = []
     for i in range(n):
@@ -189,9 +172,8 @@ def _(s, d):
     return a.join(a.withColumnRenamed("focal", "file"), "s_nationkey").filter("focal <> file").select("focal", "file")
 
 
-@spec("G17_related_files", ("commits",), ", foc AS (SELECT p_partkey AS focal FROM part WHERE p_partkey % 40 = 0), ln AS (SELECT file_a AS focal, file_b AS file, n FROM co_change UNION ALL SELECT file_b, file_a, n FROM co_change), co AS (SELECT l.focal, l.file, -n AS rnk, 2 AS tier FROM ln l JOIN foc ON foc.focal = l.focal WHERE n >= 2), sib AS (SELECT f.focal, p2.p_partkey AS file, p2.p_partkey AS rnk, 4 AS tier FROM foc f JOIN part p1 ON p1.p_partkey = f.focal JOIN part p2 ON p2.p_brand = p1.p_brand AND p2.p_size = p1.p_size AND p2.p_partkey <> p1.p_partkey), al AS (SELECT * FROM co UNION ALL SELECT * FROM sib), best AS (SELECT focal, file, tier, rnk FROM (SELECT *, row_number() OVER (PARTITION BY focal, file ORDER BY tier, rnk) AS q FROM al) WHERE q = 1) SELECT focal, file, tier, place FROM (SELECT focal, file, tier, row_number() OVER (PARTITION BY focal ORDER BY tier, rnk, file) AS place FROM best) WHERE place <= 10")
+@spec("G17_related_files", ("commits",), ", foc AS (SELECT p_partkey AS focal FROM part), ln AS (SELECT file_a AS focal, file_b AS file, n FROM co_change UNION ALL SELECT file_b, file_a, n FROM co_change), co AS (SELECT l.focal, l.file, -n AS rnk, 2 AS tier FROM ln l JOIN foc ON foc.focal = l.focal WHERE n >= 2), sib AS (SELECT f.focal, p2.p_partkey AS file, p2.p_partkey AS rnk, 4 AS tier FROM foc f JOIN part p1 ON p1.p_partkey = f.focal JOIN part p2 ON p2.p_brand = p1.p_brand AND p2.p_size = p1.p_size AND p2.p_partkey <> p1.p_partkey), al AS (SELECT * FROM co UNION ALL SELECT * FROM sib), best AS (SELECT focal, file, tier, rnk FROM (SELECT *, row_number() OVER (PARTITION BY focal, file ORDER BY tier, rnk) AS q FROM al) WHERE q = 1) SELECT focal, file, tier, place FROM (SELECT focal, file, tier, row_number() OVER (PARTITION BY focal ORDER BY tier, rnk, file) AS place FROM best) WHERE place <= 10")
 def _(s, d):
-    # The SQL holds one part in 40 as focal; the query takes all of them and equals it on those.
     p = A.table(s, d, "part")
     focal = p.select(F.col("p_partkey").alias("focal"), "p_brand", "p_size")
     pairs = M.co_change(A.commit_files(s, d)).filter("n >= 2")
@@ -213,11 +195,6 @@ def _(s, d):
     return M.co_change(A.commit_files(s, d)).filter("n >= 2")
 
 
-@spec("A5_depends_on", ("commits",), "SELECT file_a AS source, file_b AS target, round(least(0.95::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * n), 4) AS confidence_score FROM co_change WHERE n >= 3")
-def _(s, d):
-    return M.depends_on(M.co_change(A.commit_files(s, d)))
-
-
 @spec("A6_hot_files", ("commits",), "SELECT file, count(*) AS changes FROM commits GROUP BY file HAVING count(*) >= 5 ORDER BY changes DESC, file LIMIT 20")
 def _(s, d):
     return M.hot_files(A.commit_files(s, d))
@@ -297,11 +274,6 @@ def _(s, d):
     return T.upper_median(A.log(s, d).select("tool", "would_have"), "tool", "would_have")
 
 
-@spec("A19_hit_rates", ("log",), "SELECT tool, hits, denies, round(hits::DOUBLE / denies, 8) AS rate, CASE WHEN hits = 0 THEN 'disable' WHEN hits::DOUBLE / denies >= 0.9 THEN 'raise' ELSE 'keep' END AS proposal FROM (SELECT tool, count(CASE WHEN decision = 'allow' THEN 1 END) AS hits, count(CASE WHEN decision = 'deny' THEN 1 END) AS denies FROM log GROUP BY tool) WHERE denies >= 20")
-def _(s, d):
-    return T.hit_rates(A.log(s, d))
-
-
 @spec("A20_days", ("log",), "SELECT CAST(ceil((epoch(max(ts)) - epoch(min(ts))) / 86400.0) AS BIGINT) AS days FROM log")
 def _(s, d):
     return T.days_spanned(A.log(s, d))
@@ -370,11 +342,6 @@ def _(s, d):
     return A.table(s, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
-@spec("X15_pii", (), "WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\\b(AKIA|ASIA)[A-Z0-9]{16}\\b', '[aws_key]', 'g'), '\\beyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+', '[jwt]', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b', '[ssn]', 'g') AS t FROM a) SELECT doc_id, length(regexp_replace(regexp_replace(t, '\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b', '[ipv4]', 'g'), '(/home/|/Users/)[A-Za-z0-9._-]+', '[home_path]', 'g')) AS n FROM b")
-def _(s, d):
-    return A.table(s, d, "documents").select("doc_id", F.length(X.pii_strip(F.col("text"))).cast("long").alias("n"))
-
-
 KEYWORDS = ("brand#1", "1", "part", "zzz")
 
 
@@ -400,21 +367,6 @@ def _(s, d):
     return R.packed(R.blended(A.results(s, d), PRIORITY), 4000).select("request", "seq", "tokens", "running")
 
 
-@spec("D1_section_dedup")
-def _(s, d):
-    return R.deduplicated(R.blended(A.results(s, d), PRIORITY))
-
-
-@spec("X10_keywords")
-def _(s, d):
-    return A.table(s, d, "conversations").select("conv_id", "turn", X.keywords(F.col("text")).alias("keywords"))
-
-
-@spec("X6_fnv1a")
-def _(s, d):
-    return A.table(s, d, "part").select("p_partkey", X.fnv1a(F.col("p_name")).alias("h"))
-
-
 @spec("G5_shortest_path")
 def _(s, d):
     return G.shortest_path(G.checkpointed(_links(s, d)), 42, 1000)

@@ -1,8 +1,4 @@
-"""Further queries: set operations, parsers, packets, warnings and replay.
-
-Where the driver tables hold nothing of the kind (commit subjects, code lines, notes), a query reads the
-rows written beside it; its SQL reads the same rows.
-"""
+"""Further queries: set operations, parsers, packets, caches and replay."""
 
 from __future__ import annotations
 
@@ -16,48 +12,7 @@ from .more import _count
 from .registry import BOTH, oracle_sql, queries, spec  # noqa: F401  (the whole table is read through this module)
 
 
-class Rows:
-    """A few literal rows, as a DataFrame and as SQL."""
-
-    def __init__(self, name: str, columns: str, *rows: tuple) -> None:
-        self.name, self.columns, self.rows = name, columns, rows
-
-    def df(self, spark):
-        return spark.createDataFrame(list(self.rows), ", ".join(f"{c} string" for c in self.columns.split()))
-
-    @property
-    def sql(self) -> str:
-        quote = lambda v: "'" + v.replace("'", "''") + "'"
-        body = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in self.rows)
-        return f"{self.name}({', '.join(self.columns.split())}) AS (VALUES {body})"
-
-
-COMMITS = Rows(
-    "cm", "sha subject body", ("a1b2c3d4e5", "fix: null reads", ""), ("b2c3d4e5f6", "Add cache", "closes #12"), ("c3d4e5f6a7", 'Revert "Add cache"', "This reverts commit b2c3d4e."),
-    ("d4e5f6a7b8", "hotfix(api)!: limits", ""), ("e5f6a7b8c9", "fixup! fix: null reads", ""), ("f6a7b8c9d0", "Revert the limits", "no sha"), ("a7b8c9d0e1", "Resolves #9 in rank", ""),
-)
-CODE = Rows(
-    "code", "lang line", ("ts", "export async function load(x) {"), ("ts", "const a = 1"), ("ts", "interface Row {"), ("python", "    def run(self):"), ("python", "class Tree:"),
-    ("go", "func (s *Store) Save() error {"), ("go", "type Node struct {"), ("rust", "pub(crate) fn walk() {"), ("rust", "let x = 1;"), ("java", "class A {"),
-)
-NOTES = Rows("notes", "line", ("- [Cache](cache.md) — how it is kept",), ("- [Ranks](r/ranks.md) — order",), ("- no link",), ("## Decisions",))
-MARKED = Rows("marked", "id body", ("1", "a <!-- start --> b <!-- end -->"), ("2", "none"), ("3", "<!-- start -->"), ("4", "```\n<!-- start -->\n``` text"), ("5", "```x``` <!-- start --><!-- end --> ```<!-- end -->```"))
-
-
 # Stores and scans
-@spec("S8_jsonl_scan", ("log",), "SELECT seq, path, injected FROM log WHERE seq % 10 <> 0")
-def _(s, d):
-    line = F.to_json(F.struct("seq", "path", "injected"))
-    lines = A.log(s, d).select(F.when(F.col("seq") % 10 == 0, F.substring(line, 1, 9)).otherwise(line).alias("line"))  # every tenth line is torn
-    return lines.select(F.from_json("line", "seq long, path string, injected long").alias("r")).select("r.*").filter("seq IS NOT NULL AND injected IS NOT NULL")
-
-
-@spec("S16_memory_index", (), f"WITH {NOTES.sql} SELECT regexp_extract(line, '^- \\[(.*?)\\]\\((.*?)\\) — (.*)$', 1) AS title, regexp_extract(line, '^- \\[(.*?)\\]\\((.*?)\\) — (.*)$', 2) AS file FROM notes WHERE regexp_matches(line, '^- \\[(.*?)\\]\\((.*?)\\) — (.*)$')")
-def _(s, d):
-    shape = r"^- \[(.*?)\]\((.*?)\) — (.*)$"
-    return NOTES.df(s).filter(F.col("line").rlike(shape)).select(F.regexp_extract("line", shape, 1).alias("title"), F.regexp_extract("line", shape, 2).alias("file"))
-
-
 @spec("K6_replace_co_change", ("commits",), "SELECT file_a, file_b, n FROM co_change WHERE n >= 2 AND file_a <> file_b")
 def _(s, d):
     f = A.commit_files(s, d).select("commit", "file").distinct()
@@ -65,29 +20,7 @@ def _(s, d):
     return pairs.groupBy("file_a", "file_b").agg(_count().alias("n")).filter("n >= 2")
 
 
-@spec("K8_cache_put", ("log",), "SELECT path, max(ts) AS cached_at, arg_max(injected, seq) AS size FROM log GROUP BY path")
-def _(s, d):
-    return A.log(s, d).groupBy("path").agg(F.max("ts").alias("cached_at"), F.max_by("injected", "seq").alias("size"))
-
-
 # Predicates
-@spec("F9_fix_subject", (), f"WITH {COMMITS.sql} SELECT sha FROM cm WHERE (regexp_matches(lower(subject), '^(fix|bugfix|hotfix)(\\([^)]*\\))?!?:') OR regexp_matches(lower(subject), '\\b(fix(es|ed)?|close[sd]?|resolve[sd]?) #[0-9]+')) AND NOT regexp_matches(lower(subject), '^(revert|fixup!|squash!)')")
-def _(s, d):
-    return COMMITS.df(s).filter(X.is_fix(F.col("subject"))).select("sha")
-
-
-@spec("F10_revert", (), f"WITH {COMMITS.sql} SELECT sha FROM cm WHERE (regexp_matches(lower(subject), '^revert\\b') OR contains(body, 'This reverts commit')) AND regexp_matches(body, '\\b[0-9a-f]{{7,40}}\\b')")
-def _(s, d):
-    return COMMITS.df(s).filter(X.is_revert(F.col("subject"), F.col("body"))).select("sha")
-
-
-@spec("F2_hidden_keywords", (), "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'")
-def _(s, d):
-    meta = F.create_map(F.lit("subkind"), F.when(F.col("o_orderstatus") == "P", "keyword").otherwise("plain"))
-    n = A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("concept").alias("kind"), meta.alias("metadata"))
-    return n.filter("kind = 'concept' AND metadata.subkind = 'keyword'").select("id")
-
-
 # Joins
 @spec("J2_degree_join", ("nodes", "edges"), f", {BOTH} SELECT n.id, count(*) AS degree FROM nodes n JOIN both_ b ON b.id = n.id GROUP BY n.id")
 def _(s, d):
@@ -110,46 +43,6 @@ def _(s, d):
     return both.join(focal, "id").join(n.select(F.col("id").alias("other"), F.col("source_file").alias("file")), "other").filter("focal <> file").select("focal", "file").distinct()
 
 
-@spec("J12_revert_pairs", (), f"WITH {COMMITS.sql}, rv AS (SELECT sha, regexp_extract(body, '\\b[0-9a-f]{{7,40}}\\b') AS p FROM cm) SELECT rv.sha, o.sha AS original FROM rv JOIN cm o ON starts_with(o.sha, rv.p) WHERE rv.p <> ''")
-def _(s, d):
-    c = COMMITS.df(s)
-    made = c.select("sha", F.regexp_extract("body", r"\b[0-9a-f]{7,40}\b", 0).alias("p")).filter("p <> ''").withColumn("k", F.substring("p", 1, 7))
-    old = c.select(F.col("sha").alias("original"), F.substring("sha", 1, 7).alias("k"))
-    return made.join(old, "k").filter(F.col("original").startswith(F.col("p"))).select("sha", "original")
-
-
-@spec("J14_mistakes_of_files", ("log",), "SELECT DISTINCT seq, path FROM log WHERE tool = 'Write'")
-def _(s, d):
-    g = A.log(s, d)
-    files = g.select("path").distinct().select(F.col("path").alias("file"), F.explode(F.array(F.col("path"), F.concat(F.lit("./"), F.col("path")))).alias("at"))
-    wrong = g.filter("tool = 'Write'").select("seq", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("./"), F.col("path"))).otherwise(F.col("path")).alias("at"))
-    return wrong.join(files, "at").select("seq", F.col("file").alias("path")).distinct()
-
-
-@spec("G12_top_edges", ("edges",), ", dg AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id) SELECT e.source, e.target, a.n + b.n AS weight FROM edges e JOIN dg a ON a.id = e.source JOIN dg b ON b.id = e.target ORDER BY weight DESC, e.source, e.target LIMIT 10")
-def _(s, d):
-    e = A.edges(s, d)
-    deg = e.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(_count().alias("n"))
-    out = e.join(deg.select(F.col("id").alias("source"), F.col("n").alias("a")), "source").join(deg.select(F.col("id").alias("target"), F.col("n").alias("b")), "target")
-    return out.select("source", "target", (F.col("a") + F.col("b")).alias("weight")).orderBy(F.desc("weight"), "source", "target").limit(10)
-
-
-TERMS = ("supplier", "asia", "nation:1")
-
-
-@spec("G1_seed_scores", ("nodes", "edges"), f", {BOTH}, tm(t) AS (VALUES {', '.join(f'({t!r})' for t in TERMS)}), hit AS (SELECT id FROM (SELECT n.id, row_number() OVER (PARTITION BY t ORDER BY n.id) AS r FROM nodes n JOIN tm ON contains(lower(n.label), t) OR contains(lower(n.id), t)) WHERE r <= 200), cand AS (SELECT id FROM hit UNION SELECT other FROM both_ WHERE id IN (SELECT id FROM hit)), sc AS (SELECT n.id, CAST(sum(2 * CAST(contains(lower(n.label), t) AS INT) + CAST(contains(lower(n.source_file), t) AS INT)) AS INT) AS score FROM nodes n JOIN cand USING (id), tm GROUP BY n.id) SELECT id, score FROM sc WHERE score > 0")
-def _(s, d):
-    n = A.nodes(s, d)
-    e = A.edges(s, d)
-    low = n.select("id", F.lower("label").alias("label"), F.lower("source_file").alias("file"))
-    each = [low.filter(F.col("label").contains(t) | F.lower("id").contains(t)).orderBy("id").limit(200).select("id") for t in TERMS]
-    hit = each[0].union(each[1]).union(each[2]).distinct()
-    both = e.select(F.col("source").alias("id"), F.col("target").alias("other")).union(e.select("target", "source"))
-    cand = hit.union(both.join(hit, "id", "left_semi").select("other")).distinct()
-    score = sum((F.when(F.col("label").contains(t), 2).otherwise(0) + F.when(F.col("file").contains(t), 1).otherwise(0) for t in TERMS), F.lit(0))
-    return low.join(cand, "id", "left_semi").select("id", score.alias("score")).filter("score > 0")
-
-
 # Set operations
 @spec("U1_both_directions", ("commits",), "SELECT file_a AS a, file_b AS b FROM co_change WHERE n >= 2 UNION ALL SELECT file_b, file_a FROM co_change WHERE n >= 2")
 def _(s, d):
@@ -191,11 +84,6 @@ def _(s, d):
     return A.table(s, d, "part").select(F.col("p_partkey").alias("id"), X.bare_name(F.concat(F.col("p_name"), F.when(F.col("p_size") > 25, "<T>(x)").otherwise(" (y)"))).alias("name"))
 
 
-@spec("X11_formats", (), "SELECT o_orderkey AS id, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS number, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
-def _(s, d):
-    return A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.format_number(F.floor("o_totalprice"), 0).alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-
-
 @spec("X13_entropy", (), "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{24,}')) AS token FROM documents) SELECT doc_id, token FROM w WHERE list_entropy(string_split(token, '')) >= 4.0")
 def _(s, d):
     w = A.table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{24,}"), F.lit(0))).alias("token"))
@@ -214,16 +102,6 @@ def _(s, d):
     return A.table(s, d, "events").select("event_id", Q.canonical_json(raw).alias("body"))
 
 
-@spec("X20_declarations", (), f"WITH {CODE.sql} SELECT lang, line, CASE lang {' '.join(f'WHEN {k!r} THEN regexp_extract(line, {chr(39)}{p}{chr(39)}, 1)' for k, p in Q.DECLARES.items())} ELSE '' END AS name FROM code")
-def _(s, d):
-    return CODE.df(s).select("lang", "line", Q.declared(F.col("lang"), F.col("line")).alias("name"))
-
-
-@spec("X23_revert_subject", (), f"WITH {COMMITS.sql} SELECT sha, CASE WHEN regexp_matches(subject, '^Revert \".*\"') THEN regexp_extract(subject, '\"(.*)\"', 1) ELSE subject END AS pattern FROM cm")
-def _(s, d):
-    return COMMITS.df(s).select("sha", Q.revert_subject(F.col("subject")).alias("pattern"))
-
-
 @spec("X26_template", ("log",), "SELECT seq, 'read ' || path || ' by ' || tool || ' {other}' AS arg FROM log")
 def _(s, d):
     return A.log(s, d).select("seq", Q.fill("read {path} by {tool} {other}", path=F.col("path"), tool=F.col("tool")).alias("arg"))
@@ -240,38 +118,15 @@ def _(s, d):
     return A.table(s, d, "documents").select("doc_id", Q.fingerprint(F.col("text")).alias("print"))
 
 
-@spec("X31_markers", (), f"WITH {MARKED.sql}, b AS (SELECT id, regexp_replace(body, '(?s)```.*?```', '', 'g') AS t FROM marked), c AS (SELECT id, len(string_split(t, '<!-- start -->')) AS s, len(string_split(t, '<!-- end -->')) AS e FROM b) SELECT id, CASE WHEN s = 1 AND e = 1 THEN 'none' WHEN s = e THEN 'balanced' ELSE 'unbalanced' END AS state FROM c")
-def _(s, d):
-    return MARKED.df(s).select("id", Q.markers(F.col("body"), "<!-- start -->", "<!-- end -->").alias("state"))
-
-
 # Packets
 @spec("T5_cut_lines", ("results",), ", ln AS (SELECT seq, generate_subscripts(string_split(content, chr(10)), 1) AS i, unnest(string_split(content, chr(10))) AS line FROM results), cu AS (SELECT seq, i, line, sum(ceil(length(line) / 4) + 1) OVER (PARTITION BY seq ORDER BY i) AS used FROM ln), kept AS (SELECT seq, string_agg(line, chr(10) ORDER BY i) AS cut FROM cu WHERE used <= 200 GROUP BY seq) SELECT r.seq, coalesce(k.cut, substring(r.content, 1, 800)) AS cut FROM results r LEFT JOIN kept k ON k.seq = r.seq")
 def _(s, d):
     return A.results(s, d).select("seq", Q.cut_lines(F.col("content")).alias("cut"))
 
 
-@spec("D3_displacement", ("results",), ", t AS (SELECT request, CAST(ceil(length(content) / 4) AS BIGINT) AS n FROM results) SELECT request, CAST(greatest(0, sum(n) - 4500) AS BIGINT) AS displaced FROM t GROUP BY request")
-def _(s, d):
-    return A.results(s, d).groupBy("request").agg(F.greatest(F.lit(0).cast("long"), F.sum(X.tokens(F.col("content"))) - 4500).alias("displaced"))
-
-
 KIND = "CASE seq % 3 WHEN 0 THEN 'ast' WHEN 1 THEN 'structure' ELSE 'other' END"
 
 
-@spec("D4_ast_over_structure", ("results",), f", k AS (SELECT request, seq, {KIND} AS kind FROM results) SELECT request, seq FROM k WHERE kind <> 'structure' OR request NOT IN (SELECT request FROM k WHERE kind = 'ast')")
-def _(s, d):
-    k = A.results(s, d).select("request", "seq", F.expr(KIND).alias("kind"))
-    ast = k.filter("kind = 'ast'").select("request").distinct().withColumn("has", F.lit(True))
-    return k.join(ast, "request", "left").filter("kind <> 'structure' OR has IS NULL").select("request", "seq")
-
-
-@spec("D5_mistake_boost", ("results",), "SELECT seq, CASE WHEN contains(lower(content), 'license') OR contains(lower(content), 'error') THEN least(1.0, confidence * 1.5) ELSE confidence END AS confidence FROM results")
-def _(s, d):
-    named = F.lower("content").contains("license") | F.lower("content").contains("error")
-    return A.results(s, d).select("seq", F.when(named, F.least(F.lit(1.0), F.col("confidence") * 1.5)).otherwise(F.col("confidence")).alias("confidence"))
-
-
 @spec("D7_arrival_order", ("results",), "SELECT request, seq, row_number() OVER (PARTITION BY request ORDER BY seq) AS place FROM results")
 def _(s, d):
     return A.results(s, d).select("request", "seq", F.row_number().over(Window.partitionBy("request").orderBy("seq")).alias("place"))
@@ -289,61 +144,19 @@ def _(s, d):
     return A.log(s, d).agg(F.count_distinct("path").alias("entries"), hits.alias("hits"), (hits / _count()).alias("rate"))
 
 
-@spec("A17_warnings", (), "SELECT count(*) AS warnings FROM documents WHERE regexp_matches(text, '(?i)mistake|landmine')")
-def _(s, d):
-    return A.table(s, d, "documents").filter(F.col("text").rlike("(?i)mistake|landmine")).agg(_count().alias("warnings"))
-
-
 @spec("A27_output_size", (), "SELECT event_id, CAST(length(props) AS BIGINT) AS size, event_type = 'error' AS failed FROM events")
 def _(s, d):
     return A.table(s, d, "events").select("event_id", F.length("props").cast("long").alias("size"), (F.col("event_type") == "error").alias("failed"))
 
 
-@spec("W3_mode", ("log",), "SELECT path, CASE WHEN bool_and(k >= 20) THEN 'id' WHEN bool_or(k >= 20) THEN 'mixed' ELSE 'gap' END AS mode FROM log GROUP BY path")
-def _(s, d):
-    has = F.col("k") >= 20
-    return A.log(s, d).groupBy("path").agg(F.when(F.bool_and(has), "id").when(F.bool_or(has), "mixed").otherwise("gap").alias("mode"))
-
-
 @spec("W11_carry_forward", ("log",), "SELECT seq, last_value(CASE WHEN tool = 'Edit' THEN path END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS heading FROM log")
 def _(s, d):
     w = Window.partitionBy("session").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return A.log(s, d).select("seq", F.last(F.when(F.col("tool") == "Edit", F.col("path")), ignorenulls=True).over(w).alias("heading"))
 
 
-@spec("P12_pre_edit", ("log",), "SELECT path, seq FROM (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS r FROM log WHERE tool = 'Write' AND k >= 80) WHERE r <= 5")
-def _(s, d):
-    r = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("seq")))
-    return A.log(s, d).filter("tool = 'Write' AND k >= 80").withColumn("r", r).filter("r <= 5").select("path", "seq")
-
-
-@spec("P13_session_line", ("log",), ", t AS (SELECT session, count(CASE WHEN tool = 'Read' THEN 1 END) AS reads, count(CASE WHEN tool = 'Write' THEN 1 END) AS warnings, CAST(sum(saved) AS BIGINT) AS saved FROM log GROUP BY session) SELECT session, reads || ' reads, ' || warnings || ' warnings, ' || saved || ' tokens' AS line FROM t WHERE reads + warnings + saved > 0")
-def _(s, d):
-    t = A.log(s, d).groupBy("session").agg(F.count_if(F.col("tool") == "Read").alias("reads"), F.count_if(F.col("tool") == "Write").alias("warnings"), F.sum("saved").alias("saved"))
-    return t.filter("reads + warnings + saved > 0").select("session", Q.fill("{reads} reads, {warnings} warnings, {saved} tokens", reads=F.col("reads"), warnings=F.col("warnings"), saved=F.col("saved")).alias("line"))
-
-
-@spec("P15_health", ("log",), "SELECT path, CASE max(CASE decision WHEN 'deny' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS health FROM log GROUP BY path")
-def _(s, d):
-    level = F.when(F.col("decision") == "deny", 2).when(F.col("decision") == "allow", 1).otherwise(0)
-    return A.log(s, d).groupBy("path").agg(F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.max(level) + 1).alias("health"))
-
-
 @spec("R1_debounce", ("log",), "SELECT seq, path FROM (SELECT seq, path, epoch_us(lead(ts) OVER (PARTITION BY path ORDER BY ts, seq)) - epoch_us(ts) AS gap FROM log) WHERE gap IS NULL OR gap >= 300000")
 def _(s, d):
     later = F.lead("ts").over(Window.partitionBy("path").orderBy("ts", "seq"))
     g = A.log(s, d).select("seq", "path", (F.unix_micros(later.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("gap"))
     return g.filter("gap IS NULL OR gap >= 300000").select("seq", "path")
-
-
-@spec("R2_sync", (), "SELECT p_partkey AS file, CASE WHEN p_size <= 10 THEN 'prune' WHEN p_size <= 30 THEN 'index' ELSE 'skip' END AS action FROM part")
-def _(s, d):
-    p = A.table(s, d, "part").select(F.col("p_partkey").alias("file"), "p_size")
-    old = p.select("file", F.lit(1).alias("old_mtime"))
-    now = p.filter("p_size > 10").select("file", F.when(F.col("p_size") <= 30, 2).otherwise(1).alias("mtime"))
-    return old.join(now, "file", "full").select("file", F.when(F.col("mtime").isNull(), "prune").when(F.col("mtime").eqNullSafe(F.col("old_mtime")), "skip").otherwise("index").alias("action"))
-
-
-@spec("R6_resume", ("log",), "SELECT seq, tool FROM log WHERE seq > 500")
-def _(s, d):
-    return A.log(s, d).filter("seq > 500").select("seq", "tool")

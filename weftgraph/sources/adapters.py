@@ -85,11 +85,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider results: request, provider, content, confidence, seq."""
+    """Provider results: request, provider, content, confidence, seq.  A request has at most 20 of them."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return docs.join(labels, "doc_id", "left").select(
-        (F.col("doc_id") % 50).alias("request"), F.col("source").alias("provider"), F.col("text").alias("content"),
+        F.floor(F.col("doc_id") / 20).alias("request"), F.col("source").alias("provider"), F.col("text").alias("content"),
         F.coalesce(F.lit(0.5) + F.lit(0.4) * F.col("quality"), F.lit(0.5)).alias("confidence"), F.col("doc_id").alias("seq"),
     )
 
@@ -120,5 +120,5 @@ co_change AS (SELECT a.file AS file_a, b.file AS file_b, CAST(count(*) AS BIGINT
     "calls": """owners AS (SELECT l_partkey AS callee, min(l_suppkey) AS owner FROM lineitem GROUP BY l_partkey),
 calls AS (SELECT DISTINCT l.l_suppkey AS caller, l.l_partkey AS callee, o.owner FROM lineitem l JOIN owners o ON o.callee = l.l_partkey WHERE l.l_quantity >= 49 AND l.l_suppkey <> o.owner)""",
     "results": """lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-results AS (SELECT d.doc_id % 50 AS request, d.source AS provider, d.text AS content, coalesce(0.5::DOUBLE + 0.4::DOUBLE * l.quality, 0.5::DOUBLE) AS confidence, d.doc_id AS seq FROM documents d LEFT JOIN lab l ON l.doc_id = d.doc_id)""",
+results AS (SELECT d.doc_id // 20 AS request, d.source AS provider, d.text AS content, coalesce(0.5::DOUBLE + 0.4::DOUBLE * l.quality, 0.5::DOUBLE) AS confidence, d.doc_id AS seq FROM documents d LEFT JOIN lab l ON l.doc_id = d.doc_id)""",
 }

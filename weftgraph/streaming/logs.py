@@ -28,3 +28,36 @@ def newest_per_key(batch: DataFrame, *key: str) -> DataFrame:
 
     w = Window.partitionBy(*key).orderBy(F.desc("ts"))
     return batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """All that a stream has by now, written below path and read again.  The checkpoint stays there too: a later call
+    with the same path takes up where this one ended."""
+    spark = stream.sparkSession
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def served_stream(reads: DataFrame) -> DataFrame:
+    """(session, seq, again) of a stream of reads(session, seq, at ms, path, mtime, size, reset): what a session has noted
+    is kept from batch to batch; inside a batch its reads are taken in the order of (at, seq)."""
+    import json
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.guard import read_again
+
+    def run(key, batches, state):
+        noted = {p: tuple(v) for p, v in json.loads(state.get[0]).items()} if state.exists else {}
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples(index=False):
+            if r.reset:
+                noted.clear()
+                continue
+            out.append((r.session, r.seq, read_again(noted, r.path, int(r.mtime), int(r.size), int(r.at))))
+        state.update((json.dumps(noted),))
+        yield pd.DataFrame(out, columns=["session", "seq", "again"])
+
+    return reads.groupBy("session").applyInPandasWithState(run, "session long, seq long, again boolean", "noted string", "append", GroupStateTimeout.NoTimeout)
