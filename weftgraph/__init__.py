@@ -1,0 +1,5 @@
+"""An analytics engine for code-and-knowledge graphs, the telemetry around them, and training corpora, on Spark."""
+
+from .api import Graph
+
+__all__ = ["Graph"]

@@ -61,3 +61,58 @@ def bootstrap(clusters: DataFrame, order: str, value: str, rounds: int = 2000, a
     bounds = means.agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
     whole = clusters.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return whole.crossJoin(bounds).select("mean", "lo", "hi", "n")  # a row by a row
+
+
+def holdout(commits: DataFrame, folders: DataFrame, newest: int = 600, share: float = 0.7, k: int = 10) -> DataFrame:
+    """(predictor, trials, recall) of four ways to foretell a commit's other files from one of them.
+
+    The newest commits(commit, ts, file) are split by time.  Co-change and popularity learn from the older share;
+    paths come from folders(file, folder, pair): the file's pair first, then its folder; `combined` is co-change and
+    then paths.  recall: the mean over test files of the share of the commit's other files among the first k.
+    """
+    heads = commits.select("commit", "ts").distinct().orderBy(F.desc("ts"), F.desc("commit")).limit(newest)
+    placed = checkpointed(heads.withColumns({"rn": F.row_number().over(Window.orderBy("ts", "commit")), "n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))}))  # `newest` rows
+    own = checkpointed(commits.select("commit", "file").distinct().join(placed, "commit"))
+    cut = F.floor(F.col("n") * share)
+    train, test = own.filter(F.col("rn") <= cut).select("commit", "file"), own.filter(F.col("rn") > cut).select("commit", F.col("file").alias("query"))
+    gold = test.join(test.withColumnRenamed("query", "item"), "commit").filter("query <> item")
+    trials = gold.groupBy("commit", "query").agg(F.count(F.lit(1)).alias("gold"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    pairs = train.withColumnRenamed("file", "query").join(train.withColumnRenamed("file", "item"), "commit").filter("query <> item")
+    co = pairs.groupBy("query", "item").agg(F.count(F.lit(1)).alias("c")).select("query", "item", place(F.desc("c"), "item").alias("place"))
+    asked = trials.select("query").distinct()
+    most = train.groupBy("file").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "file").limit(k + 1)
+    popular = asked.crossJoin(F.broadcast(most)).filter("query <> file").select("query", F.col("file").alias("item"), place(F.desc("c"), "file").alias("place"))  # k + 1 rows
+    known = folders.join(own.select("file").distinct(), "file", "left_semi")
+    a = known.join(asked.withColumnRenamed("query", "file"), "file").select(F.col("file").alias("query"), "folder", "pair")
+    near = a.join(known.select(F.col("file").alias("item"), "folder", F.col("pair").alias("other")), "folder").filter("query <> item")
+    path = near.select("query", "item", place(F.when(F.col("pair") == F.col("other"), 0).otherwise(1), "item").alias("place"))
+    both = co.withColumn("tier", F.lit(0)).unionByName(path.withColumn("tier", F.lit(1))).groupBy("query", "item").agg(F.min(F.struct("tier", "place")).alias("m"))
+    ranked = {"co_change": co, "path": path, "combined": both.select("query", "item", place("m.tier", "m.place", "item").alias("place")), "popularity": popular}
+    out = None
+    for name, r in ranked.items():
+        hits = gold.join(r.filter(F.col("place") <= k), ["query", "item"]).groupBy("commit", "query").agg(F.count(F.lit(1)).alias("hits"))
+        got = trials.join(hits, ["commit", "query"], "left").agg(F.count(F.lit(1)).alias("trials"), F.avg(F.coalesce("hits", F.lit(0)) / F.col("gold")).alias("recall")).withColumn("predictor", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def traces(calls: DataFrame, top: int = 15, reads: int = 5) -> DataFrame:
+    """(session, seq, tool, path, ts) of what an agent does for the `top` symbols of most callers: a search, its callers'
+    files one by one (at most `reads`), and the first of them once more."""
+    n = calls.groupBy("callee").agg(F.countDistinct("caller").alias("n")).orderBy(F.desc("n"), "callee").limit(top)
+    files = calls.join(F.broadcast(n.select("callee")), "callee", "left_semi").select("callee", "caller").distinct()
+    nth = F.row_number().over(Window.partitionBy("callee").orderBy("caller"))
+    few = files.withColumn("nth", nth).filter(F.col("nth") <= reads).groupBy("callee").agg(F.sort_array(F.collect_list("caller")).alias("files"))
+    event = lambda tool, path: F.struct(F.lit(tool).alias("tool"), path.alias("path"))
+    text = F.transform("files", lambda f: f.cast("string"))
+    steps = F.concat(F.array(event("Grep", F.col("callee").cast("string"))), F.transform(text, lambda f: event("Read", f)), F.array(event("Read", F.get(text, F.lit(0)))))
+    told = few.select(F.col("callee").alias("session"), F.posexplode(steps).alias("seq", "e"))
+    return told.select("session", "seq", "e.tool", "e.path", F.timestamp_seconds(F.col("seq") * 60).alias("ts"))
+
+
+def reduction(tasks: DataFrame, base: str, packet: str, target: float = 85.0) -> DataFrame:
+    """Of all tasks together the share of tokens saved, in percent, and whether it meets the target."""
+    got = tasks.agg(F.sum(base).alias("b"), F.sum(packet).alias("p"), F.count(F.lit(1)).alias("tasks"))
+    saved = F.when(F.col("b") == 0, 0.0).otherwise((F.col("b") - F.col("p")) / F.col("b") * 100)
+    return got.select("tasks", F.round(saved, 6).alias("percent"), (saved >= target).alias("met"))

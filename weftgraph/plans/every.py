@@ -21,7 +21,7 @@ from ..sources import adapters as A
 from ..sources import files as FI
 from ..sources import notes as N
 from .registry import PRIORITY, oracle_sql, queries, spec  # noqa: F401  (the whole table is read through this module)
-from . import wider  # noqa: F401  isort: skip
+from . import proofs, wider  # noqa: F401  isort: skip
 
 A.SQL.update(N.SQL)
 AS_OF = 1704672000000  # 2024-01-08 in milliseconds
