@@ -101,6 +101,12 @@ def injected_tokens(response: Column) -> Column:
     return F.coalesce(F.ceil(F.length(F.coalesce(at("permissionDecisionReason"), at("additionalContext"))) / 4), F.lit(0)).cast("long")
 
 
+def output_size(answer: Column) -> Column:
+    """Characters of a tool's answer, given as JSON `{"v": answer}`: of the text, of its field `output`, else of its JSON."""
+    v = F.get_json_object(answer, "$.v")
+    return F.length(F.coalesce(F.get_json_object(answer, "$.v.output"), v)).cast("long")
+
+
 # Endings of files that hold no text, and names and endings of files that hold secrets.
 BINARY = (
     "png jpg jpeg gif webp ico bmp tiff svg pdf doc docx xls xlsx ppt pptx zip tar gz tgz bz2 xz 7z rar exe dll so dylib o a class wasm "

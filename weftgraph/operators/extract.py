@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 # What notes say, by kind, in order, and how sure each kind is.
 NOTE_PATTERNS = (
     ("decision", 0.7, r"(?i)(?:decided|chose|picked|selected|went with|using|switched to)\s+(\w[\w\s-]{2,30})\s+(?:over|instead of|rather than|because|for|since)"),
@@ -128,6 +130,7 @@ def skills(files: DataFrame) -> DataFrame:
                 rows.append((path, name or path.rstrip("/").split("/")[-2], about, fields is not None, triggers(f"{about}\n\n{body}"), related_skills(body)))
             yield pd.DataFrame(rows, columns=["path", "name", "description", "parsed", "triggers", "related"])
 
+    ship(files.sparkSession)
     return files.select("path", "text").mapInPandas(run, "path string, name string, description string, parsed boolean, triggers array<string>, related array<string>")
 
 
@@ -211,6 +214,7 @@ def shell(commands: DataFrame) -> DataFrame:
             told = [(s, read_path(c), grep_pattern(c), [{"action": a, "path": p} for a, p in file_ops(c)]) for s, c in zip(pdf["seq"], pdf["command"])]
             yield pd.DataFrame(told, columns=["seq", "reads", "greps", "ops"])
 
+    ship(commands.sparkSession)
     return commands.select("seq", "command").mapInPandas(run, "seq long, reads string, greps string, ops array<struct<action:string,path:string>>")
 
 
@@ -305,6 +309,7 @@ def symbols(files: DataFrame) -> DataFrame:
                     rows += [(file, "call", n.split(".")[-1], "", "", i) for n in CALL.findall(x) if n not in NO_CALLS and not (own and n == own[1])]
             yield pd.DataFrame(rows, columns=["file", "what", "name", "kind", "owner", "line"])
 
+    ship(files.sparkSession)
     return files.select("file", "lang", "text").mapInPandas(run, "file string, what string, name string, kind string, owner string, line long")
 
 

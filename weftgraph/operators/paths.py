@@ -34,18 +34,20 @@ def _keyed(files: DataFrame, name: str) -> DataFrame:
     return files.select(p.alias(name), dirname(p).alias(f"{name}_dir"), base_key(p).alias("key"), p.rlike(TEST_SUFFIX).alias(f"{name}_test"))
 
 
-def siblings(files: DataFrame) -> DataFrame:
-    """focal, file: other files of the same folder. Its rows are the pairs of a folder, as the operator asks."""
-    a = files.select(F.col("path").alias("focal"), dirname(F.col("path")).alias("dir"))
-    return a.join(a.withColumnRenamed("focal", "file"), "dir").filter("focal <> file").select("focal", "file")
+def siblings(files: DataFrame, focal: DataFrame | None = None) -> DataFrame:
+    """focal, file: other files of the folder of each of focal(path); of all files if none is given, whose rows are then
+    the pairs of a folder."""
+    a = (files if focal is None else focal).select(F.col("path").alias("focal"), dirname(F.col("path")).alias("dir"))
+    b = files.select(F.col("path").alias("file"), dirname(F.col("path")).alias("dir"))
+    return b.join(a if focal is None else F.broadcast(a), "dir").filter("focal <> file").select("focal", "file")  # focal: a caller's few files
 
 
-def counterparts(files: DataFrame) -> DataFrame:
+def counterparts(files: DataFrame, focal: DataFrame | None = None) -> DataFrame:
     """focal, file: the tests of a file, or the files of a test; in one folder, or the test in a folder of tests."""
-    pairs = _keyed(files, "focal").join(_keyed(files, "file"), "key").filter("focal_test <> file_test")
+    pairs = _keyed(files if focal is None else focal, "focal").join(_keyed(files, "file"), "key").filter("focal_test <> file_test")
     test = F.when(F.col("focal_test"), F.col("focal")).otherwise(F.col("file"))
     return pairs.filter((F.col("focal_dir") == F.col("file_dir")) | test.rlike(TEST_FOLDER)).select("focal", "file")
 
 
-def reach(files: DataFrame) -> DataFrame:
-    return siblings(files).union(counterparts(files)).distinct()
+def reach(files: DataFrame, focal: DataFrame | None = None) -> DataFrame:
+    return siblings(files, focal).union(counterparts(files, focal)).distinct()

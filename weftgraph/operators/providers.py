@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..ship import ship
 
 BUILT_IN = ("ast", "structure", "mistakes", "git", "notes")
 
@@ -55,4 +59,19 @@ class Registry:
                             rows.append((request, i, p.name, got[0], float(got[1])))
                 yield pd.DataFrame(rows, columns=["request", "seq", "provider", "content", "confidence"])
 
+        ship(requests.sparkSession)
         return requests.select("request", "path", "context").mapInPandas(run, "request long, seq long, provider string, content string, confidence double")
+
+
+def cached(registry: Registry, requests: DataFrame, cache: DataFrame, as_of_ms: int, ttl: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """(results, cache) of providers that are costly to ask: what cache(provider, path, content, confidence, cached_at ms,
+    ttl s) holds and is still valid is taken from it, only the other requests are asked, and their results are kept."""
+    names = requests.sparkSession.createDataFrame([(p, i) for i, p in enumerate(registry.own)], "provider string, seq long")
+    asked = requests.select("request", "path", "context").crossJoin(F.broadcast(names))  # the registry's few names
+    valid = cache.filter(F.col("cached_at") + F.col("ttl") * 1000 > as_of_ms)
+    hit = asked.join(valid, ["provider", "path"]).select("request", "seq", "provider", "content", "confidence")
+    miss = asked.join(valid, ["provider", "path"], "left_anti")
+    fresh = [registry.resolved(miss.filter(F.col("provider") == p), enabled=(p,)).withColumn("seq", F.lit(i).cast("long")) for i, p in enumerate(registry.own)]
+    new = reduce(DataFrame.unionByName, fresh)
+    keep = new.join(requests.select("request", "path"), "request").select("provider", "path", "content", "confidence", F.lit(as_of_ms).alias("cached_at"), F.lit(ttl).cast("long").alias("ttl"))
+    return hit.unionByName(new), valid.select(*keep.columns).unionByName(keep.dropDuplicates(["provider", "path"]))

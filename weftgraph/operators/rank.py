@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as X
+from ..ship import ship
 
 
 def blended(results: DataFrame, priority: tuple[str, ...]) -> DataFrame:
@@ -62,6 +63,7 @@ def deduplicated(ranked: DataFrame, section: float = 0.85, line: float = 0.9) ->
         return pd.DataFrame(rows, columns=["request", "seq", "place", "content", "displaced"])
 
     own = ranked.select("request", "seq", "place", "content")
+    ship(ranked.sparkSession)
     return own.groupBy("request").applyInPandas(greedy, "request long, seq long, place int, content string, displaced long")
 
 

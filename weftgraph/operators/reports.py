@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph as G
-from .search import hidden
 
 MONTH = 30 * 86_400_000
 #: The task views: sections with their limits and headings, in order.

@@ -153,3 +153,24 @@ def health(findings: DataFrame, by: str) -> DataFrame:
     levels = F.array(F.lit("ok"), F.lit("warn"), F.lit("fail"))
     worst = F.max(F.array_position(levels, F.col("severity")))
     return findings.groupBy(by).agg(F.element_at(levels, worst.cast("int")).alias("health"), F.count_if(F.col("severity") != "ok").alias("findings"))
+
+
+def cache_stats(entries: DataFrame, live: DataFrame) -> DataFrame:
+    """Entries, hits and hit rate of entries(hits) that were kept, and of one row live(live, misses): the larger of the
+    kept and the running number of hits counts."""
+    kept = entries.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("hits"), F.lit(0)).alias("persisted"))
+    both = kept.crossJoin(live).withColumn("hits", F.greatest("persisted", "live"))  # a row by a row
+    total = F.col("hits") + F.col("misses")
+    return both.select("entries", "persisted", "hits", F.round(F.when(total > 0, F.col("hits") / total).otherwise(0.0), 8).alias("rate"))
+
+
+def packet_wins(rows: DataFrame, by: str) -> DataFrame:
+    """Of rows(would_have, injected): how many packets are smaller, the reduction with and without passing larger ones
+    through, and the upper median of the single guarded reductions."""
+    low = F.least("injected", "would_have")
+    own = rows.filter("would_have > 0").withColumn("reduction", F.round(1 - low / F.col("would_have"), 6))
+    got = own.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("injected") < F.col("would_have")).alias("wins"),
+        F.round(1 - F.sum(low) / F.sum("would_have"), 8).alias("guarded"), F.round(1 - F.sum("injected") / F.sum("would_have"), 8).alias("raw"),
+    )
+    return got.join(upper_median(own, by, "reduction"), by)

@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import guard as GU
 from ..operators import incremental as I
 from ..operators import mining as M
+from ..operators import paths as PA
 from ..operators import rank as R
 from ..operators import reports as P
 from ..operators import search as S
@@ -20,10 +21,11 @@ from ..operators import telemetry as T
 from ..sources import adapters as A
 from ..sources import files as FI
 from ..sources import notes as N
-from .registry import PRIORITY, oracle_sql, queries, spec  # noqa: F401  (the whole table is read through this module)
-from . import proofs, wider  # noqa: F401  isort: skip
-
+from ..ship import ship
+from .registry import PAIRS, PRIORITY, oracle_sql, queries, spec  # noqa: F401  (the whole table is read through this module)
 A.SQL.update(N.SQL)
+from . import more, proofs, wider  # noqa: E402, F401  isort: skip
+
 AS_OF = 1704672000000  # 2024-01-08 in milliseconds
 JSON = "json_extract_string(metadata, '$.{}')"
 HIDDEN = "(kind = 'concept' AND metadata = '{\"subkind\":\"keyword\"}')"
@@ -328,6 +330,93 @@ def _(s, d):
     return EX.call_sites(callers, _code_files(s, d))
 
 
+# Calls and paths
+@spec("J4_callers", ("nodes", "calls"), "SELECT DISTINCT c.callee, coalesce(f.label, 'supplier:' || c.caller) AS caller_file FROM calls c LEFT JOIN (SELECT * FROM nodes WHERE kind = 'class') f ON f.id = 'supplier:' || c.caller WHERE 'part:' || c.callee IN (SELECT id FROM nodes WHERE kind = 'function')")
+def _(s, d):
+    n = A.nodes(s, d).select("id", "label", "kind")
+    return M.callers(A.calls(s, d), n.filter("kind = 'function'").select(F.expr("cast(substr(id, 6) as bigint)").alias("callee")), n.filter("kind = 'class'").select(F.expr("cast(substr(id, 10) as bigint)").alias("caller"), "label"))
+
+
+@spec("G8_callers", ("calls",), "SELECT p.p_name AS name, CAST(count(DISTINCT c.caller) AS BIGINT) AS n, string_agg(DISTINCT lpad(CAST(c.caller AS VARCHAR), 9, '0'), ',' ORDER BY lpad(CAST(c.caller AS VARCHAR), 9, '0')) AS files FROM calls c JOIN part p ON p.p_partkey = c.callee GROUP BY p.p_name")
+def _(s, d):
+    names = A.table(s, d, "part").select(F.col("p_partkey").alias("callee"), F.col("p_name").alias("name"))
+    files = F.sort_array(F.collect_set(F.lpad(F.col("caller").cast("string"), 9, "0")))
+    return A.calls(s, d).join(names, "callee").groupBy("name").agg(F.countDistinct("caller").alias("n"), F.array_join(files, ",").alias("files"))
+
+
+@spec("G8_callees", ("calls",), "SELECT DISTINCT c.caller, p.p_name AS name, c.owner AS file FROM calls c JOIN part p ON p.p_partkey = c.callee ORDER BY c.caller, name, file")
+def _(s, d):
+    names = A.table(s, d, "part").select(F.col("p_partkey").alias("callee"), F.col("p_name").alias("name"))
+    return A.calls(s, d).join(names, "callee").select("caller", "name", F.col("owner").alias("file")).distinct().orderBy("caller", "name", "file")
+
+
+@spec("G7_impact", ("calls",), ", dep AS (SELECT DISTINCT owner AS a, caller AS b FROM calls WHERE owner <> caller), og AS (SELECT a AS origin FROM dep GROUP BY a ORDER BY count(*) DESC, a LIMIT 10), reach(origin, id) AS (SELECT origin, origin FROM og UNION SELECT r.origin, dep.b FROM reach r JOIN dep ON dep.a = r.id) SELECT origin, id FROM reach WHERE origin <> id", recursive=True)
+def _(s, d):
+    # An origin's impact is asked for; here those of the ten files that most depend on.
+    dep = G.checkpointed(M.reverse_dependencies(A.calls(s, d)))
+    return G.closure(dep, dep.groupBy(F.col("a").alias("origin")).agg(_count().alias("n")).orderBy(F.desc("n"), "origin").limit(10).select("origin"))
+
+
+PATHED = "fk AS (SELECT p_partkey AS key0, 'src/s' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '/tests' ELSE '' END || '/m' || (p_partkey // 2) || CASE WHEN p_partkey % 2 = 1 THEN '.test.ts' ELSE '.ts' END AS path FROM part), files AS (SELECT path FROM fk)"
+FOCAL = "kf AS (SELECT * FROM kd WHERE path IN (SELECT path FROM fk WHERE key0 IN (SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY count(DISTINCT l_orderkey) DESC, 1 LIMIT 20)))"
+SIB = "sib AS (SELECT a.path AS focal, b.path AS file FROM kf a JOIN kd b ON a.dir = b.dir AND a.path <> b.path)"
+CPT = "cpt AS (SELECT a.path AS focal, b.path AS file FROM kf a JOIN kd b ON a.key = b.key AND a.test <> b.test WHERE a.dir = b.dir OR CASE WHEN a.test THEN a.path ELSE b.path END LIKE '%/tests/%')"
+NEAR = f"WITH {PATHED}, {more.KEYED}, {FOCAL}, {SIB}, {CPT}"
+
+
+def _focal(s, d):
+    """All files, and those of the twenty parts that change most."""
+    hot = M.hot_files(A.commit_files(s, d), 1).select(F.col("file").alias("p_partkey"))
+    p = A.table(s, d, "part").select("p_partkey", "p_size")
+    key, folder = F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, "/tests").otherwise("")
+    path = F.concat(F.lit("src/s"), F.col("p_size").cast("string"), folder, F.lit("/m"), F.floor(key / 2).cast("string"), F.when(key % 2 == 1, ".test.ts").otherwise(".ts"))
+    files = p.select("p_partkey", path.alias("path"))
+    return files.select("path"), files.join(F.broadcast(hot), "p_partkey", "left_semi").select("path")
+
+
+@spec("G14_siblings", (), f"{NEAR} SELECT focal, file FROM sib")
+def _(s, d):
+    return PA.siblings(*_focal(s, d))
+
+
+@spec("G15_counterparts", (), f"{NEAR} SELECT focal, file FROM cpt")
+def _(s, d):
+    return PA.counterparts(*_focal(s, d))
+
+
+@spec("G16_path_reach", (), f"{NEAR} SELECT focal, file FROM sib UNION SELECT focal, file FROM cpt")
+def _(s, d):
+    return PA.reach(*_focal(s, d))
+
+
+@spec("G17_four_tiers", (), f"{NEAR}, kp AS (SELECT fk.key0, kf.path FROM kf JOIN fk ON fk.path = kf.path), lk AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem), ad AS (SELECT kp.path AS focal, fk.path AS file, abs(fk.key0 - kp.key0) AS rank, 1 AS tier FROM kp JOIN fk ON abs(fk.key0 - kp.key0) = 7), cc AS (SELECT kp.path AS focal, fk.path AS file, -count(*) AS rank, 2 AS tier FROM kp JOIN lk a ON a.f = kp.key0 JOIN lk b ON b.c = a.c AND b.f <> a.f JOIN fk ON fk.key0 = b.f GROUP BY 1, 2 HAVING count(*) >= 2), al AS (SELECT * FROM ad UNION ALL SELECT * FROM cc UNION ALL SELECT focal, file, 0, 3 FROM cpt UNION ALL SELECT focal, file, 0, 4 FROM sib), be AS (SELECT *, row_number() OVER (PARTITION BY focal, file ORDER BY tier, rank) AS q FROM al WHERE focal <> file) SELECT focal, file, tier, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY tier, rank, file) AS place FROM be WHERE q = 1) WHERE place <= 10")
+def _(s, d):
+    files, focal = _focal(s, d)
+    key, folder = F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, "/tests").otherwise("")
+    path = F.concat(F.lit("src/s"), F.col("p_size").cast("string"), folder, F.lit("/m"), F.floor(key / 2).cast("string"), F.when(key % 2 == 1, ".test.ts").otherwise(".ts"))
+    named = A.table(s, d, "part").select(key.alias("key"), path.alias("path"))
+    own = named.join(F.broadcast(focal), "path", "left_semi").select("key", F.col("path").alias("focal"))
+    near = own.select("focal", F.explode(F.array(F.col("key") - 7, F.col("key") + 7)).alias("key")).join(named.select("key", F.col("path").alias("file")), "key").select("focal", "file", F.lit(7).cast("long").alias("rank"))
+    lines = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("c"), F.col("l_partkey").alias("key")).distinct()
+    mine = lines.join(F.broadcast(own), "key").select("c", F.col("key").alias("own"), "focal")
+    co = lines.join(mine, "c").filter("key <> own").groupBy("focal", "key").agg(_count().alias("n")).filter("n >= 2").join(named.select("key", F.col("path").alias("file")), "key").select("focal", "file", (-F.col("n")).alias("rank"))
+    flat = lambda df: df.withColumn("rank", F.lit(0).cast("long"))
+    return G.related_files(near, co, flat(PA.counterparts(files, focal)), flat(PA.siblings(files, focal)))
+
+
+def _path_sql(hops: int) -> str:
+    out = ["s0 AS (SELECT CAST(42 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, 0 AS lvl)"]
+    out += [f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT l.b, min(l.a), {i} FROM ln l JOIN s{i - 1} f ON f.id = l.a AND f.lvl = {i - 1} WHERE l.b NOT IN (SELECT id FROM s{i - 1}) GROUP BY l.b)" for i in range(1, hops + 1)]
+    back = f"bk(id, lvl) AS (SELECT id, lvl FROM s{hops} WHERE id = 1000 UNION ALL SELECT p.parent, bk.lvl - 1 FROM bk JOIN s{hops} p ON p.id = bk.id WHERE p.parent IS NOT NULL)"
+    return f", {PAIRS}, {', '.join(out)}, {back} SELECT lvl AS step, id FROM bk"
+
+
+@spec("G5_shortest_path", ("commits",), _path_sql(8), recursive=True)
+def _(s, d):
+    pairs = M.co_change(A.commit_files(s, d)).filter("n >= 2").select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))
+    return G.shortest_path(G.checkpointed(pairs), 42, 1000)
+
+
 # The question
 TERMS = ("mistake", "f1", "keyword")
 LOW = "low AS (SELECT id, kind, metadata, query_count, lower(label) AS label, lower(source_file) AS file FROM notes)"
@@ -402,6 +491,7 @@ def _(s, d):
 
 @spec("X7_normalised", (), "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower('# ' || text || ' [x y]'), '(?m)^#+\\s*', '', 'g'), '\\[[^\\]\\n]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
 def _(s, d):
+    ship(s)
     plain = F.udf(X.normalised, "string", useArrow=True)
     return A.table(s, d, "documents").select("doc_id", plain(F.concat(F.lit("# "), "text", F.lit(" [x y]"))).alias("plain"))
 
@@ -465,6 +555,17 @@ def _by_lang(table: dict[str, str], join: str) -> str:
     return "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{v.format(k=join)}'" for i, v in enumerate(table.values())) + " ELSE '// class No' || p_partkey END"
 
 
+@spec("X16_canonical_json", (), """SELECT event_id, '{"a":{"m":' || CAST(floor(value) AS BIGINT) || ',"n":[true,null,"' || event_type || '"]},"z":' || event_id || '}' AS body FROM events""")
+def _(s, d):
+    import json
+
+    inner = F.concat(F.lit(' {"n": [true, null, "'), "event_type", F.lit('"], "m": '), F.floor("value").cast("string"), F.lit(".0}"))
+    raw = F.concat(F.lit('{"z": '), F.col("event_id").cast("string"), F.lit(', "a":'), inner, F.lit("}"))
+    ship(s)
+    canonical = F.udf(lambda t: EX.canonical(json.loads(t)), "string", useArrow=True)
+    return A.table(s, d, "events").select("event_id", canonical(raw).alias("body"))
+
+
 @spec("X20_declarations", (), f"SELECT CAST(p_partkey AS VARCHAR) AS file, 'function' AS kind, {_by_lang(NAMES, chr(39) + ' || p_partkey || ' + chr(39))} AS name FROM part WHERE p_partkey % 8 <> 7")
 def _(s, d):
     lang = F.element_at(F.array(*map(F.lit, [*DECLARED, "ts"])), (F.col("p_partkey") % 8 + 1).cast("int"))
@@ -522,6 +623,7 @@ def _(s, d):
 
 @spec("T6_cut_units", (), "SELECT p_partkey, substr(p_name, 1, 5) AS cut, CASE WHEN length(p_name) > 5 THEN substr(p_name, 1, 4) || '…' ELSE p_name END AS short FROM part")
 def _(s, d):
+    ship(s)
     cut, short = (F.udf(lambda t, f=f: f(t, 5), "string", useArrow=True) for f in (X.cut_units, X.shortened))
     return A.table(s, d, "part").select("p_partkey", cut("p_name").alias("cut"), short("p_name").alias("short"))
 
@@ -543,6 +645,38 @@ def _(s, d):
 
 
 # Mining, telemetry
+@spec("A7_authors", ("commits",), "SELECT file, CAST(count(DISTINCT author) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(list(author))), ',') AS authors FROM commits GROUP BY file")
+def _(s, d):
+    own = A.commit_files(s, d).groupBy("file").agg(F.sort_array(F.collect_set("author")).alias("a"))
+    return own.select("file", F.size("a").cast("long").alias("n"), F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("authors"))
+
+
+@spec("A4_context_cache", ("log",), "SELECT count(*) AS entries, CAST(coalesce(sum(hits), 0) AS BIGINT) AS persisted, CAST(greatest(coalesce(sum(hits), 0), (SELECT count(*) FROM log WHERE tool = 'Grep')) AS BIGINT) AS hits, round(greatest(coalesce(sum(hits), 0), (SELECT count(*) FROM log WHERE tool = 'Grep'))::DOUBLE / (greatest(coalesce(sum(hits), 0), (SELECT count(*) FROM log WHERE tool = 'Grep')) + (SELECT count(*) FROM log WHERE decision = 'deny')), 8) AS rate FROM (SELECT path, count(CASE WHEN k >= 50 THEN 1 END) AS hits FROM log GROUP BY path)")
+def _(s, d):
+    log = A.log(s, d)
+    entries = log.groupBy("path").agg(F.count_if(F.col("k") >= 50).alias("hits"))
+    live = log.agg(F.count_if(F.col("tool") == "Grep").alias("live"), F.count_if(F.col("decision") == "deny").alias("misses"))
+    return T.cache_stats(entries, live)
+
+
+@spec("A22_packet_benchmark", (), "WITH q AS (SELECT string_agg(t, chr(10) ORDER BY doc_id) AS packet FROM (SELECT doc_id, substr(text, 1, 80) AS t FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20)), t AS (SELECT CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS whole, CAST(sum(CASE WHEN contains(lower(text), 'license') THEN ceil(length(text) / 4.0) ELSE 0 END) AS BIGINT) AS relevant, (SELECT CAST(ceil(length(packet) / 4.0) AS BIGINT) FROM q) AS packet FROM documents) SELECT *, round(whole::DOUBLE / packet, 1) AS ratio_whole, round(relevant::DOUBLE / packet, 1) AS ratio_relevant FROM t")
+def _(s, d):
+    docs = A.table(s, d, "documents").select("doc_id", "text")
+    hit = F.lower("text").contains("license")
+    lines = docs.filter(hit).orderBy("doc_id").limit(20).agg(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", F.substring("text", 1, 80).alias("t"))))["t"], "\n").alias("packet"))
+    sums = docs.agg(F.sum(X.tokens(F.col("text"))).alias("whole"), F.sum(F.when(hit, X.tokens(F.col("text"))).otherwise(0)).alias("relevant"))
+    got = sums.crossJoin(lines.select(X.tokens(F.col("packet")).alias("packet")))  # a row by a row
+    return got.select("*", *(F.round(F.col(c) / F.col("packet"), 1).alias(f"ratio_{c}") for c in ("whole", "relevant")))
+
+
+@spec("A27_output_size", ("log",), "SELECT seq, CAST(CASE k % 3 WHEN 0 THEN length(path) WHEN 1 THEN k + 1 ELSE length('{\"rows\":' || k || '}') END AS BIGINT) AS size, k % 4 = 1 AS failed FROM log")
+def _(s, d):
+    k = F.col("k")
+    told = F.when(k % 3 == 0, F.to_json(F.struct(F.col("path").alias("v")))).when(k % 3 == 1, F.to_json(F.struct(F.struct(F.repeat(F.lit("o"), (k + 1).cast("int")).alias("output")).alias("v")))).otherwise(F.to_json(F.struct(F.struct(k.alias("rows")).alias("v"))))
+    error = F.when(k % 4 == 1, "boom")
+    return A.log(s, d).select("seq", Q.output_size(told).alias("size"), error.isNotNull().alias("failed"))
+
+
 @spec("A5_depends_on", ("commits",), "SELECT source, target, confidence_score FROM (SELECT file_a % 1500 AS source, file_b % 1500 AS target, round(least(0.95::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * n), 4) AS confidence_score FROM co_change WHERE n >= 3) WHERE source <> target")
 def _(s, d):
     return M.depends_on(M.co_change(A.commit_files(s, d)), lambda c: c % 1500)
@@ -567,6 +701,11 @@ def _(s, d):
     return T.symbol_wins(rows)
 
 
+@spec("E13_packet_wins", ("log",), ", r AS (SELECT tool, would_have, injected, round(1 - least(injected, would_have)::DOUBLE / would_have, 6) AS red FROM log WHERE would_have > 0), m AS (SELECT tool, red AS median FROM (SELECT tool, red, row_number() OVER (PARTITION BY tool ORDER BY red) AS rn, count(*) OVER (PARTITION BY tool) AS n FROM r) WHERE rn = floor(n / 2) + 1) SELECT r.tool, count(*) AS n, count(CASE WHEN injected < would_have THEN 1 END) AS wins, round(1 - sum(least(injected, would_have))::DOUBLE / sum(would_have), 8) AS guarded, round(1 - sum(injected)::DOUBLE / sum(would_have), 8) AS raw, any_value(m.median) AS median FROM r JOIN m ON m.tool = r.tool GROUP BY r.tool")
+def _(s, d):
+    return T.packet_wins(A.log(s, d).select("tool", "would_have", "injected"), "tool")
+
+
 @spec("W3_mode", ("log",), ", md AS (SELECT *, CASE WHEN k % 5 = 0 THEN NULL ELSE session % 7 END AS sid FROM log), gp AS (SELECT seq, sid, CASE WHEN sid IS NULL THEN sum(CASE WHEN gap IS NULL OR gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY path, sid IS NULL ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) END AS g, path FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY path, sid IS NULL ORDER BY ts, seq)) AS gap FROM md)) SELECT seq, path || CASE WHEN sid IS NULL THEN ' gap ' || g ELSE ' id ' || sid END AS run FROM gp")
 def _(s, d):
     log = A.log(s, d).withColumn("sid", F.when(F.col("k") % 5 != 0, F.col("session") % 7))
@@ -630,6 +769,16 @@ def _(s, d):
     return R.rich_packet(_results(s, d), KINDS, {"ast": 300, "mistakes": 100, "git": 250}, 1500)
 
 
+@spec("D7_streaming_packet", ("results",), f", {PROVIDED} SELECT request, seq, provider, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM rs")
+def _(s, d):
+    from ..streaming import logs
+
+    at, rows = FI.scratch(s), _results(s, d).select("request", "seq", "provider", "content")
+    rows.write.json(f"{at}/in")
+    came = logs.packets(logs.log_stream(s, f"{at}/in", "request long, seq long, provider string, content string"), f"{at}/out")
+    return came.select("request", "seq", "provider", X.tokens(F.col("content")).alias("tokens"))
+
+
 # Reports
 def _graph(s, d):
     return A.nodes(s, d), A.edges(s, d), N.notes(s, d)
@@ -717,6 +866,11 @@ NEWEST = "notes WHERE kind = 'mistake'"
 RECENT = _section("reads", "path", "(SELECT path, max(ts) AS last_at FROM log GROUP BY path)", "last_at DESC, path", 8)
 
 
+@spec("P6_memory_section", ("nodes", "edges", "notes"), f", {GOD} {STATS} UNION ALL {_god_rows(10)} UNION ALL {_section('mistakes', BULLET, NEWEST, 'last_verified DESC, id', 5)}")
+def _(s, d):
+    return P.brief(*_graph(s, d), 10, 5)
+
+
 @spec("P7_session_brief", ("nodes", "edges", "notes"), f", {GOD} {STATS} UNION ALL {_god_rows(10)} UNION ALL {_section('mistakes', BULLET, NEWEST, 'last_verified DESC, id', 3)}")
 def _(s, d):
     return P.brief(*_graph(s, d), 10, 3)
@@ -796,6 +950,15 @@ def _(s, d):
     return I.rebuilt_calls(cache.join(known, ["file", "mtime"], "left_semi"), now, refs)[0].select("file", "name")
 
 
+@spec("R1_debounce_stream", ("log",), "SELECT path, seq FROM (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY epoch_us(ts) + seq DESC) AS r FROM log) WHERE r = 1")
+def _(s, d):
+    from ..streaming import logs
+
+    at = FI.scratch(s)
+    A.log(s, d).select("path", "seq", (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("seq")).alias("ts")).coalesce(1).write.json(f"{at}/log")
+    return logs.debounced_stream(logs.log_stream(s, f"{at}/log", "path string, seq long, ts long"), f"{at}/out", "path").select("path", "seq")
+
+
 @spec("R5_log_tail", ("log",), "SELECT tool, count(*) AS n FROM log WHERE seq % 10 <> 0 GROUP BY tool")
 def _(s, d):
     from ..streaming import logs

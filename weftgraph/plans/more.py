@@ -27,8 +27,6 @@ STOPWORDS = (
 #: Parts as paths: a folder a size, a name a half key, every second one a test, every third in a tests folder.
 FILES = "files AS (SELECT 'src/s' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '/tests' ELSE '' END || '/m' || (p_partkey // 2) || CASE WHEN p_partkey % 2 = 1 THEN '.test.ts' ELSE '.ts' END AS path FROM part)"
 KEYED = "kd AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.(test|spec)\\.', '.'), '\\.ts$', '') AS key, path LIKE '%.test.ts' AS test FROM files)"
-SIB = "sib AS (SELECT a.path AS focal, b.path AS file FROM kd a JOIN kd b ON a.dir = b.dir AND a.path <> b.path)"
-CPT = "cpt AS (SELECT a.path AS focal, b.path AS file FROM kd a JOIN kd b ON a.key = b.key AND a.test <> b.test WHERE a.dir = b.dir OR CASE WHEN a.test THEN a.path ELSE b.path END LIKE '%/tests/%')"
 
 
 def _files(s, d):
@@ -153,21 +151,6 @@ def _(s, d):
     return known.select(F.col("target").alias("file"), F.col("source").alias("importer")).distinct()
 
 
-@spec("G14_path_siblings", (), f"WITH {FILES}, {KEYED}, {SIB} SELECT focal, file FROM sib")
-def _(s, d):
-    return P.siblings(_files(s, d))
-
-
-@spec("G15_counterparts", (), f"WITH {FILES}, {KEYED}, {CPT} SELECT focal, file FROM cpt")
-def _(s, d):
-    return P.counterparts(_files(s, d))
-
-
-@spec("G16_path_reach", (), f"WITH {FILES}, {KEYED}, {SIB}, {CPT} SELECT focal, file FROM sib UNION SELECT focal, file FROM cpt")
-def _(s, d):
-    return P.reach(_files(s, d))
-
-
 @spec("G13_coverage", ("nodes",), ", sc AS (SELECT source_file, count(*) AS n, avg(CASE kind WHEN 'class' THEN 0.7::DOUBLE ELSE 0.85::DOUBLE END) AS c FROM nodes WHERE kind NOT IN ('file', 'module') GROUP BY source_file) SELECT source_file, round(least(n / 3.0::DOUBLE, 1.0) * c, 8) AS coverage FROM sc")
 def _(s, d):
     score = F.when(F.col("kind") == "class", 0.7).otherwise(0.85)
@@ -207,12 +190,6 @@ def _(s, d):
     return got.select("*", (F.floor(F.col("saved") / F.col("naive") * 1000 + 0.5) / 10).alias("reduction"), (F.floor(F.col("saved") / 1000000 * 3 * 100 + 0.5) / 100).alias("cost"))
 
 
-@spec("A22_packet_ratio", (), "WITH t AS (SELECT source, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS whole, count(*) * 50 AS packet FROM documents GROUP BY source) SELECT *, round(whole::DOUBLE / packet, 1) AS ratio FROM t")
-def _(s, d):
-    got = A.table(s, d, "documents").groupBy("source").agg(F.sum(X.tokens(F.col("text"))).alias("whole"), (_count() * 50).alias("packet"))
-    return got.withColumn("ratio", F.round(F.col("whole") / F.col("packet"), 1))
-
-
 @spec("A24_trust", (), "SELECT s_suppkey, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4::DOUBLE * (s_acctbal / 10000) + 0.2::DOUBLE * (s_suppkey % 2) + 0.2::DOUBLE * (s_nationkey / 25.0::DOUBLE) + 0.2::DOUBLE)), 8) AS trust FROM supplier")
 def _(s, d):
     raw = 0.4 * (F.col("s_acctbal") / 10000) + 0.2 * (F.col("s_suppkey") % 2) + 0.2 * (F.col("s_nationkey") / 25) + 0.2
@@ -268,38 +245,7 @@ def _(s, d):
     return E.bootstrap(sizes, "session", "size", rounds=200)
 
 
-@spec("E13_packet_wins", ("log",), "SELECT tool, count(*) AS n, count(CASE WHEN injected < would_have THEN 1 END) AS wins, round(1 - sum(least(injected, would_have))::DOUBLE / sum(would_have), 8) AS guarded, round(1 - sum(injected)::DOUBLE / sum(would_have), 8) AS raw FROM log GROUP BY tool")
-def _(s, d):
-    low = F.least("injected", "would_have")
-    return A.log(s, d).groupBy("tool").agg(_count().alias("n"), F.count_if(F.col("injected") < F.col("would_have")).alias("wins"), F.round(1 - F.sum(low) / F.sum("would_have"), 8).alias("guarded"), F.round(1 - F.sum("injected") / F.sum("would_have"), 8).alias("raw"))
-
-
-# Reports, as rows
-GODS = "both_ AS (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE source <> target), god AS (SELECT n.label, count(*) AS c, n.id FROM both_ b JOIN nodes n ON n.id = b.id WHERE n.kind NOT IN ('file', 'import', 'module', 'concept') GROUP BY n.label, n.id)"
-
-
-def _brief(s, d, gods: int, mistakes: int):
-    """section, rank, text: the best connected nodes, then the newest mistakes."""
-    rows = G.god_nodes(A.nodes(s, d), A.edges(s, d), gods).select("label", "degree", "id")
-    rank = F.row_number().over(Window.orderBy(F.desc("degree"), "id"))  # a few rows, by the limit above
-    first = rows.select(F.lit("gods").alias("section"), rank.alias("rank"), F.col("label").alias("text"))
-    if not mistakes:
-        return first
-    new = A.table(s, d, "events").filter("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(mistakes)
-    rank = F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id")))
-    return first.unionAll(new.select(F.lit("mistakes"), rank, F.col("event_id").cast("string")))
-
-
-def _brief_sql(gods: int, mistakes: int) -> str:
-    sql = f", {GODS} SELECT 'gods' AS section, CAST(row_number() OVER (ORDER BY c DESC, id) AS INTEGER) AS rank, label AS text FROM (SELECT * FROM god ORDER BY c DESC, id LIMIT {gods})"
-    if mistakes:
-        sql += f" UNION ALL SELECT 'mistakes', CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER), CAST(event_id AS VARCHAR) FROM (SELECT * FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT {mistakes})"
-    return sql
-
-
-spec("P6_memory_section", ("nodes", "edges"), _brief_sql(10, 5))(lambda s, d: _brief(s, d, 10, 5))
-
-
+# Reports
 @spec("P14_weekly_digest", ("log",), ", w AS (SELECT CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week, tool, saved FROM log) SELECT week, coalesce(tool, '*') AS project, CAST(sum(saved) AS BIGINT) AS saved, round(sum(saved)::DOUBLE / 1000000 * 3, 8) AS usd FROM w GROUP BY GROUPING SETS ((week, tool), (week))")
 def _(s, d):
     week = F.concat(F.expr("extract(yearofweek from ts)").cast("string"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))

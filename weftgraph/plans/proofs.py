@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import telemetry as T
-from ..operators.providers import Provider, Registry
+from ..operators.providers import Provider, Registry, cached
 from ..sources import adapters as A
+from ..sources import notes as N
 from .registry import spec
 
+A.SQL.update(N.SQL)
+
 HOLD = """
  hd AS (SELECT o_orderkey AS c, o_orderdate AS ts FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 600), od AS (SELECT c, row_number() OVER (ORDER BY ts, c) AS rn, count(*) OVER () AS n FROM hd),
  cf AS (SELECT DISTINCT c, rn, n, l_partkey AS f FROM od JOIN lineitem ON l_orderkey = c), tr AS (SELECT c, f FROM cf WHERE rn <= floor(n * 0.7)), te AS (SELECT c, f FROM cf WHERE rn > floor(n * 0.7)),
@@ -57,3 +60,27 @@ def _(s, d):
     p = A.table(s, d, "part")
     context = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
     return own.resolved(p.select(F.col("p_partkey").alias("request"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), context.alias("context")))
+
+
+@spec("S17_cached_providers", (), "SELECT p_partkey AS request, 'shape' AS provider, CASE WHEN p_partkey % 3 = 0 THEN 'kept' ELSE 'm' || p_partkey || ' of ' || p_brand END AS content FROM part WHERE p_partkey % 3 = 0 OR p_size <> 1")
+def _(s, d):
+    own = Registry()
+    own.add(Provider("shape", _shape, tier=2))
+    p = A.table(s, d, "part")
+    path = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    asked = p.select(F.col("p_partkey").alias("request"), path.alias("path"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("context"))
+    # Two thirds were kept, but half of them too long ago.
+    age = F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(9_000_000)
+    cache = p.filter("p_partkey % 3 < 2").select(F.lit("shape").alias("provider"), path.alias("path"), F.lit("kept").alias("content"), F.lit(0.7).alias("confidence"), (F.lit(10_000_000) - age).cast("long").alias("cached_at"), F.lit(60).cast("long").alias("ttl"))
+    return cached(own, asked, cache, 10_000_000)[0].select("request", "provider", "content")
+
+
+@spec("E6_tools", ("notes", "note_edges"), "SELECT 'gods' AS tool, id AS answer FROM (SELECT n.id, count(*) AS c FROM (SELECT source AS id FROM note_edges UNION ALL SELECT target FROM note_edges WHERE source <> target) b JOIN notes n ON n.id = b.id WHERE n.kind NOT IN ('file', 'import', 'module', 'concept') GROUP BY n.id ORDER BY c DESC, n.id LIMIT 5) UNION ALL SELECT 'mistakes', id FROM (SELECT id FROM notes WHERE kind = 'mistake' AND source_file = 'src/f3.ts' ORDER BY last_verified DESC, id LIMIT 20) UNION ALL SELECT 'stats', (SELECT count(*) FROM notes) || ' ' || (SELECT count(*) FROM note_edges)")
+def _(s, d):
+    from ..api import Graph
+
+    edges = N.note_edges(s, d).withColumn("confidence", F.lit("EXTRACTED"))
+    own = Graph(N.notes(s, d), edges)
+    answer = lambda tool, df, c: df.select(F.lit(tool).alias("tool"), c.alias("answer"))
+    stats = own.stats()
+    return answer("gods", own.gods(5), F.col("id")).unionAll(answer("mistakes", own.mistakes("src/f3.ts"), F.col("id"))).unionAll(answer("stats", stats, F.concat_ws(" ", F.col("nodes").cast("string"), F.col("edges").cast("string"))))

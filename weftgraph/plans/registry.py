@@ -142,17 +142,6 @@ def _(s, d):
     return G.pagerank(G.checkpointed(e)).select("id", F.round("rank", 8).alias("rank"))
 
 
-@spec("G7_impact", ("calls",), ", dep AS (SELECT DISTINCT owner AS a, caller AS b FROM calls WHERE owner <> caller), reach(origin, id) AS (SELECT DISTINCT a, b FROM dep UNION SELECT r.origin, dep.b FROM reach r JOIN dep ON dep.a = r.id) SELECT origin, id FROM reach WHERE origin <> id", recursive=True)
-def _(s, d):
-    dep = G.checkpointed(M.reverse_dependencies(A.calls(s, d)))
-    return G.closure(dep, dep.select(F.col("a").alias("origin")).distinct())
-
-
-@spec("G8_callers", ("calls",), "SELECT callee, caller FROM calls")
-def _(s, d):
-    return A.calls(s, d).select("callee", "caller").distinct()
-
-
 @spec("J7_reverse_dependency", ("calls",), "SELECT DISTINCT owner AS a, caller AS b FROM calls")
 def _(s, d):
     return M.reverse_dependencies(A.calls(s, d))
@@ -166,12 +155,6 @@ def _(s, d):
     return M.resolve_names(refs, defs)
 
 
-@spec("G14_siblings", (), "SELECT a.s_suppkey AS focal, b.s_suppkey AS file FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
-def _(s, d):
-    a = A.table(s, d, "supplier").select(F.col("s_suppkey").alias("focal"), "s_nationkey")
-    return a.join(a.withColumnRenamed("focal", "file"), "s_nationkey").filter("focal <> file").select("focal", "file")
-
-
 @spec("G17_related_files", ("commits",), ", foc AS (SELECT p_partkey AS focal FROM part), ln AS (SELECT file_a AS focal, file_b AS file, n FROM co_change UNION ALL SELECT file_b, file_a, n FROM co_change), co AS (SELECT l.focal, l.file, -n AS rnk, 2 AS tier FROM ln l JOIN foc ON foc.focal = l.focal WHERE n >= 2), sib AS (SELECT f.focal, p2.p_partkey AS file, p2.p_partkey AS rnk, 4 AS tier FROM foc f JOIN part p1 ON p1.p_partkey = f.focal JOIN part p2 ON p2.p_brand = p1.p_brand AND p2.p_size = p1.p_size AND p2.p_partkey <> p1.p_partkey), al AS (SELECT * FROM co UNION ALL SELECT * FROM sib), best AS (SELECT focal, file, tier, rnk FROM (SELECT *, row_number() OVER (PARTITION BY focal, file ORDER BY tier, rnk) AS q FROM al) WHERE q = 1) SELECT focal, file, tier, place FROM (SELECT focal, file, tier, row_number() OVER (PARTITION BY focal ORDER BY tier, rnk, file) AS place FROM best) WHERE place <= 10")
 def _(s, d):
     p = A.table(s, d, "part")
@@ -200,11 +183,6 @@ def _(s, d):
     return M.hot_files(A.commit_files(s, d))
 
 
-@spec("A7_authors", ("commits",), "SELECT file, count(DISTINCT author) AS authors FROM commits GROUP BY file")
-def _(s, d):
-    return A.commit_files(s, d).groupBy("file").agg(F.countDistinct("author").alias("authors"))
-
-
 @spec("T2_co_change_neighbours", ("commits",), "SELECT file, n FROM (SELECT file_b AS file, n FROM co_change WHERE file_a = 42 UNION ALL SELECT file_a, n FROM co_change WHERE file_b = 42) ORDER BY n DESC, file LIMIT 10")
 def _(s, d):
     return M.co_change_neighbours(M.co_change(A.commit_files(s, d)), 42)
@@ -365,8 +343,3 @@ def _(s, d):
 @spec("T4_packing", ("results",), f"{RANKED}, tk AS (SELECT request, seq, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, place FROM ra), ru AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY request ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM tk) SELECT request, seq, tokens, running FROM ru WHERE running <= 4000")
 def _(s, d):
     return R.packed(R.blended(A.results(s, d), PRIORITY), 4000).select("request", "seq", "tokens", "running")
-
-
-@spec("G5_shortest_path")
-def _(s, d):
-    return G.shortest_path(G.checkpointed(_links(s, d)), 42, 1000)

@@ -29,12 +29,6 @@ def _(s, d):
     return ends.groupBy("id").agg(_count().alias("degree")).join(A.nodes(s, d).select("id"), "id", "left_semi")
 
 
-@spec("J4_callers", ("nodes", "calls"), "SELECT c.callee, coalesce(n.label, 'supplier:' || c.caller) AS caller_file FROM calls c LEFT JOIN nodes n ON n.id = 'supplier:' || c.caller")
-def _(s, d):
-    c = A.calls(s, d).withColumn("id", F.concat(F.lit("supplier:"), F.col("caller").cast("string")))
-    return c.join(A.nodes(s, d).select("id", "label"), "id", "left").select("callee", F.coalesce("label", "id").alias("caller_file"))
-
-
 @spec("J11_adjacent_files", ("nodes", "edges"), f", {BOTH} SELECT DISTINCT f.source_file AS focal, n.source_file AS file FROM nodes f JOIN both_ b ON b.id = f.id JOIN nodes n ON n.id = b.other WHERE f.kind = 'class' AND f.source_file <> n.source_file")
 def _(s, d):
     n, e = A.nodes(s, d), A.edges(s, d)
@@ -96,12 +90,6 @@ def _(s, d):
     return w.filter(F.expr("luhn_check(digits)"))
 
 
-@spec("X16_canonical_json", (), """SELECT event_id, '{"a":' || user_id || ',"m":' || CAST(floor(value) AS BIGINT) || ',"z":' || event_id || '}' AS body FROM events""")
-def _(s, d):
-    raw = F.to_json(F.struct(F.col("event_id").alias("z"), F.col("user_id").alias("a"), F.floor("value").alias("m")))
-    return A.table(s, d, "events").select("event_id", Q.canonical_json(raw).alias("body"))
-
-
 @spec("X26_template", ("log",), "SELECT seq, 'read ' || path || ' by ' || tool || ' {other}' AS arg FROM log")
 def _(s, d):
     return A.log(s, d).select("seq", Q.fill("read {path} by {tool} {other}", path=F.col("path"), tool=F.col("tool")).alias("arg"))
@@ -127,28 +115,12 @@ def _(s, d):
 KIND = "CASE seq % 3 WHEN 0 THEN 'ast' WHEN 1 THEN 'structure' ELSE 'other' END"
 
 
-@spec("D7_arrival_order", ("results",), "SELECT request, seq, row_number() OVER (PARTITION BY request ORDER BY seq) AS place FROM results")
-def _(s, d):
-    return A.results(s, d).select("request", "seq", F.row_number().over(Window.partitionBy("request").orderBy("seq")).alias("place"))
-
-
 @spec("T7_eviction", ("log",), "SELECT session, max(seq) AS used FROM log GROUP BY session ORDER BY used DESC LIMIT 50")
 def _(s, d):
     return A.log(s, d).groupBy("session").agg(F.max("seq").alias("used")).orderBy(F.desc("used")).limit(50)
 
 
 # Telemetry, sessions, replay
-@spec("A4_context_cache", ("log",), "SELECT count(DISTINCT path) AS entries, CAST(coalesce(sum(CAST(k >= 50 AS INT)), 0) AS BIGINT) AS hits, sum(CAST(k >= 50 AS INT)) / count(*) AS rate FROM log")
-def _(s, d):
-    hits = F.count_if(F.col("k") >= 50)
-    return A.log(s, d).agg(F.count_distinct("path").alias("entries"), hits.alias("hits"), (hits / _count()).alias("rate"))
-
-
-@spec("A27_output_size", (), "SELECT event_id, CAST(length(props) AS BIGINT) AS size, event_type = 'error' AS failed FROM events")
-def _(s, d):
-    return A.table(s, d, "events").select("event_id", F.length("props").cast("long").alias("size"), (F.col("event_type") == "error").alias("failed"))
-
-
 @spec("W11_carry_forward", ("log",), "SELECT seq, last_value(CASE WHEN tool = 'Edit' THEN path END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS heading FROM log")
 def _(s, d):
     w = Window.partitionBy("session").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 
 def log_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """Log files of a folder as they arrive; malformed lines are dropped."""
@@ -60,4 +62,21 @@ def served_stream(reads: DataFrame) -> DataFrame:
         state.update((json.dumps(noted),))
         yield pd.DataFrame(out, columns=["session", "seq", "again"])
 
+    ship(reads.sparkSession)
     return reads.groupBy("session").applyInPandasWithState(run, "session long, seq long, again boolean", "noted string", "append", GroupStateTimeout.NoTimeout)
+
+
+def debounced_stream(events: DataFrame, path: str, *key: str) -> DataFrame:
+    """Of each micro-batch of a stream of events(ts, ...) the last for each key, written below path and read again."""
+    spark = events.sparkSession
+    keep = lambda batch, n: newest_per_key(batch, *key).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")  # noqa: E731  (a batch run again writes the same folder)
+    events.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{path}/rows").drop("batch")
+
+
+def packets(results: DataFrame, path: str) -> DataFrame:
+    """Results of a stream in the order of their arrival, each with its micro-batch; nothing is ranked, cut or left out."""
+    spark = results.sparkSession
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/arrival={n}")
+    results.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
