@@ -38,7 +38,7 @@ from .repetition import _mix, batches, code_points, prefix_hashes, word_spans
 
 THRESHOLD, WORDS = 0.8, 5
 ROWS, BANDS, KEPT, STEP, TOLERANCE = 6, 40, 128, 32, 1e-6
-BLOCK, MASS = 128, 60_000  # texts, and shingles, of a group verified against as many others at a time
+BLOCK, MASS = 96, 45_000  # texts, and shingles, of a group verified against as many others at a time
 BUCKET_BLOCK = 512
 SALT = 4096  # members of a bucket that stay together in a join by bucket
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -37,7 +37,7 @@ from .repetition import _mix
 
 TOP, TAIL, WORDS = 384, 128, 16_384
 UNITS, ENTRIES = TOP + TAIL, WORDS + TAIL
-DIM, DIM2, NOISE, BATCH, ROUNDS = 24, 16, 32, 8192, 2
+DIM, DIM2, NOISE, BATCH, RATE, ROUNDS = 24, 16, 32, 1024, 0.3, 2
 HEAD = 2_000_000
 END_HASH = 0  # the end token's hash
 CHUNK = 16_384  # parameters in a row
@@ -316,7 +316,7 @@ class LogBilinear:
             x[:] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def step(self, one: np.ndarray, two: np.ndarray, to: np.ndarray, entry: np.ndarray, rate: float = 0.1) -> None:
+    def step(self, one: np.ndarray, two: np.ndarray, to: np.ndarray, entry: np.ndarray, rate: float = RATE) -> None:
         """A batch's step: units of the tokens and of the two before, and entries (-1: none)."""
         self.units.step((one, two), to, self.rng, rate)
         own = np.flatnonzero(entry >= 0)
