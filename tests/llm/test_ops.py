@@ -769,6 +769,32 @@ def test_quotes_found_past_own_and_null_holders(spark):
     assert (got[None, 1].other_conv, got[None, 1].n_linked) == (None, 0)
 
 
+AWKWARD = [
+    (1, "plain words of a text that stands alone here and goes on", "en", "s0"), (1, "plain words of a text that stands alone here and goes on", "en", "s0"), (1, "another text with the same number, of some length", "de", None),
+    (None, "a text without a number is a text all the same", None, "s1"), (None, None, None, None), (None, "", "en", "s0"), (2, "long words " * 60_000 + "Ende", "de", "s0"), (3, "y" * 100_000, "en", "s1"),
+    (-5, "\x00 \ud7ff \U0010ffff \u202e mixed", "en", "s0"), (2**62, "last", "en", "s0"), (4, "\n\n\t \x0b", "en", "s1"), (4, None, "en", "s1"),
+]
+
+
+@pytest.mark.parametrize(
+    "digest",
+    [repetition.repetition_rule, imatch.imatch_digest, secret_scan.secret_digest, mixing.mix_digest, bpe_automaton.bpe_digest, jaccard_join.jaccard_classes, lang_id.lang_digest, lbl_lm.lm_digest],
+    ids=lambda f: f.__name__,
+)
+def test_awkward_rows(spark, empty, digest):
+    clash = {c: F.lit("clash") for c in ("h", "k", "t", "n", "key", "b", "r", "u", "c", "rid", "score", "size", "spans", "row", "part", "learn", "codes", "ghost", "mask", "_id")}
+    frame = spark.createDataFrame(AWKWARD, SCHEMA).withColumns(clash).repartition(3)
+    got = digest(frame).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, *_ in AWKWARD)
+    none = digest(empty.withColumns(clash))
+    assert none.count() == 0 and none.columns == list(got[0].asDict())
+    if digest is bpe_automaton.bpe_digest:
+        tokenizers = pytest.importorskip("tokenizers")
+        t = tokenizers.Tokenizer.from_file(bpe_automaton.env_path("word_bpe_49k.json"))
+        want = collections.Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in AWKWARD)
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == want
+
+
 def reply_chains(rng, n_convs=25, turns=14):
     """Generated mail threads: (rows, parent of each (conv, turn)).  Each reply quotes all of the message that it
     answers, with that one's own quotes a level deeper, some with an introducing line, some rewrapped."""
