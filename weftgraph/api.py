@@ -40,9 +40,9 @@ class Graph:
         else:
             seen, found = search.walk(self.nodes, self.edges, seeds, depth)
         own = self.nodes.join(seen.select("id"), "id", "left_semi")
-        rows = search.shown(own, found.select("source", "target", "relation"), seeds)
+        most = 4 * budget  # letters
+        rows = graph.checkpointed(search.shown(own, found.select("source", "target", "relation"), seeds, most=most))
         order = F.array_position(F.array(F.lit("mistake"), F.lit("node"), F.lit("edge")), F.col("section"))
-        most = 4 * budget  # a line has a letter at least, so no more of them can be shown
         lines = [r["line"] for r in rows.orderBy(order, "place").limit(most).collect()]
         if lines and rows.filter("section = 'mistake'").limit(1).count():
             lines.insert(0, "⚠️ PAST MISTAKES (relevant to your query):")

@@ -36,17 +36,17 @@ def mulberry32(seed: int, nth: Column) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
 
 
-def _numbered(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+def numbered(df: DataFrame, *order) -> tuple[DataFrame, int]:
     """Rows with their number in the order (`at`, from 0), and their count. Rows are sorted into ranges and
     each range numbers its own, so no window runs over all of them; a count a range goes to the driver."""
-    ranged = checkpointed(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()))
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
     sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
     starts, total = [], 0
     for part in sorted(sizes):
         starts.append((part, total))
         total += sizes[part]
     offset = F.create_map(*(F.lit(x) for pair in starts for x in pair)) if starts else F.create_map(F.lit(0), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("at", (offset[F.col("_range")] + nth).cast("long")).drop("_range"), total
 
 
@@ -55,9 +55,9 @@ def bootstrap(clusters: DataFrame, order: str, value: str, rounds: int = 2000, a
 
     Clusters are numbered in the order of `order`. `rounds` times n draws are made in tasks and joined to
     the values by number. No cluster: null bounds; a single one: its value."""
-    numbered, n = _numbered(clusters.select(order, value), order)
+    own, n = numbered(clusters.select(order, value), order)
     draws = clusters.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("round"), F.floor(mulberry32(seed, F.col("id")) * n).cast("long").alias("at"))
-    means = draws.join(numbered, "at").groupBy("round").agg(F.avg(value).alias("m"))
+    means = draws.join(own, "at").groupBy("round").agg(F.avg(value).alias("m"))
     bounds = means.agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
     whole = clusters.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return whole.crossJoin(bounds).select("mean", "lo", "hi", "n")  # a row by a row

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph as G
+from .evaluation import numbered
 
 MONTH = 30 * 86_400_000
 #: The task views: sections with their limits and headings, in order.
@@ -21,9 +22,13 @@ VIEWS = {
 
 
 def _top(df: DataFrame, section: str, text: Column, *order, k: int | None = None) -> DataFrame:
-    """The first k rows as a section.  The limit comes first, so no window runs over more than it."""
-    own = df.orderBy(*order).limit(k) if k else df
-    return own.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("place"), text.alias("text"))
+    """The first k rows as a section, numbered in their order.  The limit comes first, so no window runs over more than
+    it; without one, rows are numbered range by range."""
+    if k:
+        own = df.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    else:
+        own = numbered(df, *order)[0].withColumn("place", (F.col("at") + 1).cast("int"))
+    return own.select(F.lit(section).alias("section"), "place", text.alias("text"))
 
 
 def is_hot() -> Column:
@@ -43,7 +48,7 @@ def noted(notes: DataFrame, kind: str, k: int, *order, section: str | None = Non
 
 def hot(notes: DataFrame, k: int | None = 10, section: str = "hot") -> DataFrame:
     changes = F.get_json_object("metadata", "$.changeCount").cast("long")
-    return _top(notes.filter(is_hot()), section, F.concat(F.lit("- "), "label"), F.desc(changes), "id", k=k or 1_000_000)
+    return _top(notes.filter(is_hot()), section, F.concat(F.lit("- "), "label"), F.desc(changes), "id", k=k)
 
 
 def dependencies(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:

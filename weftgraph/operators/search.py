@@ -112,25 +112,29 @@ def depth_first(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int
     return links.unionAll(blank).withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "place long, id string, level long, source string, target string, relation string")
 
 
-def shown(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_label: int = 500) -> DataFrame:
+def shown(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_label: int = 500, most: int = 8000) -> DataFrame:
     """(section, place, line) of a subgraph: mistakes first, then the visible nodes by rank from the seeds and by degree,
-    then the edges without hidden keywords and without skill-to-skill likeness."""
+    then the edges without hidden keywords and without skill-to-skill likeness.  Of each section `most` lines: a line
+    has a letter at least, so with four letters a token no more of them fit a budget of most / 4 tokens."""
+
+    def first(df: DataFrame, section: str, line: Column, *order) -> DataFrame:
+        own = df.orderBy(*order).limit(most)
+        return own.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("place"), line.alias("line"))
+
     own = nodes.select("id", "label", "kind", "source_file", "confidence_score", hidden().alias("hidden"), (F.get_json_object("metadata", "$.subkind") == "skill").alias("skill"))
     own = own.withColumn("skill", F.coalesce("skill", F.lit(False)) & (F.col("kind") == "concept"))
     label = F.when(F.length("label") > most_label, F.concat(F.substring("label", 1, most_label - 1), F.lit("…"))).otherwise(F.col("label"))
     sure = F.when(F.col("confidence_score") >= 0.85, "").otherwise(F.format_string(" [confidence %.2f]", "confidence_score"))
-    wrong = own.filter("kind = 'mistake'").select(F.lit("mistake").alias("section"), F.row_number().over(Window.orderBy("id")).alias("place"), F.concat(F.lit("  - "), label, F.lit(" (from "), "source_file", F.lit(")"), sure).alias("line"))
+    wrong = first(own.filter("kind = 'mistake'"), "mistake", F.concat(F.lit("  - "), label, F.lit(" (from "), "source_file", F.lit(")"), sure), "id")
     visible = G.checkpointed(own.filter("kind <> 'mistake' AND NOT hidden"))
     inside = edges.join(visible.select(F.col("id").alias("source")), "source", "left_semi").join(visible.select(F.col("id").alias("target")), "target", "left_semi")
     rank = G.pagerank(inside.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1.0).alias("weight")), seeds.join(visible, "id", "left_semi"), ids=visible)
     degree = G.subgraph_degree(edges)
-    w = Window.orderBy(F.desc("rank"), F.desc("degree"), "id")  # a walk's few nodes
     ranked = visible.join(rank, "id", "left").join(degree, "id", "left").withColumns({"rank": F.round(F.coalesce("rank", F.lit(0.0)), 10), "degree": F.coalesce("degree", F.lit(0))})
-    told = ranked.select(F.lit("node").alias("section"), F.row_number().over(w).alias("place"), F.concat(F.lit("NODE "), "label", F.lit(" ["), "kind", F.lit("] src="), "source_file").alias("line"))
+    told = first(ranked, "node", F.concat(F.lit("NODE "), "label", F.lit(" ["), "kind", F.lit("] src="), "source_file"), F.desc("rank"), F.desc("degree"), "id")
     end = lambda c: own.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"), F.col("hidden").alias(f"{c}_hidden"), F.col("skill").alias(f"{c}_skill"))
     known = edges.join(end("source"), "source").join(end("target"), "target").filter("NOT source_hidden AND NOT target_hidden AND NOT (relation = 'similar_to' AND source_skill AND target_skill)")
-    w = Window.orderBy("source", "target", "relation")
-    lines = known.select(F.lit("edge").alias("section"), F.row_number().over(w).alias("place"), F.concat(F.lit("EDGE "), "source_label", F.lit(" --"), "relation", F.lit("--> "), "target_label").alias("line"))
+    lines = first(known, "edge", F.concat(F.lit("EDGE "), "source_label", F.lit(" --"), "relation", F.lit("--> "), "target_label"), "source", "target", "relation")
     return wrong.unionAll(told).unionAll(lines)
 
 
