@@ -36,16 +36,18 @@ def mistakes(notes: DataFrame, file: str | None = None, since_ms: int | None = N
 
 
 def bulk_upsert(path: str, new: DataFrame, *key: str) -> DataFrame:
-    """The table at path with new rows in place of those with their key: written beside it, then swapped in.
-
-    A reader sees the old table or the new one.  The folder's name in the file `current` is what counts.
-    """
-    spark = new.sparkSession
-    old = current(spark, path)
+    """The table at path with new rows in place of those with their key."""
+    old = current(new.sparkSession, path)
     both = new.withColumn("seq", F.lit(1)) if old is None else old.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))
-    version = f"v{uuid.uuid4().hex}"
+    return swapped(path, upsert(both, both.limit(0), *key).drop("seq"))
+
+
+def swapped(path: str, table: DataFrame) -> DataFrame:
+    """A table in the place of the one at path: written beside it, then swapped in, so a reader sees the old table or
+    the new one.  The folder that the file `current` names is what counts."""
+    spark, version = table.sparkSession, f"v{uuid.uuid4().hex}"
     fs, at = _fs(spark, path)
-    upsert(both, both.limit(0), *key).drop("seq").write.parquet(f"{path}/{version}")
+    table.write.parquet(f"{path}/{version}")
     out = fs.create(at(f"{path}/next"), True)
     out.write(bytearray(version, "ascii"))
     out.close()
