@@ -109,9 +109,12 @@ def _log_files(s, d) -> str:
 FIELDS = "seq long, path string, injected long"
 
 
-@spec("S8_jsonl_scan", ("log",), "SELECT seq, path, injected FROM log WHERE seq % 10 <> 0 AND k % 2 = 0 AND k < 50")
+@spec("S8_jsonl_scan", ("log",), "SELECT seq, path, injected FROM log WHERE seq % 10 <> 0")
 def _(s, d):
-    return FI.log_lines(s, FIELDS, f"{_log_files(s, d)}/log.jsonl/project0").drop("project")
+    at, line = FI.scratch(s), F.to_json(F.struct("seq", "path", "injected"))
+    # Every tenth line is torn, as a writer that was stopped leaves it.
+    A.log(s, d).select(F.when(F.col("seq") % 10 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(f"{at}/log.jsonl")
+    return FI.log_lines(s, FIELDS, f"{at}/log.jsonl").drop("project")
 
 
 @spec("S9_jsonl_projects", ("log",), "SELECT 'project' || (k % 2) AS project, count(*) AS n, CAST(sum(injected) AS BIGINT) AS injected FROM log WHERE seq % 10 <> 0 GROUP BY 1")
@@ -138,11 +141,11 @@ def _(s, d):
     return EX.notes_of(_note_files(s, d))
 
 
-@spec("S13_note_files", (), f"WITH f AS (SELECT {NOTE_TEXT} AS text FROM part WHERE p_partkey <= 6) SELECT lower(trim(regexp_extract(text, '(?i)error:\\s*(.{{10,80}})', 1))) AS label, 'mistake' AS kind FROM f")
+@spec("S13_note_files", (), "SELECT 'the cache of ' || lower(n_name) || ' is stale' AS label, 'mistake' AS kind FROM nation")
 def _(s, d):
     at = FI.scratch(s)
-    for r in _note_files(s, d).filter("CAST(file AS LONG) <= 6").collect():  # six files
-        FI.write_text(s, f"{at}/notes{r['file']}.md", r["text"])
+    for r in A.table(s, d, "nation").collect():  # 25 rows
+        FI.write_text(s, f"{at}/notes{r['n_nationkey']}.md", f"# Notes\n\nError: the cache of {r['n_name']} is stale\nERROR: The cache of {r['n_name']} is stale")
     return EX.notes_of(FI.whole(s, f"{at}/*.md", f"{at}/missing.md")).filter("kind = 'mistake'").select(F.lower("label").alias("label"), "kind")
 
 
@@ -272,11 +275,12 @@ def _(s, d):
 
 
 COMMAND = "CASE WHEN o_orderkey % 3 = 0 THEN 'cd x && MAKE f' || (o_orderkey % 120) WHEN o_orderkey % 3 = 1 THEN 'vim src/F' || (o_orderkey % 25) || '.ts' ELSE 'ls -la' END"
-GUARDED = f"cmd AS (SELECT o_orderkey AS seq, {COMMAND} AS command FROM orders WHERE o_orderstatus = 'P'), kinds AS (SELECT DISTINCT lower(command) AS c FROM cmd), mi AS (SELECT *, lower(json_extract_string(metadata, '$.commandPattern')) AS pat FROM notes WHERE kind = 'mistake'), hit AS (SELECT DISTINCT k.c, m.id FROM kinds k JOIN (SELECT id, unnest([pat, lower(source_file)]) AS t FROM mi) m ON length(m.t) > 4 AND contains(k.c, m.t)), mt AS (SELECT cmd.seq, hit.id FROM cmd JOIN hit ON hit.c = lower(cmd.command))"
+GUARDED = f"cmd AS (SELECT min(seq) AS seq, command FROM (SELECT o_orderkey AS seq, {COMMAND} AS command FROM orders) GROUP BY command), kinds AS (SELECT DISTINCT lower(command) AS c FROM cmd), mi AS (SELECT *, lower(json_extract_string(metadata, '$.commandPattern')) AS pat FROM notes WHERE kind = 'mistake'), hit AS (SELECT DISTINCT k.c, m.id FROM kinds k JOIN (SELECT id, unnest([pat, lower(source_file)]) AS t FROM mi) m ON length(m.t) > 4 AND contains(k.c, m.t)), mt AS (SELECT cmd.seq, hit.id FROM cmd JOIN hit ON hit.c = lower(cmd.command))"
 
 
 def _commands(s, d):
-    return A.table(s, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("seq"), F.expr(COMMAND).alias("command"))
+    # Each command once, with its first order's number.
+    return A.table(s, d, "orders").select(F.expr(COMMAND).alias("command"), "o_orderkey").groupBy("command").agg(F.min("o_orderkey").alias("seq"))
 
 
 @spec("J15_mistakes_of_commands", ("notes",), f", {GUARDED} SELECT seq, id FROM mt")

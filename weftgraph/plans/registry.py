@@ -147,10 +147,10 @@ def _(s, d):
     return M.reverse_dependencies(A.calls(s, d))
 
 
-@spec("J8_resolve_names", (), "WITH refs AS (SELECT DISTINCT l_orderkey % 50 AS file, l_partkey % 700 AS name FROM lineitem), pos AS (SELECT l_orderkey % 50 AS file, l_partkey % 700 AS name, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), defs AS (SELECT p_partkey AS def_id, p_partkey % 700 AS name, p_size % 50 AS def_file FROM part), few AS (SELECT name FROM defs GROUP BY name HAVING count(*) <= 10), hit AS (SELECT p.file, d.def_id, min(p.pos) AS pos FROM pos p JOIN defs d ON d.name = p.name JOIN few ON few.name = p.name WHERE p.file <> d.def_file GROUP BY p.file, d.def_id) SELECT file, def_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos, def_id) AS rn FROM hit) WHERE rn <= 60")
+@spec("J8_resolve_names", (), "WITH refs AS (SELECT DISTINCT l_orderkey // 300 AS file, l_partkey % 700 AS name FROM lineitem), pos AS (SELECT l_orderkey // 300 AS file, l_partkey % 700 AS name, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), defs AS (SELECT p_partkey AS def_id, p_partkey % 700 AS name, p_size % 50 AS def_file FROM part), few AS (SELECT name FROM defs GROUP BY name HAVING count(*) <= 10), hit AS (SELECT p.file, d.def_id, min(p.pos) AS pos FROM pos p JOIN defs d ON d.name = p.name JOIN few ON few.name = p.name WHERE p.file <> d.def_file GROUP BY p.file, d.def_id) SELECT file, def_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos, def_id) AS rn FROM hit) WHERE rn <= 60")
 def _(s, d):
     line = A.table(s, d, "lineitem")
-    refs = line.select((F.col("l_orderkey") % 50).alias("file"), (F.col("l_partkey") % 700).alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    refs = line.select(F.floor(F.col("l_orderkey") / 300).alias("file"), (F.col("l_partkey") % 700).alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     defs = A.table(s, d, "part").select(F.col("p_partkey").alias("def_id"), (F.col("p_partkey") % 700).alias("name"), (F.col("p_size") % 50).cast("long").alias("def_file"))
     return M.resolve_names(refs, defs)
 
