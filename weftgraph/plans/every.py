@@ -481,10 +481,18 @@ def _(s, d):
     return S.structure(N.notes(s, d), N.note_edges(s, d))
 
 
-@spec("D8_keyword_choice", ("nodes",), None)
+CHOSEN = (
+    f"c AS (SELECT conv_id, turn, list_reduce(list_filter(regexp_split_to_array(lower(text || ' brand#1 supplier asia' || (conv_id % 3)), '[^a-z0-9_]+'), lambda x: length(x) >= 3 AND x NOT IN {X.STOPWORDS}), lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, CAST([] AS VARCHAR[])) AS ks FROM conversations),"
+    " w AS (SELECT conv_id, turn, unnest(ks) AS kw, generate_subscripts(ks, 1) AS pos FROM c WHERE len(ks) >= 2), kn AS (SELECT DISTINCT kw FROM w), lb AS (SELECT lower(label) AS l, count(*) AS n FROM nodes GROUP BY 1), df AS (SELECT kw, sum(n) AS df FROM kn JOIN lb ON contains(l, kw) GROUP BY kw),"
+    " sc AS (SELECT w.*, CASE WHEN df.df > 0 THEN round(ln((SELECT count(*) FROM nodes)::DOUBLE / df.df), 8) ELSE 0.0::DOUBLE END AS idf FROM w LEFT JOIN df ON df.kw = w.kw), gr AS (SELECT conv_id, turn, max(idf) AS most, list(kw ORDER BY idf DESC, pos) FILTER (WHERE idf > 0) AS ks FROM sc GROUP BY conv_id, turn)"
+)
+
+
+@spec("D8_keyword_choice", ("nodes",), f", {CHOSEN} SELECT conv_id, turn, array_to_string(ks[1:5], ' ') AS keywords FROM gr WHERE most >= 1.386")
 def _(s, d):
-    c = A.table(s, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" brand#1 supplier "), F.lit("asia"), (F.col("conv_id") % 3).cast("string")).alias("text"))
-    return S.keyword_choice(c, A.nodes(s, d))
+    said = F.concat("text", F.lit(" brand#1 supplier asia"), (F.col("conv_id") % 3).cast("string"))
+    chosen = S.keyword_choice(A.table(s, d, "conversations").select("conv_id", "turn", said.alias("text")), A.nodes(s, d))
+    return chosen.withColumn("keywords", F.array_join("keywords", " "))
 
 
 # Text
