@@ -7,7 +7,11 @@ folder is, so lineage stays short.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOT_GODS = ("file", "import", "module", "concept")
@@ -39,17 +43,31 @@ def subgraph_degree(edges: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder.  Where none is set and everything runs in one process
-    (tests), a folder of our own; on a cluster that is an error, for executors share no local folder."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not getattr(sc, "_weftgraph_ckpt", False):
-        import tempfile
-
+    """df as a table written below the folder that spark.checkpoint.dir names and read again: lineage is cut, a lost
+    executor costs no recomputation, and (unlike checkpoint()) it is computed once.  Where the folder is unset and
+    everything runs in one process (tests), one of our own; on a cluster that is an error, for executors share no local
+    folder.  The table goes when the driver's process ends."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        sc = spark.sparkContext
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-ckpt-"))
-        sc._weftgraph_ckpt = True
-    return df.checkpoint()
+        if not getattr(sc, "_weftgraph_ckpt", None):
+            sc._weftgraph_ckpt = tempfile.mkdtemp(prefix="weftgraph-ckpt-")
+        top = sc._weftgraph_ckpt
+    path = f"{top}/weftgraph-graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_removed, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the context is gone: nothing can be reached any more
+        pass
 
 
 def bfs_levels(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
