@@ -54,7 +54,7 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None
     """Batches of df through make()(list, list, ...) -> lists, one for each output column.
 
     key names the tables that make keeps in the worker (see resident).  raw: Arrow arrays instead of lists
-    go in; lists or Arrow arrays come out.
+    go in; lists or Arrow arrays come out.  A generator's lists are given on one by one.
 
     make runs once in each task, so what it returns may keep state between batches.  If what it
     returns has a method flush, its lists follow the last batch.  Never shuffles.
@@ -69,7 +69,8 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None
         build = lambda cols: pa.RecordBatch.from_arrays([to(c, t) for c, t in zip(cols, arrow.types)], schema=arrow)
         for b in batches:
             if b.num_rows:
-                yield build(f(*(b.columns if raw else [c.to_pylist() for c in b.columns])))
+                got = f(*(b.columns if raw else [c.to_pylist() for c in b.columns]))
+                yield from map(build, got) if isinstance(got, Iterator) else (build(got),)
         if hasattr(f, "flush"):
             yield build(f.flush())
         del f
@@ -109,6 +110,24 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Keys met by more than one in HOT of all rows are broadcast: fewer than HOT of them can be.
+HOT = 1000
+
+
+def met(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) to facts, which has one row a key and says (weight) how many rows the key will meet.
+
+    Keys that meet over a thousandth of all rows are broadcast, so no task gets them whole; the others are shuffled.
+    facts is read three times: a saved table is best.
+    """
+    least = (facts.agg(F.sum(weight)).first()[0] or 0) / HOT
+    mark, told = "_met", [c for c in facts.columns if c not in (*on, weight)]
+    hot = facts.filter(F.col(weight) > least).drop(weight).withColumn(mark, F.lit(True))
+    first = rows.join(F.broadcast(hot), on, "left")
+    rest = first.filter(F.col(mark).isNull()).drop(mark, *told).join(facts.filter(F.col(weight) <= least).drop(weight), on, how)
+    return first.filter(mark).drop(mark).unionByName(rest)
+
+
 def freed(df: DataFrame) -> None:
     """Remove the files of a saved table that nothing will read again."""
     if path := getattr(df, "_weftgraph_path", None):
