@@ -9,15 +9,20 @@ USD_PER_MILLION = 3.0
 READ_DENY_TOKENS = 1200
 
 
-def count_by(log: DataFrame, *cols: str) -> DataFrame:
-    """One row for each value of each column, in one pass over the log."""
-    sets = [F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in cols]
-    return log.select(F.explode(F.array(*sets)).alias("d")).groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("n"))
+def count_by(log: DataFrame, *cols: str, known: tuple[str, ...] = ("decision",)) -> DataFrame:
+    """One row for each value of each column, in one pass over the log.  A missing value counts as `unknown`; in the
+    columns of `known` it does not count."""
+    value = lambda c: F.col(c).cast("string") if c in known else F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    sets = [F.struct(F.lit(c).alias("dimension"), value(c).alias("value")) for c in cols]
+    return log.select(F.explode(F.array(*sets)).alias("d")).filter("d.value IS NOT NULL").groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_totals(log: DataFrame) -> DataFrame:
-    deny = (F.col("tool") == "Read") & (F.col("decision") == "deny")
-    return log.agg(F.count(F.lit(1)).alias("rows"), F.count_if(deny).alias("read_denies"), (F.count_if(deny) * READ_DENY_TOKENS).alias("est_tokens"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Rows, reads denied before the tool ran, what these saved at READ_DENY_TOKENS each, displaced tokens (positive
+    ones), first and last time of log(event, tool, decision, displaced, ts)."""
+    deny = F.count_if(F.coalesce((F.col("event") == "PreToolUse") & (F.col("tool") == "Read") & (F.col("decision") == "deny"), F.lit(False)))
+    displaced = F.coalesce(F.sum(F.when(F.col("displaced") > 0, F.col("displaced"))), F.lit(0))
+    return log.agg(F.count(F.lit(1)).alias("rows"), deny.alias("read_denies"), (deny * READ_DENY_TOKENS).alias("est_tokens"), displaced.alias("displaced"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def _no_negative(c: str) -> Column:
@@ -58,33 +63,80 @@ def re_reads(log: DataFrame) -> DataFrame:
 
 
 def buckets(log: DataFrame) -> DataFrame:
-    """Per session: baseline of all, intercepted, passed, packet and repeated reads' tokens."""
-    w = Window.partitionBy("session", "path").orderBy("ts", "seq")
-    own = log.filter("tool IN ('Read', 'Grep', 'Bash')").withColumn("again", (F.col("tool") == "Read") & (F.row_number().over(w) > 1))
-    deny = F.col("decision") == "deny"
-    total = lambda c, v="would_have": F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
-    return own.groupBy("session").agg(F.sum("would_have").alias("base"), total(deny).alias("intercepted"), total(~deny).alias("passed"), total(deny, "injected").alias("packet"), total(F.col("again")).alias("repeat"))
+    """Each session's tokens by what became of its calls, every call in one bucket.
+
+    log(session, seq, ts, tool, decision, path, command, would_have, injected).  Reads, searches and commands count if
+    they say what they would have cost; a command must be known, or it is only counted as skipped.  A read of a path
+    that a counted read of the session had before is `dedup` (at its packet's cost if denied, else whole); other denied
+    calls are `intercepted`, at the cost of their `packet`; the rest is `passed`.  A missing packet costs the whole.
+    """
+    bash = F.col("tool") == "Bash"
+    told = F.coalesce(F.length("command") > 0, F.lit(False))
+    counted = F.coalesce(F.col("tool").isin("Read", "Grep") | (bash & told), F.lit(False)) & F.col("would_have").isNotNull()
+    read = counted & (F.col("tool") == "Read") & F.col("path").isNotNull()
+    # Rows with paths and without are told apart, so that only reads of known paths are ordered together.
+    w = Window.partitionBy("session", F.when(read, F.col("path")), F.when(read, F.lit(1)).otherwise(F.col("seq"))).orderBy("ts", "seq")
+    own = log.withColumns({"counted": counted, "read": read, "deny": F.coalesce(F.col("decision") == "deny", F.lit(False)), "told": told})
+    own = own.withColumn("again", F.col("read") & (F.row_number().over(w) > 1))
+    kind = F.when(F.col("again"), "dedup").when(F.col("counted") & F.col("deny"), "intercepted").when(F.col("counted"), "passed")
+    own = own.withColumns({"kind": kind, "cost": F.when(F.col("deny"), F.coalesce("injected", "would_have")).otherwise(F.col("would_have"))})
+    total = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0))
+    return own.groupBy("session").agg(
+        total("intercepted", "would_have").alias("intercepted"), total("intercepted", "cost").alias("packet"), total("passed", "would_have").alias("passed"),
+        total("dedup", "would_have").alias("dedup"), total("dedup", "cost").alias("dedup_cost"), F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("counted") & F.col("deny")).alias("calls"), F.count_if(F.coalesce(bash, F.lit(False)) & F.col("told") & F.col("deny")).alias("bash_counted"),
+        F.count_if(F.coalesce(bash, F.lit(False)) & ~F.col("told")).alias("bash_skipped"),
+    )
 
 
 def p_curve(session_buckets: DataFrame, grid: tuple = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Tokens if a share p of intercepted reads is read after all: passed + packet + p * intercepted."""
-    total = session_buckets.agg(*(F.sum(c).alias(c) for c in ("base", "intercepted", "passed", "packet")))
+    """Tokens and percent saved if a share p of what was intercepted is read after all: over first calls (passed + packet +
+    p * intercepted), and over whole sessions with their repeated reads; the share p below which interception pays; and
+    repeated reads in percent of all."""
+    names = ("intercepted", "packet", "passed", "dedup", "dedup_cost")
+    t = session_buckets.agg(*(F.sum(c).alias(c) for c in names)).withColumn("p", F.explode(F.array(*(F.lit(p) for p in grid))))
+    base = F.col("passed") + F.col("intercepted")
     cost = F.col("passed") + F.col("packet") + F.col("p") * F.col("intercepted")
-    got = total.withColumn("p", F.explode(F.array(*(F.lit(p) for p in grid))))
-    return got.select("p", F.round(cost, 6).alias("tokens"), F.round(1 - cost / F.col("base"), 8).alias("reduction"))
+    share = lambda part, of: F.round(F.when(of > 0, part / of).otherwise(0.0), 8)
+    whole = base + F.col("dedup")
+    return t.select(
+        "p", F.round(cost, 6).alias("tokens"), share((base - cost) * 100, base).alias("reduction"), share((whole - cost - F.col("dedup_cost")) * 100, whole).alias("session_reduction"),
+        share((F.col("intercepted") - F.col("packet")).cast("double"), F.col("intercepted")).alias("break_even"), share(F.col("dedup") * 100.0, whole).alias("dedup_share"),
+    )
+
 
+#: The providers that a tuner knows.
+PROVIDERS = ("structure", "mistakes", "git", "mempalace", "context7", "obsidian")
 
-def hit_rates(log: DataFrame, least: int = 20, budget: int = 200) -> DataFrame:
-    """Tuning proposals for each provider of log(event, decision, provider), once there are enough denied reads: off
-    if it never contributed, a fifth more budget if it did so in nine of ten denied reads."""
-    denied = log.filter("event = 'PreToolUse' AND decision = 'deny'")
-    n = denied.agg(F.count(F.lit(1)).alias("denied"))
-    got = log.filter("provider IS NOT NULL").groupBy("provider").agg(F.count_if(F.expr("event = 'PreToolUse' AND decision = 'deny'")).alias("hits"))
+
+def _denied(log: DataFrame) -> DataFrame:
+    return log.filter("event = 'PreToolUse' AND decision = 'deny'")
+
+
+def hit_rates(log: DataFrame, providers: tuple[str, ...] = PROVIDERS, least: int = 20, budget: int = 200) -> DataFrame:
+    """Tuning proposals for each provider of the list, and each that a denied call of log(event, decision, provider)
+    names, once there are enough denied calls: off for one of the list that never contributed, a fifth more budget for one
+    that did so in nine of ten."""
+    spark = log.sparkSession
+    hits = _denied(log).groupBy("provider").agg(F.count(F.lit(1)).alias("hits"))
+    n = hits.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("denied"))  # one row; calls without a provider are one of its groups
+    known = spark.createDataFrame([(p,) for p in providers], "provider string").withColumn("listed", F.lit(True))
+    both = hits.filter("provider IS NOT NULL").join(known, "provider", "full").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
     rate = F.col("hits") / F.col("denied")
-    return got.crossJoin(F.broadcast(n)).filter(F.col("denied") >= least).select(  # one row
-        "provider", "hits", "denied", F.round(rate, 8).alias("rate"), F.when(F.col("hits") == 0, "disable").when(rate >= 0.9, "raise").otherwise("keep").alias("proposal"),
-        F.when(rate >= 0.9, F.round(F.lit(budget * 1.2)).cast("long")).otherwise(F.lit(budget).cast("long")).alias("budget"),
-    )
+    raised = F.greatest(rate, F.lit(0.0)) >= 0.9
+    return both.crossJoin(F.broadcast(n)).filter(F.col("denied") >= least).select(
+        "provider", "hits", "denied", F.round(rate, 8).alias("rate"), F.when((F.col("hits") == 0) & F.col("listed"), "disable").when(raised, "raise").otherwise("keep").alias("proposal"),
+        F.when(raised, F.round(F.lit(budget * 1.2)).cast("long")).otherwise(F.lit(budget).cast("long")).alias("budget"),
+    )
+
+
+def threshold_proposal(log: DataFrame, now: float = 0.6, least: int = 10, margin: float = 0.1) -> DataFrame:
+    """The confidence threshold to be raised to: the upper median of denied calls' confidence in log(event, decision,
+    confidence), if there are `least` of them and it lies over `margin` above the present one; else no row."""
+    own = _denied(log).filter("confidence IS NOT NULL").select(F.lit(1).alias("one"), "confidence")
+    n = own.groupBy("one").agg(F.count(F.lit(1)).alias("n"))
+    got = upper_median(own, "one", "confidence").join(n, "one").filter((F.col("n") >= least) & (F.col("median") > now + margin))
+    return got.select(F.lit(now).alias("current"), F.round("median", 2).alias("proposed"), "n")
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -700,11 +700,23 @@ def _(s, d):
     return T.warnings(A.log(s, d).withColumn("reason", reason))
 
 
-@spec("A19_hit_rates", ("log",), ", lg AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'PostToolUse' ELSE 'PreToolUse' END AS event, CASE WHEN k >= 97 THEN 'notes' WHEN k < 38 THEN 'ast' WHEN k < 42 THEN 'git' END AS provider FROM log), dn AS (SELECT count(*) AS denied FROM lg WHERE event = 'PreToolUse' AND decision = 'deny'), h AS (SELECT provider, count(CASE WHEN event = 'PreToolUse' AND decision = 'deny' THEN 1 END) AS hits FROM lg WHERE provider IS NOT NULL GROUP BY provider) SELECT provider, hits, denied, round(hits::DOUBLE / denied, 8) AS rate, CASE WHEN hits = 0 THEN 'disable' WHEN hits::DOUBLE / denied >= 0.9 THEN 'raise' ELSE 'keep' END AS proposal, CAST(CASE WHEN hits::DOUBLE / denied >= 0.9 THEN 240 ELSE 200 END AS BIGINT) AS budget FROM h, dn WHERE denied >= 20")
-def _(s, d):
+ASKED = "lg AS (SELECT *, CASE WHEN k % 10 = 0 THEN NULL WHEN k >= 97 THEN 'notes' WHEN k < 38 THEN 'structure' WHEN k = 38 THEN 'git' WHEN k < 42 THEN 'team' END AS provider, CASE WHEN k % 3 > 0 THEN round(k / 50.0::DOUBLE, 2) END AS confidence FROM hooks)"
+
+
+def _asked(s, d):
     k = F.col("k")
-    log = A.log(s, d).withColumns({"event": F.when(k % 10 == 0, "PostToolUse").otherwise("PreToolUse"), "provider": F.when(k >= 97, "notes").when(k < 38, "ast").when(k < 42, "git")})
-    return T.hit_rates(log)
+    provider = F.when(k % 10 == 0, None).when(k >= 97, "notes").when(k < 38, "structure").when(k == 38, "git").when(k < 42, "team")
+    return A.hooks(s, d).withColumns({"provider": provider, "confidence": F.when(k % 3 > 0, F.round(k / 50, 2))})
+
+
+@spec("A19_hit_rates", ("log", "hooks"), f", {ASKED}, dn AS (SELECT provider FROM lg WHERE event = 'PreToolUse' AND decision = 'deny'), n AS (SELECT count(*) AS denied FROM dn), ks(provider) AS (VALUES ('structure'), ('mistakes'), ('git'), ('mempalace'), ('context7'), ('obsidian')), u AS (SELECT provider FROM ks UNION SELECT provider FROM dn WHERE provider IS NOT NULL), h AS (SELECT u.provider, count(dn.provider) AS hits FROM u LEFT JOIN dn ON dn.provider = u.provider GROUP BY u.provider) SELECT provider, hits, denied, round(hits::DOUBLE / denied, 8) AS rate, CASE WHEN hits = 0 THEN 'disable' WHEN hits::DOUBLE / denied >= 0.9 THEN 'raise' ELSE 'keep' END AS proposal, CAST(CASE WHEN hits::DOUBLE / denied >= 0.9 THEN 240 ELSE 200 END AS BIGINT) AS budget FROM h, n WHERE denied >= 20")
+def _(s, d):
+    return T.hit_rates(_asked(s, d))
+
+
+@spec("A19_threshold", ("log", "hooks"), f", {ASKED}, c AS (SELECT confidence, row_number() OVER (ORDER BY confidence) - 1 AS i, count(*) OVER () AS n FROM lg WHERE event = 'PreToolUse' AND decision = 'deny' AND confidence IS NOT NULL) SELECT 0.25::DOUBLE AS current, round(confidence, 2) AS proposed, n FROM c WHERE i = n // 2 AND n >= 10 AND confidence > 0.35")
+def _(s, d):
+    return T.threshold_proposal(_asked(s, d), now=0.25)
 
 
 @spec("A23_symbol_wins", ("log",), ", w AS (SELECT * FROM log WHERE injected < would_have AND decision <> 'passthrough') SELECT count(*) AS wins, CAST(floor((1 - sum(injected)::DOUBLE / sum(would_have)) * 100 + 0.5) AS BIGINT) AS reduction, CAST(floor(count(*)::DOUBLE / (SELECT count(*) FROM log) * 100 + 0.5) AS BIGINT) AS rate, CAST(floor(avg(k / 100.0::DOUBLE) * 100 + 0.5) AS BIGINT) AS recall FROM w")

@@ -36,7 +36,8 @@ def _(s, d):
 def _(s, d):
     told = E.traces(A.calls(s, d))
     cost = F.when(F.col("tool") == "Grep", 300).otherwise(1000).cast("long")
-    return T.buckets(told.withColumns({"would_have": cost, "injected": F.lit(100).cast("long"), "decision": F.lit("deny")})).select("session", "base", "repeat")
+    own = told.withColumns({"would_have": cost, "injected": F.lit(100).cast("long"), "decision": F.lit("deny"), "command": F.lit(None).cast("string")})
+    return T.buckets(own).select("session", (F.col("passed") + F.col("intercepted") + F.col("dedup")).alias("base"), F.col("dedup").alias("repeat"))
 
 
 @spec("E12_fixture_benchmark", ("log",), "SELECT count(*) AS tasks, round((sum(would_have) - sum(injected))::DOUBLE / sum(would_have) * 100, 6) AS percent, (sum(would_have) - sum(injected))::DOUBLE / sum(would_have) * 100 >= 85 AS met FROM log WHERE would_have > 20")

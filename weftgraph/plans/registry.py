@@ -219,14 +219,14 @@ def _(s, d):
     return n.join(A.nodes(s, d).select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n").orderBy(F.desc("n"), "id").limit(10)
 
 
-@spec("A11_log_counts", ("log",), "SELECT 'tool' AS dimension, tool AS value, count(*) AS n FROM log GROUP BY tool UNION ALL SELECT 'decision', decision, count(*) FROM log GROUP BY decision")
+@spec("A11_log_counts", ("log", "hooks"), "SELECT 'event' AS dimension, coalesce(event, 'unknown') AS value, count(*) AS n FROM hooks GROUP BY 2 UNION ALL SELECT 'tool', coalesce(tool, 'unknown'), count(*) FROM hooks GROUP BY 2 UNION ALL SELECT 'decision', decision, count(*) FROM hooks WHERE decision IS NOT NULL GROUP BY 2")
 def _(s, d):
-    return T.count_by(A.log(s, d), "tool", "decision")
+    return T.count_by(A.hooks(s, d), "event", "tool", "decision")
 
 
-@spec("A11_log_totals", ("log",), 'SELECT count(*) AS "rows", count(CASE WHEN tool = \'Read\' AND decision = \'deny\' THEN 1 END) AS read_denies, count(CASE WHEN tool = \'Read\' AND decision = \'deny\' THEN 1 END) * 1200 AS est_tokens, min(ts) AS first_ts, max(ts) AS last_ts FROM log')
+@spec("A11_log_totals", ("log", "hooks"), 'SELECT count(*) AS "rows", count(*) FILTER (event = \'PreToolUse\' AND tool = \'Read\' AND decision = \'deny\') AS read_denies, count(*) FILTER (event = \'PreToolUse\' AND tool = \'Read\' AND decision = \'deny\') * 1200 AS est_tokens, CAST(coalesce(sum(displaced) FILTER (displaced > 0), 0) AS BIGINT) AS displaced, min(ts) AS first_ts, max(ts) AS last_ts FROM hooks')
 def _(s, d):
-    return T.log_totals(A.log(s, d))
+    return T.log_totals(A.hooks(s, d))
 
 
 COST = "sum(saved) AS saved, sum(injected) AS injected, sum(would_have) AS would_have"
@@ -281,17 +281,27 @@ def _(s, d):
     return T.re_reads(A.log(s, d))
 
 
-BUCKETS = "o AS (SELECT *, row_number() OVER (PARTITION BY session, path ORDER BY ts, seq) AS rn FROM log WHERE tool IN ('Read', 'Grep', 'Bash')), bk AS (SELECT session, CAST(sum(would_have) AS BIGINT) AS base, CAST(sum(CASE WHEN decision = 'deny' THEN would_have ELSE 0 END) AS BIGINT) AS intercepted, CAST(sum(CASE WHEN decision <> 'deny' THEN would_have ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN decision = 'deny' THEN injected ELSE 0 END) AS BIGINT) AS packet, CAST(sum(CASE WHEN tool = 'Read' AND rn > 1 THEN would_have ELSE 0 END) AS BIGINT) AS \"repeat\" FROM o GROUP BY session)"
+#: A counted read is one again if an earlier counted read of its session and path is found.
+BUCKETS = """c AS (SELECT *, coalesce(decision = 'deny', FALSE) AS dn FROM hooks WHERE would_have IS NOT NULL AND (tool IN ('Read', 'Grep') OR (tool = 'Bash' AND command <> ''))),
+ f AS (SELECT session, path, min({'t': ts, 's': seq}) AS m FROM c WHERE tool = 'Read' AND path IS NOT NULL GROUP BY ALL),
+ g AS (SELECT c.*, coalesce({'t': ts, 's': seq} > f.m, FALSE) AS again FROM c LEFT JOIN f ON f.session = c.session AND f.path = c.path AND c.tool = 'Read'),
+ b AS (SELECT session, sum(would_have) FILTER (dn AND NOT again) AS i, sum(coalesce(injected, would_have)) FILTER (dn AND NOT again) AS k, sum(would_have) FILTER (NOT dn AND NOT again) AS p,
+  sum(would_have) FILTER (again) AS r, sum(CASE WHEN dn THEN coalesce(injected, would_have) ELSE would_have END) FILTER (again) AS rc, count(*) FILTER (dn) AS calls FROM g GROUP BY session),
+ e AS (SELECT session, count(*) AS events, count(*) FILTER (tool = 'Bash' AND command <> '' AND decision = 'deny') AS bash_counted, count(*) FILTER (tool = 'Bash' AND coalesce(command, '') = '') AS bash_skipped FROM hooks GROUP BY session),
+ bk AS (SELECT e.session, CAST(coalesce(i, 0) AS BIGINT) AS intercepted, CAST(coalesce(k, 0) AS BIGINT) AS packet, CAST(coalesce(p, 0) AS BIGINT) AS passed, CAST(coalesce(r, 0) AS BIGINT) AS dedup,
+  CAST(coalesce(rc, 0) AS BIGINT) AS dedup_cost, events, coalesce(calls, 0) AS calls, bash_counted, bash_skipped FROM e LEFT JOIN b ON b.session = e.session)"""
 
 
-@spec("W5_buckets", ("log",), f", {BUCKETS} SELECT * FROM bk")
+@spec("W5_buckets", ("log", "hooks"), f", {BUCKETS} SELECT * FROM bk")
 def _(s, d):
-    return T.buckets(A.log(s, d))
+    return T.buckets(A.hooks(s, d))
 
 
-@spec("W6_p_curve", ("log",), f", {BUCKETS}, t AS (SELECT sum(base)::DOUBLE AS base, sum(intercepted)::DOUBLE AS i, sum(passed)::DOUBLE AS p, sum(packet)::DOUBLE AS k FROM bk), g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS p) SELECT g.p, round(t.p + t.k + g.p * t.i, 6) AS tokens, round(1 - (t.p + t.k + g.p * t.i) / t.base, 8) AS reduction FROM t CROSS JOIN g")
+@spec("W6_p_curve", ("log", "hooks"), f""", {BUCKETS}, t AS (SELECT sum(intercepted)::DOUBLE AS i, sum(packet)::DOUBLE AS k, sum(passed)::DOUBLE AS p, sum(dedup)::DOUBLE AS r, sum(dedup_cost)::DOUBLE AS rc FROM bk),
+ v AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS p) SELECT v.p, round(t.p + k + v.p * i, 6) AS tokens, round((t.p + i - (t.p + k + v.p * i)) * 100 / (t.p + i), 8) AS reduction,
+ round((t.p + i + r - (t.p + k + v.p * i) - rc) * 100 / (t.p + i + r), 8) AS session_reduction, round((i - k) / i, 8) AS break_even, round(r * 100 / (t.p + i + r), 8) AS dedup_share FROM t CROSS JOIN v""")
 def _(s, d):
-    return T.p_curve(T.buckets(A.log(s, d)))
+    return T.p_curve(T.buckets(A.hooks(s, d)))
 
 
 @spec("W8_recent_paths", ("log",), "SELECT path, max(ts) AS last_at FROM log WHERE tool = 'Read' GROUP BY path ORDER BY last_at DESC, path LIMIT 8")

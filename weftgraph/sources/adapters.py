@@ -69,6 +69,18 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as hooks write it, gaps included: log's columns with event, command and displaced; any of event, tool,
+    decision, would_have, injected and command may be missing."""
+    k = F.col("k")
+    return log(spark, sf_dir).withColumns({
+        "event": F.when(k % 17 == 3, None).when(k % 5 == 0, "PostToolUse").otherwise("PreToolUse"), "tool": F.when(k % 19 != 7, F.col("tool")),
+        "decision": F.when(k % 13 != 4, F.col("decision")), "command": F.when((F.col("tool") == "Bash") & (k % 3 > 0), F.concat(F.lit("grep -rn s"), k.cast("string"))),
+        "would_have": F.when(k % 11 != 5, F.col("would_have")), "injected": F.when(k % 7 != 2, F.col("injected")), "displaced": F.when(k % 4 == 0, k - 10),
+        "path": F.when(k % 23 != 9, F.col("path")),
+    })
+
+
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """commit, author, ts, file: an order is a commit of its distinct parts."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"))
@@ -114,6 +126,9 @@ SQL = {
 log AS (SELECT seq, ts, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Grep' WHEN 'purchase' THEN 'Bash' WHEN 'signup' THEN 'Edit' WHEN 'error' THEN 'Write' END AS tool,
  CASE WHEN k < 40 THEN 'deny' WHEN k < 60 THEN 'allow' ELSE 'passthrough' END AS decision, 'f' || (k % 20) AS path, user_id AS session,
  CAST(floor(value) AS BIGINT) AS would_have, k AS injected, greatest(0, CAST(floor(value) AS BIGINT) - k) AS saved, k FROM log0)""",
+    "hooks": """hooks AS (SELECT seq, ts, CASE WHEN k % 19 <> 7 THEN tool END AS tool, CASE WHEN k % 13 <> 4 THEN decision END AS decision, CASE WHEN k % 23 <> 9 THEN path END AS path, session,
+ CASE WHEN k % 11 <> 5 THEN would_have END AS would_have, CASE WHEN k % 7 <> 2 THEN injected END AS injected, CASE WHEN k % 17 = 3 THEN NULL WHEN k % 5 = 0 THEN 'PostToolUse' ELSE 'PreToolUse' END AS event,
+ CASE WHEN tool = 'Bash' AND k % 3 > 0 THEN 'grep -rn s' || k END AS command, CASE WHEN k % 4 = 0 THEN k - 10 END AS displaced, k FROM log)""",
     "commits": """files AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS file FROM lineitem),
 commits AS (SELECT f.commit_id, f.file, o.o_custkey AS author, o.o_orderdate AS ts FROM files f JOIN orders o ON o.o_orderkey = f.commit_id),
 co_change AS (SELECT a.file AS file_a, b.file AS file_b, CAST(count(*) AS BIGINT) AS n FROM commits a JOIN commits b ON a.commit_id = b.commit_id AND a.file < b.file GROUP BY a.file, b.file)""",
