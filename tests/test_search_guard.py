@@ -9,7 +9,7 @@ from weftgraph.operators import incremental as I
 from weftgraph.operators import reports as P
 from weftgraph.operators import search as S
 from weftgraph.sources import files as FI
-from weftgraph.streaming import logs
+from weftgraph.streaming import logs, state
 
 NODE = "id string, label string, kind string, source_file string, confidence_score double, metadata string, query_count long"
 
@@ -136,7 +136,7 @@ def test_served_reads(spark, tmp_path):
     got = {}
     for low in (0, 500, 1000):
         frame.filter(F.col("seq").between(low, low + 499)).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
-        out = logs.drained(logs.served_stream(logs.log_stream(spark, str(tmp_path / "log"), schema)), str(tmp_path / "out"))
+        out = logs.drained(state.served_stream(logs.log_stream(spark, str(tmp_path / "log"), schema)), str(tmp_path / "out"), empty_batches=False)
         got = {(r.session, r.seq): r.again for r in out.collect()}
     assert got == want
 

@@ -974,13 +974,24 @@ def _(s, d):
     return I.rebuilt_calls(cache.join(known, ["file", "mtime"], "left_semi"), now, refs)[0].select("file", "name")
 
 
-@spec("R1_debounce_stream", ("log",), "SELECT path, seq FROM (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY epoch_us(ts) + seq DESC) AS r FROM log) WHERE r = 1")
+# Events of one millisecond are one, and the newest of them is given on.
+@spec("R1_debounce_stream", ("log",), ", e AS (SELECT path, epoch_us(ts) // 1000 AS ms, max(seq) AS seq FROM log GROUP BY ALL) SELECT path, ms, seq FROM (SELECT *, lead(ms) OVER (PARTITION BY path ORDER BY ms) - ms AS gap FROM e) WHERE gap IS NULL OR gap >= 300")
 def _(s, d):
-    from ..streaming import logs
+    from ..streaming import logs, state
 
-    at = FI.scratch(s)
-    A.log(s, d).select("path", "seq", (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("seq")).alias("ts")).coalesce(1).write.json(f"{at}/log")
-    return logs.debounced_stream(logs.log_stream(s, f"{at}/log", "path string, seq long, ts long"), f"{at}/out", "path").select("path", "seq")
+    # The log arrives in three parts, so bursts are cut; a last event of no path, a day later, lets all timers fire.
+    at, rows = FI.scratch(s), A.log(s, d).select(F.col("path").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "seq")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return rows.select(F.col("key").alias("path"), F.unix_millis("ts").alias("ms"), "seq")
+    out = None
+    for part in range(4):
+        edge = lambda i: F.lit(first) + F.expr(f"make_dt_interval(0, 0, 0, {(last - first).total_seconds() / 3 * i:.6f})")
+        own = rows.filter((F.col("ts") >= edge(part)) & ((F.col("ts") < edge(part + 1)) | F.lit(part == 2))) if part < 3 else rows.filter("seq IS NULL")
+        end = s.range(1).select(F.lit("").alias("key"), (F.lit(last) + F.expr("make_dt_interval(1)")).alias("ts"), F.lit(0).cast("long").alias("seq"))
+        (own if part < 3 else end).write.mode("append").json(f"{at}/log")
+        out = logs.drained(state.debounced(logs.log_stream(s, f"{at}/log", "key string, ts timestamp, seq long")), f"{at}/out")
+    return out.filter("key <> ''").select(F.col("key").alias("path"), "ms", "seq")
 
 
 @spec("R5_log_tail", ("log",), "SELECT tool, count(*) AS n FROM log WHERE seq % 10 <> 0 GROUP BY tool")
@@ -1018,9 +1029,9 @@ def _(s, d):
 
 @spec("R8_session_state", (), None)
 def _(s, d):
-    from ..streaming import logs
+    from ..streaming import logs, state
 
     at = FI.scratch(s)
     _reads(s, d).write.json(f"{at}/log")
     schema = "session long, seq long, at long, path string, mtime long, size long, reset boolean"
-    return logs.drained(logs.served_stream(logs.log_stream(s, f"{at}/log", schema)), f"{at}/out")
+    return logs.drained(state.served_stream(logs.log_stream(s, f"{at}/log", schema)), f"{at}/out", empty_batches=False)

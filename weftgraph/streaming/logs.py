@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ship import ship
-
 
 def log_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """Log files of a folder as they arrive; malformed lines are dropped."""
@@ -24,56 +22,21 @@ def replay_guard(stream: DataFrame, late: str = "24 hours") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def newest_per_key(batch: DataFrame, *key: str) -> DataFrame:
-    """Debounce: of a micro-batch's events the last for each key."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*key).orderBy(F.desc("ts"))
-    return batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def drained(stream: DataFrame, path: str) -> DataFrame:
+def drained(stream: DataFrame, path: str, empty_batches: bool = True) -> DataFrame:
     """All that a stream has by now, written below path and read again.  The checkpoint stays there too: a later call
-    with the same path takes up where this one ended."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with the same path takes up where this one ended.  empty_batches: whether the watermark of the last rows still fires
+    timers; a stream with state that expires by the clock would go on for ever with them."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(empty_batches).lower())
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def served_stream(reads: DataFrame) -> DataFrame:
-    """(session, seq, again) of a stream of reads(session, seq, at ms, path, mtime, size, reset): what a session has noted
-    is kept from batch to batch; inside a batch its reads are taken in the order of (at, seq)."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from ..operators.guard import read_again
-
-    def run(key, batches, state):
-        noted = {p: tuple(v) for p, v in json.loads(state.get[0]).items()} if state.exists else {}
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples(index=False):
-            if r.reset:
-                noted.clear()
-                continue
-            out.append((r.session, r.seq, read_again(noted, r.path, int(r.mtime), int(r.size), int(r.at))))
-        state.update((json.dumps(noted),))
-        yield pd.DataFrame(out, columns=["session", "seq", "again"])
-
-    ship(reads.sparkSession)
-    return reads.groupBy("session").applyInPandasWithState(run, "session long, seq long, again boolean", "noted string", "append", GroupStateTimeout.NoTimeout)
-
-
-def debounced_stream(events: DataFrame, path: str, *key: str) -> DataFrame:
-    """Of each micro-batch of a stream of events(ts, ...) the last for each key, written below path and read again."""
-    spark = events.sparkSession
-    keep = lambda batch, n: newest_per_key(batch, *key).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")  # noqa: E731  (a batch run again writes the same folder)
-    events.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{path}/rows").drop("batch")
-
-
 def packets(results: DataFrame, path: str) -> DataFrame:
     """Results of a stream in the order of their arrival, each with its micro-batch; nothing is ranked, cut or left out."""
     spark = results.sparkSession
