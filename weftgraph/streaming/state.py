@@ -68,8 +68,9 @@ def served_stream(reads: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
 class Quiet(StatefulProcessor):
     """Events of a key that are not yet decided; each is given on if none follows it within wait_ms.
 
-    A timer is set wait_ms after each new event's time.  Once the watermark has passed it, no event from before can
-    come any more, so all decided ones are given on or dropped.  Entries are those of the watermark's delay and wait_ms.
+    One timer a key is set wait_ms after its first undecided event.  Once the watermark has passed a time, no event from
+    before can come any more, so what lies wait_ms before it is given on or dropped, and the timer moves on.  A key holds its
+    events of the watermark's delay and wait_ms.
     """
 
     def __init__(self, wait_ms: int):
@@ -77,30 +78,44 @@ class Quiet(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "ms long", "seq long")
+        self.open = handle.getValueState("open", "ms array<long>, seq array<long>")
+
+    def _known(self) -> dict[int, int]:
+        if not self.open.exists():
+            return {}
+        ms, seq = self.open.get()
+        return dict(zip(map(int, ms), map(int, seq)))
+
+    def _keep(self, known: dict[int, int]) -> None:
+        if not known:
+            return self.open.clear()
+        self.handle.registerTimer(min(known) + self.wait_ms)
+        return self.open.update((list(known), list(known.values())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self._known()
+        if known:
+            self.handle.deleteTimer(min(known) + self.wait_ms)
         for batch in rows:
-            newest = batch.groupby("ms")["seq"].max()
-            for ms, seq in newest.items():
-                ms, seq = int(ms), int(seq)
-                if self.open.containsKey((ms,)):
-                    seq = max(seq, int(self.open.getValue((ms,))[0]))
-                else:
-                    self.handle.registerTimer(ms + self.wait_ms)
-                self.open.updateValue((ms,), (seq,))
-        yield pd.DataFrame({"key": pd.Series(dtype=str), "ms": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64")})
+            for ms, seq in batch.groupby("ms")["seq"].max().items():
+                known[int(ms)] = max(int(seq), known.get(int(ms), int(seq)))
+        self._keep(known)
+        yield self._told([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sure, out = expiredTimerInfo.getExpiryTimeInMs() - self.wait_ms, []
-        known = sorted((int(k[0]), int(v[0])) for k, v in self.open.iterator())
-        for i, (ms, seq) in enumerate(known):
+        sure, known, out = timerValues.getCurrentWatermarkInMs() - self.wait_ms, self._known(), []
+        times = sorted(known)
+        for ms, later in zip(times, [*times[1:], None]):
             if ms > sure:
                 break
-            if i + 1 == len(known) or known[i + 1][0] - ms >= self.wait_ms:
-                out.append((key[0], ms, seq))
-            self.open.removeKey((ms,))
-        yield pd.DataFrame(out, columns=["key", "ms", "seq"])
+            if later is None or later - ms >= self.wait_ms:
+                out.append((key[0], ms, known[ms]))
+            del known[ms]
+        self._keep(known)
+        yield self._told(out)
+
+    def _told(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "ms", "seq"]).astype({"key": str, "ms": "int64", "seq": "int64"})
 
     def close(self) -> None:
         pass
