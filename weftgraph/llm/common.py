@@ -118,13 +118,14 @@ def met(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, how: str
     """rows joined (left or inner) to facts, which has one row a key and says (weight) how many rows the key will meet.
 
     Keys that meet over a thousandth of all rows are broadcast, so no task gets them whole; the others are shuffled.
-    facts is read three times: a saved table is best.
+    facts is read three times: a saved table is best.  The shuffled join merges at every size: what small tables would
+    save by a broadcast says nothing of large ones.
     """
     least = (facts.agg(F.sum(weight)).first()[0] or 0) / HOT
     mark, told = "_met", [c for c in facts.columns if c not in (*on, weight)]
     hot = facts.filter(F.col(weight) > least).drop(weight).withColumn(mark, F.lit(True))
     first = rows.join(F.broadcast(hot), on, "left")
-    rest = first.filter(F.col(mark).isNull()).drop(mark, *told).join(facts.filter(F.col(weight) <= least).drop(weight), on, how)
+    rest = first.filter(F.col(mark).isNull()).drop(mark, *told).join(facts.filter(F.col(weight) <= least).drop(weight).hint("merge"), on, how)
     return first.filter(mark).drop(mark).unionByName(rest)
 
 

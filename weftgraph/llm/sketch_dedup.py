@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """k, set of every text in pairs, read from a row with its least doc_id."""
     wanted = pairs.select("k").union(pairs.select("l")).distinct()
     key = lambda df, i: df.withColumns({"none": F.col(i).isNull(), "id": F.coalesce(i, F.lit(0))}).drop(i)
-    facts = saved(key(texts.select("k", "t", "rep", "copies").join(wanted, "k", "left_semi"), "rep"))
+    facts = saved(key(texts.select("k", "t", "rep", "copies").join(wanted.hint("merge"), "k", "left_semi"), "rep"))
     rows = key(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text"), "doc_id").filter("text IS NOT NULL")
     found = met(rows, facts, ["t", "none", "id"], "copies", "inner").select("k", "text")
 
@@ -149,7 +149,7 @@ def _by_unit(members: DataFrame, leads: DataFrame, sets: DataFrame, make, schema
     """Rows (l, parts, part, role, k, set) of units, each unit's lead first, through make."""
     unit = ["l", "parts", "part"]
     first = leads.select(*unit, F.lit(0).alias("role"), F.col("l").alias("k"))
-    rows = first.union(members.select(*unit, "role", "k")).join(sets, "k").select(*unit, "role", "k", "set")
+    rows = first.union(members.select(*unit, "role", "k")).join(sets.hint("merge"), "k").select(*unit, "role", "k", "set")
     dealt = rows.repartition(partitions(rows.sparkSession), *unit).sortWithinPartitions(*unit, "role")
     return arrow_map(dealt, make, schema)
 
