@@ -88,7 +88,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
         def run(ids, hashes, texts):
             texts = [t or "" for t in texts.to_pylist()]
             ks, sizes, bands = [], [], []
-            for a, b in batches(texts, 1_000_000):
+            for a, b in batches(texts, 300_000):
                 sets = shingle_sets(texts[a:b])
                 n = np.array([len(s) for s in sets])
                 full = [s for s in sets if len(s)]
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     def make():
         def run(ks, bodies):
             seen, out = set(), []
-            for k, s in ((k, s) for a, b in batches(bodies, 1_000_000) for k, s in zip(ks[a:b], shingle_sets(bodies[a:b]))):
+            for k, s in ((k, s) for a, b in batches(bodies, 300_000) for k, s in zip(ks[a:b], shingle_sets(bodies[a:b]))):
                 own = int(_mix(_mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
                 if own == k and k not in seen:  # else another text with the same hash, or a copy
                     seen.add(k)
