@@ -39,7 +39,7 @@ def test_requests_stay_small(spark, tmp_path):
 
 
 def test_no_cross_products(spark):
-    notes = spark.createDataFrame([("m", "x", "mistake", "src/a.ts", '{"commandPattern":"make all"}')], "id string, label string, kind string, source_file string, metadata string")
+    notes = spark.createDataFrame([("m", "x", "mistake", "src/a.ts", '{"commandPattern":"make all"}', None, 0.9)], "id string, label string, kind string, source_file string, metadata string, valid_until long, confidence_score double")
     commands = spark.createDataFrame([(1, "make all")], "seq long, command string")
     prompts = spark.createDataFrame([(1, 0, "graph store")], "conv_id long, turn long, text string")
     for df in (GU.by_command(notes, commands), M.co_change(spark.createDataFrame([(1, "a")], "commit long, file string"))):

@@ -1,9 +1,11 @@
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import extract as EX
+from weftgraph.operators import containment as C
 from weftgraph.operators import guard as GU
 from weftgraph.operators import incremental as I
 from weftgraph.operators import reports as P
@@ -141,21 +143,57 @@ def test_served_reads(spark, tmp_path):
     assert got == want
 
 
-def test_warning_text(spark):
+def test_warning_rows_and_text(spark):
     day = GU.DAY
     cols = "seq long, id string, label string, source_file string, last_verified long, then_believed string, found_false_at long, truth_now string, applies_to string"
     rows = [(1, "a", "A", "f.ts", 3 * day, None, None, None, None), (2, "b", "B", "g.ts", 10 * day, "old", 2 * day, None, "the cache")]
     rows += [(3, f"m{i}", f"M{i}", "h.ts", i * day, None, None, None, None) for i in range(7)]
-    got = {r.seq: r.text for r in GU.warnings(spark.createDataFrame(rows, cols), 10 * day).collect()}
-    head = "Pre-mortem: you have made this mistake before:"
-    assert got[1] == f"{head}\n  ⚠ A (flagged 7d ago, file: f.ts)"
-    assert got[2] == f"{head}\n\n  ⚠ the cache\n     ┌─ then you believed: old\n     ├─ found false:       1970-01-03\n     └─ truth now:         (not recorded)\n        file: g.ts"
-    assert got[3].count("⚠") == 5 and "M6 (flagged 4d ago" in got[3] and got[3].endswith("\n\n  … and 2 more")
+    warned = GU.warnings(spark.createDataFrame(rows, cols), 10 * day)
+    got = sorted((r.seq, r.place, r.id, r.what, r.age, r.found_false, r.believed, r.more) for r in warned.collect())
+    assert got[0] == (1, 1, "a", "A", "7d ago", None, None, 0) and got[1] == (2, 1, "b", "the cache", "today", "1970-01-03", "old", 0)
+    assert [g[2] for g in got[2:]] == ["m6", "m5", "m4", "m3", "m2"] and {g[-1] for g in got[2:]} == {2}
+    text = {r.seq: r.text for r in GU.told(warned).collect()}
+    assert text[2] == "the cache in g.ts, last seen today; believed: old; found false on 1970-01-03" and text[3].endswith("\n2 further ones") and text[3].count("\n") == 5
     assert {r.decision for r in GU.warnings(spark.createDataFrame(rows, cols), 0, strict=True).collect()} == {"deny"}
     ages = spark.createDataFrame([(-1,), (0,), (day,), (29 * day,), (65 * day,)], "ms long").select(GU.age(F.col("ms")).alias("a")).collect()
     assert [r.a for r in ages] == ["unknown", "today", "yesterday", "29d ago", "2mo ago"]
 
 
+def test_only_sure_and_valid_mistakes_warn(spark):
+    cols = "id string, source_file string, metadata string, valid_until long, confidence_score double"
+    rows = [("ok", "src/a.ts", '{"commandPattern":"make all"}', None, 0.8), ("late", "src/a.ts", "{}", 101, 0.9), ("gone", "src/a.ts", "{}", 100, 1.0), ("unsure", "src/a.ts", "{}", None, 0.79), ("short", "a.ts", '{"commandPattern":"make"}', None, 1.0)]
+    own = spark.createDataFrame(rows, cols)
+    files = spark.createDataFrame([("./src/a.ts",), ("src/b.ts",)], "path string")
+    assert sorted(r.id for r in GU.by_file(own, files, 100).collect()) == ["late", "ok"]
+    commands = spark.createDataFrame([(1, "MAKE ALL"), (2, "vim SRC/a.ts"), (3, "make a.ts"), (3, None), (4, "vim src/a.ts; make all")], "seq long, command string")
+    assert sorted((r.seq, r.id) for r in GU.by_command(own, commands, 100).collect()) == [(1, "ok"), (2, "late"), (2, "ok"), (4, "late"), (4, "ok")]
+
+
+@pytest.mark.parametrize("plan", ["automaton", "grams", "chosen by size"])
+def test_containment_against_brute_force(spark, plan):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    texts = [(i if i % 9 else None, word(rng.randrange(60))) for i in range(200)] + [(500, None), (501, ""), (502, "x" * 10_000 + "needle"), (3, "abcabc"), (3, "abcabc")]
+    patterns = [word(rng.randrange(1, 6)) for _ in range(150)] + ["needle", "abc", "bca", "abcabc", "x" * 9_000, "", None, "nowhere"]
+    if plan == "grams":
+        patterns = [p for p in patterns if p and len(p) >= C.GRAM]
+    want = collections.Counter((i, p) for i, t in texts if t for p in {p for p in patterns if p} if p in t)
+    left, right = spark.createDataFrame(texts, "id long, text string").repartition(3), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    if plan == "automaton":
+        got = C.contained(left, right)
+    elif plan == "grams":
+        got = C.by_grams(left, right.distinct())
+    else:
+        got = C.contained(left, right, most_letters=10)
+    assert collections.Counter((r.id, r.pattern) for r in got.collect()) == want and len(want) > 100
+
+
+def test_labels_of_any_shape_are_named(spark):
+    texts = spark.createDataFrame([(1, "see Mistake 3 of f1!"), (2, "THE CACHE is stale"), (3, "nothing"), (4, None)], "id long, text string")
+    labels = spark.createDataFrame([("mistake 3 of f1",), ("the Cache",), (None,)], "label string")
+    assert {r.id: r.named for r in GU.named(texts, labels).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_rebuilt_calls_equal_a_cold_rebuild(spark):
     parsed = []
 

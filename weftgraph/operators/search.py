@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import graph as G
+from .containment import document_frequency
 
 MISTAKE_BOOST, KEYWORD_LESS = 2.5, 0.5
 LEAST_IDF, MOST_KEYWORDS, LEAST_KEYWORDS = 1.386, 5, 2
-GRAM = 3
 
 
 def hidden() -> Column:
@@ -43,16 +43,12 @@ def keyword_choice(prompts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv_id, turn, keywords) of the prompts(conv_id, turn, text) worth asking the graph about: two keywords or more,
     one of them rare among the labels; the rarest ones, at most MOST_KEYWORDS of those that a label holds.
 
-    A keyword's documents are the labels that hold it anywhere.  Labels are met by their runs of GRAM letters, so
-    the join is on equal runs, not of all keywords with all labels.
+    A keyword's documents are the labels that hold it anywhere; equal labels are read once.
     """
     told = prompts.select("conv_id", "turn", X.keywords(F.col("text")).alias("all")).filter(F.size("all") >= LEAST_KEYWORDS)
     words = told.select("conv_id", "turn", F.posexplode("all").alias("pos", "kw"))
-    kinds = words.select("kw").distinct().withColumn("gram", F.substring("kw", 1, GRAM))
-    label = nodes.select(F.lower("label").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    starts = F.sequence(F.lit(1), F.length("label") - GRAM + 1)
-    grams = label.filter(F.length("label") >= GRAM).select("label", "n", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("label", i, F.lit(GRAM))))).alias("gram"))
-    df = grams.join(kinds, "gram").filter(F.col("label").contains(F.col("kw"))).groupBy("kw").agg(F.sum("n").alias("df"))
+    label = nodes.select(F.lower("label").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.lit(0))
+    df = document_frequency(label, words.select(F.col("kw").alias("pattern")), "n").withColumnRenamed("pattern", "kw")
     total = nodes.agg(F.count(F.lit(1)).alias("total"))  # one row
     scored = words.join(df, "kw", "left").crossJoin(F.broadcast(total)).withColumn("idf", F.when(F.col("df") > 0, F.round(F.log(F.col("total") / F.col("df")), 8)).otherwise(0.0))
     order = F.struct((-F.col("idf")).alias("less"), "pos", "kw")
@@ -60,6 +56,15 @@ def keyword_choice(prompts: DataFrame, nodes: DataFrame) -> DataFrame:
     return got.filter(F.col("most") >= LEAST_IDF).select("conv_id", "turn", F.slice("ranked", 1, MOST_KEYWORDS)["kw"].alias("keywords"))
 
 
+def inverse_frequency(nodes: DataFrame, words: DataFrame) -> DataFrame:
+    """(kw, df, idf) of words(kw): how many labels hold each, and ln(labels / df), 0 for a word that none holds."""
+    label = nodes.select(F.lit(0).alias("id"), F.lower("label").alias("text"))
+    df = document_frequency(label, words.select(F.lower("kw").alias("pattern"))).withColumnRenamed("pattern", "kw")
+    total = nodes.agg(F.count(F.lit(1)).alias("total"))  # one row
+    got = words.select(F.lower("kw").alias("kw")).distinct().join(df, "kw", "left").crossJoin(F.broadcast(total)).withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    return got.select("kw", "df", F.when(F.col("df") > 0, F.round(F.log(F.col("total") / F.col("df")), 8)).otherwise(0.0).alias("idf"))
+
+
 def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id, level) that a bounded breadth-first walk from seeds(id) reaches, and the edges (source, target, relation,
     level) that led to what was new.  `triggered_by` is walked from hidden keywords alone; edges to missing nodes are not walked."""

@@ -268,44 +268,41 @@ def _(s, d):
     return N.messages(s, d).select("sha", Q.revert_subject(F.col("subject")).alias("subject"), Q.revert_pattern(files).alias("pattern"))
 
 
-@spec("J14_mistakes_of_files", ("notes",), ", fl AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN './' ELSE '' END || 'src/f' || (p_partkey % 30) || '.ts' AS path FROM part) SELECT n.id, fl.path FROM notes n JOIN fl ON regexp_replace(fl.path, '^\\./', '') = n.source_file WHERE n.kind = 'mistake'")
+SURE = f"kind = 'mistake' AND confidence_score >= 0.8 AND (valid_until IS NULL OR valid_until > {AS_OF})"
+
+
+@spec("J14_mistakes_of_files", ("notes",), f", fl AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN './' ELSE '' END || 'src/f' || (p_partkey % 30) || '.ts' AS path FROM part) SELECT n.id, fl.path FROM notes n JOIN fl ON regexp_replace(fl.path, '^\\./', '') = n.source_file WHERE {SURE}")
 def _(s, d):
     path = F.concat(F.when(F.col("p_partkey") % 2 == 0, "./").otherwise(""), F.lit("src/f"), (F.col("p_partkey") % 30).cast("string"), F.lit(".ts"))
-    return GU.by_file(N.notes(s, d).filter("kind = 'mistake'"), A.table(s, d, "part").select(path.alias("path")).distinct()).select("id", "path")
+    return GU.by_file(N.notes(s, d).filter("kind = 'mistake'"), A.table(s, d, "part").select(path.alias("path")).distinct(), AS_OF).select("id", "path")
 
 
 COMMAND = "CASE WHEN o_orderkey % 3 = 0 THEN 'cd x && MAKE f' || (o_orderkey % 120) WHEN o_orderkey % 3 = 1 THEN 'vim src/F' || (o_orderkey % 25) || '.ts' ELSE 'ls -la' END"
-GUARDED = f"cmd AS (SELECT min(seq) AS seq, command FROM (SELECT o_orderkey AS seq, {COMMAND} AS command FROM orders) GROUP BY command), kinds AS (SELECT DISTINCT lower(command) AS c FROM cmd), mi AS (SELECT *, lower(json_extract_string(metadata, '$.commandPattern')) AS pat FROM notes WHERE kind = 'mistake'), hit AS (SELECT DISTINCT k.c, m.id FROM kinds k JOIN (SELECT id, unnest([pat, lower(source_file)]) AS t FROM mi) m ON length(m.t) > 4 AND contains(k.c, m.t)), mt AS (SELECT cmd.seq, hit.id FROM cmd JOIN hit ON hit.c = lower(cmd.command))"
+GUARDED = f"""cmd AS (SELECT o_orderkey AS seq, lower({COMMAND}) AS c FROM orders), mi AS (SELECT id, lower(json_extract_string(metadata, '$.commandPattern')) AS pat, lower(source_file) AS file FROM notes WHERE {SURE}),
+ hit AS (SELECT k.c, m.id FROM (SELECT DISTINCT c FROM cmd) k JOIN mi m ON (length(m.pat) > 4 AND contains(k.c, m.pat)) OR (length(m.file) > 5 AND contains(k.c, m.file))), mt AS (SELECT cmd.seq, hit.id FROM cmd JOIN hit ON hit.c = cmd.c)"""
 
 
 def _commands(s, d):
-    # Each command once, with its first order's number.
-    return A.table(s, d, "orders").select(F.expr(COMMAND).alias("command"), "o_orderkey").groupBy("command").agg(F.min("o_orderkey").alias("seq"))
+    return A.table(s, d, "orders").select(F.col("o_orderkey").alias("seq"), F.expr(COMMAND).alias("command"))
 
 
 @spec("J15_mistakes_of_commands", ("notes",), f", {GUARDED} SELECT seq, id FROM mt")
 def _(s, d):
-    return GU.by_command(N.notes(s, d).filter("kind = 'mistake'"), _commands(s, d))
+    return GU.by_command(N.notes(s, d).filter("kind = 'mistake'"), _commands(s, d), AS_OF)
 
 
-@spec("P11_pre_mortem", ("notes",), f", {GUARDED} SELECT seq, 'allow' AS decision, count(*) AS n FROM mt GROUP BY seq")
+@spec("P11_pre_mortem", ("notes",), f""", {GUARDED}, pl AS (SELECT mt.seq, n.*, row_number() OVER (PARTITION BY mt.seq ORDER BY n.last_verified DESC, n.id) AS place, count(*) OVER (PARTITION BY mt.seq) AS total FROM mt JOIN notes n ON n.id = mt.id)
+ SELECT seq, 'allow' AS decision, CAST(place AS INTEGER) AS place, id, coalesce(applies_to, label) AS what, source_file AS file, CASE WHEN found_false_at > 0 THEN strftime(make_timestamp(found_false_at * 1000), '%Y-%m-%d') END AS found_false,
+ then_believed AS believed, truth_now AS truth, greatest(total - 5, 0) AS more FROM pl WHERE place <= 5""")
 def _(s, d):
     own = N.notes(s, d).filter("kind = 'mistake'")
-    got = GU.warnings(GU.by_command(own, _commands(s, d)).join(own, "id"), AS_OF)
-    shown = F.size(F.split("text", "⚠")) - 1
-    more = F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit(r"and (\d+) more"), F.lit(1)), F.lit(1)).cast("long"), F.lit(0))
-    return got.select("seq", "decision", (shown + more).cast("long").alias("n"))
+    return GU.warnings(GU.by_command(own, _commands(s, d), AS_OF).join(own, "id"), AS_OF).drop("age")
 
 
 @spec("J16_label_boost", ("notes", "results"), ", lb AS (SELECT DISTINCT lower(label) AS l FROM notes WHERE kind = 'mistake') SELECT r.seq, EXISTS (SELECT 1 FROM lb WHERE contains(lower(r.content || ' Mistake ' || r.seq || ' of f' || (r.seq % 20)), lb.l)) AS named FROM results r")
 def _(s, d):
-    # Labels have one shape, so the texts' runs of that shape are joined to them.
     body = F.concat("content", F.lit(" Mistake "), F.col("seq").cast("string"), F.lit(" of f"), (F.col("seq") % 20).cast("string"))
-    said = A.results(s, d).select("seq", F.lower(body).alias("body"))
-    runs = said.select("seq", F.explode(F.regexp_extract_all("body", F.lit(r"mistake \d+ of f\d+"), F.lit(0))).alias("label"))
-    ends = runs.select("seq", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(2), F.length(F.regexp_extract("label", r"f(\d+)$", 1)) - 1)), lambda i: F.substr("label", F.lit(1), F.length("label") - i))).alias("label"))
-    hit = ends.join(N.notes(s, d).filter("kind = 'mistake'").select(F.lower("label").alias("label")), "label", "left_semi").select("seq").distinct().withColumn("named", F.lit(True))
-    return said.select("seq").join(hit, "seq", "left").select("seq", F.coalesce("named", F.lit(False)).alias("named"))
+    return GU.named(A.results(s, d).select(F.col("seq").alias("id"), body.alias("text")), N.notes(s, d).filter("kind = 'mistake'")).withColumnRenamed("id", "seq")
 
 
 @spec("J17_node_context", ("notes", "note_edges"), ", imp AS (SELECT n.source_file, string_split(e.target, ':')[-1] AS name FROM notes n JOIN note_edges e ON (e.source = n.id OR e.target = n.id) AND e.relation = 'depends_on') SELECT f.source_file, f.n, coalesce(i.imports, 0) AS imports, EXISTS (SELECT 1 FROM part WHERE contains(lower(p_name), regexp_extract(f.source_file, '([0-9]+)', 1))) AS has_tests FROM (SELECT source_file, count(*) AS n FROM notes GROUP BY source_file) f LEFT JOIN (SELECT source_file, count(DISTINCT name) AS imports FROM imp GROUP BY source_file) i ON i.source_file = f.source_file")

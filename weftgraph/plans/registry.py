@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import mining as M
 from ..operators import rank as R
+from ..operators import search as SE
 from ..operators import store as S
 from ..operators import telemetry as T
 from ..sources import adapters as A
@@ -335,10 +336,7 @@ KEYWORDS = ("brand#1", "1", "part", "zzz")
 
 @spec("A21_idf", ("nodes",), ", kw AS (SELECT unnest(['brand#1', '1', 'part', 'zzz']) AS kw), n AS (SELECT count(*) AS n FROM nodes), f AS (SELECT kw.kw, count(x.id) AS df FROM kw LEFT JOIN nodes x ON contains(lower(x.label), kw.kw) GROUP BY kw.kw) SELECT f.kw, f.df, CASE WHEN f.df = 0 THEN 0.0::DOUBLE ELSE round(ln(n.n::DOUBLE / f.df), 8) END AS idf FROM f CROSS JOIN n")
 def _(s, d):
-    n = A.nodes(s, d)
-    row = n.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.lower("label").contains(k)).alias(f"k{i}") for i, k in enumerate(KEYWORDS)))
-    got = row.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("kw"), F.col(f"k{i}").alias("df")) for i, k in enumerate(KEYWORDS)))).alias("x")).select("n", "x.*")
-    return got.select("kw", "df", F.when(F.col("df") == 0, 0.0).otherwise(F.round(F.log(F.col("n") / F.col("df")), 8)).alias("idf"))
+    return SE.inverse_frequency(A.nodes(s, d), s.createDataFrame([(k,) for k in KEYWORDS], "kw string"))
 
 
 PRIORITY = ("src3", "src1", "src7", "src12")
