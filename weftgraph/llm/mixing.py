@@ -11,8 +11,8 @@ multivariate hypergeometric distribution.  A shard takes its numbers of blocks f
 permuted blocks, disjoint from the other shards', and shuffles them locally by a second hash.
 
 Edge cases: null texts have no words; the null source is a source and comes last; sources without words
-have target 0; the order is by a hash of doc_id (null too) and text, so only rows equal in both stand
-together and are taken equally often; other columns are not read; an empty table gives no rows.  The
+have target 0; the order is by a hash of doc_id (null too) and text, and of its number for
+each further row equal in both, so copies are drawn apart like other documents; other columns are not read; an empty table gives no rows.  The
 driver keeps two numbers for each source, and 256 sums for each of at most max_sources of them at a time;
 the plan (256 rows a source) is broadcast for max_sources sources, and joined by a shuffle beyond.
 """
@@ -22,12 +22,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, partitions, saved
 
 BLOCKS = 256
+SALTS = 64  # stretches in which equal rows are numbered
 ORDER_SEED, SHUFFLE_SEED = 7, 11
 
 
@@ -104,6 +105,18 @@ def _sums(rows: list) -> dict:
     return out
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows(key, h, salt, ...) with another hash for each further row of those that share one: the second, the third, ...
+
+    Rows are numbered in each salt, from where the salts before end, so no task has all copies of a row.
+    """
+    counts = rows.groupBy("key", "h", "salt").agg(F.count(F.lit(1)).alias("m"))
+    before = counts.withColumn("before", F.sum("m").over(Window.partitionBy("key", "h").orderBy("salt")) - F.col("m")).drop("m")  # SALTS rows a hash at most
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("key", "h", "salt").orderBy("size"))
+    told = rows.join(before, ["key", "h", "salt"]).withColumn("nth", nth)
+    return told.withColumn("h", F.when(F.col("nth") > 1, F.xxhash64("h", "nth")).otherwise(F.col("h"))).select(*rows.columns)
+
+
 def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2, 1), share: float = 1.5, max_sources: int = 2000, carry: list[str] | None = None) -> DataFrame:
     """A row for each of docs(doc_id, text, source): doc_id, source, size, source_size, target and
     draws, an array of (epoch, shard, place): the shards that take it and its place in their shuffles.
@@ -111,7 +124,11 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 1, weights: tuple = (5, 2
     carry: columns of docs that come with each row, as the struct `row`."""
     spark = docs.sparkSession
     keys = docs.select("doc_id", "source", *([F.struct(*carry).alias("row")] if carry else []), _key(F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(ORDER_SEED), "doc_id", "text").alias("h"))
-    sized = saved(keys.drop("row"))
+    # Equal rows share a hash; which task a row came from is written with it, so that their numbers stay as they are.
+    sized = saved(keys.drop("row").withColumn("salt", (F.spark_partition_id() % SALTS).cast("int")))
+    if sized.groupBy("key", "h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").head(1):
+        keys = _told_apart(saved(keys.withColumn("salt", (F.spark_partition_id() % SALTS).cast("int"))) if carry else sized)
+        sized = saved(keys.drop("row"))
     total = {s: int(w) for s, w in sized.groupBy("key").agg(F.sum("size")).collect()}
     aim = targets({(s[1:] if s else None): n for s, n in total.items()}, weights, share)
     aim = {s: aim[s[1:] if s else None] for s in total}
