@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -212,6 +213,39 @@ def word_patterns() -> tuple[str, str]:
     return out[0], out[1]
 
 
+def unlike(normalize) -> str:
+    """The code points that Python's composition and lower case treat otherwise than a vocabulary's normalizer, whose
+    Unicode tables are of another version.
+
+    Those of the first three planes are tried (the others hold neither marks nor letters with case), each behind a letter
+    and around a mark.  Marks are tried before and behind one of every combining class, since an order that differs shows
+    in one of them; what Python does not know is tried with the first class and the last.
+    """
+    every = [chr(c) for c in range(2, 0x30000) if not 0xD800 <= c < 0xE000 and c not in SPACE]  # white space ends words either way
+    first: dict[int, str] = {}
+    for c in every:
+        first.setdefault(unicodedata.combining(c), c)
+    del first[0]
+    least, most = first[min(first)], first[max(first)]
+    marks = [c for c in every if unicodedata.category(c).startswith("M")]
+    new = [c for c in every if unicodedata.category(c) == "Cn"]
+    shapes = [(every, lambda c: f"a{c}\u0301B\u0301{c}"), (new, lambda c: f"a{most}{c} a{c}{least}")]
+    shapes += [(marks, lambda c, m=m: f"a{c}{m} a{m}{c}") for m in first.values()]
+    out: set[str] = set()
+    for span, shape in shapes:
+        for at in range(0, len(span), 20_000):
+            own = list(map(shape, span[at : at + 20_000]))
+            text = "\1".join(own)
+            if _normal(text) != (told := normalize(text)):
+                out |= {c for c, mine, theirs in zip(span[at : at + 20_000], own, told.split("\1")) if _normal(mine) != theirs}
+    return "".join(sorted(out))
+
+
+def _normal(text: str) -> str:
+    """Composed and in lower case; a capital sigma has no final form."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+
 _MADE: dict[str, tuple] = {}
 
 
@@ -225,31 +259,42 @@ def load(path: str) -> tuple[Automaton, dict[str, int]]:
         for token, i in special.items():
             automaton.labels += [""] * (i + 1 - len(automaton.labels))
             automaton.labels[i] = token
-        _MADE[path] = automaton, special, word_patterns()
+        from tokenizers import Tokenizer
+
+        normalizer = Tokenizer.from_file(path).normalizer
+        _MADE[path] = automaton, special, word_patterns(), normalizer, unlike(normalizer.normalize_str)
     return _MADE[path]
 
 
+LONGEST = 64  # letters of a word that is remembered
+
+
 class Known(dict):
-    """Ids of words; what is missing is worked out."""
+    """Ids of words; what is missing is worked out, and remembered unless it is long."""
 
     def __init__(self, make) -> None:
         self.make = make
 
     def __missing__(self, word: str) -> bytes:
-        got = self[word] = self.make(word)
+        got = self.make(word)
+        if len(word) <= LONGEST:
+            self[word] = got
         return got
 
 
 class Encoder:
     """Texts to ids and back, with the ids of words that came before."""
 
-    def __init__(self, automaton: Automaton, special: dict[str, int], patterns: tuple[str, str]) -> None:
+    def __init__(self, automaton: Automaton, special: dict[str, int], patterns: tuple[str, str], normalizer, unlike: str) -> None:
         self.automaton, self.special = automaton, special
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split
         self.basic, self.all = (re.compile(p).findall for p in patterns)
         self.beyond = re.compile('[\U00010000-\U0010ffff]').search
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
         self.known, self.before = Known(self.word), {}
+        self.lead = os.path.commonprefix(list(special))
+        self.normalize = normalizer.normalize_str
+        self.odd = re.compile(f"[{ranges(sorted(map(ord, unlike)))}]").search if unlike else lambda part: None
 
     def word(self, word: str) -> bytes:
         """The ids of a word that is not remembered, or was in the time before."""
@@ -269,12 +314,11 @@ class Encoder:
             self.known, self.before = Known(self.word), self.known
         out: list[bytes] = []
         ids_of = self.known.__getitem__
-        for part in self.split(text) if self.special and "<|" in text else (text,):
+        for part in self.split(text) if self.special and self.lead in text else (text,):
             if part in self.special:
                 out.append(struct.pack("<I", self.special[part]))
                 continue
-            part = unicodedata.normalize("NFC", part)
-            part = part.replace("\u03a3", "\u03c3").lower()  # a capital sigma has no final form here
+            part = self.normalize(part) if self.odd(part) else _normal(part)
             out += map(ids_of, (self.all if self.beyond(part) else self.basic)(part))
         return b"".join(out)
 
