@@ -226,6 +226,18 @@ def test_ordinary_words_are_no_secrets():
         assert [s for s in secret_scan.spans_of(text, 8.0, words) if s[1] == 3] == [], text
 
 
+@pytest.mark.parametrize(
+    "text, left",
+    [
+        ('password = "Zq9!fé#kL2@pTx" end', 'password = "[secret]" end'), ("password: Zq9!kL2@p'Tx#v77 end", "password: [secret] end"), ('pwd="correct horse battery staple" x', 'pwd="[secret]" x'),
+        ("BEARER aB3$kLm9!xQz", "BEARER [secret]"), ("secret\t=\taB3$kLm9!xQz", "secret\t=\t[secret]"), ("postgres://user:Zq9kL2xTv77@host/db", "postgres://user:[secret]@host/db"),
+        ('password: "Zq9\\"!kL2@pTx#"', 'password: "[secret]"'), ("pwd: secret: Zq9!kL2@pT", "pwd: secret: [secret]"), ("pwd: 'Zq9!kL2@pT\nnext line", "pwd: '[secret]\nnext line"), ("the token: is here", "the token: is here"),
+    ],
+)
+def test_whole_values_are_blanked(text, left):
+    assert secret_scan.redacted(text) == left
+
+
 def test_a_short_value_may_be_the_next_context():
     words = secret_scan.dictionary()
     assert secret_scan.spans_of("password: token: abcdefgh12", 8.0, words) == []
@@ -298,6 +310,40 @@ def test_mixing_equal_ids_still_reaches_targets(spark):
         assert len(own) == 200 and abs(taken - own[0].target) <= most and max(len(r.draws) for r in own) <= 2
 
 
+@pytest.mark.parametrize("carry", [False, True])
+def test_mixing_equal_rows_reach_their_target(spark, carry):
+    """A source whose rows are all equal: some copies are taken more often, so that the words taken come near the target."""
+    rows = [(7, "one two three four", "a")] * 2500 + [(i, "word " * (i % 9 + 1), "b") for i in range(3000)] + [(None, "x y", None)] * 500
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(frame, carry=["text"] if carry else None).select("source", "size", "source_size", "target", F.size("draws").alias("n"), *(["row"] if carry else [])).collect()
+    assert len(got) == len(rows)
+    aim = plain_targets(rows)
+    for source in ("a", "b", None):
+        own = [r for r in got if r.source == source]
+        assert own[0].target == pytest.approx(aim[source]) and {r.source_size for r in own} == {sum(r.size for r in own)}
+        assert abs(sum(r.size * r.n for r in own) - aim[source]) <= max(r.size for r in own) and max(r.n for r in own) <= 2
+    again = mixing.mix(frame).groupBy("source").agg(F.sum(F.col("size") * F.size("draws")).alias("w")).collect()
+    assert {r.source: r.w for r in again} == {s: sum(r.size * r.n for r in got if r.source == s) for s in ("a", "b", None)}
+
+
+def plain_targets(rows):
+    """Targets worked out a source at a time: shares by weight, those above twice their size stopped, until none is."""
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    stopped = set()
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in stopped)
+        total = sum(w for s, w in weight.items() if s not in stopped)
+        got = {s: 2 * sizes[s] if s in stopped else rest * weight[s] / total for s in order}
+        over = {s for s in order if s not in stopped and got[s] > 2 * sizes[s]}
+        if not over:
+            return got
+        stopped |= over
+
+
 def test_mixing_many_sources_in_groups(spark):
     own = spark.createDataFrame([(i, prose(3 + i % 11), f"s{i % 23}" if i % 24 else None) for i in range(700)], "doc_id long, text string, source string")
     small = {r.doc_id: (r.size, r.source_size, r.target, [d.epoch for d in r.draws]) for r in mixing.mix(own, max_sources=5).collect()}
@@ -428,11 +474,23 @@ def test_automaton_against_the_literal_construction():
                 assert own.arc(lead[t], vocab[w]) == (w in rows[lead[t]]), (merges, t, w)
 
 
+def test_every_code_point_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe_automaton.env_path("word_bpe_49k.json")
+    library, encoder = tokenizers.Tokenizer.from_file(path), bpe_automaton.Encoder(*bpe_automaton.load(path))
+    codes = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000] + list(range(0x20000, 0x110000, 97))
+    for at in range(0, len(codes), 10_000):
+        texts = [f"a{chr(c)}\u0301B {chr(c)}" for c in codes[at : at + 10_000]]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(encoder(text), "<u4").tolist() == want.ids, ascii(text)
+    assert "x" * 65 not in (encoder("x" * 65) and encoder.known) and "x" * 64 in (encoder("x" * 64) and encoder.known)
+
+
 def test_words_are_remembered_in_two_generations(monkeypatch):
     monkeypatch.setattr(bpe_automaton, "CACHE", 3)
     encoder = bpe_automaton.Encoder(*bpe_automaton.load(bpe_automaton.env_path("word_bpe_49k.json")))
     own = ["one two three four two one five six", "one seven two eight nine one"]
-    fresh = [bpe_automaton.Encoder(encoder.automaton, encoder.special, (encoder.basic.__self__.pattern, encoder.all.__self__.pattern)) for _ in own]
+    fresh = [bpe_automaton.Encoder(encoder.automaton, encoder.special, *bpe_automaton.load(bpe_automaton.env_path("word_bpe_49k.json"))[2:]) for _ in own]
     assert [encoder(t) for t in own] == [f(t) for f, t in zip(fresh, own)] and len(encoder.before) == 6 and len(encoder.known) == 5
 
 
@@ -754,6 +812,23 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_fenced_blocks_and_introductions(spark):
+    shell = "hello\n```\n> not a quote but shell\n\n> echo\n```\nbye"
+    assert quotes.parse(shell)[:3] == (shell, shell, 0)
+    assert quotes.passages("> ```\n> > code\n> ```\nreply") == [(1, "```\n> code\n```"), (0, "reply")]
+    assert quotes.passages("```\n> open fence\ntext") == [(0, "```"), (1, "open fence"), (0, "text")]
+    assert quotes.passages("> ```\nout\n> ```") == [(1, "```"), (0, "out"), (1, "```")]
+    many = "```x\n" * 20_000 + "> quoted"
+    assert quotes.passages(many)[-1] == (1, "quoted")
+    first = "The build breaks on every second run of it."
+    rows = [
+        (1, 0, "u", first), (1, 1, "a", f"Am 3. März schrieb A:\n> {first}\n\nNo, it does not."), (1, 2, "u", f"On Monday the third\nBob wrote:\n\n> {first}\n\nI see."),
+        (1, 3, "u", f"I said.\n\nThis is what matters most to me:\n> {first}\nYes."), (1, 4, "u", "Use this:\n> nobody wrote this line before"),
+    ]
+    got = {r.turn: r.text for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: first, 1: "No, it does not.", 2: "I see.", 3: "I said.\n\nYes.", 4: "Use this:"}
+
+
 def test_quotes_found_past_own_and_null_holders(spark):
     rows = [
         (1, 0, "user", "> Shared passage.\nMine."),

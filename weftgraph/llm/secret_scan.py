@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and guess costs of values in credential contexts.
 
 The base patterns (assign, access, hex) are matched on whole texts.  The method looks at values that
-stand in a wider credential context (`client_secret = v`, `Authorization: Bearer v`, `pwd: v` ...) and
+stand in a wider credential context (`client_secret = v`, `Authorization: Bearer v`, `pwd: v`, `//user:v@` ...): in quotes
+all of them, blanks included, else up to white space, letters of all scripts included.  It
 finds the cheapest way for an attacker to guess them: a dynamic programme over all segmentations into
 dictionary words, dates, repeats, keyboard walks or sequences, and brute-force spans.  Values that
 cost at least 10**min_log10 guesses and lie in no base span give spans of kind `guess`; a value that a base
@@ -34,9 +35,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT = re.compile(
-    r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|secret|client|encryption|signing)[_-]?(?:key|secret|token)))["']?(?:\x20*(?::=|=>|[:=])\x20*|(?<=[Bb]earer)\x20+)(?:[Bb]earer\x20+|[Bb]asic\x20+)?["']?([!-&(-~]{6,})"""
+    r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(bearer)|(?:api|access|private|secret|client|encryption|signing)[_-]?(?:key|secret|token)))["'`]?(?:[\x20\t]*(?::=|=>|[:=])[\x20\t]*|(?(1)[\x20\t]+|(?!)))(?ai:(?:bearer|basic)[\x20\t]+)?"""
 )
+URL = re.compile(r"//[^\s/:@]*:([^\s/@]+)@")
+PLAIN = re.compile(r"\S*")
+QUOTES, LONGEST_QUOTED = "\"'`", 256
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
+LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "guess")
 
 # Frequent password parts, commonest first.
@@ -122,6 +127,33 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     return best[n]
 
 
+def value_at(text: str, at: int) -> tuple[int, int]:
+    """Where the value that begins at a place begins and ends: in quotes all up to the same quote on that line, unless it is
+    behind a backslash; else, or if the quote is never closed, all up to white space, without punctuation at its end."""
+    quote = text[at : at + 1]
+    if quote and quote in QUOTES:
+        at += 1
+        for end in range(at, min(len(text), at + LONGEST_QUOTED)):
+            if text[end] == "\n":
+                break
+            if text[end] == quote and (len(text[at:end]) - len(text[at:end].rstrip("\\"))) % 2 == 0:
+                return at, end
+    value = PLAIN.match(text, at)[0]
+    return at, at + len(value.rstrip(".,;:)]}\"'`"))
+
+
+def _values(text: str, low: str):
+    """(start, end) of the values in credential contexts and of passwords in addresses; a value may be the next one's context."""
+    if "//" in text:
+        yield from (m.span(1) for m in URL.finditer(text))
+    begin = 0
+    if any(h in low for h in CONTEXT_HINTS):
+        while m := CONTEXT.search(text, begin):
+            a, b = value_at(text, m.end())
+            begin = m.end() if b - a < LEAST_VALUE or CONTEXT.match(text, a) else max(b, m.end())
+            yield a, b
+
+
 def spans_of(text: str, min_log10: float, words: dict[str, int]) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans, sorted."""
     out, low = [], text.lower()
@@ -130,18 +162,13 @@ def spans_of(text: str, min_log10: float, words: dict[str, int]) -> list[tuple[i
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if any(h in low for h in CONTEXT_HINTS):
-        base = sorted((a, b) for a, _, b in out)
-        at, reach, begin = 0, -1, 0
-        while m := CONTEXT.search(text, begin):
-            value = m[1].rstrip(".,;:)]}\"")
-            a, b = m.start(1), m.start(1) + len(value)
-            begin = m.end() if len(value) >= 6 else a  # a short value may be the next one's context
-            while at < len(base) and base[at][0] <= a:
-                reach = max(reach, base[at][1])
-                at += 1
-            if reach < b and len(value) >= 6 and guess_cost(value, words) >= min_log10:
-                out.append((a, 3, b))
+    base, at, reach = sorted((a, b) for a, _, b in out), 0, -1
+    for a, b in sorted(set(_values(text, low))):
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach < b and b - a >= LEAST_VALUE and guess_cost(text[a:b], words) >= min_log10:
+            out.append((a, 3, b))
     return sorted(out)
 
 
