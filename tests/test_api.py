@@ -1,10 +1,13 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import Graph
 from weftgraph.operators import evaluation as E
 from weftgraph.operators.providers import Provider, Registry
-from weftgraph.operators.store import bulk_upsert, current, migrate, opened
+from weftgraph.operators.store import bulk_upsert, current, opened, swapped
+from weftgraph.operators.tables import Conflict, TableSet, migrate
 
 NODES = "id string, label string, kind string, source_file string, confidence_score double, metadata string, query_count long, last_verified long, valid_until long"
 ROWS = [
@@ -80,10 +83,64 @@ def test_versions_are_swapped(spark, tmp_path):
     row = lambda i, x: spark.createDataFrame([(i, x)], "id long, x string")
     bulk_upsert(at, row(1, "a").union(row(2, "b")), "id")
     assert {tuple(r) for r in bulk_upsert(at, row(2, "c").union(row(3, "d")), "id").collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    base = spark.createDataFrame([("i", "l", "k", "f")], "id string, label string, kind string, source_file string")
-    up = migrate(base, 0, 7)
-    assert up.columns[-1] == "truth_now" and migrate(up, 7, 0).columns == base.columns and up.first().metadata == "{}"
+    with pytest.raises(Conflict):
+        swapped(at, row(9, "late"), TableSet(spark, at).version(1))
+    assert current(spark, at).count() == 3
+    base = spark.createDataFrame([("i", "l", "k", "f", 5)], "id string, label string, kind string, source_file string, query_count int")
+    base.write.parquet(str(tmp_path / "whole"))
+    up = opened(spark, str(tmp_path / "whole"))
+    assert up.columns[-1] == "applies_to" and up.first().metadata == "{}" and up.first().query_count == 5
     base.drop("kind").write.parquet(str(tmp_path / "n"))
     with pytest.raises(ValueError, match="kind"):
         opened(spark, str(tmp_path / "n"))
-    assert up.withColumn("query_count", F.lit(5)).first().query_count == 5
+
+
+def test_a_reader_never_sees_no_table(spark, tmp_path):
+    own, stop, seen, wrong = TableSet(spark, str(tmp_path / "set")), threading.Event(), set(), []
+    frame = lambda n: spark.range(n).select(F.col("id"))
+    own.commit({"nodes": frame(1), "edges": frame(1)})
+
+    def reader():
+        while not stop.is_set():
+            try:
+                v = own.version()
+                sizes = {own.read(t, v.number).count() for t in ("nodes", "edges")}
+                seen.add(v.number)
+                wrong.extend([sizes] if sizes != {v.number} else [])
+            except Exception as e:  # noqa: BLE001
+                wrong.append(e)
+
+    t = threading.Thread(target=reader)
+    t.start()
+    for n in range(2, 12):
+        own.commit({"nodes": frame(n), "edges": frame(n)})
+    stop.set()
+    t.join()
+    assert not wrong and len(seen) > 1 and own.version().number == 11
+    with pytest.raises(Conflict):
+        own.commit({"nodes": frame(99)}, base=own.version(10))
+    assert own.read("nodes").count() == 11 and own.read("nodes", 3).count() == 3
+    assert own.restore(4).number == 12 and own.read("edges").count() == 4
+    assert own.vacuum(2) == 18 and own.numbers() == [11, 12] and own.read("nodes").count() == 4
+    with pytest.raises(ValueError, match="keeps no version"):
+        own.restore(3)
+
+
+def test_schema_up_and_down(spark, tmp_path):
+    own = TableSet(spark, str(tmp_path / "set"))
+    assert migrate(own) == (10, 0) and own.version().schema == 10
+    assert set(own.version().tables) == {"nodes", "edges", "stats", "provider_cache", "config", "query_cache", "pattern_cache", "co_change"}
+    assert {"valid_until", "applies_to"} <= set(own.read("nodes").columns) and own.read("co_change").columns == ["file_a", "file_b", "count"]
+    assert migrate(own) == (0, 1) and own.version().number == 1  # nothing to do
+    row = spark.createDataFrame([("a", "A", "file", "f", 3)], "id string, label string, kind string, source_file string, query_count long")
+    own.commit({"nodes": row, "co_change": spark.createDataFrame([("x", "y", 2)], "file_a string, file_b string, count long")}, schema=10)
+    steps, backup = migrate(own, 5)
+    assert (steps, backup) == (5, 2) and set(own.version().tables) == {"nodes", "edges", "stats", "provider_cache"}
+    assert own.read("nodes").first().query_count == 3
+    assert migrate(own, 10)[0] == 5 and own.read("co_change").count() == 0 and own.read("nodes").first().then_believed is None
+    own.restore(backup)
+    assert own.read("co_change").first()["count"] == 2
+    assert migrate(own, 0)[0] == 10 and own.version().tables == {}
+    for wrong in (-1, 11):
+        with pytest.raises(ValueError, match="no schema"):
+            migrate(own, wrong)

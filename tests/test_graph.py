@@ -65,3 +65,8 @@ def test_related_files_of_every_part(spark, tmp_path):
         want |= {(i, f, t, place) for place, (t, f) in enumerate(near[:10], 1)}
     got = {tuple(r) for r in registry.queries()["G17_related_files"](spark, str(tmp_path)).select("focal", "file", "tier", "place").collect()}
     assert got == want and len({f for f, *_ in got}) == 120
+
+
+def test_closure_goes_on_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert G.closure(chain, spark.createDataFrame([(0,)], "origin long")).count() == 60

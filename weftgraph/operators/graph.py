@@ -81,12 +81,12 @@ def bfs_levels(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def closure(links: DataFrame, start: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(origin, id): all that links(a, b) reach from start(origin), the origin left out."""
+def closure(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(origin, id): all that links(a, b) reach from start(origin), however far, the origin left out."""
     links = checkpointed(links.distinct())
     seen = start.select("origin", F.col("origin").alias("id")).distinct()
     front = seen
-    for _ in range(max_rounds):
+    while True:
         new = front.join(links, front["id"] == links["a"]).select("origin", F.col("b").alias("id")).distinct().join(seen, ["origin", "id"], "left_anti")
         front = checkpointed(new)
         if not front.limit(1).count():

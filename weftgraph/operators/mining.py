@@ -66,4 +66,4 @@ def callers(calls: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
     """(callee, caller_file) of calls(caller, callee) to what defs(callee) define: the calling file's label in
     files(caller, label), or its id where it has none."""
     own = calls.join(defs, "callee", "left_semi").join(files, "caller", "left")
-    return own.select("callee", F.coalesce("label", F.concat(F.lit("supplier:"), F.col("caller").cast("string"))).alias("caller_file")).distinct()
+    return own.select("callee", F.coalesce("label", F.col("caller").cast("string")).alias("caller_file")).distinct()

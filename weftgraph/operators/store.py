@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import COLUMNS, TABLES, TableSet, Version, completed
+
+ROWS = "rows"  # the one table of a set that is used as a table
+
 
 def by_id(nodes: DataFrame, id_: str) -> DataFrame:
     return nodes.filter(F.col("id") == id_)
@@ -23,9 +25,11 @@ def search(nodes: DataFrame, text: str, k: int = 20) -> DataFrame:
     return nodes.filter(F.lower("label").contains(t) | F.lower("id").contains(t)).orderBy(*order, "id").limit(k)
 
 
-def mistakes(notes: DataFrame, file: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, k: int = 20) -> DataFrame:
-    """Mistakes, newest first: of one file, not older than since_ms, not invalid at as_of_ms."""
+def mistakes(notes: DataFrame, file: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, k: int = 20, least: float | None = None) -> DataFrame:
+    """Mistakes, newest first: of one file, not older than since_ms, not invalid at as_of_ms, of a confidence of at least `least`."""
     own = notes.filter("kind = 'mistake'")
+    if least is not None:
+        own = own.filter(F.col("confidence_score") >= least)
     if file is not None:
         own = own.filter(F.col("source_file") == file)
     if since_ms is not None:
@@ -36,55 +40,23 @@ def mistakes(notes: DataFrame, file: str | None = None, since_ms: int | None = N
 
 
 def bulk_upsert(path: str, new: DataFrame, *key: str) -> DataFrame:
-    """The table at path with new rows in place of those with their key."""
-    old = current(new.sparkSession, path)
+    """The table at path with new rows in place of those with their key; Conflict if another writer comes between."""
+    tables = TableSet(new.sparkSession, path)
+    base = tables.version()
+    old = tables.read(ROWS, base.number) if base.number else None
     both = new.withColumn("seq", F.lit(1)) if old is None else old.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))
-    return swapped(path, upsert(both, both.limit(0), *key).drop("seq"))
+    return swapped(path, upsert(both, both.limit(0), *key).drop("seq"), base)
 
 
-def swapped(path: str, table: DataFrame) -> DataFrame:
-    """A table in the place of the one at path: written beside it, then swapped in, so a reader sees the old table or
-    the new one.  The folder that the file `current` names is what counts."""
-    spark, version = table.sparkSession, f"v{uuid.uuid4().hex}"
-    fs, at = _fs(spark, path)
-    table.write.parquet(f"{path}/{version}")
-    out = fs.create(at(f"{path}/next"), True)
-    out.write(bytearray(version, "ascii"))
-    out.close()
-    fs.delete(at(f"{path}/current"), False)
-    fs.rename(at(f"{path}/next"), at(f"{path}/current"))
-    return current(spark, path)
+def swapped(path: str, table: DataFrame, base: Version | None = None) -> DataFrame:
+    """A table in the place of the one at path: a reader sees the old table or the new one (see TableSet)."""
+    tables = TableSet(table.sparkSession, path)
+    return tables.read(ROWS, tables.commit({ROWS: table}, base).number)
 
 
 def current(spark, path: str) -> DataFrame | None:
     """The table that was swapped in last, or None."""
-    fs, at = _fs(spark, path)
-    if not fs.exists(at(f"{path}/current")):
-        return None
-    version = spark.read.text(f"{path}/current").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def _fs(spark, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-#: Steps of the nodes' schema: what each version adds, with its default.
-STEPS = (
-    (1, "query_count", "bigint", "0"), (2, "metadata", "string", "'{}'"), (3, "valid_until", "bigint", "null"), (4, "invalidated_by", "string", "null"),
-    (5, "then_believed", "string", "null"), (6, "found_false_at", "bigint", "null"), (7, "truth_now", "string", "null"),
-)
-
-
-def migrate(nodes: DataFrame, version: int, to: int) -> DataFrame:
-    """nodes of a schema version brought to another one, up or down; a column that is there stays as it is."""
-    for number, name, kind, default in STEPS:
-        if version < number <= to and name not in nodes.columns:
-            nodes = nodes.withColumn(name, F.expr(f"cast({default} as {kind})"))
-        if to < number <= version:
-            nodes = nodes.drop(name)
-    return nodes
+    return TableSet(spark, path).read(ROWS)
 
 
 def opened(spark, path: str) -> DataFrame:
@@ -93,7 +65,11 @@ def opened(spark, path: str) -> DataFrame:
     missing = {"id", "label", "kind", "source_file"} - set(nodes.columns)
     if missing:
         raise ValueError(f"{path} is no nodes table: it lacks {', '.join(sorted(missing))}")
-    return migrate(nodes, 0, STEPS[-1][0])
+    for steps in (TABLES, COLUMNS):
+        for _, added in sorted(steps.items()):
+            if "nodes" in added:
+                nodes = completed(nodes, added["nodes"], spark)
+    return nodes
 
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import rank as R
 from ..operators import reports as P
 from ..operators import search as S
 from ..operators import store as ST
+from ..operators import tables as TS
 from ..operators import telemetry as T
 from ..sources import adapters as A
 from ..sources import files as FI
@@ -68,11 +69,24 @@ def _(s, d):
     return FI.log_lines(s, "seq long, tool string, k long", at + ".1", at).groupBy("tool").agg(_count().alias("n"))
 
 
-@spec("K11_migrate", ("notes",), "SELECT id, kind, query_count, CAST(NULL AS VARCHAR) AS truth_now FROM notes")
+@spec("K11_migrate", ("notes", "note_edges"), "SELECT id, kind, query_count, applies_to, CAST(NULL AS VARCHAR) AS invalidated_by_commit, CAST(6 AS BIGINT) AS n_tables, (SELECT count(*) FROM note_edges) AS n_edges FROM notes")
 def _(s, d):
-    n = N.notes(s, d).drop("applies_to")
-    down = ST.migrate(n, 7, 1)
-    return ST.migrate(down, 1, 7).select("id", "kind", "query_count", "truth_now")
+    own = TS.TableSet(s, FI.scratch(s))
+    own.commit({"nodes": N.notes(s, d), "edges": N.note_edges(s, d)}, schema=1)
+    TS.migrate(own)
+    TS.migrate(own, 6)
+    TS.migrate(own, 9)  # up again: caches come back empty, co-change stays away
+    return own.read("nodes").select("id", "kind", "query_count", "applies_to", "invalidated_by_commit", F.lit(len(own.version().tables)).cast("long").alias("n_tables"), F.lit(own.read("edges").count()).cast("long").alias("n_edges"))
+
+
+@spec("K11_restore", ("notes",), "SELECT kind, count(*) AS n FROM notes GROUP BY kind")
+def _(s, d):
+    own, n = TS.TableSet(s, FI.scratch(s)), N.notes(s, d)
+    kept = own.commit({"nodes": n}, schema=1).number
+    own.commit({"nodes": n.filter("kind = 'mistake'")})
+    own.restore(kept)
+    own.vacuum(1)
+    return own.read("nodes").groupBy("kind").agg(_count().alias("n"))
 
 
 @spec("K12_report_file", ("notes",), "SELECT line FROM (SELECT '- ' || label AS line FROM notes WHERE kind = 'mistake' ORDER BY query_count DESC, id LIMIT 5) UNION ALL SELECT '## Known issues'")
@@ -218,9 +232,9 @@ def _(s, d):
     return N.notes(s, d).filter(S.hidden()).select("id")
 
 
-@spec("F5_mistakes", ("notes",), f"SELECT id, label, last_verified FROM notes WHERE kind = 'mistake' AND source_file = 'src/f7.ts' AND last_verified >= {AS_OF - 5 * 86_400_000} AND (valid_until IS NULL OR valid_until > {AS_OF}) ORDER BY last_verified DESC, id LIMIT 20")
+@spec("F5_mistakes", ("notes",), f"SELECT id, label, last_verified FROM notes WHERE kind = 'mistake' AND source_file = 'src/f7.ts' AND last_verified >= {AS_OF - 5 * 86_400_000} AND (valid_until IS NULL OR valid_until > {AS_OF}) AND confidence_score >= 0.2 ORDER BY last_verified DESC, id LIMIT 20")
 def _(s, d):
-    return ST.mistakes(N.notes(s, d), "src/f7.ts", AS_OF - 5 * 86_400_000, AS_OF).select("id", "label", "last_verified")
+    return ST.mistakes(N.notes(s, d), "src/f7.ts", AS_OF - 5 * 86_400_000, AS_OF, least=0.2).select("id", "label", "last_verified")
 
 
 PATHS = "CASE p_partkey % 9 WHEN 0 THEN '/proc/' || p_partkey WHEN 1 THEN '/w/node_modules/a.ts' WHEN 2 THEN '/w/img' || p_partkey || '.PNG' WHEN 3 THEN '/w/.env.local' WHEN 4 THEN 'C:/Windows/x.ini' WHEN 5 THEN '/w/certs/a' || p_partkey || '.pem' WHEN 6 THEN '/w/ID_RSA' WHEN 7 THEN '/w/.git/HEAD' ELSE '/w/src/m' || p_partkey || '.ts' END"
@@ -335,7 +349,10 @@ def _(s, d):
 @spec("J4_callers", ("nodes", "calls"), "SELECT DISTINCT c.callee, coalesce(f.label, 'supplier:' || c.caller) AS caller_file FROM calls c LEFT JOIN (SELECT * FROM nodes WHERE kind = 'class') f ON f.id = 'supplier:' || c.caller WHERE 'part:' || c.callee IN (SELECT id FROM nodes WHERE kind = 'function')")
 def _(s, d):
     n = A.nodes(s, d).select("id", "label", "kind")
-    return M.callers(A.calls(s, d), n.filter("kind = 'function'").select(F.expr("cast(substr(id, 6) as bigint)").alias("callee")), n.filter("kind = 'class'").select(F.expr("cast(substr(id, 10) as bigint)").alias("caller"), "label"))
+    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias(c)
+    calls = A.calls(s, d).select(named("part", "callee"), named("supplier", "caller"))
+    got = M.callers(calls, n.filter("kind = 'function'").select(F.col("id").alias("callee")), n.filter("kind = 'class'").select(F.col("id").alias("caller"), "label"))
+    return got.select(F.expr("cast(substr(callee, 6) as bigint)").alias("callee"), "caller_file")
 
 
 @spec("G8_callers", ("calls",), "SELECT p.p_name AS name, CAST(count(DISTINCT c.caller) AS BIGINT) AS n, string_agg(DISTINCT lpad(CAST(c.caller AS VARCHAR), 9, '0'), ',' ORDER BY lpad(CAST(c.caller AS VARCHAR), 9, '0')) AS files FROM calls c JOIN part p ON p.p_partkey = c.callee GROUP BY p.p_name")
