@@ -8,8 +8,10 @@ from weftgraph.operators import extract as EX
 from weftgraph.operators import containment as C
 from weftgraph.operators import guard as GU
 from weftgraph.operators import incremental as I
+from weftgraph.operators import postings as PO
 from weftgraph.operators import reports as P
 from weftgraph.operators import search as S
+from weftgraph.operators import store as ST
 from weftgraph.sources import files as FI
 from weftgraph.streaming import logs, state
 
@@ -244,3 +246,40 @@ def test_spliced_and_rotated(spark, tmp_path):
         FI.append_log(spark.createDataFrame([(i,)], "i long").coalesce(1), at, most_bytes=15)  # a row has 8 bytes
     assert sorted(r.i for r in spark.read.json(at).collect()) == [2] and sorted(r.i for r in spark.read.json(at + ".1").collect()) == [0, 1]
     assert FI.log_lines(spark, "i long", str(tmp_path / "none")).count() == 0 and FI.whole(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_index_equals_the_scan_after_changes(spark, tmp_path):
+    rng, word = random.Random(4), lambda n: "".join(rng.choice("abcdEF-") for _ in range(n))
+    cols = "id string, label string, query_count long"
+    nodes = {f"n:{i}": (word(rng.randrange(1, 9)), rng.randrange(5)) for i in range(150)}
+    frame = lambda ids: spark.createDataFrame([(i, *nodes[i]) for i in ids], cols)
+    index = PO.SearchIndex(spark, str(tmp_path / "index"), buckets=16)
+    index.build(frame(nodes))
+
+    def same():
+        own = frame(nodes)
+        for text in ("abc", "e", "n:1", "abcd"):
+            got, want = index.search(own, text, 30), ST.search(own, text, 30)
+            assert [r.id for r in got.collect()] == [r.id for r in want.collect()], text
+
+    same()
+    changed = rng.sample(sorted(nodes), 40)
+    nodes |= {i: (word(8), 9) for i in changed[:20]} | {"n:new": ("abcabc", 1)}
+    for i in changed[20:]:
+        del nodes[i]
+    index.change(frame([*changed[:20], "n:new"]), spark.createDataFrame([(i,) for i in changed[20:]], "id string"))
+    same()
+    back = changed[20]
+    nodes[back] = ("abcd again", 3)
+    index.change(frame([back]))
+    index.change(deletes=spark.createDataFrame([("n:new",), ("n:none",)], "id string"))
+    del nodes["n:new"]
+    same()
+    index.compact()
+    assert index.tables.read("gone").count() == index.tables.read("delta").count() == 0
+    same()
+    # A search opens the folders of its own runs, and no label.
+    opened, every = index.ids("abcd").inputFiles(), index.tables.read("base").inputFiles()
+    assert 0 < len(opened) <= 2 + len(index.tables.read("delta").inputFiles()) + len(index.tables.read("gone").inputFiles()) < len(every)
+    index.build(frame([]))
+    assert index.search(frame([]), "abc").count() == 0

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Conflict(RuntimeError):
@@ -24,7 +25,7 @@ class Conflict(RuntimeError):
 class Version:
     number: int = 0
     schema: int = 0
-    tables: dict[str, str] = field(default_factory=dict)  # name -> folder below data
+    tables: dict[str, list[str]] = field(default_factory=dict)  # name -> folder below data, columns
     note: str = ""
 
 
@@ -52,23 +53,36 @@ class TableSet:
             number = max(self.numbers(), default=0)
         if number == 0:
             return Version()
-        return Version(**json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/history/{number:012d}.json").collect())))
-
-    def read(self, name: str, number: int | None = None) -> DataFrame | None:
-        """A table as of a version, or None."""
-        folder = self.version(number).tables.get(name)
-        return None if folder is None else self.spark.read.parquet(f"{self.path}/data/{folder}")
-
-    def commit(self, tables: dict[str, DataFrame | None], base: Version | None = None, schema: int | None = None, note: str = "") -> Version:
-        """The version after base (default: the newest) with these tables in place of its own; None takes one out."""
+        file = self._fs.open(self._at(f"{self.path}/history/{number:012d}.json"))
+        try:
+            return Version(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")))
+        finally:
+            file.close()
+
+    def read(self, name: str, number: int | None = None, folders: list[str] | None = None) -> DataFrame | None:
+        """A table as of a version, or None; of one that lies in folders, only these (`column=value`), and no other is opened."""
+        own = self.version(number).tables.get(name)
+        if own is None:
+            return None
+        # Its columns are told, for a table without rows that lies in folders has no file to ask.
+        at, read = f"{self.path}/data/{own[0]}", self.spark.read.schema(StructType.fromJson(json.loads(own[1])))
+        if folders is None:
+            return read.parquet(at)
+        found = [f"{at}/{f}" for f in folders if self._fs.exists(self._at(f"{at}/{f}"))]
+        return read.option("basePath", at).parquet(*found) if found else self.spark.createDataFrame([], StructType.fromJson(json.loads(own[1])))
+
+    def commit(self, tables: dict[str, DataFrame | None], base: Version | None = None, schema: int | None = None, note: str = "", layout: dict[str, list[str]] | None = None) -> Version:
+        """The version after base (default: the newest) with these tables in place of its own; None takes one out.
+        layout: columns by whose values a table's files lie in folders."""
         base = self.version() if base is None else base
         now, written = dict(base.tables), []
         for name, df in tables.items():
             now.pop(name, None)
             if df is not None:
-                now[name] = f"{name}-{uuid.uuid4().hex}"
-                written.append(now[name])
-                df.write.parquet(f"{self.path}/data/{now[name]}")
+                folder = f"{name}-{uuid.uuid4().hex}"
+                now[name] = [folder, df.schema.json()]
+                written.append(folder)
+                df.write.partitionBy(*(layout or {}).get(name, [])).parquet(f"{self.path}/data/{folder}")
         out = Version(base.number + 1, base.schema if schema is None else schema, now, note)
         try:
             self._publish(out)
@@ -105,7 +119,7 @@ class TableSet:
         """Drop all versions but the newest `keep`, and the tables that none of these names; how many tables went.  No
         writer may be at work."""
         kept = self.numbers()[-keep:]
-        used = {f for n in kept for f in self.version(n).tables.values()}
+        used = {folder for n in kept for folder, _ in self.version(n).tables.values()}
         for n in self.numbers()[:-keep]:
             self._fs.delete(self._at(f"{self.path}/history/{n:012d}.json"), False)
         top, gone = self._at(f"{self.path}/data"), 0

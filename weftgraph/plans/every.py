@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as Q
@@ -13,6 +15,7 @@ from ..operators import guard as GU
 from ..operators import incremental as I
 from ..operators import mining as M
 from ..operators import paths as PA
+from ..operators import postings as PO
 from ..operators import rank as R
 from ..operators import reports as P
 from ..operators import search as S
@@ -227,6 +230,21 @@ def _(s, d):
     return ST.search(N.notes(s, d), "OF f1").select("id", "label", "query_count")
 
 
+CHANGED = "nn AS (SELECT id, CASE WHEN kind = 'class' THEN label || ' renewed' ELSE label END AS label FROM nodes WHERE kind <> 'interface')"
+
+
+@spec("F1_index_search", ("nodes",), f", {CHANGED}, q(t) AS (VALUES ('renewed'), ('asia'), ('#4'), ('customer'), ('part:12'), ('azure')) SELECT t AS term, id FROM q JOIN nn ON contains(lower(label), t) OR contains(lower(id), t)")
+def _(s, d):
+    # Built over all nodes; then classes get other labels and interfaces go.
+    n, index = A.nodes(s, d).select("id", "label", "kind"), PO.SearchIndex(s, FI.scratch(s))
+    index.build(n)
+    renewed = F.concat("label", F.lit(" renewed"))
+    index.change(n.filter("kind = 'class'").withColumn("label", renewed), n.filter("kind = 'interface'"))
+    now = n.filter("kind <> 'interface'").withColumn("label", F.when(F.col("kind") == "class", renewed).otherwise(F.col("label")))
+    found = [index.search(now, t, None).select(F.lit(t).alias("term"), "id") for t in ("renewed", "asia", "#4", "customer", "part:12", "azure")]
+    return reduce(DataFrame.unionAll, found)
+
+
 @spec("F2_hidden_keywords", ("notes",), f"SELECT id FROM notes WHERE {HIDDEN}")
 def _(s, d):
     return N.notes(s, d).filter(S.hidden()).select("id")
