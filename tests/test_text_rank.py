@@ -35,6 +35,31 @@ def test_pii(spark):
     assert got[8] == ("é[REDACTED]", ["email"])
 
 
+def test_white_space_of_other_scripts(spark):
+    assert stripped(spark, "Bearer\u00a0abcdefghijklmnop1234 x") == [("[REDACTED] x", ["bearer"])]
+    assert stripped(spark, "call 555\u2009123\u30004567 now")[0][1] == ["phone"]
+
+
+def test_nested_values_are_stripped(spark, tmp_path):
+    """Equal shape, map keys kept, categories of all strings united."""
+    card, key = "card 4111 1111 1111 1111", "key Zk9fQ2Lm8xR4tV7bN1cW5yPs"
+    frame = spark.range(1).selectExpr("named_struct('mail', 'a@b.co', 'age', 3) who").withColumn("list", F.array(F.lit(card), F.lit(None).cast("string"), F.lit("ok")))
+    frame = frame.withColumn("rows", F.array(F.struct(F.array(F.array(F.lit(key))).alias("x"), F.lit(1).alias("n")))).withColumn("by", F.create_map(F.lit("a@b.co"), F.lit("a@b.co")))
+    frame.write.parquet(str(tmp_path / "nested"))
+    frame = spark.read.parquet(str(tmp_path / "nested"))
+    out = X.pii_strip_deep(frame, "who", "list", "rows", "by")
+    got = out.first()
+    assert got.who.mail == "[REDACTED]" and got.who.age == 3 and got.list == ["card [REDACTED]", None, "ok"] and got.rows[0].x == [["key [REDACTED]"]] and got.by == {"a@b.co": "[REDACTED]"}
+    assert got.categories == ["email", "high-entropy-token", "credit-card"] and [f.name for f in out.schema if f.name != "categories"] == frame.columns
+    assert X.pii_strip_deep(frame.limit(0), "list").count() == 0
+
+
+def test_contains(spark):
+    texts = ["a@b.co", "nothing", None, "4111 1111 1111 1111", "Zk9fQ2Lm8xR4tV7bN1cW5yPs"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.pii_contains(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == [True, False, False, True, True]
+
+
 def test_commit_classes(spark):
     says = [("Add cache", "closes #12", True, False), ("fix: x", "", True, False), ("fix():x", "", False, False), ("fix:x", "", False, False), ("fixup! fix: x", "", False, False), ("Revert fix: x", "fixes #1", False, False)]
     says += [('Revert "a"', "This reverts commit abcdef1.", False, True), ("Undo", "THIS REVERTS COMMIT ABCDEF12", False, True), ("Revert a", "commit abcdef1", False, False), ("hotfix(a)!: b", None, True, False)]

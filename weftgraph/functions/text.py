@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that say nothing about a prompt.
 STOPWORDS = (
@@ -97,9 +100,14 @@ CARD = r"\b(?:\d[ -]?){13,19}\b"
 REDACTED = "[REDACTED]"
 
 
+#: What `\s` means where the patterns come from; Java's own knows ASCII alone.
+BLANK = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
 def java(pattern: str) -> str:
-    """A pattern with ASCII word boundaries for Java's engine."""
-    return pattern.replace(r"\b", EDGE)
+    """A pattern with ASCII word boundaries, and white space of all scripts, for Java's engine."""
+    inside = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\s", BLANK), pattern.replace(r"\b", EDGE))
+    return inside.replace(r"\s", f"[{BLANK}]")
 
 
 def random_tokens(c: Column) -> Column:
@@ -111,19 +119,91 @@ def cards(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(java(CARD)), F.lit(0)), lambda t: F.call_function("luhn_check", F.regexp_replace(t, r"[^0-9]", "")))
 
 
+def _passes() -> list[tuple[str, Callable[[Column], Column], Callable[[Column], Column]]]:
+    """(category, whether it fires on a text, the text without it), in order."""
+    out = []
+    for (name, p), need in zip(PII, NEEDS):
+        own, first = java(p), java(need)
+        out.append((name, lambda c, own=own, first=first: c.rlike(first) & c.rlike(own), lambda c, own=own: F.regexp_replace(c, own, REDACTED)))
+    for name, found, need in (("high-entropy-token", random_tokens, TOKEN), ("credit-card", cards, r"(?:\d[ -]?){13}")):
+        fires = lambda c, found=found, need=need: c.rlike(need) & (F.size(found(c)) > 0)
+        out.append((name, fires, lambda c, found=found: F.aggregate(found(c), c, lambda left, hit: F.replace(left, hit, F.lit(REDACTED)))))
+    return out
+
+
+CATEGORIES = [*dict.fromkeys(name for name, _ in PII), "high-entropy-token", "credit-card"]
+
+
+def _in_order(fired: str) -> Column:
+    return F.array_intersect(F.array(*map(F.lit, CATEGORIES)), fired)
+
+
 def pii_strip(text: DataFrame, column: str = "text") -> DataFrame:
     """text with `redacted` and `categories` (those that fired, in order).  Each pass is a projection of its own, so
     no expression holds the others' twice over."""
-    names = list(dict.fromkeys(name for name, _ in PII)) + ["high-entropy-token", "credit-card"]
     out = text.withColumns({"redacted": F.col(column), "_fired": F.array().cast("array<string>")})
     c = F.col("redacted")
-    passes = [(n, c.rlike(need) & c.rlike(java(p)), F.regexp_replace(c, java(p), REDACTED)) for (n, p), need in zip(PII, NEEDS)]
-    for name, found, need in (("high-entropy-token", random_tokens, TOKEN), ("credit-card", cards, r"(?:\d[ -]?){13}")):
-        passes.append((name, c.rlike(need) & (F.size(found(c)) > 0), F.aggregate(found(c), c, lambda left, hit: F.replace(left, hit, F.lit(REDACTED)))))
-    for name, fires, left in passes:
-        fired = F.when(fires, F.array_union("_fired", F.array(F.lit(name)))).otherwise(F.col("_fired"))
-        out = out.withColumns({"_fired": fired, "redacted": F.when(fires, left).otherwise(c)})
-    return out.withColumn("categories", F.array_intersect(F.array(*map(F.lit, names)), "_fired")).drop("_fired")
+    for name, fires, left in _passes():
+        fired = F.when(fires(c), F.array_union("_fired", F.array(F.lit(name)))).otherwise(F.col("_fired"))
+        out = out.withColumns({"_fired": fired, "redacted": F.when(fires(c), left(c)).otherwise(c)})
+    return out.withColumn("categories", _in_order("_fired")).drop("_fired")
+
+
+def pii_contains(c: Column) -> Column:
+    """Whether a text holds personal data of any category (null: no)."""
+    return F.coalesce(reduce(Column.__or__, (fires(c) for _, fires, _ in _passes())), F.lit(False))
+
+
+def _strings(c: Column, kind: T.DataType) -> Column:
+    """All strings of a nested value, but for map keys, in one array; nulls are left out."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNotNull(), F.array(c)).otherwise(none)
+    if isinstance(kind, T.StructType):
+        parts = [_strings(c[f.name], f.dataType) for f in kind.fields if _has_strings(f.dataType)]
+    elif isinstance(kind, T.ArrayType):
+        parts = [F.flatten(F.transform(c, lambda x: _strings(x, kind.elementType)))]
+    else:
+        parts = [F.flatten(F.transform(F.map_values(c), lambda x: _strings(x, kind.valueType)))]
+    return F.coalesce(F.concat(*parts), none)
+
+
+def _has_strings(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_strings(f.dataType) for f in kind.fields)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else kind
+    return isinstance(inner, T.StringType) if inner is kind else _has_strings(inner)
+
+
+def _replaced(c: Column, kind: T.DataType, by: Column) -> Column:
+    """The nested value with other strings (a map) in place of its own, in the same shape."""
+    if not _has_strings(kind):
+        return c
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNotNull(), by[c])
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_replaced(c[f.name], f.dataType, by).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _replaced(x, kind.elementType, by))
+    return F.transform_values(c, lambda _, v: _replaced(v, kind.valueType, by))
+
+
+def pii_strip_deep(df: DataFrame, *columns: str) -> DataFrame:
+    """df with personal data taken out of every string in the columns, however deep in structs, arrays and maps (their keys
+    stay), and `categories`, those that fired in any of them.
+
+    Each row's distinct strings go through the passes together; the values are rebuilt from their schema.
+    """
+    kinds = {c: df.schema[c].dataType for c in columns}
+    typed, none = [c for c, k in kinds.items() if _has_strings(k)], F.array().cast("array<string>")
+    every = [_strings(F.col(c), kinds[c]) for c in typed]
+    out = df.withColumns({"_before": F.array_distinct(F.concat(*every)) if every else none, "_fired": none}).withColumn("_after", F.col("_before"))
+    for name, fires, left in _passes():
+        # Functions of one parameter: a default would be taken for a second one of the array functions.
+        fired = F.when(F.exists("_after", lambda x: fires(x)), F.array_union("_fired", F.array(F.lit(name)))).otherwise(F.col("_fired"))  # noqa: B023
+        out = out.withColumns({"_fired": fired, "_after": F.transform("_after", lambda x: F.when(fires(x), left(x)).otherwise(x))})  # noqa: B023
+    out = out.withColumn("_by", F.map_from_arrays("_before", "_after")).withColumns({c: _replaced(F.col(c), kinds[c], F.col("_by")) for c in typed})
+    return out.withColumn("categories", _in_order("_fired")).drop("_fired", "_before", "_after", "_by")
 
 
 def entropy(c: Column) -> Column:

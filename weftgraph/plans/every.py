@@ -591,6 +591,20 @@ def _(s, d):
     return X.pii_strip(A.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "redacted", F.array_join("categories", ",").alias("categories"))
 
 
+def _pii_deep_sql() -> str:
+    # The texts of every conversation, stripped one by one; their categories united.
+    flat = _pii_sql().replace("SELECT doc_id, text AS t, CAST([] AS VARCHAR[]) AS f FROM documents", "SELECT conv_id * 1000 + turn AS doc_id, text || CASE WHEN turn % 3 = 0 THEN ' from u' || conv_id || '@mail.example' ELSE '' END AS t, CAST([] AS VARCHAR[]) AS f FROM conversations")
+    return f"SELECT doc_id // 1000 AS conv_id, string_agg(redacted, '|' ORDER BY doc_id) AS texts, bool_or(categories LIKE '%email%') AS email FROM ({flat}) GROUP BY 1"
+
+
+@spec("X15_pii_deep", (), _pii_deep_sql())
+def _(s, d):
+    text = F.concat("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" from u"), F.col("conv_id").cast("string"), F.lit("@mail.example"))).otherwise(""))
+    nested = A.table(s, d, "conversations").withColumn("text", text).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct("role", "text").alias("said")))).alias("turns"))
+    out = X.pii_strip_deep(nested, "turns")
+    return out.select("conv_id", F.array_join(F.transform("turns", lambda t: t["said"]["text"]), "|").alias("texts"), F.array_contains("categories", "email").alias("email"))
+
+
 DECLARED = {"ts": "export async function f{k}(x) {{", "python": "    def g{k}(self):", "go": "func (s *Store) Save{k}() error {{", "rust": "pub(crate) fn walk{k}() {{", "java": "  public static int get{k}(int a) {{", "ruby": "  def self.ok{k}?(a)", "php": "  public function run{k}() {{"}
 NAMES = {"ts": "f{k}", "python": "g{k}", "go": "Save{k}", "rust": "walk{k}", "java": "get{k}", "ruby": "ok{k}?", "php": "run{k}"}
 
