@@ -44,7 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, a row for each time one is taken; rows with a null doc_id are drawn like the others
-    (all such rows of a source together) and keep their columns."""
+    and keep their columns."""
     drawn = mixing.mix(docs.select(*COLUMNS), carry=COLUMNS)
     return drawn.select("row", F.explode("draws")).select("row.*")
 

@@ -33,7 +33,7 @@ class Graph:
         scored = search.seed_scores(self.nodes, self.edges, terms) if terms else None
         seeds = graph.checkpointed(scored.orderBy(F.desc("score"), "id").limit(3).select("id")) if terms else None
         if not terms or not seeds.limit(1).count():
-            return "No matching nodes found."
+            return "Nothing in the graph matches."
         if mode == "dfs":
             seen = graph.checkpointed(search.depth_first(self.nodes, self.edges, seeds, depth))
             found = seen.filter("source IS NOT NULL")
@@ -45,8 +45,8 @@ class Graph:
         order = F.array_position(F.array(F.lit("mistake"), F.lit("node"), F.lit("edge")), F.col("section"))
         lines = [r["line"] for r in rows.orderBy(order, "place").limit(most).collect()]
         if lines and rows.filter("section = 'mistake'").limit(1).count():
-            lines.insert(0, "⚠️ PAST MISTAKES (relevant to your query):")
-        whole, mark = "\n".join(lines), f"\n... (truncated to ~{budget} token budget)"
+            lines.insert(0, "Known mistakes about this:")
+        whole, mark = "\n".join(lines), f"\n[cut at {budget} tokens]"
         return whole if len(whole) <= most else text.cut_units(whole, max(0, most - len(mark))) + mark
 
     def gods(self, n: int = 10) -> DataFrame:
