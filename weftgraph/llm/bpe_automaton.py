@@ -294,7 +294,18 @@ class Encoder:
         self.known, self.before = Known(self.word), {}
         self.lead = os.path.commonprefix(list(special))
         self.normalize = normalizer.normalize_str
-        self.odd = re.compile(f"[{ranges(sorted(map(ord, unlike)))}]").search if unlike else lambda part: None
+        self.seek = re.compile(f"[{ranges(sorted(map(ord, unlike)))}]").search if unlike else lambda part: None
+        self.plain = min(unlike, default="\u0100") > "\xff"  # no letter of Latin-1 is odd
+
+    def odd(self, part: str) -> bool:
+        """Whether a text holds a code point that Python's tables have otherwise."""
+        if self.plain:
+            try:
+                part.encode("latin-1")
+                return False  # much faster than the search
+            except UnicodeEncodeError:
+                pass
+        return self.seek(part) is not None
 
     def word(self, word: str) -> bytes:
         """The ids of a word that is not remembered, or was in the time before."""
