@@ -1,4 +1,5 @@
 import collections
+import datetime as dt
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from weftgraph.operators import postings as PO
 from weftgraph.operators import reports as P
 from weftgraph.operators import search as S
 from weftgraph.operators import store as ST
+from weftgraph.plans import every
 from weftgraph.sources import files as FI
 from weftgraph.streaming import logs, state
 
@@ -283,3 +285,14 @@ def test_index_equals_the_scan_after_changes(spark, tmp_path):
     assert 0 < len(opened) <= 2 + len(index.tables.read("delta").inputFiles()) + len(index.tables.read("gone").inputFiles()) < len(every)
     index.build(frame([]))
     assert index.search(frame([]), "abc").count() == 0
+
+
+def test_mistakes_are_listed_whatever_their_confidence(spark, tmp_path):
+    day = dt.datetime(2024, 1, 7)
+    rows = [(k, day, 1, "error", 5.0, f'{{"k":{k}}}') for k in (7, 27, 87)]
+    rows += [(10, day - dt.timedelta(days=2), 1, "error", 5.0, '{"k":10}')]  # no longer valid
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(7,), (10,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: [r.id for r in every.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(run("F5_mistakes")) == ["mistake:27", "mistake:7", "mistake:87"]
+    assert sorted(run("J14_mistakes_of_files")) == ["mistake:10", "mistake:27", "mistake:7", "mistake:87"]
