@@ -1,6 +1,7 @@
 """What plans must look like to hold at any size."""
 
 import re
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from weftgraph.operators import guard as GU
 from weftgraph.operators import mining as M
 from weftgraph.operators import search as S
 from weftgraph.operators import telemetry as T
+from weftgraph.plans import every
 from weftgraph.sources import adapters as A
 
 
@@ -53,3 +55,16 @@ def test_scans_are_pruned_and_filtered(spark, tmp_path):
     n = spark.read.parquet(str(tmp_path / "n"))
     text = plan(n.filter(F.col("source_file") == "f1").select("id"), "executedPlan")
     assert "EqualTo(source_file,f1)" in text and "unused" not in text and "label" not in text
+
+
+def test_tasks_grow_with_the_commits(spark, tmp_path):
+    """Lines and their pairs are dealt by number, not joined to few tasks because they have few bytes."""
+    spark.range(4_000).selectExpr("id div 4 l_orderkey", "id % 97 l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1_000).selectExpr("id o_orderkey", "id o_custkey", "timestamp_seconds(id) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    for name, n in (("J9_co_change", 16), ("A6_hot_files", 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("weftgraph.deal.ROWS", 1_000)
+            m.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+            text = plan(every.queries()[name](spark, str(tmp_path)), "executedPlan")
+        assert re.search(r"hashpartitioning\(commit#\d+L?, 4\), REPARTITION_BY_NUM", text)
+        assert n == 0 or re.search(rf"hashpartitioning\(file_a#\d+L?, file_b#\d+L?, {n}\), REPARTITION_BY_NUM", text)

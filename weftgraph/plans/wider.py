@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as Q
 from ..functions import text as X
-from ..operators import mining as M
 from ..operators import store as S
 from ..sources import adapters as A
 from ..sources import files as FI
 from .more import _count
-from .registry import BOTH, oracle_sql, queries, spec  # noqa: F401  (the whole table is read through this module)
+from .registry import BOTH, co_changes, oracle_sql, queries, spec  # noqa: F401  (the whole table is read through this module)
 
 
 # Stores and scans
 @spec("K6_replace_co_change", ("commits",), "SELECT file_a, file_b, n FROM co_change WHERE n >= 2")
 def _(s, d):
     # The pairs of some commits are stored; those mined from all of them take their place.
-    c, at = A.commit_files(s, d), FI.scratch(s)
-    S.swapped(at, M.co_change(c.filter("commit % 2 = 0")).filter("n >= 2"))
-    return S.swapped(at, M.co_change(c).filter("n >= 2"))
+    at = FI.scratch(s)
+    S.swapped(at, co_changes(s, d, "commit % 2 = 0").filter("n >= 2"))
+    return S.swapped(at, co_changes(s, d).filter("n >= 2"))
 
 
 # Predicates
