@@ -296,3 +296,14 @@ def test_mistakes_are_listed_whatever_their_confidence(spark, tmp_path):
     run = lambda name: [r.id for r in every.queries()[name](spark, str(tmp_path)).collect()]
     assert sorted(run("F5_mistakes")) == ["mistake:27", "mistake:7", "mistake:87"]
     assert sorted(run("J14_mistakes_of_files")) == ["mistake:10", "mistake:27", "mistake:7", "mistake:87"]
+
+
+def test_commands_of_one_text_are_looked_at_once(spark, monkeypatch):
+    own = spark.createDataFrame([(f"m{i}", "src/a.ts", None, None, 0.9, i) for i in range(7)], "id string, source_file string, metadata string, valid_until long, confidence_score double, last_verified long")
+    own = own.selectExpr("*", "id label", "'b' then_believed", "1L found_false_at", "'t' truth_now", "'w' applies_to")
+    commands = spark.range(40).selectExpr("id seq", "'vim src/A.ts' command")
+    seen, real = [], GU.contained
+    monkeypatch.setattr(GU, "contained", lambda texts, patterns: seen.append(texts.count()) or real(texts, patterns))
+    assert GU.by_command(own, commands, 100).distinct().count() == 280
+    told = GU.warned(own, commands, 100).collect()
+    assert seen == [1, 1] and len(told) == 200 and {r.more for r in told} == {2} and {r.id for r in told} == {"m2", "m3", "m4", "m5", "m6"}
