@@ -11,6 +11,7 @@ from . import graph as G
 from .containment import document_frequency
 
 MISTAKE_BOOST, KEYWORD_LESS = 2.5, 0.5
+MOST_SENT = 500_000  # keywords, some 20 MB
 LEAST_IDF, MOST_KEYWORDS, LEAST_KEYWORDS = 1.386, 5, 2
 
 
@@ -43,12 +44,15 @@ def keyword_choice(prompts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv_id, turn, keywords) of the prompts(conv_id, turn, text) worth asking the graph about: two keywords or more,
     one of them rare among the labels; the rarest ones, at most MOST_KEYWORDS of those that a label holds.
 
-    A keyword's documents are the labels that hold it anywhere; equal labels are read once.
+    A keyword's documents are the labels that hold it anywhere.
     """
     told = prompts.select("conv_id", "turn", X.keywords(F.col("text")).alias("all")).filter(F.size("all") >= LEAST_KEYWORDS)
     words = told.select("conv_id", "turn", F.posexplode("all").alias("pos", "kw"))
-    label = nodes.select(F.lower("label").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.lit(0))
-    df = document_frequency(label, words.select(F.col("kw").alias("pattern")), "n").withColumnRenamed("pattern", "kw")
+    label = nodes.select(F.lit(0).alias("id"), F.lower("label").alias("text"))
+    df = document_frequency(label, words.select(F.col("kw").alias("pattern"))).withColumnRenamed("pattern", "kw")
+    df = G.checkpointed(df)
+    if df.count() <= MOST_SENT:  # else words are dealt by keyword, and a frequent one is one task's
+        df = F.broadcast(df)
     total = nodes.agg(F.count(F.lit(1)).alias("total"))  # one row
     scored = words.join(df, "kw", "left").crossJoin(F.broadcast(total)).withColumn("idf", F.when(F.col("df") > 0, F.round(F.log(F.col("total") / F.col("df")), 8)).otherwise(0.0))
     order = F.struct((-F.col("idf")).alias("less"), "pos", "kw")
