@@ -101,3 +101,20 @@ def test_rich_packet(spark):
     got = {r.request: r for r in R.rich_packet(spark.createDataFrame(rows, "request long, seq long, provider string, content string, confidence double"), ("ast", "mistakes", "git", "notes"), {"notes": 50}, 100).collect()}
     assert got[1].providers == ["ast", "mistakes", "git", "notes"] and "… [truncated]" in got[1].text and got[1].tokens <= 100 and "structure" not in got[1].text
     assert got[2].providers == ["structure"] and got[2].text == "STRUCTURE (structure):\nalone"
+
+
+def test_shared_runs_decide_as_all_comparisons_do():
+    import random
+
+    from weftgraph.functions import text as X
+
+    rng = random.Random(4)
+    sets = [frozenset(rng.sample("abcdefghijkl", rng.randint(1, 9))) for _ in range(150)]
+    for least in (0.5, 0.85, 0.9):
+        given, runs = [], X.Runs()
+        for s in sets:
+            want = any(X.likeness(s, g) >= least for g in given)
+            assert runs.holds(s, least) == want and any(X.alike(s, g, least) for g in given) == want
+            if not want:
+                given.append(s)
+                runs.add(s)

@@ -37,22 +37,22 @@ def deduplicated(ranked: DataFrame, section: float = 0.85, line: float = 0.9) ->
     """
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, given, rows = [], [], []
+        kept, given, rows = [], X.Runs(), []
         for r in pdf.sort_values("place").itertuples(index=False):
             if r.content is None:
                 continue
             plain = X.normalised(r.content)
             runs = X.word_runs(plain)
-            if plain and any(X.likeness(runs, k) >= section for k in kept):
+            if plain and any(X.alike(runs, k, section) for k in kept):
                 continue
             left = []
             for x in r.content.split("\n") if plain else ():
                 own = X.word_runs(X.normalised(x))
-                if own and any(X.likeness(own, g) >= line for g in given):
+                if own and given.holds(own, line):
                     continue
                 left.append(x)
                 if own:
-                    given.append(own)
+                    given.add(own)
             content = "\n".join(left) if plain else r.content
             if plain and not X.normalised(content):
                 continue
