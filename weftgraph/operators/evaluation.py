@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .graph import checkpointed
 
 MASK = 0xFFFFFFFF
+MOST_SENT = 2_000_000
 
 
 def retrieval(gold: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
@@ -57,7 +58,8 @@ def bootstrap(clusters: DataFrame, order: str, value: str, rounds: int = 2000, a
     the values by number. No cluster: null bounds; a single one: its value."""
     own, n = numbered(clusters.select(order, value), order)
     draws = clusters.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("round"), F.floor(mulberry32(seed, F.col("id")) * n).cast("long").alias("at"))
-    means = draws.join(own, "at").groupBy("round").agg(F.avg(value).alias("m"))
+    # MOST_SENT values take some 50 MB; more are met by a shuffle of the draws.
+    means = draws.join(F.broadcast(own.select("at", value)) if n <= MOST_SENT else own, "at").groupBy("round").agg(F.avg(value).alias("m"))
     bounds = means.agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
     whole = clusters.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return whole.crossJoin(bounds).select("mean", "lo", "hi", "n")  # a row by a row
