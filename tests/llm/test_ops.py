@@ -1005,3 +1005,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for s in size:
         taken = sum(n * ids[k] for k, n in got.items() if k[1] == s)
         assert abs(taken - want[s]) <= max(n for k, n in ids.items() if k[1] == s)
+
+
+def test_batches_are_cut_into_parts_by_bytes():
+    import pyarrow as pa
+
+    from weftgraph.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "text": ["x" * 1_000] * 99 + ["y" * 90_000]})
+    got = list(common.parts(batch, 10_000))
+    assert len(got) > 15 and pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert len(list(common.parts(batch, 1))) == 100 and len(list(common.parts(batch, None))) == 1 and list(common.parts(batch.slice(0, 0), 1)) == []

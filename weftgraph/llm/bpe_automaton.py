@@ -34,6 +34,7 @@ SUFFIX = "</w>"
 # The vocabulary's white space.
 SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CACHE = 100_000  # words a worker remembers, twice
+PART = 1 << 20  # bytes of texts that are encoded at once
 AHEAD = 6  # letters by which it remembers the tokens that match
 
 
@@ -345,7 +346,7 @@ def _mapped(docs: DataFrame, cols: list[str], path: str | None, each, schema: st
         encoder = resident(path, lambda: Encoder(*shared.value))
         return lambda *lists: each(encoder, *lists)
 
-    return arrow_map(docs.select(*cols), make, schema, path)
+    return arrow_map(docs.select(*cols), make, schema, path, most_bytes=PART)
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:

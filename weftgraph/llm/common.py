@@ -50,11 +50,18 @@ def give_back(key: str | None) -> None:
         pass
 
 
-def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None, raw: bool = False) -> DataFrame:
+def parts(batch: pa.RecordBatch, most_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about most_bytes each; whole if None."""
+    rows = max(1, batch.num_rows if most_bytes is None else batch.num_rows * most_bytes // max(1, batch.nbytes))
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None, raw: bool = False, most_bytes: int | None = None) -> DataFrame:
     """Batches of df through make()(list, list, ...) -> lists, one for each output column.
 
     key names the tables that make keeps in the worker (see resident).  raw: Arrow arrays instead of lists
     go in; lists or Arrow arrays come out.  A generator's lists are given on one by one.
+    most_bytes: batches are cut into parts of about so many bytes (a row at least), so that lists and output stay small.
 
     make runs once in each task, so what it returns may keep state between batches.  If what it
     returns has a method flush, its lists follow the last batch.  Never shuffles.
@@ -67,7 +74,7 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, key: str | None = None
         f = make()
         to = lambda c, t: c if isinstance(c, pa.Array) and c.type == t else pa.array(c, type=t)
         build = lambda cols: pa.RecordBatch.from_arrays([to(c, t) for c, t in zip(cols, arrow.types)], schema=arrow)
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, most_bytes)):
             if b.num_rows:
                 got = f(*(b.columns if raw else [c.to_pylist() for c in b.columns]))
                 yield from map(build, got) if isinstance(got, Iterator) else (build(got),)
