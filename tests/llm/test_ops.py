@@ -510,6 +510,13 @@ def classes_of(rows):
     return near, classes
 
 
+def test_driver_lets_the_automaton_go(docs, spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "_weftgraph_bpe", (None,), raising=False)
+    first = sorted((r.doc_id, r.ids) for r in bpe_automaton.bpe_append(docs.select("doc_id", "source", "text")).collect())
+    assert bpe_automaton.env_path("word_bpe_49k.json") not in bpe_automaton._MADE
+    assert first == sorted((r.doc_id, r.ids) for r in bpe_automaton.bpe_append(docs.select("doc_id", "source", "text")).collect())
+
+
 def test_jaccard_join(docs, empty, spark):
     base = prose(60).split()
     crowd = [(1000 + i, " ".join(base[:i] + ["edit"] + base[i + 1 :]), None, None) for i in range(60)]
@@ -557,6 +564,28 @@ def test_jaccard_join_null_and_repeated_ids(spark):
     assert jaccard_join.one_of_each(frame).columns == ["doc_id", "text", "t", "k"]
 
 
+def test_components_rounds_are_small_plans(spark, monkeypatch):
+    plans, save = [], jaccard_join.saved
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df)
+
+    monkeypatch.setattr(jaccard_join, "saved", watched)
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(-20, 20)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(300, x) for x in (290, 310, 310, 300)]
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in parent:
+        for a, b in edges:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    got = jaccard_join.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == sorted(parent.items())
+    # What a round costs the driver are its plan and tasks: five exchanges, two of which its second join's sides share.
+    assert plans and max(p.count("Exchange ") for p in plans) <= 7
+    assert jaccard_join.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_jaccard_recall_on_the_driver_table(spark):
     at = "/root/testdata/sf0.001/documents.parquet"
     rows = [tuple(r) for r in spark.read.parquet(at).select("doc_id", "text").collect()]

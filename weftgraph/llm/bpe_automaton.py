@@ -27,7 +27,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, env_path, resident
+from .common import arrow_map, env_path, give_back, resident
 
 END = ""  # stands for the end-of-word suffix, as one character
 SUFFIX = "</w>"
@@ -251,7 +251,7 @@ _MADE: dict[str, tuple] = {}
 
 
 def load(path: str) -> tuple[Automaton, dict[str, int]]:
-    """The automaton and the special tokens of a vocabulary file (on the driver, once)."""
+    """The automaton and the special tokens of a vocabulary file (on the driver, once a context; kept only until they are broadcast)."""
     if path not in _MADE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -340,6 +340,8 @@ def _mapped(docs: DataFrame, cols: list[str], path: str | None, each, schema: st
     sc = docs.sparkSession.sparkContext
     if getattr(sc, "_weftgraph_bpe", (None,))[0] != path:  # about 6 MB, fixed by the vocabulary file
         sc._weftgraph_bpe = (path, sc.broadcast(load(path)))
+        _MADE.pop(path, None)  # some 100 MB, which the driver does not need again
+        give_back(None)
     shared = sc._weftgraph_bpe[1]
 
     def make():

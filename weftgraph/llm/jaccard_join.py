@@ -186,16 +186,16 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn until the edges are stars; each round is written to the
     shared folder, and only two numbers of it reach the driver.
     """
-    now, mark = edges.select("u", "v").filter("u <> v").distinct(), None
+    now, mark = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"), None
+    ends = lambda *pairs: F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs)))
     while True:
         before = now
-        both = now.union(now.select("v", "u"))
+        # Both directions, and both of a small star's edges, come from one reading: a plan with each step once.
+        both = now.select(ends(("u", "v"), ("v", "u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u")
-        now = saved(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        now = saved(large.join(least, "u").select(ends(("u", "m"), ("v", "m"))).filter("u <> v").distinct())
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         freed(before)
         if tuple(got) == mark:
