@@ -546,6 +546,40 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
     assert all((got[i].n_links, got[i].class_id) == (len(near[i]), min(classes[i])) for i, _ in rows)
 
 
+def test_jaccard_join_edges_grow_with_a_group(spark, monkeypatch):
+    """What the components get, and the rows of their rounds, in a group of near copies of one size and of twice that size."""
+    counts, plans, whole, save = [], [], jaccard_join.components, jaccard_join.saved
+
+    def watched(edges):
+        counts.append(edges.count())
+        monkeypatch.setattr(jaccard_join, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df))
+        out = whole(edges)
+        monkeypatch.setattr(jaccard_join, "saved", save)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "components", watched)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 5, raising=False)
+    rng = random.Random(11)
+    base, edges = [f"b{i}" for i in range(300)], {}
+    for n in (60, 120):
+        rows = []
+        for i in range(n):  # one to six words of the base changed: some are like all others, some like few
+            words = list(base)
+            for j in rng.sample(range(300), 1 + i % 6):
+                words[j] = f"w{i}"
+            rows.append((i, " ".join(words)))
+        counts.clear()
+        got = by_id(jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+        near, classes = classes_of(rows)
+        assert all((got[i].n_links, got[i].class_id) == (len(near[i]), min(classes[i])) for i, _ in rows)
+        edges[n] = sum(counts[:-1]), counts[-1]
+    # A text has an edge to each of its leads at most, one to its component, and few more.
+    assert all(edges[n][0] <= n * (jaccard_join.BANDS + 3) for n in edges) and edges[120][1] <= 2.6 * edges[60][1], edges
+    assert plans and not any("Generate" in p for p in plans)
+
+
 def test_jaccard_join_null_and_repeated_ids(spark):
     a, b, c, d, e = (prose(40) for _ in range(5))
     close = a.rsplit(" ", 1)[0] + " other"

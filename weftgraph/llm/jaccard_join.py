@@ -4,15 +4,17 @@
    words: all of them are one).  Texts with the same words are one text with copies from here on.
 2. BANDS bands of ROWS MinHash values propose candidates; a pair at the threshold is missed with a
    probability of (1 - 0.8**6)**40 = 5e-6.  Each bucket proposes its members against one member, chosen
-   by a hash of bucket and member; members that the pruning parts from it are compared with the whole
-   bucket, in blocks.  So no group of near copies is expanded into pairs.
+   by a hash of bucket and member; members that stay apart from it, by other buckets too, are compared with
+   the whole bucket, in blocks.  So no group of near copies is expanded into pairs.
 3. Pruning: MinHash values are compared STEP at a time, and a pair is dropped once the probability that
    its similarity reaches the threshold, given the matches so far and a uniform prior, falls below
    TOLERANCE.  What survives is joined to groups (large-star and small-star steps).
 4. In each group the pairs go through the same pruning, and those that survive are verified exactly by
    their shingle sets, block by block; blocks give counts of links and the edges of spanning forests, not
-   pairs.  Groups of the verified edges are the classes.  (Shingles and texts are identified by 64-bit
-   hashes.)  A block holds at most BLOCK texts and about MASS shingles.
+   pairs.  About PIVOTS texts of a group meet every pair of blocks: what they link counts as joined there, so
+   that blocks tell their edges to them once, and beyond these only what joins parts.  Groups of the verified
+   edges are the classes.  (Shingles and texts are identified by 64-bit hashes.)  A block holds at most BLOCK
+   texts and about MASS shingles.
 
 Result: doc_id, class_id (least doc_id of the class), n_links (other documents that are similar, copies
 counted), n_copies (documents with the same words).
@@ -40,6 +42,7 @@ THRESHOLD, WORDS = 0.8, 5
 ROWS, BANDS, KEPT, STEP, TOLERANCE = 6, 40, 128, 32, 1e-6
 BLOCK, MASS = 96, 45_000  # texts, and shingles, of a group verified against as many others at a time
 BUCKET_BLOCK = 512
+PIVOTS = 16
 SALT = 4096  # members of a bucket that stay together in a join by bucket
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,8 +132,11 @@ def _bytes(column: list, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column]
 
 
-def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs that join what was apart before, in order."""
+def spanning(n: int, pairs: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a forest over n nodes that spans the pairs; an edge names each part that it joins by the least node.
+
+    What the known pairs join is joined already, without an edge.
+    """
     top, out = list(range(n)), []
 
     def find(x: int) -> int:
@@ -139,11 +145,12 @@ def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             x = top[x]
         return x
 
-    for a, b in pairs.tolist():
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            top[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
+    for some, told in ((known, []), (pairs, out)):
+        for a, b in [] if some is None else some.tolist():
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                top[max(ra, rb)] = min(ra, rb)
+                told.append((ra, rb))
     return out
 
 
@@ -187,15 +194,15 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, and only two numbers of it reach the driver.
     """
     now, mark = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"), None
-    ends = lambda *pairs: F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs)))
     while True:
         before = now
-        # Both directions, and both of a small star's edges, come from one reading: a plan with each step once.
-        both = now.select(ends(("u", "v"), ("v", "u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # An edge (u, v) has u > v and gives one row to each step: u goes to the least neighbour of v (v itself if none is
+        # less); then v goes to the least m that u has, and u itself by the row where v is m.
+        least = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = saved(large.join(least, "u").select(ends(("u", "m"), ("v", "m"))).filter("u <> v").distinct())
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = saved(small.distinct())
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         freed(before)
         if tuple(got) == mark:
@@ -230,8 +237,8 @@ def _signed_texts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), make, "doc_id long, t long, k long, n_sh long, bands array<long>, sig binary")
 
 
-def _pruned_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of texts that connect whatever the pruning leaves of the buckets' pairs."""
+def _groups(texts: DataFrame) -> DataFrame:
+    """(u, c): the components of whatever the pruning leaves of the buckets' pairs."""
     sigs = texts.select("k", "sig")
     rows = texts.select("k", F.explode("bands").alias("bk"))
     choice = F.min(F.struct(F.xxhash64("bk", "k").alias("h"), "k")).alias("lead")
@@ -247,41 +254,48 @@ def _pruned_pairs(texts: DataFrame) -> DataFrame:
         return run
 
     judged = saved(arrow_map(both, make, "k long, l long, ok boolean"))
-    # Members parted from their bucket's lead meet the whole bucket.  A bucket's size is known to all its
+    groups = components(judged.filter("ok").select(F.col("k").alias("u"), F.col("l").alias("v")))
+    top = lambda k, c: groups.select(F.col("u").alias(k), F.col("c").alias(c))
+    # Members in another component than their bucket's lead meet the whole bucket.  A bucket's size is known to all its
     # members, so a large one is cut into parts of SALT members wherever rows meet by bucket.
+    failed = judged.filter("NOT ok").select("k", "l").join(top("k", "ck"), "k", "left").join(top("l", "cl"), "l", "left")
+    odd = saved(failed.filter(F.coalesce("ck", "k") != F.coalesce("cl", "l")).select("k", "l", F.lit(True).alias("odd")))
     parts = (F.floor(F.col("n") / SALT) + 1).cast("int")
-    told = members.join(judged, ["k", "l"]).select("bk", "k", "n", (~F.col("ok")).alias("odd")).withColumn("part", F.pmod(F.xxhash64(F.lit(17), "k"), parts).cast("int"))
+    told = members.filter("n > 2").join(odd, ["k", "l"], "left").select("bk", "k", "n", F.coalesce("odd", F.lit(False)).alias("odd")).withColumn("part", F.pmod(F.xxhash64(F.lit(17), "k"), parts).cast("int"))
     crowd = told.filter("odd").select("bk", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    own = told.filter("n > 2").join(crowd, ["bk", "part"], "left_semi")
+    own = told.join(crowd, ["bk", "part"], "left_semi")
     blocks = own.withColumn("n", (F.floor(F.col("n") / BUCKET_BLOCK) + 1).cast("int"))
-    units = _units(blocks.join(sigs, "k"), "bk", ["k", "odd", "sig"])
+    units = _units(blocks.join(sigs, "k").join(top("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k")), "bk", ["odd", "c", "sig"])
 
     def each(unit, cols):
-        side, ks, odd_, sig = cols
+        side, odd_, c, sig = cols
         sig, odd_, side = np.array(_bytes(sig, np.uint32)), np.array(odd_), np.array(side)
+        c, own = np.unique(np.array(c), return_inverse=True)
         found = []
         same = unit[1] == unit[2]
-        right = np.arange(len(ks)) if same else np.flatnonzero(side == unit[2])
+        right = np.arange(len(own)) if same else np.flatnonzero(side == unit[2])
         left = np.flatnonzero(odd_) if same else np.flatnonzero(side == unit[1])
         for i in left.tolist():
-            j = right[(right != i)] if same else right[odd_[right] | odd_[i]]
+            j = right[(own[right] != own[i]) & (odd_[right] | odd_[i])]
             ok = survive(np.broadcast_to(sig[i], (len(j), KEPT)), sig[j])
-            found += [(i, x) for x in j[ok].tolist()]
-        return [(ks[a], ks[b]) for a, b in spanning(len(ks), np.array(found, np.int64).reshape(-1, 2))]
+            found += [(own[i], x) for x in own[j[ok]].tolist()]
+        return [(int(c[a]), int(c[b])) for a, b in spanning(len(c), np.array(found, np.int64).reshape(-1, 2))]
 
-    more = _by_unit(units, each, "u long, v long", 3)
-    out = saved(judged.filter("ok").select(F.col("k").alias("u"), F.col("l").alias("v")).union(more))
-    freed(members)
-    freed(judged)
+    more = saved(_by_unit(units, each, "u long, v long", 3))
+    out = components(groups.select("u", F.col("c").alias("v")).union(more)) if more.head(1) else groups
+    for df in (members, judged, odd, more):
+        freed(df)
     return out
 
 
-def _units(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
+def _units(df: DataFrame, group: str, cols: list[str], pivot: str = "false") -> DataFrame:
     """Rows (group, k, n, ...) dealt out to the pairs i <= j of the group's n blocks: group, i, j, the
-    row's own block, cols."""
+    row's own block, cols.  Pivots go to all pairs besides, where their block is -1."""
     own = F.pmod(F.xxhash64(F.lit(13), "k"), F.col("n").cast("long")).cast("int")
-    dealt = df.withColumn("side", own).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
-    return dealt.select(group, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *cols)
+    by_own = "transform(sequence(0, n - 1), x -> struct(least(side, x) AS i, greatest(side, x) AS j, side AS side))"
+    by_all = "flatten(transform(sequence(0, n - 1), x -> transform(sequence(x, n - 1), y -> struct(x AS i, y AS j, -1 AS side))))"
+    dealt = df.withColumn("side", own).withColumn("at", F.explode(F.expr(f"if({pivot}, concat({by_own}, {by_all}), {by_own})")))
+    return dealt.select(group, "at.i", "at.j", "at.side", *cols)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -319,31 +333,37 @@ def candidates(sig: np.ndarray, side: np.ndarray, same: bool) -> np.ndarray:
 
 
 def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """k, links (documents of other texts that are similar) and the far end of a spanning edge, or null."""
+    """k, links (documents of other texts that are similar) and the far end of a spanning edge, or null.
+
+    An edge joins k's part with another's, so its ends need not be similar themselves.
+    """
     own = groups.withColumnRenamed("u", "k").join(texts.select("k", "t", "rep", "copies", "n_sh", "sig"), "k")
     blocks = F.greatest(F.floor(F.count(F.lit(1)) / BLOCK), F.floor(F.sum("n_sh") / MASS))
-    n = own.groupBy("c").agg((blocks + 1).cast("int").alias("n"))
-    wanted = own.drop("n_sh").join(n, "c")
+    n = own.groupBy("c").agg((blocks + 1).cast("int").alias("n"), F.count(F.lit(1)).alias("size"))
+    pivot = (F.col("n") > 1) & (F.pmod(F.xxhash64(F.lit(19), "k"), "size") < PIVOTS)
+    wanted = own.drop("n_sh").join(n, "c").withColumn("pivot", pivot).drop("size")
     # A text is read from a row with its least doc_id (null only if none of its rows has one).
     body = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
-    found = body.join(wanted, (body["t"] == wanted["t"]) & body["doc_id"].eqNullSafe(wanted["rep"])).select("c", "k", "n", "copies", "sig", "text")
+    found = body.join(wanted, (body["t"] == wanted["t"]) & body["doc_id"].eqNullSafe(wanted["rep"])).select("c", "k", "n", "pivot", "copies", "sig", "text")
 
     def make():
-        def run(cs, ks, ns, copies, sigs, bodies):
+        def run(cs, ks, ns, pivots, copies, sigs, bodies):
             sh, at, key = shingles(bodies)
             same = (key.view(np.int64) == np.array(ks)).tolist()  # else another text with the same hash
             sets = [np.unique(sh[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            return [[x for x, ok in zip(c, same) if ok] for c in (cs, ks, ns, copies, sigs, sets)]
+            return [[x for x, ok in zip(c, same) if ok] for c in (cs, ks, ns, pivots, copies, sigs, sets)]
 
         return run
 
-    whole = arrow_map(found, make, "c long, k long, n int, copies long, sig binary, sets binary").dropDuplicates(["c", "k"])
-    units = _units(whole, "c", ["k", "copies", "sig", "sets"])
+    whole = arrow_map(found, make, "c long, k long, n int, pivot boolean, copies long, sig binary, sets binary").dropDuplicates(["c", "k"])
+    units = _units(whole, "c", ["k", "copies", "sig", "sets"], "pivot")
 
     def each(unit, cols):
-        side, ks, copies, sig, sets = cols
+        # Pivots come first, so parts that have one are named by it.
+        side, ks, copies, sig, sets = zip(*sorted(zip(*cols), key=lambda r: r[:2]))
+        same, first = unit[1] == unit[2], side.count(-1)
         sets = _bytes(sets, np.uint64)
-        near = candidates(np.array(_bytes(sig, np.uint32)).reshape(-1, KEPT), np.array(side), unit[1] == unit[2])
+        near = candidates(np.array(_bytes(sig, np.uint32)).reshape(-1, KEPT), np.array(side), same)
         size = np.array([len(s) for s in sets], np.float64)
         pairs = np.argwhere(np.triu(near))
         if len(pairs) <= 4 * len(ks):
@@ -351,11 +371,13 @@ def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame
         else:
             shared = shared_counts(sets)[pairs[:, 0], pairs[:, 1]]
         pairs = pairs[shared >= THRESHOLD * (size[pairs[:, 0]] + size[pairs[:, 1]] - shared) - 1e-9]
+        by_pivot, pairs = pairs[pairs[:, 0] < first], pairs[pairs[:, 0] >= first]
         copies, links = np.array(copies), np.zeros(len(ks), np.int64)
         np.add.at(links, pairs[:, 0], copies[pairs[:, 1]])
         np.add.at(links, pairs[:, 1], copies[pairs[:, 0]])
-        out = [(k, int(x), None) for k, x in zip(ks, links.tolist())]
-        return out + [(ks[a], 0, ks[b]) for a, b in spanning(len(ks), pairs)]
+        # A block's own unit (i = j) tells what its texts have with pivots; the others know it.
+        edges = spanning(len(ks), np.concatenate((by_pivot, pairs))) if same else spanning(len(ks), pairs, by_pivot)
+        return [(k, int(x), None) for k, x in zip(ks, links.tolist()) if x] + [(ks[a], 0, ks[b]) for a, b in edges if ks[a] != ks[b]]
 
     return saved(_by_unit(units, each, "k long, links long, v long", 3))
 
@@ -369,12 +391,9 @@ def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # One row for each text: all its rows have the same signature, so any of them is taken, before the shuffle too.
     texts = has.groupBy("k").agg(first, F.count(F.lit(1)).alias("copies"), F.any_value(F.struct("n_sh", "bands", "sig")).alias("own"))
     texts = saved(texts.select("k", "first.t", F.col("first.doc_id").alias("rep"), "copies", "own.*"))
-    pairs = _pruned_pairs(texts)
-    groups = components(pairs)
-    checked = _verified(docs, texts, groups)
-    freed(pairs)
+    checked = _verified(docs, texts, _groups(texts))
     links = checked.groupBy("k").agg(F.sum("links").alias("links"))
-    classes = components(checked.filter("v is not null").select(F.col("k").alias("u"), "v"))
+    classes = components(checked.filter("v is not null").select(F.col("k").alias("u"), "v").distinct())
     named = texts.select("k", "t", "rep", "copies").join(links, "k", "left").join(classes.withColumnRenamed("u", "k"), "k", "left")
     named = named.withColumn("c", F.coalesce("c", "k"))
     head = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("class_id"), F.col("t").alias("head_t"))).alias("head")
