@@ -307,3 +307,20 @@ def test_commands_of_one_text_are_looked_at_once(spark, monkeypatch):
     assert GU.by_command(own, commands, 100).distinct().count() == 280
     told = GU.warned(own, commands, 100).collect()
     assert seen == [1, 1] and len(told) == 200 and {r.more for r in told} == {2} and {r.id for r in told} == {"m2", "m3", "m4", "m5", "m6"}
+
+
+def test_copies_of_mistakes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(GU, "LOT", 3, raising=False)
+    own = spark.createDataFrame([(f"m{i}", f"src/f{i % 2}.ts", None, None, 0.9) for i in range(20)], "id string, source_file string, metadata string, valid_until long, confidence_score double")
+    commands = spark.range(90).selectExpr("id seq", "concat('vim src/F', id % 3, '.ts') command")
+    got = GU.by_command(own, commands, 100)
+    assert sorted((r.seq, r.id) for r in got.collect()) == sorted((s, f"m{i}") for s in range(90) for i in range(20) if s % 3 == i % 2)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    tasks = []
+    monkeypatch.setattr(GU, "dealt", lambda df, rows, *keys: tasks.append(-(-rows // 5)) or df.repartition(4, *keys))
+    monkeypatch.setattr(GU, "ROWS", 5, raising=False)
+    many = spark.range(20_000).selectExpr("id seq", "'vim src/f0.ts' command")
+    assert GU.by_command(own, many, 100).count() == 200_000 and tasks == [2 * GU.COPIES]
+    assert GU.by_command(own, commands.filter("seq < 0"), 100).count() == 0
+    nameless = own.union(own.filter("id = 'm0'").withColumn("id", F.lit(None).cast("string")))
+    assert sorted((r.seq, r.id or "") for r in GU.by_command(nameless, commands.filter("seq = 3"), 100).collect()) == sorted([(3, "")] + [(3, f"m{i}") for i in range(0, 20, 2)])
